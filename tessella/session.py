@@ -1,0 +1,34 @@
+"""Session factory and the shared scratch folder.
+
+``build_session`` is for local runs and tests.  On a cluster the session is
+made by ``spark-submit``; the operators never change its settings.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def build_session(app: str = "tessella", cores: int | None = None, memory: str = "8g", **conf: str) -> SparkSession:
+    """A local session: UTC, adaptive execution, as many shuffle partitions as cores."""
+    cores = cores or os.cpu_count() or 4
+    builder = (
+        SparkSession.builder.master(f"local[{cores}]")
+        .appName(app)
+        .config("spark.driver.memory", memory)
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.shuffle.partitions", str(cores))
+        .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+    )
+    for key, value in conf.items():
+        builder = builder.config(key.replace("__", "."), value)
+    return builder.getOrCreate()
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the supplied tables, by any path Spark can read."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
