@@ -6,8 +6,9 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space of the contracts, as a Java or DuckDB character class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -77,3 +78,23 @@ def unit_hash(*columns: Column) -> Column:
     """A number in (0, 1), the same in each run and in any SQL engine with md5."""
     text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def bounded_texts(docs: DataFrame, chosen: DataFrame, group: str, each: int) -> list:
+    """Rows (doc_id, group, text): for each value of ``group`` up to ``each`` of the ids in ``chosen``, by smallest hash.
+
+    Only ids are compared to make the choice; the texts of the chosen few are
+    then fetched by a join with a list of at most ``each`` ids a group.  Of rows
+    that share an id the smallest text counts.
+    """
+    spark = docs.sparkSession
+    order = Window.partitionBy("group").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = chosen.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(group).alias("group"))
+    ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("doc_id", "group").collect()
+    if not ids:
+        return []
+    schema = T.StructType([T.StructField("wanted", T.LongType()), T.StructField("group", chosen.schema[group].dataType)])
+    wanted = F.broadcast(spark.createDataFrame([(r.doc_id, r.group) for r in ids], schema))
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    found = texts.join(wanted, F.col("doc_id") == F.col("wanted")).groupBy("doc_id", "group").agg(F.min("text").alias("text"))
+    return sorted(found.collect(), key=lambda r: r.doc_id)
