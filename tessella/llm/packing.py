@@ -20,11 +20,13 @@ MAX_WASTE = 1 / 48
 #: Pieces of at most so many ids are never cut.
 SMALL = 45
 TOKENIZER = "word_bpe_49k.json"
-CACHED_WORDS = 300_000
+#: Parts of words that a worker keeps at most.
+CACHED_PARTS = 400_000
 
-# Only these make a text's ids depend on more than its words: the special
-# tokens' own strings, and controls that Python counts as space but the tokenizer does not.
-_WHOLE = re.compile("<\\|startoftext\\|>|<\\|endoftext\\|>|[\x1c-\x1f]")
+# In texts of these characters lower case is by character and nothing composes.
+_PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+# How the tokenizer cuts a text into parts, for such characters.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 
 def public_file(name: str) -> str:
@@ -33,43 +35,79 @@ def public_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class WordEncoder:
-    """Ids of whole texts by a tokenizer that never looks across white space.
+class _Recent:
+    """A bounded store in two generations; what is asked for again outlives what is not."""
 
-    Words are encoded once and kept, up to ``cached`` of them, whereupon the
-    store starts anew; ids are the same as the tokenizer's for the whole text.
+    def __init__(self, most: int):
+        self.half, self.new, self.old = most // 2, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """The keys that are not held; the others are at hand until the next call."""
+        if len(self.new) > self.half:
+            self.old, self.new = self.new, {}
+        fresh = keys.difference(self.new)
+        if self.old:
+            again = fresh.intersection(self.old)
+            self.new.update(zip(again, map(self.old.__getitem__, again)))
+            fresh -= again
+        return list(fresh)
+
+
+class PartEncoder:
+    """Ids of whole texts, by way of the parts into which the tokenizer cuts them.
+
+    Each part is encoded once while it is remembered; ids are the same as the
+    tokenizer's for the whole text.  Texts with special tokens' strings or with
+    characters beyond Latin-1 letters go through the tokenizer as they are.
     """
 
-    def __init__(self, path: str, cached: int = CACHED_WORDS):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, cached: int = CACHED_PARTS):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cached = cached
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.lean = Tokenizer.from_file(path)
+        self.lean.normalizer = normalizers.Sequence([])
+        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.parts = _Recent(cached)
+
+    def _learn(self, parts: list[str]) -> None:
+        known = self.parts.new
+        for low in range(0, len(parts), 2048):
+            some = parts[low : low + 2048]
+            ids = np.array(self.lean.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            at = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            if len(at) != len(some) + 1:
+                raise ValueError("the tokenizer does not mark the ends of words as expected")
+            flat = ids.tobytes()
+            known.update(zip(some, [flat[a:b] for a, b in zip(at, at[1:])]))
+
+    def _cut(self, text: str) -> list[str] | None:
+        if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
+            return None
+        return _PARTS.findall(text.lower())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [None if _WHOLE.search(t) else t.split() for t in texts]
-        fresh = set().union(*(w for w in split if w)).difference(self.known) if texts else set()
-        if len(self.known) + len(fresh) > self.cached:
-            self.known.clear()
-            fresh = set().union(*(w for w in split if w))
-        words = list(fresh)
-        for start in range(0, len(words), 4096):
-            part = words[start : start + 4096]
-            coded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            ids = [x.ids for x in coded]
-            flat = np.fromiter((i for x in ids for i in x), "<u4").tobytes()
-            at = 0
-            for word, x in zip(part, ids):
-                end = at + 4 * len(x)
-                self.known[word] = flat[at:end]
-                at = end
-        get = self.known.__getitem__
-        return [self._whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, split)]
+        cut = [self._cut(t) for t in texts]
+        self._learn(self.parts.missing(set().union(*(c for c in cut if c))))
+        get = self.parts.new.__getitem__
+        whole = [t for t, c in zip(texts, cut) if c is None]
+        direct = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else ())
+        return [np.array(next(direct).ids, "<u4").tobytes() if c is None else b"".join(map(get, c)) for c in cut]
+
+
+_encoders: dict[str, PartEncoder] = {}
+
+
+def encoder_of(path: str) -> PartEncoder:
+    """One encoder a worker process, whose memory of parts outlasts a task."""
+    if path not in _encoders:
+        _encoders[path] = PartEncoder(path)
+    return _encoders[path]
 
 
 def cuts(tokens: int, capacity: int = CAPACITY, max_waste: float = MAX_WASTE) -> list[tuple[int, int]]:
@@ -108,7 +146,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     path = tokenizer or public_file(TOKENIZER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         base = TaskContext.get().partitionId() << 32
         number = 0
         bins: dict[int, list] = {}
