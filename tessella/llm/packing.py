@@ -21,7 +21,7 @@ MAX_WASTE = 1 / 48
 SMALL = 45
 TOKENIZER = "word_bpe_49k.json"
 #: Parts of words that a worker keeps at most.
-CACHED_PARTS = 400_000
+CACHED_PARTS = 1_000_000
 
 # In texts of these characters lower case is by character and nothing composes.
 _PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
@@ -175,9 +175,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
         for batch in batches:
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
-            for low in range(0, len(ids_of), 256):
-                part = [t or "" for t in texts.slice(low, 256).to_pylist()]
-                for doc, ids in zip(ids_of[low : low + 256], encoder.encode(part)):
+            for low in range(0, len(ids_of), 1024):
+                part = [t or "" for t in texts.slice(low, 1024).to_pylist()]
+                for doc, ids in zip(ids_of[low : low + 1024], encoder.encode(part)):
                     ids += end
                     total, start = len(ids) // 4, 0
                     for length, j in cuts(total, capacity):
