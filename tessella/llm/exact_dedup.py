@@ -32,8 +32,21 @@ def _keys(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
-def repeat_filter(keys: DataFrame, cells: int) -> np.ndarray:
-    """Bits of the cells that two or more rows of ``keys`` (key: long) have hit.
+def filter_cells(rows: int, max_cells: int = MAX_CELLS) -> int:
+    """Some 24 cells a row, up to ``max_cells``."""
+    return min(max_cells, 1 << max(12, int(np.ceil(np.log2(24 * max(rows, 1))))))
+
+
+def passes(bits: np.ndarray, cells: int, key: np.ndarray) -> np.ndarray:
+    """Whether all cells of each key (uint64) are marked."""
+    hit = np.ones(len(key), bool)
+    for cell in _cells(key, cells):
+        hit &= (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+    return hit
+
+
+def filter_bits(keys: DataFrame, cells: int, repeated: bool = True) -> np.ndarray:
+    """Bits of the cells that two or more rows of ``keys`` (key: long) have hit, or one, unless ``repeated``.
 
     Each task holds a cell's count as none, one or more; tasks' filters merge
     segment by segment on the executors.  Only the bits of "more", whose size
@@ -51,7 +64,7 @@ def repeat_filter(keys: DataFrame, cells: int) -> np.ndarray:
             fresh = np.ones(probes.shape, bool)
             fresh[1:] = probes[1:] != probes[:-1]
             cell, hits = np.unique(probes[fresh], return_counts=True)
-            more[cell] |= once[cell] | (hits > 1)
+            more[cell] |= once[cell] | (hits > 1) | (not repeated)
             once[cell] = True
         for s in range(SEGMENTS):
             a, b = once[s * part : (s + 1) * part], more[s * part : (s + 1) * part]
@@ -98,16 +111,13 @@ def exact_dedup(docs: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.unhex(sha).alias("hash"), F.monotonically_increasing_id().alias("row_no"))
     rows = materialize(rows, "sha").withColumn("key", F.xxhash64("hash"))
     count = max(1, rows.count())
-    cells = min(max_cells, 1 << max(12, int(np.ceil(np.log2(24 * count)))))
-    bits = spark.sparkContext.broadcast(repeat_filter(rows.select("key"), cells))
+    cells = filter_cells(count, max_cells)
+    bits = spark.sparkContext.broadcast(filter_bits(rows.select("key"), cells))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = bits.value
         for batch in batches:
-            key = _keys(batch.column(batch.schema.get_field_index("key")))
-            hit = np.ones(len(key), bool)
-            for cell in _cells(key, cells):
-                hit &= (marked[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+            hit = passes(marked, cells, _keys(batch.column(batch.schema.get_field_index("key"))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], [*batch.schema.names, "maybe"])
 
     tested = materialize(rows.mapInArrow(test, "doc_id long, hash binary, row_no long, key long, maybe boolean").drop("key"), "tested")

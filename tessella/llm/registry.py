@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import exact_dedup, language, mixing, packing, sharding, simhash, topk, toxicity
+from tessella.llm import exact_dedup, language, mixing, packing, paragraphs, sharding, simhash, topk, toxicity
 
 QUERIES = {
     "op1_mix_sources": (mixing.op1_mix_sources, mixing.SQL),
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_topk": (topk.op3_exact_topk, topk.SQL),
     "op5_hilbert_shards": (sharding.op5_hilbert_shards, sharding.SQL),
     "op6_language": (language.op6_language, language.SQL),
+    "op7_repeated_paragraphs": (paragraphs.op7_repeated_paragraphs, paragraphs.SQL),
     "op8_simhash": (simhash.op8_simhash, simhash.SQL),
     "op9_toxicity": (toxicity.op9_toxicity, toxicity.SQL),
     "op10_harmonic_packing": (packing.op10_harmonic_packing, packing.SQL),
