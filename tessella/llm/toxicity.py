@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import bounded_texts, documents, fold_of
 
 #: Labelled texts of each class to learn from, at most.
-TRAIN_EACH = 4000
+TRAIN_EACH = 1500
 #: Stems that the labels add to the lexicon, at most, and their lengths in letters.
 LEARNED_STEMS = 160
 STEM_LENGTHS = (4, 5, 6, 7, 8)
@@ -95,29 +95,41 @@ def learn_stems(texts: list[str], toxic: list[int], most: int = LEARNED_STEMS) -
     ``MIN_DOCS`` toxic texts, ``MIN_LIFT`` times the share among others, and
     ``MIN_EVIDENCE`` of log-likelihood ratio.
     """
-    levels = []
-    for text in texts:
-        words = _WORD.findall((text or "").lower())
-        counts = Counter(w[:n] for w in words for n in STEM_LENGTHS if len(w) >= n)
-        levels.append({(s, level) for s, c in counts.items() for level in LEVELS if c >= level})
-    ones, zeros = Counter(), Counter()
-    for held, y in zip(levels, toxic):
-        (ones if y else zeros).update(held)
+    def counted(text: str | None, among: set | None = None) -> Iterator[tuple[str, int]]:
+        starts = Counter(w[:n] for w in _WORD.findall((text or "").lower()) for n in STEM_LENGTHS if len(w) >= n)
+        for stem, c in starts.items():
+            if among is None or stem in among:
+                for level in LEVELS[: np.searchsorted(LEVELS, c, side="right")]:
+                    yield stem, level
+
+    # stems of toxic texts first, then what the other texts have of those
+    ones = {level: Counter() for level in LEVELS}
+    for text, y in zip(texts, toxic):
+        if y:
+            for stem, level in counted(text):
+                ones[level][stem] += 1
+    ones = {(s, level): n for level, c in ones.items() for s, n in c.items() if n >= MIN_DOCS}
+    zeros, among = Counter(), {s for s, _ in ones}
+    for text, y in zip(texts, toxic):
+        if not y:
+            zeros.update(counted(text, among))
     n1, n0 = max(1, sum(map(bool, toxic))), max(1, len(toxic) - sum(map(bool, toxic)))
     good = {}
     for voter, a in ones.items():
         b = zeros[voter]
-        if a < MIN_DOCS or a / n1 < MIN_LIFT * (b + 0.5) / n0:
+        if a / n1 < MIN_LIFT * (b + 0.5) / n0:
             continue
         expected = (a + b) * n1 / (n1 + n0)
         evidence = 2 * (a * math.log(a / expected) + (b * math.log(b / (a + b - expected)) if b else 0.0))
         if evidence >= MIN_EVIDENCE:
             good[voter] = evidence
     holders: dict[tuple, set[int]] = {v: set() for v in good}
-    for i, (held, y) in enumerate(zip(levels, toxic)):
+    among = {s for s, _ in good}
+    for i, (text, y) in enumerate(zip(texts, toxic)):
         if y:
-            for voter in held & good.keys():
-                holders[voter].add(i)
+            for voter in counted(text, among):
+                if voter in holders:
+                    holders[voter].add(i)
     # twice over: a second cover gives each toxic text further voters
     chosen: list[str] = []
     for _ in range(2):
