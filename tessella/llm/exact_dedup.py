@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm.common import SPACE, documents, materialize
 
@@ -106,25 +107,9 @@ def exact_dedup(docs: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
     ids come after all others.  An empty table gives an empty one; other
     columns of ``docs`` are not read.
     """
-    spark = docs.sparkSession
-    sha = F.sha2(normalised(docs["text"]).cast("binary"), 256)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.unhex(sha).alias("hash"), F.monotonically_increasing_id().alias("row_no"))
-    rows = materialize(rows, "sha").withColumn("key", F.xxhash64("hash"))
-    count = max(1, rows.count())
-    cells = filter_cells(count, max_cells)
-    bits = spark.sparkContext.broadcast(filter_bits(rows.select("key"), cells))
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = bits.value
-        for batch in batches:
-            hit = passes(marked, cells, _keys(batch.column(batch.schema.get_field_index("key"))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], [*batch.schema.names, "maybe"])
-
-    tested = materialize(rows.mapInArrow(test, "doc_id long, hash binary, row_no long, key long, maybe boolean").drop("key"), "tested")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _hash(docs["text"]).alias("hash"), F.monotonically_increasing_id().alias("row_no"))
+    tested, groups, _, _ = _repeats(rows, max_cells)
     again = tested.where("maybe")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("row_no").alias("row_no"))).alias("first")
-    groups = again.groupBy(F.col("hash").alias("group_hash")).agg(first, F.count("*").alias("group_size"))
-    groups = materialize(groups.select("group_hash", F.col("first.doc_id").alias("keep_id"), F.col("first.row_no").alias("keep_row"), "group_size"), "groups")
     joined = again.join(groups, again["hash"] == groups["group_hash"])
     text_sha256 = F.lower(F.hex("hash")).alias("text_sha256")
     repeated = joined.select("doc_id", "keep_id", "group_size", (F.col("row_no") == F.col("keep_row")).alias("kept"), text_sha256)
@@ -132,15 +117,64 @@ def exact_dedup(docs: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
     return alone.unionByName(repeated)
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
+def _hash(text: Column) -> Column:
+    return F.unhex(F.sha2(normalised(text).cast("binary"), 256))
+
+
+def marked_rows(rows: DataFrame, key: str, bits: np.ndarray, cells: int) -> DataFrame:
+    """``rows`` with a column tessella_maybe: whether the filter holds all cells of the number in column ``key``."""
+    held = rows.sparkSession.sparkContext.broadcast(bits)
+    schema = T.StructType([*rows.schema.fields, T.StructField("tessella_maybe", T.BooleanType())])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = passes(held.value, cells, _keys(batch.column(batch.schema.get_field_index(key))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], [*batch.schema.names, "tessella_maybe"])
+
+    return rows.mapInArrow(test, schema)
+
+
+def _repeats(rows: DataFrame, max_cells: int) -> tuple[DataFrame, DataFrame, np.ndarray, int]:
+    """Both passes over (doc_id, hash, row_no): the rows with a column maybe, the groups of those, and the filter."""
+    rows = materialize(rows, "sha").withColumn("key", F.xxhash64("hash"))
+    cells = filter_cells(rows.count(), max_cells)
+    bits = filter_bits(rows.select("key"), cells)
+    tested = materialize(marked_rows(rows, "key", bits, cells).drop("key").withColumnRenamed("tessella_maybe", "maybe"), "tested")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("row_no").alias("row_no"))).alias("first")
+    groups = tested.where("maybe").groupBy(F.col("hash").alias("group_hash")).agg(first, F.count("*").alias("group_size"))
+    groups = groups.select("group_hash", F.col("first.doc_id").alias("keep_id"), F.col("first.row_no").alias("keep_row"), "group_size")
+    return tested, materialize(groups, "groups"), bits, cells
+
+
+def drop_copies(docs: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
     """``docs`` without the rows that ``exact_dedup`` drops; all columns stay.
 
-    A row is known by its doc_id and text; of rows equal in both one stays.
+    Whole rows move only where their hash may repeat; all others pass straight
+    through.  Of rows that share both doc_id and text one stays.
+    """
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _hash(docs["text"]).alias("hash"), F.monotonically_increasing_id().alias("row_no"))
+    _, groups, bits, cells = _repeats(rows, max_cells)
+    hashed = docs.withColumn("tessella_hash", _hash(docs["text"])).withColumn("tessella_key", F.xxhash64("tessella_hash"))
+    marked = marked_rows(hashed, "tessella_key", bits, cells)
+    alone = marked.where("not tessella_maybe").select(*docs.columns)
+    again = marked.where("tessella_maybe")
+    same = (again["tessella_hash"] == groups["group_hash"]) & again["doc_id"].cast("long").eqNullSafe(groups["keep_id"])
+    kept = again.join(groups, same, "left_semi").dropDuplicates(["doc_id", "tessella_hash"]).select(*docs.columns)
+    return alone.unionByName(kept)
+
+
+def without_ids(docs: DataFrame, dropped: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
+    """``docs`` but for the rows whose doc_id is in ``dropped`` (dropped_id: long).
+
+    A Bloom filter of the dropped ids, of bounded size, lets all other rows
+    pass straight through; only what it holds is joined.  Null ids stay.
     """
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    sha = F.sha2(normalised(docs["text"]).cast("binary"), 256)
-    same = docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]) & (sha == kept["kept_sha"])
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    cells = filter_cells(dropped.count(), max_cells)
+    bits = filter_bits(dropped.select(F.xxhash64("dropped_id").alias("key")), cells, repeated=False)
+    marked = marked_rows(docs.withColumn("tessella_key", F.xxhash64(docs["doc_id"].cast("long"))), "tessella_key", bits, cells)
+    free = marked.where("not tessella_maybe").select(*docs.columns)
+    maybe = marked.where("tessella_maybe")
+    return free.unionByName(maybe.join(dropped, maybe["doc_id"] == dropped["dropped_id"], "left_anti").select(*docs.columns))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,53 @@ def _with(df: DataFrame, small: DataFrame, column: str) -> DataFrame:
     return df.join(small, df["source"].eqNullSafe(small[column]), "left").drop(column)
 
 
+def _keyed(docs: DataFrame, quality: Column | None) -> dict[str, Column]:
+    """Size, key and bins of each row, as columns over ``docs``."""
+    weight = quality if quality is not None else letter_quality(docs["text"])
+    key = -F.log(unit_hash(docs["doc_id"].cast("long"))) / weight
+    code = F.floor((F.lit(1.0) - F.exp(-key)) * F.lit(float(1 << 2 * BIN_BITS)))
+    code = F.least(code, F.lit((1 << 2 * BIN_BITS) - 1)).cast("long")
+    return {"size": words_of(docs["text"]), "key": key, "high": F.shiftright(code, BIN_BITS), "low": code.bitwiseAND(F.lit((1 << BIN_BITS) - 1))}
+
+
+def _plan(docs: DataFrame, quality: Column | None, weights: tuple, share: float, most: float) -> tuple[DataFrame, DataFrame]:
+    """The rows' sizes, keys and bins; and for each source its target, epochs and the bins where its budget ends."""
+    columns = [c.alias(n) for n, c in _keyed(docs, quality).items()]
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), *columns)
+    rows = materialize(rows, "mix")
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    aims = targets(sizes, weights, share, most)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    aims = aims.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    aims = materialize(aims.withColumnRenamed("source", "aim_source"), "aims")
+    sums = rows.groupBy("source", "high").agg(F.sum("size").alias("bin_size"))
+    cut1 = materialize(_cut(_with(sums, aims, "aim_source"), "high", F.lit(0), "high_cut"), "cut1")
+    ending = _with(rows, cut1, "high_cut_source").where(F.col("high") == F.col("high_cut"))
+    sums = ending.groupBy("source", "low").agg(F.sum("size").alias("bin_size"), F.first("high_cut_before").alias("start"))
+    cut2 = materialize(_cut(_with(sums, aims, "aim_source"), "low", F.col("start"), "low_cut"), "cut2")
+    bounds = aims.join(cut1, aims["aim_source"].eqNullSafe(cut1["high_cut_source"]), "left").drop("high_cut_source")
+    bounds = bounds.join(cut2, bounds["aim_source"].eqNullSafe(cut2["low_cut_source"]), "left").drop("low_cut_source")
+    return rows, materialize(bounds, "bounds")
+
+
+def _edge(high: Column, low: Column) -> Column:
+    """Whether a row lies in the one bin of its source that the budget's end divides."""
+    return F.coalesce((high == F.col("high_cut")) & (low == F.col("low_cut")), F.lit(False))
+
+
+def _inside(high: Column, low: Column) -> Column:
+    """Whether a row of any other bin lies before the budget's end."""
+    before = F.col("high_cut").isNull() | (high < F.col("high_cut")) | ((high == F.col("high_cut")) & (low < F.col("low_cut")))
+    return F.when(F.col("rest") <= 0, F.lit(False)).otherwise(before)
+
+
+def _divided(placed: DataFrame) -> DataFrame:
+    """The rows of the divided bins in order of their keys, with a column in: up to the one whose middle lies within the budget."""
+    order = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_last(), "size")
+    ran = F.col("low_cut_before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return placed.where(_edge(F.col("high"), F.col("low"))).withColumn("in", 2 * ran - F.col("size") <= 2 * F.col("rest"))
+
+
 def mix(docs: DataFrame, quality: Column | None = None, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(doc_id, source, size, source_size, target, repeats, taken) for every row of ``docs``.
 
@@ -80,56 +127,40 @@ def mix(docs: DataFrame, quality: Column | None = None, weights: tuple = WEIGHTS
     then size; repeated rows count each.  An empty table gives an empty one;
     other columns of ``docs`` are not read.
     """
-    text = docs["text"]
-    weight = quality if quality is not None else letter_quality(text)
-    rows = docs.select(
-        docs["doc_id"].cast("long").alias("doc_id"),
-        docs["source"].cast("string").alias("source"),
-        words_of(text).alias("size"),
-        (-F.log(unit_hash(docs["doc_id"])) / weight).alias("key"),
-    )
-    code = F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.lit(float(1 << 2 * BIN_BITS)))
-    rows = rows.withColumn("code", F.least(code, F.lit((1 << 2 * BIN_BITS) - 1)).cast("long"))
-    rows = materialize(rows.withColumns({"high": F.shiftright("code", BIN_BITS), "low": F.col("code").bitwiseAND(F.lit((1 << BIN_BITS) - 1))}), "mix")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    aims = targets(sizes, weights, share, most)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    aims = aims.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    aims = materialize(aims.withColumnRenamed("source", "aim_source"), "aims")
-
-    sums = rows.groupBy("source", "high").agg(F.sum("size").alias("bin_size"))
-    cut1 = materialize(_cut(_with(sums, aims, "aim_source"), "high", F.lit(0), "high_cut"), "cut1")
-    ending = _with(rows, cut1, "high_cut_source").where(F.col("high") == F.col("high_cut"))
-    sums = ending.groupBy("source", "low").agg(F.sum("size").alias("bin_size"), F.first("high_cut_before").alias("start"))
-    cut2 = materialize(_cut(_with(sums, aims, "aim_source"), "low", F.col("start"), "low_cut"), "cut2")
-    bounds = aims.join(cut1, aims["aim_source"].eqNullSafe(cut1["high_cut_source"]), "left").drop("high_cut_source")
-    bounds = bounds.join(cut2, bounds["aim_source"].eqNullSafe(cut2["low_cut_source"]), "left").drop("low_cut_source")
-    bounds = materialize(bounds, "bounds")
-
+    rows, bounds = _plan(docs, quality, weights, share, most)
     placed = _with(rows, bounds, "aim_source")
-    edge = F.coalesce((F.col("high") == F.col("high_cut")) & (F.col("low") == F.col("low_cut")), F.lit(False))
-    inside = F.when(F.col("rest") <= 0, F.lit(False)).otherwise(
-        F.col("high_cut").isNull() | (F.col("high") < F.col("high_cut")) | ((F.col("high") == F.col("high_cut")) & (F.col("low") < F.col("low_cut")))
-    )
-    order = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_last(), "size")
-    ran = F.col("low_cut_before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    last = placed.where(edge).withColumn("in", 2 * ran - F.col("size") <= 2 * F.col("rest"))
-    whole = placed.where(~edge).withColumn("in", inside)
+    high, low = F.col("high"), F.col("low")
+    whole = placed.where(~_edge(high, low)).withColumn("in", _inside(high, low))
     repeats = F.col("epochs") + F.col("in").cast("long")
-    return whole.unionByName(last).select(
+    return whole.unionByName(_divided(placed)).select(
         "doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken")
     )
 
 
 def mixed(docs: DataFrame, quality: Column | None = None, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """``docs`` with each row as often as ``mix`` repeats its doc_id; all columns stay.
+    """``docs`` with each row as often as ``mix`` repeats it; all columns stay.
 
-    Needs ids that are unique; rows that share an id share the largest number of repeats.
+    Texts do not move: each row's bins tell whether it is in; only ids of the
+    divided bins, a few for each source, are looked up.  Rows that share an id
+    in a divided bin are in or out together.
     """
-    plan = mix(docs, quality, weights, share, most).where("repeats > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("repeats").alias("mixed_repeats"))
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["mixed_id"]))
-    return joined.withColumn("mixed_no", F.explode(F.sequence(F.lit(1), F.col("mixed_repeats").cast("int")))).drop("mixed_id", "mixed_repeats", "mixed_no")
+    rows, bounds = _plan(docs, quality, weights, share, most)
+    late = _divided(_with(rows, bounds, "aim_source")).groupBy("source", "doc_id").agg(F.max("in").alias("late_in"))
+    late = materialize(late.select(F.col("source").alias("late_source"), F.col("doc_id").alias("late_id"), "late_in"), "late")
+    clear = {c: f"mixed_{c}" for c in bounds.columns}
+    bounds = bounds.withColumnsRenamed(clear)
+    terms = _keyed(docs, quality)
+    wide = docs.withColumns({"mixed_high": terms["high"], "mixed_low": terms["low"]})
+    wide = wide.join(bounds, wide["source"].cast("string").eqNullSafe(bounds["mixed_aim_source"]))
+    wide = wide.join(late, wide["source"].cast("string").eqNullSafe(late["late_source"]) & wide["doc_id"].cast("long").eqNullSafe(late["late_id"]), "left")
+    at = {"high": F.col("mixed_high"), "low": F.col("mixed_low")}
+    cut, low_cut, rest = (F.col(f"mixed_{c}") for c in ("high_cut", "low_cut", "rest"))
+    edge = F.coalesce((at["high"] == cut) & (at["low"] == low_cut), F.lit(False))
+    before = cut.isNull() | (at["high"] < cut) | ((at["high"] == cut) & (at["low"] < low_cut))
+    taken = F.when(rest <= 0, F.lit(False)).when(edge, F.coalesce("late_in", F.lit(False))).otherwise(before)
+    repeats = (F.col("mixed_epochs") + taken.cast("long")).cast("int")
+    wide = wide.withColumn("mixed_repeats", repeats).where("mixed_repeats > 0")
+    return wide.withColumn("mixed_no", F.explode(F.sequence(F.lit(1), F.col("mixed_repeats")))).select(*docs.columns)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

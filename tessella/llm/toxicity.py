@@ -226,31 +226,42 @@ def learn(docs: DataFrame, labels: DataFrame, each: int = TRAIN_EACH) -> Model:
     return fit([r.text for r in rows], [r.group for r in rows])
 
 
-def score_texts(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (or doc_id) of every row of ``docs``, and toxicity: the score from 0 to 1 of its whole text.
+def _score(text: str | None, model: Model, finder: Finder) -> float:
+    fired, rate = features(text, finder)
+    z = model.bias + model.weights[-1] * rate + float(model.weights[fired].sum())
+    return round(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), 6)
 
-    A null text is scored like an empty one, by the bias alone.  Repeated rows come out as often as they went in.
+
+def score_texts(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, toxicity) for every row of ``docs``: the score from 0 to 1 of its whole text.
+
+    A null text is scored like an empty one, by the bias alone.  Repeated rows
+    come out as often as they went in; other columns are not read.
     """
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)
-    names = keep or ["doc_id"]
-    source = docs.select(*[docs[n].alias(n) for n in names], docs["text"].alias("scored_text"))
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        finder = Finder(model.stems)
+        finder = Finder(held.value.stems)
         for batch in batches:
-            score = np.empty(batch.num_rows)
-            texts = batch.column(batch.num_columns - 1)
-            for low in range(0, batch.num_rows, 512):
-                for i, text in enumerate(texts.slice(low, 512).to_pylist(), low):
-                    fired, more = features(text, finder)
-                    z = model.bias + model.weights[-1] * more + float(model.weights[fired].sum())
-                    score[i] = round(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), 6)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], [*names, "toxicity"])
-
-    schema = source.select(*names).schema.add("toxicity", "double")
-    return source.mapInArrow(run, schema)
+            score = [_score(t, held.value, finder) for low in range(0, batch.num_rows, 512) for t in batch.column(1).slice(low, 512).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["doc_id", "toxicity"])
+
+    columns = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    return columns.mapInArrow(run, "doc_id long, toxicity double")
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """``docs`` without rows whose text scores ``threshold`` or more; all columns stay and no row moves."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(held.value.stems)
+        for batch in batches:
+            clean = [_score(t, held.value, finder) < threshold for low in range(0, batch.num_rows, 512) for t in batch.column(at).slice(low, 512).to_pylist()]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
