@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bounded_texts, documents
+from tessella.llm.common import bounded_texts, documents, materialize
 
 #: n-grams of one to so many words; documents from which paragraphs without licences are learned.
 LONGEST = 3
@@ -56,7 +56,10 @@ NONE = [
     "a general statement to the public", "under the bridge", "the program is distributed to viewers", "this is the software of the future", "free of charge for any person", "in source and in style",
 ]
 
-STOP = "a all an any are by for from in into is it of on or our own see that the their this to use used usual was with without you your".split()
+STOP = (
+    "a all an any are by charge copy documentation fee files font for forms free from general in international into is it library of on open or our own "
+    "person public purpose see software source strictly that the their this to use used usual version was with without you your"
+).split()
 
 _TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
 UNKNOWN, ANY = "unknown", "any"
@@ -185,16 +188,23 @@ def _table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
 
 
 def _any_word(text: Column, words: list[str]) -> Column:
-    """Whether the lower-case text has any of the words: long ones as strings, short ones between non-letters."""
+    """Whether a text has any of the words in any case: long ones as strings, short ones between non-letters.
+
+    The text is put in lower case once, bound by an array of one, not once a word.
+    """
     long = [w for w in words if len(w) > 4]
     short = [w for w in words if len(w) <= 4]
-    found = F.lit(False)
-    for word in long:
-        if not any(o != word and o in word for o in long):
-            found = found | F.contains(text, F.lit(word))
-    if short:
-        found = found | F.rlike(text, F.lit(f"(?:^|[^a-z0-9])(?:{'|'.join(short)})(?:[^a-z0-9]|$)"))
-    return found
+
+    def found(low: Column) -> Column:
+        out = F.lit(False)
+        for word in long:
+            if not any(o != word and o in word for o in long):
+                out = out | F.contains(low, F.lit(word))
+        if short:
+            out = out | F.rlike(low, F.lit(f"(?<![a-z0-9])(?:{'|'.join(short)})(?![a-z0-9])"))
+        return out
+
+    return F.element_at(F.transform(F.array(F.lower(text)), found), 1)
 
 
 def scan(docs: DataFrame, model: Model, confirm: float = CONFIRM) -> DataFrame:
@@ -213,10 +223,11 @@ def scan(docs: DataFrame, model: Model, confirm: float = CONFIRM) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    hits = rows.where(_any_word(F.lower("text"), model.anchors)).withColumn("row_no", F.monotonically_increasing_id())
-    lines = hits.select("doc_id", "row_no", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(_any_word(F.lower("line"), model.anchors))
+    hits = rows.where(_any_word(F.col("text"), model.anchors)).withColumn("row_no", F.monotonically_increasing_id())
+    lines = hits.select("doc_id", "row_no", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(_any_word(F.col("line"), model.anchors))
     words = F.regexp_extract_all(F.lower("line"), F.lit(_TOKEN), F.lit(0))
     lines = lines.select("doc_id", "row_no", "paragraph", F.col("line").alias("statement"), words.alias("words")).where(F.size("words") > 0)
+    lines = materialize(lines, "lines")
 
     def runs(n: int) -> Column:
         last = F.size("words") - (n - 1)
