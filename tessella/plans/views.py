@@ -19,7 +19,7 @@ SQL = {
         max(l_quantity * 4) AS w, max(20 + l_tax * 1000) AS h, max(l_discount) AS score FROM lineitem GROUP BY 1, 2""",
     "prices": "SELECT l_suppkey AS grp, l_returnflag AS item, sum(l_quantity) AS weight FROM lineitem GROUP BY 1, 2",
     "grid": """SELECT (l_partkey % 40)::INT AS y, floor(l_extendedprice % 40)::INT AS x, sum(l_quantity) AS score FROM lineitem GROUP BY 1, 2""",
-    "log": """SELECT event_id, user_id, epoch_ms(ts) AS at, event_type AS kind, json_extract_string(props, '$.k') AS question, value FROM events""",
+    "log": """SELECT event_id, user_id, epoch_us(ts) // 1000 AS at_ms, event_type AS kind, json_extract_string(props, '$.k') AS question, value FROM events""",
     "centroids": """SELECT label AS class, j, avg(embedding[j + 1]::DOUBLE) AS w FROM embeddings, (SELECT unnest(range(64))::INT AS j) GROUP BY 1, 2""",
 }
 
