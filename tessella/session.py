@@ -32,3 +32,14 @@ def build_session(app: str = "tessella", cores: int | None = None, memory: str =
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the supplied tables, by any path Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that executors and driver share, from ``spark.checkpoint.dir``; a temporary one where that is unset."""
+    import tempfile
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="tessella-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
