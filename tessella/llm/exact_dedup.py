@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm.common import SPACE, documents, materialize
+from tessella.llm.textkernel import mapped
 
 #: Cells of the filter at most; two bits each, so 16 MB are broadcast whatever the input.
 MAX_CELLS = 1 << 26
@@ -131,7 +132,7 @@ def marked_rows(rows: DataFrame, key: str, bits: np.ndarray, cells: int) -> Data
             hit = passes(held.value, cells, _keys(batch.column(batch.schema.get_field_index(key))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], [*batch.schema.names, "tessella_maybe"])
 
-    return rows.mapInArrow(test, schema)
+    return mapped(rows, test, schema)
 
 
 def _repeats(rows: DataFrame, max_cells: int) -> tuple[DataFrame, DataFrame, np.ndarray, int]:

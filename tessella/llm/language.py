@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import bounded_texts, documents, fold_of
-from tessella.llm.textkernel import text_slices
+from tessella.llm.textkernel import mapped, text_slices
 
 #: n-grams of 1 to 4 bytes, each hashed into one of so many bins (by powers of two).
 LONGEST = 4
@@ -156,7 +156,7 @@ def identify(docs: DataFrame, model: Classifier | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     columns = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return columns.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return mapped(columns, run, "doc_id long, lang_pred string, score double")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

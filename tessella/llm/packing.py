@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import documents
+from tessella.llm.textkernel import mapped
 
 CAPACITY = 2048
 END_ID = 1
@@ -21,7 +22,7 @@ MAX_WASTE = 1 / 48
 SMALL = 45
 TOKENIZER = "word_bpe_49k.json"
 #: Parts of words that a worker keeps at most.
-CACHED_PARTS = 1_000_000
+CACHED_PARTS = 500_000
 
 # In texts of these characters lower case is by character and nothing composes.
 _PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
@@ -100,16 +101,6 @@ class PartEncoder:
         return [np.array(next(direct).ids, "<u4").tobytes() if c is None else b"".join(map(get, c)) for c in cut]
 
 
-_encoders: dict[str, PartEncoder] = {}
-
-
-def encoder_of(path: str) -> PartEncoder:
-    """One encoder a worker process, whose memory of parts outlasts a task."""
-    if path not in _encoders:
-        _encoders[path] = PartEncoder(path)
-    return _encoders[path]
-
-
 def cuts(tokens: int, capacity: int = CAPACITY, max_waste: float = MAX_WASTE) -> list[tuple[int, int]]:
     """(length, class) of the pieces of a document of ``tokens`` ids, in order.
 
@@ -146,7 +137,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     path = tokenizer or public_file(TOKENIZER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path)
+        encoder = PartEncoder(path)
         base = TaskContext.get().partitionId() << 32
         number = 0
         bins: dict[int, list] = {}
@@ -208,7 +199,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             yield flush()
 
     columns = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return columns.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return mapped(columns, run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

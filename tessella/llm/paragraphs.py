@@ -13,7 +13,7 @@ from tessella.llm.common import documents, materialize
 from tessella.llm.exact_dedup import MAX_CELLS, filter_bits, filter_cells, passes
 from tessella.llm.graph import components
 from tessella.llm.jaccard import links_within
-from tessella.llm.textkernel import Words, mix, text_slices, xxh64
+from tessella.llm.textkernel import Words, mapped, mix, text_slices, xxh64
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -115,7 +115,7 @@ def repeated_paragraphs(docs: DataFrame, words: int = WORDS, similarity: float =
                     names,
                 )
 
-    found = source.mapInArrow(read, "doc_id long, paragraph int, start int, end int, words int, whole long, bands array<long>")
+    found = mapped(source, read, "doc_id long, paragraph int, start int, end int, words int, whole long, bands array<long>")
     found = materialize(found, "paragraphs")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "paragraph", "start"))
     unique = found.groupBy("whole").agg(F.count("*").alias("n"), first.alias("first"), F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id"), F.first("bands").alias("bands"))
@@ -153,7 +153,7 @@ def repeated_paragraphs(docs: DataFrame, words: int = WORDS, similarity: float =
                 if items:
                     yield pa.RecordBatch.from_arrays([pa.array(lines.whole[hit].view(np.int64)), pa.array(items, pa.list_(pa.int64()))], ["read_whole", "items"])
 
-    shingled = source.mapInArrow(again, "read_whole long, items array<long>").groupBy("read_whole").agg(F.first("items").alias("items"))
+    shingled = mapped(source, again, "read_whole long, items array<long>").groupBy("read_whole").agg(F.first("items").alias("items"))
     members = wanted.join(shingled, wanted["whole"] == shingled["read_whole"]).select("grp", F.col("whole").alias("node"), "items")
     linked = components(links_within(materialize(members, "members"), similarity), "links")
 

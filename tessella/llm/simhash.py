@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import documents, materialize
 from tessella.llm.graph import components
-from tessella.llm.textkernel import Words, majority, text_slices, xxh64
+from tessella.llm.textkernel import Words, majority, mapped, text_slices, xxh64
 
 BITS = 64
 #: Vantage points of each shard level, and what one run in a leaf compares by brute force.
@@ -36,7 +36,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
     columns = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return columns.mapInArrow(run, "doc_id long, fp long")
+    return mapped(columns, run, "doc_id long, fp long")
 
 
 def _blocks(parts: int) -> list[np.uint64]:

@@ -5,11 +5,13 @@ The bytes of many texts lie end to end in one array; nothing is done by row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
 
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -41,6 +43,43 @@ def text_slices(column: pa.Array, most_bytes: int = 2_000_000) -> Iterator[tuple
         row = end
 
 
+#: A batch that goes to a Python worker has no more bytes than this, but for single rows that are larger.
+BATCH_BYTES = 8 << 20
+
+
+def _frugal() -> Callable[[], None]:
+    """Have the C library hand large blocks straight back; returns what makes it give up all it still holds."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # the size from which blocks are mapped by themselves
+        return lambda: libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return lambda: None
+
+
+def released(run: Callable) -> Callable:
+    """``run`` over batches, after which the worker's memory goes back to the system: workers outlast their tasks."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim = _frugal()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim()
+
+    return tidy
+
+
+def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` for rows with texts: batches are bounded by bytes, in the engine and in its workers."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key)
+    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(released(run), schema)
+
+
 class Words:
     """The words of some texts over one buffer in which single spaces stand between them.
 

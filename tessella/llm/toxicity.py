@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import bounded_texts, documents, fold_of
+from tessella.llm.textkernel import mapped
 
 #: Labelled texts of each class to learn from, at most.
 TRAIN_EACH = 1500
@@ -247,7 +248,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["doc_id", "toxicity"])
 
     columns = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return columns.mapInArrow(run, "doc_id long, toxicity double")
+    return mapped(columns, run, "doc_id long, toxicity double")
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -261,7 +262,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
             clean = [_score(t, held.value, finder) < threshold for low in range(0, batch.num_rows, 512) for t in batch.column(at).slice(low, 512).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
