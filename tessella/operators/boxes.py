@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.session import ship
+
 
 def greedy(x, y, w, h, score, part, overlap: float) -> np.ndarray:
     """Which boxes stay: from the highest score down, each one that overlaps none that stays by more than ``overlap``."""
@@ -33,6 +35,7 @@ def suppress(boxes: DataFrame, overlap: float = 0.5) -> DataFrame:
     One shuffle by object; objects then follow each other in sorted partitions
     and are solved from Arrow batches, several at a time.
     """
+    ship(boxes.sparkSession)
     columns = ["object", "part", "x", "y", "w", "h", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

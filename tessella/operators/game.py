@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.probability import entropy, normalise, powered
+from tessella.session import ship
 
 
 def likelihood(p: Column, answer: Column, weight: Column, gamma: float = 1.0) -> Column:
@@ -139,6 +140,7 @@ def play(responses: DataFrame, model: DataFrame, rounds: int = 20, select: str =
     attributes, is bounded by ``MOST_CELLS``.
     """
     spark = responses.sparkSession
+    ship(spark)
     counts = model.agg(F.countDistinct("class").alias("c"), F.countDistinct("attribute").alias("a"), F.countDistinct("certainty").alias("k")).first()
     if counts.c * counts.a * max(counts.k, 1) * 2 > MOST_CELLS:
         raise ValueError("the response model is too large to be sent to each worker")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.session import ship
+
 #: Numbers that may be sent to each worker as one side of a search.
 MOST_NUMBERS = 20_000_000
 #: Rows of the other side that are compared at once.
@@ -53,6 +55,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1, same_class: bool
     of points yields its k nearest of each query, which then meet.
     """
     spark = points.sparkSession
+    ship(spark)
     rows = queries.select("id", "vector", *(["class"] if same_class else [])).collect()
     ids, vectors = checked_array(rows, "vector")
     held = spark.sparkContext.broadcast((np.array(ids, np.int64), vectors, np.array([r["class"] for r in rows]) if same_class else None))
@@ -92,6 +95,7 @@ def assign(points: DataFrame, centres: list[tuple[int, list[float]]]) -> DataFra
     ``points``: id, vector array<double>.
     """
     spark = points.sparkSession
+    ship(spark)
     ids, vectors = checked_array([{"id": i, "vector": v} for i, v in centres], "vector")
     held = spark.sparkContext.broadcast((np.array(ids, np.int64), vectors))
 

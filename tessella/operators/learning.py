@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.session import ship
+
 #: Classes times features of a model that is sent to each worker.
 MOST_WEIGHTS = 20_000_000
 
@@ -67,6 +69,7 @@ class Learner:
         self.trace: list[float] = []
 
     def _round(self, points: DataFrame, w: np.ndarray) -> tuple[np.ndarray, float, float]:
+        ship(points.sparkSession)
         held = points.sparkSession.sparkContext.broadcast((w, self.costs))
         width = w.size + 2
 
@@ -120,6 +123,7 @@ class Learner:
 
     def predict(self, points: DataFrame) -> DataFrame:
         """(id, label, score) of the best class."""
+        ship(points.sparkSession)
         held = points.sparkSession.sparkContext.broadcast(self.weights)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

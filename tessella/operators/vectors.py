@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.joins import BLOCK, assign
+from tessella.session import ship
 
 RESTARTS, SHORT, LONG = 10, 2, 15
 
@@ -33,6 +34,7 @@ def _partial_sums(points: DataFrame, kernel, width: int) -> np.ndarray:
                     total += kernel(np.array(part.column(0).to_pylist(), np.float64).reshape(part.num_rows, -1)).ravel()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(total)], ["i", "v"])
 
+    ship(points.sparkSession)
     rows = points.select(F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(width)
     for r in rows:
@@ -196,6 +198,7 @@ def principal_components(points: DataFrame, dims: int) -> tuple[np.ndarray, np.n
 
 def projected(points: DataFrame, mean: np.ndarray, components: np.ndarray) -> DataFrame:
     """(id, vector) in the space of the components, centred first."""
+    ship(points.sparkSession)
     held = points.sparkSession.sparkContext.broadcast((mean, components))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,6 +215,7 @@ def fisher_vectors(points: DataFrame, mu: np.ndarray, var: np.ndarray, weight: n
 
     ``points``: image, vector.  Each task yields partial sums by image, which then meet.
     """
+    ship(points.sparkSession)
     held = points.sparkSession.sparkContext.broadcast((mu, var, weight))
     k, d = mu.shape
 

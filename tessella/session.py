@@ -7,6 +7,9 @@ made by ``spark-submit``; the operators never change its settings.
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,15 +32,31 @@ def build_session(app: str = "tessella", cores: int | None = None, memory: str =
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the workers, once an application, so that they need no installation of it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    root = Path(__file__).resolve().parent
+    bundle = Path(tempfile.mkdtemp(prefix="tessella-code-")) / "tessella-code.zip"
+    with zipfile.ZipFile(bundle, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent).as_posix())
+    context.addPyFile(str(bundle))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the supplied tables, by any path Spark can read."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that executors and driver share, from ``spark.checkpoint.dir``; a temporary one where that is unset."""
-    import tempfile
-
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="tessella-")

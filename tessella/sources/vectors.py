@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessella.functions import vectors as vec
+from tessella.session import ship
 
 
 def read_sparse_text(spark: SparkSession, path: str) -> DataFrame:
@@ -64,6 +65,8 @@ def encode_sparse(examples: list[tuple[int, dict[int, float]]]) -> bytes:
 def _decoded(files: DataFrame, decode, schema: str, build) -> DataFrame:
     """Rows of binary files, decoded where Spark has read them: any store that Spark reads will do."""
 
+    ship(files.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessella.operators.game import Model
-from tessella.session import shared_folder
+from tessella.session import shared_folder, ship
 
 REPLY = "session_id string, seq long, method string, ok boolean, question int, top_class int, top_p double, asked int, elapsed double"
 
@@ -26,6 +26,7 @@ def question_sessions(requests: DataFrame, model: DataFrame, gamma: float = 1.0)
     questions asked, seconds.  A request before initialize_20q, to an unknown
     question, or asked already, is answered with ok = false and changes nothing.
     """
+    ship(requests.sparkSession)
     rows = [r.asDict() for r in model.select("class", "attribute", "certainty", "weight", "p").collect()]
     held = requests.sparkSession.sparkContext.broadcast(Model(rows, gamma))
 
@@ -77,6 +78,8 @@ def class_counts(events: DataFrame) -> DataFrame:
     counts; sums of the changes by label are the current totals.
     """
 
+    ship(events.sparkSession)
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         old = state.get if state.exists else None
         first = old
