@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -65,16 +66,23 @@ class PartEncoder:
     def __init__(self, path: str, cached: int = CACHED_PARTS):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path = path
         self.lean = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.lean.get_added_tokens_decoder().values()]
         self.lean.normalizer = normalizers.Sequence([])
         self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = self.tokenizer.get_vocab()
+        vocabulary = self.lean.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.parts = _Recent(cached)
 
+    @cached_property
+    def tokenizer(self):
+        """The tokenizer as it is, for texts that need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _learn(self, parts: list[str]) -> None:
         known = self.parts.new
         for low in range(0, len(parts), 2048):
@@ -166,9 +174,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
         for batch in batches:
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
-            for low in range(0, len(ids_of), 1024):
-                part = [t or "" for t in texts.slice(low, 1024).to_pylist()]
-                for doc, ids in zip(ids_of[low : low + 1024], encoder.encode(part)):
+            for low in range(0, len(ids_of), 512):
+                part = [t or "" for t in texts.slice(low, 512).to_pylist()]
+                for doc, ids in zip(ids_of[low : low + 512], encoder.encode(part)):
                     ids += end
                     total, start = len(ids) // 4, 0
                     for length, j in cuts(total, capacity):
