@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.session import ship
+
 #: The white space of the contracts, as a Java or DuckDB character class.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,6 +49,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     the application ends.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/tessella-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
@@ -88,6 +91,7 @@ def bounded_texts(docs: DataFrame, chosen: DataFrame, group: str, each: int) ->
     that share an id the smallest text counts.
     """
     spark = docs.sparkSession
+    ship(spark)
     known = chosen.where(F.col("doc_id").isNotNull()).select("doc_id", F.col(group).alias("group"))
     # of a large group only the rows below a hash are compared: some four times as many as are taken
     counts = known.groupBy(F.col("group").alias("of")).agg(F.count("*").alias("rows"))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tessella.llm.common import SPACE, documents, materialize
 from tessella.llm.textkernel import mapped
+from tessella.session import ship
 
 #: Cells of the filter at most; two bits each, so 16 MB are broadcast whatever the input.
 MAX_CELLS = 1 << 26
@@ -54,6 +55,7 @@ def filter_bits(keys: DataFrame, cells: int, repeated: bool = True) -> np.ndarra
     segment by segment on the executors.  Only the bits of "more", whose size
     is fixed by ``cells``, reach the driver.
     """
+    ship(keys.sparkSession)
     part = cells // SEGMENTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.session import ship
+
 #: Members of a group that meet in one run; larger groups are dealt into such parts, each pair of which is a run.
 PART = 1024
 
@@ -63,6 +65,7 @@ def links_within(members: DataFrame, threshold: float, part: int = PART) -> Data
     node.  A group of more than ``part`` members is dealt into parts; each two
     parts form a run, so that no task holds more than two, and no pair is lost.
     """
+    ship(members.sparkSession)
     sizes = members.groupBy(F.col("grp").alias("of")).agg(F.count("*").alias("n")).where("n > 1")
     joined = members.join(sizes, members["grp"] == sizes["of"])
     parts = F.ceil(F.col("n") / F.lit(part)).cast("int")

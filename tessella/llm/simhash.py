@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import documents, materialize
 from tessella.llm.graph import components
 from tessella.llm.textkernel import Words, majority, mapped, text_slices, xxh64
+from tessella.session import ship
 
 BITS = 64
 #: Vantage points of each shard level, and what one run in a leaf compares by brute force.
@@ -110,6 +111,7 @@ def near_links(distinct: DataFrame, distance: int) -> DataFrame:
     beyond its own.  Each fingerprint is stored once a block.  Within a shard
     the full distance decides; its links form a forest, never all pairs.
     """
+    ship(distinct.sparkSession)
     blocks = _blocks(distance + 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

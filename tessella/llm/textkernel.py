@@ -13,6 +13,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
+from tessella.session import ship
+
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -73,6 +75,7 @@ def released(run: Callable) -> Callable:
 
 def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``df.mapInArrow(run, schema)`` for rows with texts: batches are bounded by bytes, in the engine and in its workers."""
+    ship(df.sparkSession)
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     now = conf.get(key)
     if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
