@@ -89,8 +89,8 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1, same_class: bool
     return partial.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("id", "place", "found", "distance")
 
 
-def assign(points: DataFrame, centres: list[tuple[int, list[float]]]) -> DataFrame:
-    """(id, cluster, distance): the nearest centre of each point, ties to the first; no row moves.
+def assign(points: DataFrame, centres: list[tuple[int, list[float]]], keep_vector: bool = False) -> DataFrame:
+    """(id, cluster, distance), and vector if asked: the nearest centre of each point, ties to the first; no row moves.
 
     ``points``: id, vector array<double>.
     """
@@ -98,6 +98,7 @@ def assign(points: DataFrame, centres: list[tuple[int, list[float]]]) -> DataFra
     ship(spark)
     ids, vectors = checked_array([{"id": i, "vector": v} for i, v in centres], "vector")
     held = spark.sparkContext.broadcast((np.array(ids, np.int64), vectors))
+    names = ["id", "cluster", "distance", *(["vector"] if keep_vector else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, centres = held.value
@@ -107,9 +108,10 @@ def assign(points: DataFrame, centres: list[tuple[int, list[float]]]) -> DataFra
                 x = np.array(part.column(1).to_pylist(), np.float64).reshape(part.num_rows, -1)
                 gap = np.round(((x[:, None, :] - centres[None, :, :]) ** 2).sum(2), 9)
                 best = gap.argmin(1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids[best]), pa.array(gap[np.arange(len(best)), best])], ["id", "cluster", "distance"])
+                columns = [part.column(0), pa.array(ids[best]), pa.array(gap[np.arange(len(best)), best]), part.column(1)]
+                yield pa.RecordBatch.from_arrays(columns[: len(names)], names)
 
-    return points.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "id long, cluster long, distance double")
+    return points.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "id long, cluster long, distance double" + ", vector array<double>" * keep_vector)
 
 
 def class_scores(scores: DataFrame, weights: DataFrame) -> DataFrame:

@@ -41,9 +41,22 @@ def shuffled(df: DataFrame, *columns: str, seed: int = 0) -> DataFrame:
 
 
 def exact_split(df: DataFrame, columns: list[str], first: int, by: list[str], seed: int = 0) -> DataFrame:
-    """``df`` with a column split: 0 for exactly ``first`` random rows of each group (all, if fewer), else 1."""
-    order = Window.partitionBy(*by).orderBy(key_of(*columns, seed=seed), *columns)
-    return df.withColumn("split", (F.row_number().over(order) > first).cast("int"))
+    """``df`` with a column split: 0 for exactly ``first`` random rows of each group (all, if fewer), else 1.
+
+    ``columns`` tell rows apart.  Only the first rows of each group by their
+    keys are ranked, which tasks cut short before they meet; the last of them
+    is the threshold that all rows are compared with.
+    """
+    mark = F.struct(key_of(*columns, seed=seed).alias("key"), *columns)
+    named = {c: f"of_{c}" for c in by}
+    keyed = df.select(*[F.col(c).alias(n) for c, n in named.items()], mark.alias("mark"))
+    place = F.row_number().over(Window.partitionBy(*named.values()).orderBy("mark"))
+    last = keyed.withColumn("place", place).where(F.col("place") <= first).groupBy(*named.values()).agg(F.max("mark").alias("last_mark"))
+    same = F.lit(True)
+    for c, n in named.items():
+        same = same & df[c].eqNullSafe(last[n])
+    late = F.coalesce(mark > F.col("last_mark"), F.lit(True))
+    return df.join(last, same, "left").withColumn("split", late.cast("int")).drop(*named.values(), "last_mark")
 
 
 def scheduled(examples: DataFrame, epoch: int, most: int) -> DataFrame:

@@ -16,10 +16,13 @@ RESTARTS, SHORT, LONG = 10, 2, 15
 
 
 def kmeans_step(points: DataFrame, centres: list[tuple[int, list[float]]]) -> tuple[DataFrame, DataFrame]:
-    """(cluster, j, value) of the new centres, and (id, cluster, distance) before the move; an empty cluster keeps its place by absence."""
-    placed = assign(points, centres)
-    long = placed.join(points.select("id", F.posexplode("vector").alias("j", "v")), "id")
-    return long.groupBy("cluster", "j").agg(F.avg("v").alias("value")), placed
+    """(cluster, j, value) of the new centres, and (id, cluster, distance) before the move; an empty cluster keeps its place by absence.
+
+    Vectors stay with their assignment; components are averaged with map-side combining.
+    """
+    placed = assign(points, centres, keep_vector=True)
+    moved = placed.select("cluster", F.posexplode("vector").alias("j", "v")).groupBy("cluster", "j").agg(F.avg("v").alias("value"))
+    return moved, placed.drop("vector")
 
 
 def _partial_sums(points: DataFrame, kernel, width: int) -> np.ndarray:
@@ -177,11 +180,12 @@ def mixture(points: DataFrame, k: int, rounds: int = LONG, seed: int = 0) -> tup
     return mu, var, weight, trace
 
 
-def covariance(points: DataFrame, by: str | None = None) -> DataFrame:
-    """(a, b, cov): sample covariance of each two components, in one pass over the exploded pairs."""
-    long = points.select("id", F.posexplode("vector").alias("a", "x"))
-    other = long.select("id", F.col("a").alias("b"), F.col("x").alias("y"))
-    return long.join(other, "id").where("a <= b").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"))
+def covariance(points: DataFrame) -> DataFrame:
+    """(a, b, cov): sample covariance of each two components; pairs are made within the row and combined on the map side."""
+    v, last = F.col("vector"), F.size("vector") - 1
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.element_at(v, a + 1).alias("x"), F.element_at(v, b + 1).alias("y"))
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda a: F.transform(F.sequence(a, last), lambda b: pair(a, b))))
+    return points.select(F.explode(pairs).alias("p")).select("p.*").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"))
 
 
 def principal_components(points: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
