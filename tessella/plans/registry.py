@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tessella.plans import game_queries, stream_queries, table_queries
+from tessella.plans import game_queries, model_queries, stream_queries, table_queries
 
-QUERIES = {**table_queries.QUERIES, **game_queries.QUERIES, **stream_queries.QUERIES}
+QUERIES = {**table_queries.QUERIES, **game_queries.QUERIES, **model_queries.QUERIES, **stream_queries.QUERIES}
