@@ -29,6 +29,34 @@ def greedy(x, y, w, h, score, part, overlap: float) -> np.ndarray:
     return out
 
 
+#: Objects with more boxes are solved one by one, the others together.
+MANY = 48
+
+
+def greedy_groups(group, x, y, w, h, score, part, overlap: float) -> np.ndarray:
+    """``greedy`` within each of many groups, at once: the boxes of one rank, over all groups, against those of each later rank."""
+    order = np.lexsort((part, -score, group))
+    g, x, y, w, h = (v[order] for v in (group, x, y, w, h))
+    starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    rank = np.arange(len(g)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(g)]])))
+    size = np.repeat(np.diff(np.concatenate([starts, [len(g)]])), np.diff(np.concatenate([starts, [len(g)]])))
+    stays = np.ones(len(g), bool)
+    for r in range(int(rank.max()) if len(g) else 0):
+        for step in range(1, int(size.max()) - r):
+            i = np.flatnonzero((rank == r) & stays & (size > r + step))
+            if not len(i):
+                break
+            j = i + step
+            wide = np.minimum(x[i] + w[i], x[j] + w[j]) - np.maximum(x[i], x[j])
+            high = np.minimum(y[i] + h[i], y[j] + h[j]) - np.maximum(y[i], y[j])
+            shared = np.maximum(wide, 0) * np.maximum(high, 0)
+            union = w[i] * h[i] + w[j] * h[j] - shared
+            stays[j[shared > overlap * np.where(union > 0, union, 1)]] = False
+    out = np.empty(len(g), bool)
+    out[order] = stays
+    return out
+
+
 def suppress(boxes: DataFrame, overlap: float = 0.5) -> DataFrame:
     """Boxes (object, part, x, y, w, h, score) that stay within each object.
 
@@ -52,8 +80,14 @@ def suppress(boxes: DataFrame, overlap: float = 0.5) -> DataFrame:
             ready, held = held.slice(0, last), held.slice(last)
             ids = ready.column(0).to_numpy(zero_copy_only=False)
             rest = [ready.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (2, 3, 4, 5, 6, 1)]
-            cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
-            keep = np.concatenate([greedy(*(c[a:b] for c in rest), overlap) for a, b in zip(cuts, cuts[1:])])
+            cuts = np.array([0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)])
+            sizes = np.repeat(np.diff(cuts), np.diff(cuts))
+            keep = np.ones(len(ids), bool)
+            small = sizes <= MANY
+            keep[small] = greedy_groups(ids[small], *(c[small] for c in rest), overlap)
+            for a, b in zip(cuts, cuts[1:]):
+                if b - a > MANY:
+                    keep[a:b] = greedy(*(c[a:b] for c in rest), overlap)
             yield ready.filter(pa.array(keep))
 
     typed = boxes.select(F.col("object").cast("long").alias("object"), F.col("part").cast("long").alias("part"), *[F.col(c).cast("double").alias(c) for c in columns[2:]])

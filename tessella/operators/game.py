@@ -108,17 +108,23 @@ class Model:
         yes = np.where(self.p > 0, np.exp(exponent * np.log(np.where(self.p > 0, self.p, 1))), 0.0)
         no = np.where(self.p < 1, np.exp(exponent * np.log(np.where(self.p < 1, 1 - self.p, 1))), 0.0)
         self.told = np.stack([no, yes])  # answer, certainty, class, attribute
+        flat = self.told.transpose(2, 0, 1, 3).reshape(len(self.classes), -1)
+        self._flat, self._inner = flat, np.where(flat > 0, flat * np.log(np.where(flat > 0, flat, 1)), 0.0)
 
     def gains(self, prior: np.ndarray) -> np.ndarray:
-        """Information gain of each attribute's question, in nats."""
-        u = prior[None, None, :, None] * self.told
-        mass = u.sum(axis=2)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            inner = np.where(u > 0, u * np.log(u), 0.0).sum(axis=2)
-            after = np.where(mass > 0, mass * np.log(mass), 0.0) - inner
-        total = mass.sum(axis=(0, 1))
-        before = -np.sum(np.where(prior > 0, prior * np.log(np.where(prior > 0, prior, 1)), 0.0))
-        return before - after.sum(axis=(0, 1)) / np.where(total > 0, total, 1)
+        """Information gain of each attribute's question, in nats, for each row of ``prior`` (sessions, classes).
+
+        With u = p t the sum of u ln u over classes is (p ln p) t + p (t ln t), so that all is three matrix products.
+        """
+        rows = np.atleast_2d(prior)
+        plogp = np.where(rows > 0, rows * np.log(np.where(rows > 0, rows, 1)), 0.0)
+        shape = (len(rows), -1, len(self.attributes))
+        mass = (rows @ self._flat).reshape(shape)
+        inner = (plogp @ self._flat + rows @ self._inner).reshape(shape)
+        after = (np.where(mass > 0, mass * np.log(np.where(mass > 0, mass, 1)), 0.0) - inner).sum(axis=1)
+        total = mass.sum(axis=1)
+        out = -plogp.sum(axis=1)[:, None] - after / np.where(total > 0, total, 1)
+        return out if prior.ndim > 1 else out[0]
 
 
 #: A model of at most so many numbers is sent to each worker.
@@ -149,49 +155,75 @@ def play(responses: DataFrame, model: DataFrame, rounds: int = 20, select: str =
     times = {r.attribute: r.seconds for r in responses.groupBy("attribute").agg(F.avg("seconds").alias("seconds")).collect()}
     told = F.sort_array(F.collect_list(F.struct("attribute", "answer", "certainty", "seconds")))
     sessions = responses.groupBy(F.col("example").alias("session"), "class").agg(told.alias("told"))
-    schema = "session long, class int, round int, question int, answer int, certainty int, elapsed double, true_rank int, true_p double, top_class int"
+    names = ["session", "class", "round", "question", "answer", "certainty", "elapsed", "true_rank", "true_p", "top_class"]
+    kinds = ["long", "int", "int", "int", "int", "int", "double", "int", "double", "int"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def history(part: pa.RecordBatch) -> pa.RecordBatch:
         m = held.value
         place = {a: i for i, a in enumerate(m.attributes)}
         wait = np.array([max(times.get(a, 1.0), 1e-9) for a in m.attributes])
+        rows = part.to_pylist()
+        n, c, a = len(rows), len(m.classes), len(m.attributes)
+        y, k, seconds = np.full((n, a), -1), np.zeros((n, a), int), np.zeros((n, a))
+        for i, row in enumerate(rows):
+            for t in row["told"]:
+                if t["attribute"] in place:
+                    j = place[t["attribute"]]
+                    y[i, j], k[i, j], seconds[i, j] = t["answer"], t["certainty"], t["seconds"]
+        number = {v: i for i, v in enumerate(m.classes)}
+        truth = np.array([number.get(row["class"], -1) for row in rows])
+        session, cls = np.array([row["session"] for row in rows]), np.array([row["class"] for row in rows])
+        prior, free, elapsed = np.full((n, c), 1.0 / c), y >= 0, np.zeros(n)
+        out: list[list] = [[] for _ in names]
+
+        def record(at: np.ndarray, step: int, asked: np.ndarray | None) -> np.ndarray:
+            order = np.argsort(-np.round(prior[at], 9), axis=1, kind="stable")
+            known = truth[at] >= 0
+            rank = (order == truth[at][:, None]).argmax(axis=1) + 1
+            chance = prior[at, np.maximum(truth[at], 0)]
+            none = [None] * len(at)
+            columns = (
+                session[at].tolist(), cls[at].tolist(), [step] * len(at), none if asked is None else np.array(m.attributes)[asked].tolist(),
+                none if asked is None else y[at, asked].tolist(), none if asked is None else k[at, asked].tolist(), elapsed[at].tolist(),
+                [int(r) if ok else None for r, ok in zip(rank, known)], [float(p) if ok else None for p, ok in zip(chance, known)], np.array(m.classes)[order[:, 0]].tolist(),
+            )
+            for held_column, new in zip(out, columns):
+                held_column.extend(new)
+            return order[:, 0]
+
+        record(np.arange(n), 0, None)
+        for step in range(1, rounds + 1):
+            at = np.flatnonzero(free.any(axis=1))
+            if not len(at):
+                break
+            if select == "order":
+                pick = free[at].argmax(axis=1)
+            else:
+                gain = m.gains(prior[at])
+                gain = np.round(gain / wait if select == "time" else gain, 9)
+                pick = np.where(free[at], gain, -np.inf).argmax(axis=1)
+            free[at, pick] = False
+            elapsed[at] += seconds[at, pick]
+            mass = prior[at] * m.told[y[at, pick], k[at, pick], :, pick]
+            total = mass.sum(axis=1, keepdims=True)
+            prior[at] = np.where(total > 0, mass / np.where(total > 0, total, 1), mass)
+            top = record(at, step, pick)
+            if stop_early:
+                right = top == truth[at]
+                free[at[right]] = False
+                wrong = at[~right]
+                prior[wrong, top[~right]] = 0.0
+                total = prior[wrong].sum(axis=1, keepdims=True)
+                prior[wrong] = np.where(total > 0, prior[wrong] / np.where(total > 0, total, 1), prior[wrong])
+        arrow = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+        return pa.RecordBatch.from_arrays([pa.array(col, arrow[kind]) for col, kind in zip(out, kinds)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                told_by = {place[t["attribute"]]: t for t in row["told"] if t["attribute"] in place}
-                free = sorted(told_by)
-                prior = np.full(len(m.classes), 1 / len(m.classes))
-                truth = m.classes.index(row["class"]) if row["class"] in m.classes else -1
-                elapsed, step, question, answer, certainty = 0.0, 0, None, None, None
-                while True:
-                    order = np.lexsort((np.arange(len(prior)), -np.round(prior, 9)))
-                    rank = int(np.flatnonzero(order == truth)[0]) + 1 if truth >= 0 else None
-                    out.append((row["session"], row["class"], step, question, answer, certainty, elapsed, rank, float(prior[truth]) if truth >= 0 else None, int(m.classes[order[0]])))
-                    if stop_early and step:
-                        if order[0] == truth:
-                            break
-                        prior[order[0]] = 0.0
-                        prior = prior / prior.sum() if prior.sum() > 0 else prior
-                    if not free or step >= rounds:
-                        break
-                    if select == "order":
-                        pick = free[0]
-                    else:
-                        gain = m.gains(prior)[free]
-                        pick = free[int(np.argmax(np.round(gain / wait[free] if select == "time" else gain, 9)))]
-                    free.remove(pick)
-                    t = told_by[pick]
-                    question, answer, certainty = m.attributes[pick], t["answer"], t["certainty"]
-                    elapsed += t["seconds"]
-                    prior = prior * m.told[answer, certainty, :, pick]
-                    total = prior.sum()
-                    prior = prior / total if total > 0 else prior
-                    step += 1
-            names = [f.split()[0] for f in schema.split(", ")]
-            kinds = [pa.int64(), *[pa.int32()] * 5, pa.float64(), pa.int32(), pa.float64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names) if out else pa.RecordBatch.from_pylist([], pa.schema(list(zip(names, kinds))))
-
-    return sessions.mapInArrow(run, schema)
+            for low in range(0, batch.num_rows, 512):
+                yield history(batch.slice(low, 512))
+
+    return sessions.mapInArrow(run, ", ".join(f"{n} {kind}" for n, kind in zip(names, kinds)))
 
 
 def accuracy_by_round(history: DataFrame, window: int = 1, rounds: int = 20) -> DataFrame:

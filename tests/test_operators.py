@@ -79,7 +79,8 @@ def plain_iou(a, b):
     return w * h / union if union > 0 else 0.0
 
 
-def test_suppression(spark):
+def test_suppression(spark, monkeypatch):
+    monkeypatch.setattr(boxes, "MANY", 9)
     rng = np.random.default_rng(2)
     rows = [(o, p, *(float(v) for v in rng.integers(0, 30, 2)), *(float(v) for v in rng.integers(1, 30, 2)), float(rng.integers(0, 5))) for o in range(30) for p in range(int(rng.integers(1, 15)))]
     df = spark.createDataFrame(rows, "object long, part long, x double, y double, w double, h double, score double")
