@@ -58,7 +58,7 @@ expected AS (SELECT session, attribute, sum(CASE WHEN mass > 0 THEN mass * ln(ma
 """
 
 POSTERIOR = """,
-told AS (SELECT example AS session, m.class, CASE WHEN answer = 1 THEN p ELSE 1 - p END AS q, weight FROM responses r JOIN model m USING (attribute, certainty) WHERE attribute < 12),
+told AS (SELECT example AS session, m.class, CASE WHEN answer = 1 THEN p ELSE 1 - p END AS q, weight FROM responses r JOIN model m USING (attribute, certainty)),
 terms AS (SELECT session, class, sum(CASE WHEN q > 0 THEN weight * ln(q) ELSE 0 END) AS logit, max((q <= 0)::INT) AS none FROM told GROUP BY 1, 2),
 mass AS (SELECT *, CASE WHEN none = 0 THEN exp(logit - max(CASE WHEN none = 0 THEN logit END) OVER (PARTITION BY session)) ELSE 0 END AS m FROM terms),
 post AS (SELECT session, class, m / sum(m) OVER (PARTITION BY session) AS p FROM mass)
@@ -76,7 +76,7 @@ def priors_of(model: DataFrame) -> DataFrame:
 
 
 def posterior_of(spark: SparkSession, d: str) -> DataFrame:
-    answers = views.responses(spark, d).where("attribute < 12").select(F.col("example").alias("session"), "attribute", "answer", "certainty")
+    answers = views.responses(spark, d).select(F.col("example").alias("session"), "attribute", "answer", "certainty")
     return game.posterior(answers, model_of(spark, d))
 
 
@@ -203,20 +203,20 @@ def a18(spark, d):
 
 def e2e(spark, d):
     responses = views.responses(spark, d)
-    history = game.play(responses, rm.response_model(responses), rounds=12)
-    return game.accuracy_by_round(history, 1, 12).select("round", r6(F.col("accuracy")).alias("accuracy"), "sessions")
+    history = game.play(responses, rm.response_model(responses), rounds=views.ATTRIBUTES)
+    return game.accuracy_by_round(history, 1, views.ATTRIBUTES).select("round", r6(F.col("accuracy")).alias("accuracy"), "sessions")
 
 
 def e2e_batch(spark, d):
     m = model_of(spark, d)
-    questions = m.select("attribute").distinct().where("attribute < 6").withColumn("question", F.floor(F.col("attribute") / 3).cast("int"))
-    joint = game.batch_answers(priors_of(m), m, questions, samples=50)
+    questions = m.select("attribute").distinct().withColumn("question", F.floor(F.col("attribute") / 3).cast("int"))
+    joint = game.batch_answers(priors_of(m), m, questions, samples=500)
     e = game.expected_entropy(joint, "session", "question", answer=("sample",))
     return e.select("session", "question", r6(F.col("expected_entropy")).alias("expected_entropy"))
 
 
 def b5(spark, d):
-    parts = views.parts(spark, d).where("part <= 3 and object < 2000")
+    parts = views.parts(spark, d)
     samples = parts.select(F.col("object").alias("session"), F.col("part").alias("sample"), "x", "y", (F.col("part") % 3).cast("int").alias("class"), F.lit(1.0).alias("p"))
     clicks = parts.where("part = 1").select(F.col("object").alias("session"), F.lit(0).alias("click"), (F.col("x") + 10).alias("x"), "y")
     return game.click_answers(samples, clicks, 0.01, (0.01, 0.01)).select("session", "class", r6(F.col("p")).alias("p"))
@@ -245,7 +245,7 @@ QUERIES = {
         a AS (SELECT session, question, certainty, attribute, sum(u) AS mass, sum(CASE WHEN u > 0 THEN u * ln(u) ELSE 0 END) AS ulnu FROM u GROUP BY 1, 2, 3, 4)
         SELECT session, question, round(sum(mass * ln(mass) - ulnu) / sum(mass), 6) AS expected_entropy FROM a GROUP BY 1, 2"""),
     "b4_batch_question": (e2e_batch, None),
-    "b5_click_answers": (b5, cte("parts") + """, p AS (SELECT * FROM parts WHERE part <= 3 AND object < 2000),
+    "b5_click_answers": (b5, cte("parts") + """, p AS (SELECT * FROM parts),
         u AS (SELECT s.object AS session, (s.part % 3)::INT AS class, sum(exp(-0.01::DOUBLE * (0.01::DOUBLE * (s.x - c.x - 10) ** 2 + 0.01::DOUBLE * (s.y - c.y) ** 2))) AS u FROM p s JOIN p c ON s.object = c.object AND c.part = 1 GROUP BY 1, 2)
         SELECT session, class, round(CASE WHEN sum(u) OVER (PARTITION BY session) <> 0 THEN u / sum(u) OVER (PARTITION BY session) ELSE 0 END, 6) AS p FROM u"""),
     "b7_select_question": (b7, MODEL + PRIORS + JOINT + """, h AS (SELECT session, -sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) AS h FROM priors GROUP BY 1),

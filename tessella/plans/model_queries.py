@@ -41,8 +41,8 @@ def a23(spark, d):
 
 def j12(spark, d):
     s = tq.points(spark, d).select(C("id").alias("example"), F.posexplode("vector").alias("index", "x"))
-    w = views.centroids(spark, d).where("class = 3 and j % 2 = 0").select(C("j").alias("index"), "w")
-    return s.join(F.broadcast(w), "index").groupBy("example").agg(r6(F.sum(C("x") * C("w"))).alias("dot"))
+    w = views.centroids(spark, d).where("w > 0").select(C("j").alias("index"), "class", "w")
+    return s.join(F.broadcast(w), "index").groupBy("example", "class").agg(r6(F.sum(C("x") * C("w"))).alias("dot"))
 
 
 def j17(spark, d):
@@ -57,7 +57,7 @@ def m5(spark, d):
 
 
 def m12(spark, d):
-    parts = views.parts(spark, d).where("object < 3000")
+    parts = views.parts(spark, d)
     pivot = parts.where("part = 1 and visible = 1").select("object", C("x").alias("px"), C("y").alias("py"))
     v = parts_model.offset_vectors(parts, pivot, -1000.0)
     return v.select("id", F.size("vector").alias("n"), r6(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)).alias("total"))
@@ -73,7 +73,7 @@ def m25(spark, d):
 
 def m17(spark, d):
     g = views.grid(spark, d)
-    rows = g.where("x < 40").groupBy("y").agg(F.sort_array(F.collect_list(F.struct("x", "score"))).alias("cells"), F.count("*").alias("n")).where("n = 40")
+    rows = g.groupBy("y").agg(F.sort_array(F.collect_list(F.struct("x", "score"))).alias("cells"), F.count("*").alias("n")).where("n = 40")
     line = rows.select(C("y").cast("long").alias("id"), F.lit(1).alias("height"), F.lit(40).alias("width"), F.lit(1).alias("channels"), F.transform("cells", lambda c: c["score"].cast("double")).alias("values"))
     out = maps.cells(maps.spread(line, (0.5, 0.0), (2.0, 1.0)))
     return out.select(C("id").cast("int").alias("y"), "x", F.round("value", 4).alias("score"))
@@ -146,11 +146,11 @@ QUERIES = {
         SELECT session, attribute, certainty, answer, round(mass / sum(mass) OVER (PARTITION BY session, attribute), 6) AS p FROM j"""),
     "a17_spanning_tree": (a17, None),
     "a23_node_frequency": (a23, "SELECT label AS source, count(*)::BIGINT AS frequency FROM embeddings GROUP BY 1"),
-    "j12_sparse_dense_dot": (j12, f"WITH centroids AS ({views.SQL['centroids']}), {FLAT} SELECT id AS example, round(sum(x * w), 6) + 0 AS dot FROM flat JOIN centroids c USING (j) WHERE c.class = 3 AND j % 2 = 0 GROUP BY 1"),
+    "j12_sparse_dense_dot": (j12, f"WITH centroids AS ({views.SQL['centroids']}), {FLAT} SELECT id AS example, c.class, round(sum(x * w), 6) + 0 AS dot FROM flat JOIN centroids c USING (j) WHERE w > 0 GROUP BY 1, 2"),
     "j17_cost_lookup": (j17, tq.PRED + "SELECT gt, round(avg(CASE WHEN (gt + pred) % 3 = 0 THEN abs(gt - pred) / 10 ELSE (gt <> pred)::INT END), 6) AS loss FROM predictions GROUP BY 1"),
     "m3_kmeans": (m3, None),
     "m5_cluster_error": (m5, tq.PRED + "SELECT pred AS cluster, count(*) AS n, round(sum(distance), 6) AS error FROM predictions GROUP BY 1"),
-    "m12_pose_offsets": (m12, cte("parts") + """, p AS (SELECT * FROM parts WHERE object < 3000), v AS (SELECT object, x AS px, y AS py FROM p WHERE part = 1 AND visible = 1)
+    "m12_pose_offsets": (m12, cte("parts") + """, p AS (SELECT * FROM parts), v AS (SELECT object, x AS px, y AS py FROM p WHERE part = 1 AND visible = 1)
         SELECT v.object AS id, (2 * count(*))::INT AS n, round(sum(CASE WHEN p.x IS NULL THEN -2000 ELSE p.x - px + p.y - py END), 6) + 0 AS total
         FROM v CROSS JOIN (SELECT DISTINCT part FROM p) k LEFT JOIN p ON p.object = v.object AND p.part = k.part AND p.visible = 1 GROUP BY 1"""),
     "m17_distance_transform": (m17, cte("grid") + """, f AS (SELECT y, x, score FROM grid WHERE y IN (SELECT y FROM grid GROUP BY y HAVING count(*) = 40))

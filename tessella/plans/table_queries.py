@@ -114,9 +114,8 @@ def p13(spark, d):
 
 
 def p15(spark, d):
-    sparse = vec.sparse_of(F.slice(C("vector"), 1, 8))
-    scaled = vec.scale_regions(sparse, [3, 6, 8], [2.0, 0.5, -1.0])
-    part = vec.sparse_slice(scaled, 2, 4)
+    scaled = vec.scale_regions(vec.sparse_of(C("vector")), [20, 40, 64], [2.0, 0.5, -1.0])
+    part = vec.sparse_slice(scaled, 10, 44)
     return points(spark, d).select("id", F.explode(part).alias("i", "v")).select("id", "i", r6(C("v")).alias("v"))
 
 
@@ -152,12 +151,12 @@ def j8(spark, d):
 
 def j9(spark, d):
     p = points(spark, d)
-    return jn.nearest(p.where("id < 20"), p, 3).select("id", "place", "found", r6(C("distance")).alias("distance"))
+    return jn.nearest(p.where("id % 100 = 0"), p, 3).select("id", "place", "found", r6(C("distance")).alias("distance"))
 
 
 def j9_class(spark, d):
     p = points(spark, d)
-    return jn.nearest(p.where("id < 20"), p, 1, same_class=True).select("id", "found", r6(C("distance")).alias("distance"))
+    return jn.nearest(p.where("id % 100 = 0"), p, 1, same_class=True).select("id", "found", r6(C("distance")).alias("distance"))
 
 
 def j10(spark, d):
@@ -300,11 +299,11 @@ def w10(spark, d):
 
 def t2(spark, d):
     t = views.parts(spark, d).groupBy("object").agg(F.sort_array(F.collect_set("part")).alias("poses"))
-    return od.by_pose(t, "poses", "object").limit(50).select("object", F.array_join(F.transform("poses", lambda x: x.cast("string")), ",").alias("poses"))
+    return od.by_pose(t, "poses", "object").select("object", F.array_join(F.transform("poses", lambda x: x.cast("string")), ",").alias("poses"))
 
 
 def t5(spark, d):
-    return views.boxes(spark, d).orderBy(C("w") / C("h"), "object", "part").limit(40).select("object", "part", r6(C("w") / C("h")).alias("ratio"))
+    return views.boxes(spark, d).orderBy(C("w") / C("h"), "object", "part").select("object", "part", r6(C("w") / C("h")).alias("ratio"))
 
 
 def t7(spark, d):
@@ -322,7 +321,7 @@ def t13(spark, d):
 
 
 def t15(spark, d):
-    return od.shuffled(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", seed=3).limit(50)
+    return od.shuffled(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", seed=3)
 
 
 def t16(spark, d):
@@ -338,13 +337,13 @@ def u1(spark, d):
     one = t["events"].select(C("user_id").alias("who"), F.lit("event").alias("what"), C("event_id").alias("n"))
     two = t["conversations"].select(C("conv_id").alias("who"), F.lit("turn").alias("what"), C("turn").alias("n"))
     three = t["orders"].select(C("o_custkey").alias("who"), F.lit("order").alias("what"), C("o_orderkey").alias("n"))
-    return one.unionByName(two).unionByName(three).where("who < 100")
+    return one.unionByName(two).unionByName(three)
 
 
 def u2(spark, d):
     e = views.log(spark, d)
     every = e.select("question").distinct()
-    users = e.select("user_id").distinct().where("user_id < 20")
+    users = e.select("user_id").distinct()
     return users.crossJoin(F.broadcast(every)).join(e.select("user_id", "question"), ["user_id", "question"], "left_anti")
 
 
@@ -353,8 +352,8 @@ def u3(spark, d):
 
 
 def u4(spark, d):
-    p = points(spark, d).select("id", vec.sparse_of(F.slice("vector", 1, 4)).alias("a"), vec.sparse_of(F.slice("vector", 5, 4)).alias("b"))
-    both = p.select("id", F.explode(F.map_concat("a", vec.sparse_shift(C("b"), 4))).alias("i", "v"))
+    p = points(spark, d).select("id", vec.sparse_of(F.slice("vector", 1, 32)).alias("a"), vec.sparse_of(F.slice("vector", 33, 32)).alias("b"))
+    both = p.select("id", F.explode(F.map_concat("a", vec.sparse_shift(C("b"), 32))).alias("i", "v"))
     return both.select("id", "i", r6(C("v")).alias("v"))
 
 
@@ -407,7 +406,7 @@ def s_sparse(spark, d):
 
 
 def s_unit(spark, d):
-    v = F.slice(C("vector"), 1, 4)
+    v = C("vector")
     return points(spark, d).select("id", *[r6(f(v)[0]).alias(n) for n, f in (("unit", vec.unit), ("power", vec.power_unit), ("clipped", vec.clipped_unit), ("minmax", vec.min_max))])
 
 
@@ -422,11 +421,14 @@ def s_answer(spark, d):
 
 
 def s_taxonomy(spark, d):
-    s = table(spark, d, "supplier").join(table(spark, d, "nation"), C("s_nationkey") == C("n_nationkey")).select("s_suppkey", C("s_nationkey").alias("n"), C("n_regionkey").alias("r"))
-    o = s.select(C("s_suppkey").alias("other"), C("n").alias("m"), C("r").alias("q"))
-    pairs = s.join(o, C("r") <= C("q") + 9).where("s_suppkey <= 20 and other <= 20")
-    loss = num.taxonomic_loss(C("s_suppkey") == C("other"), C("n") == C("m"), C("r") == C("q"), F.abs(C("r") - C("q")) == 1)
-    return pairs.select("s_suppkey", "other", loss.cast("int").alias("loss"))
+    t = {n: table(spark, d, n) for n in ("lineitem", "orders", "customer", "supplier", "nation")}
+    near = t["nation"].select(C("n_nationkey").alias("m"), C("n_regionkey").alias("q"))
+    pairs = (
+        t["lineitem"].join(t["orders"], C("l_orderkey") == C("o_orderkey")).join(t["customer"], C("o_custkey") == C("c_custkey")).join(t["supplier"], C("l_suppkey") == C("s_suppkey"))
+        .join(t["nation"], C("c_nationkey") == C("n_nationkey")).join(near, C("s_nationkey") == C("m"))
+    )
+    loss = num.taxonomic_loss(C("c_custkey") == C("s_suppkey"), C("c_nationkey") == C("s_nationkey"), C("n_regionkey") == C("q"), F.abs(C("n_regionkey") - C("q")) == 1)
+    return pairs.groupBy("c_nationkey").agg(F.sum(loss).alias("loss"), F.count("*").alias("n"))
 
 
 def s_iou(spark, d):
@@ -446,23 +448,22 @@ def m6(spark, d):
 
 
 def m7(spark, d):
-    p = points(spark, d).select("id", F.slice("vector", 1, 4).alias("vector"))
-    mu = np.array([[0.1 * (k + 1) * (1 if j % 2 else -1) for j in range(4)] for k in range(3)])
-    new_mu, new_var, weight, _ = ml.mixture_step(p, mu, np.full((3, 4), 0.02), np.full(3, 1 / 3))
-    rows = [(k, j, float(round(new_mu[k, j], 6)), float(round(new_var[k, j], 6)), float(round(weight[k], 6))) for k in range(3) for j in range(4)]
+    new_mu, new_var, weight, _ = ml.mixture_step(points(spark, d), np.array(MEANS), np.full((3, 64), VARIANCE), np.full(3, 1 / 3))
+    rows = [(k, j, float(round(new_mu[k, j], 6)), float(round(new_var[k, j], 6)), float(round(weight[k], 6))) for k in range(3) for j in range(64)]
     return spark.createDataFrame(rows, "component int, j int, mu double, var double, weight double")
 
 
 def m8(spark, d):
-    return ml.covariance(points(spark, d).select("id", F.slice("vector", 1, 12).alias("vector"))).select("a", "b", r6(C("cov")).alias("cov"))
+    return ml.covariance(points(spark, d)).select("a", "b", r6(C("cov")).alias("cov"))
 
 
-FISHER_MU = [[0.1 * (k + 1) * (1 if j % 2 else -1) for j in range(4)] for k in range(3)]
+MEANS = [[0.02 * (k + 1) * (1 if j % 2 else -1) for j in range(64)] for k in range(3)]
+VARIANCE = 0.5
 
 
 def m9(spark, d):
-    p = points(spark, d).select(C("class").cast("long").alias("image"), F.slice("vector", 1, 4).alias("vector"))
-    out = ml.fisher_vectors(p, np.array(FISHER_MU), np.full((3, 4), 0.02), np.full(3, 1 / 3))
+    p = points(spark, d).select(C("class").cast("long").alias("image"), "vector")
+    out = ml.fisher_vectors(p, np.array(MEANS), np.full((3, 64), VARIANCE), np.full(3, 1 / 3))
     return out.select("image", "component", "j", r6(C("d_mu")).alias("d_mu"), r6(C("d_sigma")).alias("d_sigma"))
 
 
@@ -522,7 +523,7 @@ def gaps(spark, d):
 
 
 def r1(spark, d):
-    return wn.scatter_add(traced(spark, d).select(C("iter").alias("index"), C("error").alias("value")).where("index < 200"), traced(spark, d).where("iter < 300").select((C("iter") % 20 * 10).alias("offset"), (C("iter") % 10).alias("i"), C("dual").alias("value"))).select("index", r6(C("value")).alias("value"))
+    return wn.scatter_add(traced(spark, d).select(C("iter").alias("index"), C("error").alias("value")), traced(spark, d).select((C("iter") % 20 * 10).alias("offset"), (C("iter") % 10).alias("i"), C("dual").alias("value"))).select("index", r6(C("value")).alias("value"))
 
 
 def k9(spark, d):
@@ -543,7 +544,6 @@ LOG = cte("log")
 TRACE = "WITH t AS (SELECT event_id AS iter, user_id AS example, value AS error, value * 0.5 AS dual FROM events)"
 CENT = cte("centroids")
 PARTS = cte("parts")
-POINT4 = "p AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x0, embedding[2]::DOUBLE AS x1, embedding[3]::DOUBLE AS x2, embedding[4]::DOUBLE AS x3 FROM embeddings)"
 
 QUERIES = {
     "scan_filter_project": (scan, "SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice * (1 - l_discount), 6) AS net FROM lineitem WHERE l_shipdate < TIMESTAMP '1999-01-01' AND l_quantity > 25"),
@@ -557,15 +557,15 @@ QUERIES = {
     "p8_disable_questions": (p8, "SELECT event_id, 'binary' AS type FROM events WHERE event_type IN ('view', 'purchase')"),
     "p10_agree_with_clicks": (p10, PARTS + " SELECT object, part FROM parts p WHERE part > 1 AND EXISTS (SELECT 1 FROM parts c WHERE c.object = p.object AND c.part = 1 AND c.visible = 1 AND (c.x - p.x) ** 2 + (c.y - p.y) ** 2 <= 22500)"),
     "p13_partial_label": (p13, "SELECT doc_id, quality AS class FROM labels WHERE doc_id % 2 = 1 OR quality = toxic"),
-    "p15_feature_regions": (p15, f"""WITH {FLAT} SELECT id, (j - 2)::INT AS i, round(x * CASE WHEN j < 3 THEN 2.0::DOUBLE WHEN j < 6 THEN 0.5::DOUBLE ELSE -1.0::DOUBLE END, 6) AS v FROM flat WHERE j BETWEEN 2 AND 5 AND x <> 0"""),
+    "p15_feature_regions": (p15, f"""WITH {FLAT} SELECT id, (j - 10)::INT AS i, round(x * CASE WHEN j < 20 THEN 2.0::DOUBLE WHEN j < 40 THEN 0.5::DOUBLE ELSE -1.0::DOUBLE END, 6) + 0 AS v FROM flat WHERE j BETWEEN 10 AND 53 AND x <> 0"""),
     "j1_import_joins": (j1, "SELECT r_name, n_name, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2"),
     "j2_name_lookup": (j2, "SELECT c_custkey, CASE WHEN c_nationkey < 20 THEN c_nationkey END AS nation_id FROM customer"),
     "j5_cross_dims": (j5, cte("responses") + " SELECT * FROM (SELECT DISTINCT class FROM responses) CROSS JOIN (SELECT DISTINCT attribute FROM responses) CROSS JOIN (SELECT DISTINCT certainty FROM responses)"),
     "j7_parent_child": (j7, PARTS + " SELECT c.object, c.part, round(c.x - p.x, 6) + 0 AS dx, round(c.y - p.y, 6) + 0 AS dy FROM parts c JOIN parts p ON c.object = p.object AND c.part = p.part + 1 WHERE c.visible = 1 AND p.visible = 1"),
     "j8_part_distances": (j8, PARTS + " SELECT c.part AS a, p.part AS b, round(avg(sqrt((c.x - p.x) ** 2 + (c.y - p.y) ** 2)), 6) AS distance, count(*) AS n FROM parts c JOIN parts p ON c.object = p.object AND c.part < p.part WHERE c.visible = 1 AND p.visible = 1 GROUP BY 1, 2"),
-    "j9_nearest_example": (j9, """WITH g AS (SELECT q.vec_id AS id, p.vec_id AS found, round(list_sum(list_transform(list_zip(q.embedding, p.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)), 9) AS g FROM embeddings q JOIN embeddings p ON q.vec_id <> p.vec_id WHERE q.vec_id < 20),
+    "j9_nearest_example": (j9, """WITH g AS (SELECT q.vec_id AS id, p.vec_id AS found, round(list_sum(list_transform(list_zip(q.embedding, p.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)), 9) AS g FROM embeddings q JOIN embeddings p ON q.vec_id <> p.vec_id WHERE q.vec_id % 100 = 0),
         r AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY g, found)::INT AS place, found, round(g, 6) AS distance FROM g) SELECT * FROM r WHERE place <= 3"""),
-    "j9_nearest_in_class": (j9_class, """WITH g AS (SELECT q.vec_id AS id, p.vec_id AS found, round(list_sum(list_transform(list_zip(q.embedding, p.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)), 9) AS g FROM embeddings q JOIN embeddings p ON q.vec_id <> p.vec_id AND q.label = p.label WHERE q.vec_id < 20)
+    "j9_nearest_in_class": (j9_class, """WITH g AS (SELECT q.vec_id AS id, p.vec_id AS found, round(list_sum(list_transform(list_zip(q.embedding, p.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)), 9) AS g FROM embeddings q JOIN embeddings p ON q.vec_id <> p.vec_id AND q.label = p.label WHERE q.vec_id % 100 = 0)
         SELECT id, found, round(g, 6) AS distance FROM g QUALIFY row_number() OVER (PARTITION BY id ORDER BY g, found) = 1"""),
     "j10_nearest_centroid": (j10, PRED + "SELECT id, pred, round(distance, 6) AS distance FROM predictions"),
     "j11_class_scores": (j11, f"WITH centroids AS ({views.SQL['centroids']}), {FLAT} SELECT id AS example, c.class, round(sum(x * w), 6) + 0 AS score FROM flat JOIN centroids c USING (j) GROUP BY 1, 2"),
@@ -600,18 +600,18 @@ QUERIES = {
     "w7_local_maxima": (w7, cte("grid") + " SELECT g.y, g.x, g.score FROM grid g WHERE NOT EXISTS (SELECT 1 FROM grid n WHERE abs(n.y - g.y) + abs(n.x - g.x) = 1 AND n.score >= g.score)"),
     "w9_downsample": (w9, "SELECT event_id AS iter, value AS error FROM events WHERE event_id % (SELECT greatest(1, (count(*) + 499) // 500) FROM events) = 0"),
     "w10_epsilon": (w10, TRACE + " SELECT iter, round(avg(error) OVER (ORDER BY iter ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) - dual / (iter + 1) + 0.25::DOUBLE, 9) AS epsilon FROM t"),
-    "t2_pose_sort": (t2, PARTS + ", o AS (SELECT object, list_sort(list(DISTINCT part)) AS poses FROM parts GROUP BY 1) SELECT object, array_to_string(poses, ',') AS poses FROM o ORDER BY list_reverse(poses), object LIMIT 50"),
-    "t5_aspect_sort": (t5, cte("boxes") + " SELECT object, part, round(w / h, 6) AS ratio FROM boxes ORDER BY w / h, object, part LIMIT 40"),
+    "t2_pose_sort": (t2, PARTS + ", o AS (SELECT object, list_sort(list(DISTINCT part)) AS poses FROM parts GROUP BY 1) SELECT object, array_to_string(poses, ',') AS poses FROM o ORDER BY list_reverse(poses), object"),
+    "t5_aspect_sort": (t5, cte("boxes") + " SELECT object, part, round(w / h, 6) AS ratio FROM boxes ORDER BY w / h, object, part"),
     "t7_hard_examples": (t7, "SELECT event_id AS example, CASE WHEN event_type <> 'error' THEN value END AS slack FROM events ORDER BY coalesce(slack, -1e7) DESC, event_id LIMIT 100"),
     "t10_paging": (t10, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100 OFFSET 200"),
     "t13_condense": (t13, "SELECT user_id AS example, event_id AS sample, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) <= 20 AS kept FROM events WHERE value > 0"),
-    "t15_shuffle": (t15, "SELECT o_orderkey FROM orders ORDER BY md5(o_orderkey::VARCHAR || '|3') LIMIT 50"),
+    "t15_shuffle": (t15, "SELECT o_orderkey FROM orders ORDER BY md5(o_orderkey::VARCHAR || '|3')"),
     "t16_exact_split": (t16, "SELECT doc_id, (row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR || '|1'), doc_id) > 30)::INT AS split FROM documents"),
     "t17_weighted_pick": (t17, cte("prices") + ", c AS (SELECT grp, item, sum(weight) OVER (PARTITION BY grp ORDER BY item ROWS UNBOUNDED PRECEDING) / sum(weight) OVER (PARTITION BY grp) AS share FROM prices) SELECT grp, min(item) AS item FROM c WHERE share >= 0.5 GROUP BY 1"),
-    "u1_timeline": (u1, "SELECT * FROM (SELECT user_id AS who, 'event' AS what, event_id AS n FROM events UNION ALL SELECT conv_id, 'turn', turn FROM conversations UNION ALL SELECT o_custkey, 'order', o_orderkey FROM orders) WHERE who < 100"),
-    "u2_remaining_questions": (u2, LOG + " SELECT u.user_id, q.question FROM (SELECT DISTINCT user_id FROM log WHERE user_id < 20) u CROSS JOIN (SELECT DISTINCT question FROM log) q WHERE NOT EXISTS (SELECT 1 FROM log l WHERE l.user_id = u.user_id AND l.question = q.question)"),
+    "u1_timeline": (u1, "SELECT * FROM (SELECT user_id AS who, 'event' AS what, event_id AS n FROM events UNION ALL SELECT conv_id, 'turn', turn FROM conversations UNION ALL SELECT o_custkey, 'order', o_orderkey FROM orders)"),
+    "u2_remaining_questions": (u2, LOG + " SELECT u.user_id, q.question FROM (SELECT DISTINCT user_id FROM log) u CROSS JOIN (SELECT DISTINCT question FROM log) q WHERE NOT EXISTS (SELECT 1 FROM log l WHERE l.user_id = u.user_id AND l.question = q.question)"),
     "u3_exclusion": (u3, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
-    "u4_concatenate": (u4, f"WITH {FLAT} SELECT id, j AS i, round(x, 6) + 0 AS v FROM flat WHERE j < 8 AND x <> 0"),
+    "u4_concatenate": (u4, f"WITH {FLAT} SELECT id, j AS i, round(x, 6) + 0 AS v FROM flat WHERE x <> 0"),
     "u6_flatten": (u6, PARTS + " SELECT object, part, visible FROM parts WHERE part <> 2"),
     "s_string_paths": (s_paths, r"""SELECT page_id, split_part(url, '/', -1) AS file, regexp_replace(url, '/[^/]*$', '') AS folder, CASE WHEN contains(split_part(url, '/', -1), '.') THEN split_part(split_part(url, '/', -1), '.', -1) ELSE '' END AS ext,
         regexp_replace(url, '\.[^./]*$', '') AS bare, NOT regexp_matches(split_part(url, '/', -1), '[/\\~]') AS safe, replace(url, 'e', '3') AS everywhere, regexp_replace(url, 'e', '3') AS once FROM pages"""),
@@ -622,29 +622,30 @@ QUERIES = {
     "s_distances": (s_distances, f"""WITH {FLAT} SELECT a.id, round(sum((a.x - b.x) ** 2), 6) AS l2sq, round(sqrt(sum((a.x - b.x) ** 2)), 6) AS l2, round(sum(abs(a.x - b.x)), 6) AS l1,
         round(sum(CASE WHEN abs(a.x) + abs(b.x) <> 0 THEN (abs(a.x) - abs(b.x)) ** 2 / (abs(a.x) + abs(b.x)) ELSE 0 END), 6) AS chi2, round(sum(a.x * b.x), 6) + 0 AS dot, round(sum(a.x * a.x), 6) AS sqr FROM flat a JOIN flat b ON b.id = a.id + 1 AND a.j = b.j GROUP BY 1"""),
     "s_sparse_dot": (s_sparse, f"""WITH {FLAT} SELECT a.id, round(sum(CASE WHEN a.x > 0.05::DOUBLE AND b.x > 0.05::DOUBLE THEN a.x * b.x ELSE 0 END), 6) AS dot, sum((a.x > 0.05::DOUBLE AND b.x > 0.05::DOUBLE)::INT)::INT AS shared, sum((a.x > 0.05::DOUBLE OR b.x > 0.05::DOUBLE)::INT)::INT AS either FROM flat a JOIN flat b ON b.id = a.id + 1 AND a.j = b.j GROUP BY 1"""),
-    "s_unit_vectors": (s_unit, f"""WITH {POINT4}, q AS (SELECT *, sqrt(x0*x0 + x1*x1 + x2*x2 + x3*x3) AS n, sqrt(abs(x0) + abs(x1) + abs(x2) + abs(x3)) AS r FROM p),
-        c AS (SELECT *, least(x0 / n, 0.2::DOUBLE) AS c0, least(x1 / n, 0.2::DOUBLE) AS c1, least(x2 / n, 0.2::DOUBLE) AS c2, least(x3 / n, 0.2::DOUBLE) AS c3 FROM q)
-        SELECT vec_id AS id, round(x0 / n, 6) + 0 AS unit, round(sign(x0) * sqrt(abs(x0)) / r, 6) + 0 AS power, round(c0 / sqrt(c0*c0 + c1*c1 + c2*c2 + c3*c3), 6) + 0 AS clipped, round((x0 - least(x0, x1, x2, x3)) / (greatest(x0, x1, x2, x3) - least(x0, x1, x2, x3)), 6) AS minmax FROM c"""),
+    "s_unit_vectors": (s_unit, f"""WITH {FLAT}, q AS (SELECT id, sqrt(sum(x * x)) AS n, sqrt(sum(abs(x))) AS r, min(x) AS low, max(x) AS high FROM flat GROUP BY 1),
+        c AS (SELECT id, sqrt(sum(least(x / n, 0.2::DOUBLE) ** 2)) AS m FROM flat JOIN q USING (id) GROUP BY 1)
+        SELECT id, round(x / n, 6) + 0 AS unit, round(sign(x) * sqrt(abs(x)) / r, 6) + 0 AS power, round(least(x / n, 0.2::DOUBLE) / m, 6) + 0 AS clipped, round((x - low) / (high - low), 6) AS minmax
+        FROM flat JOIN q USING (id) JOIN c USING (id) WHERE j = 0"""),
     "s_json": (s_json, """SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, '{"id":' || event_id || ',"k":' || json_extract_string(props, '$.k') || '}' AS json FROM events"""),
     "s_answer_codec": (s_answer, "SELECT event_id, (event_id % 2)::INT AS answer, (event_id % 4)::INT AS certainty, round(value, 2) AS seconds FROM events"),
-    "s_taxonomic_loss": (s_taxonomy, """WITH s AS (SELECT s_suppkey, s_nationkey AS n, n_regionkey AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey <= 20)
-        SELECT a.s_suppkey, b.s_suppkey AS other, CASE WHEN a.s_suppkey = b.s_suppkey THEN 0 WHEN a.n = b.n THEN 1 WHEN a.r = b.r THEN 2 WHEN abs(a.r - b.r) = 1 THEN 3 ELSE 4 END::INT AS loss FROM s a CROSS JOIN s b"""),
+    "s_taxonomic_loss": (s_taxonomy, """SELECT c_nationkey, sum(CASE WHEN c_custkey = s_suppkey THEN 0 WHEN c_nationkey = s_nationkey THEN 1 WHEN n.n_regionkey = m.n_regionkey THEN 2 WHEN abs(n.n_regionkey - m.n_regionkey) = 1 THEN 3 ELSE 4 END)::BIGINT AS loss, count(*) AS n
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation n ON c_nationkey = n.n_nationkey JOIN nation m ON s_nationkey = m.n_nationkey GROUP BY 1"""),
     "s_iou": (s_iou, cte("boxes") + """, p AS (SELECT a.object, a.part, greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) AS s, a.w * a.h + b.w * b.h AS u FROM boxes a JOIN boxes b ON a.object = b.object AND b.part = a.part + 1)
         SELECT object, part, round(s / (u - s), 6) AS iou FROM p"""),
     "m2_kmeans_step": (m2, PRED + "SELECT pred AS cluster, j, round(avg(x), 6) + 0 AS value FROM predictions JOIN flat USING (id) GROUP BY 1, 2"),
     "m6_tree_assign": (m6, """WITH a AS (SELECT vec_id AS id, embedding, 1 + (embedding[1] > 0)::INT AS n FROM embeddings),
         b AS (SELECT *, 2 * n + 1 + (embedding[n + 1]::DOUBLE + 0.01::DOUBLE * n > 0)::INT AS m FROM a) SELECT id, (2 * m + 1 + (embedding[m + 1]::DOUBLE + 0.01::DOUBLE * m > 0)::INT - 7)::INT AS leaf FROM b"""),
-    "m7_em_step": (m7, f"""WITH f AS (SELECT vec_id AS id, j, embedding[j + 1]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(4))::INT AS j)),
-        c AS (SELECT k::INT AS component, j::INT AS j, 0.1::DOUBLE * (k + 1) * (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) AS mu FROM (SELECT unnest(range(3)) AS k), (SELECT unnest(range(4)) AS j)),
-        z AS (SELECT id, component, -0.5::DOUBLE * sum((x - mu) ** 2 / 0.02::DOUBLE) AS z FROM f JOIN c USING (j) GROUP BY 1, 2),
+    "m7_em_step": (m7, f"""WITH f AS (SELECT vec_id AS id, j, embedding[j + 1]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(64))::INT AS j)),
+        c AS (SELECT k::INT AS component, j::INT AS j, 0.02::DOUBLE * (k + 1) * (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) AS mu FROM (SELECT unnest(range(3)) AS k), (SELECT unnest(range(64)) AS j)),
+        z AS (SELECT id, component, -0.5::DOUBLE * sum((x - mu) ** 2 / 0.5::DOUBLE) AS z FROM f JOIN c USING (j) GROUP BY 1, 2),
         r AS (SELECT id, component, exp(z - max(z) OVER (PARTITION BY id)) AS e FROM z), g AS (SELECT id, component, e / sum(e) OVER (PARTITION BY id) AS g FROM r)
         SELECT component, j, round(sum(g * x) / sum(g), 6) + 0 AS mu, round(sum(g * x * x) / sum(g) - (sum(g * x) / sum(g)) ** 2, 6) AS var, round(sum(g) / (SELECT count(*) FROM embeddings), 6) AS weight FROM g JOIN f USING (id) GROUP BY 1, 2"""),
-    "m8_pca_cov": (m8, f"WITH {FLAT} SELECT p.j AS a, q.j AS b, round(covar_samp(p.x, q.x), 6) + 0 AS cov FROM flat p JOIN flat q ON p.id = q.id AND p.j <= q.j WHERE q.j < 12 GROUP BY 1, 2"),
-    "m9_fisher_vector": (m9, f"""WITH f AS (SELECT vec_id AS id, label AS image, j, embedding[j + 1]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(4))::INT AS j)),
-        c AS (SELECT k::INT AS component, j::INT AS j, 0.1::DOUBLE * (k + 1) * (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) AS mu FROM (SELECT unnest(range(3)) AS k), (SELECT unnest(range(4)) AS j)),
-        z AS (SELECT id, component, -0.5::DOUBLE * sum((x - mu) ** 2 / 0.02::DOUBLE) AS z FROM f JOIN c USING (j) GROUP BY 1, 2),
+    "m8_pca_cov": (m8, f"WITH {FLAT} SELECT p.j AS a, q.j AS b, round(covar_samp(p.x, q.x), 6) + 0 AS cov FROM flat p JOIN flat q ON p.id = q.id AND p.j <= q.j GROUP BY 1, 2"),
+    "m9_fisher_vector": (m9, f"""WITH f AS (SELECT vec_id AS id, label AS image, j, embedding[j + 1]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(64))::INT AS j)),
+        c AS (SELECT k::INT AS component, j::INT AS j, 0.02::DOUBLE * (k + 1) * (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) AS mu FROM (SELECT unnest(range(3)) AS k), (SELECT unnest(range(64)) AS j)),
+        z AS (SELECT id, component, -0.5::DOUBLE * sum((x - mu) ** 2 / 0.5::DOUBLE) AS z FROM f JOIN c USING (j) GROUP BY 1, 2),
         r AS (SELECT id, component, exp(z - max(z) OVER (PARTITION BY id)) AS e FROM z), g AS (SELECT id, component, e / sum(e) OVER (PARTITION BY id) AS g FROM r)
-        SELECT image::BIGINT AS image, component, j, round(sum(g * (x - mu) / sqrt(0.02::DOUBLE)) / (count(*) * sqrt(1 / 3::DOUBLE)), 6) + 0 AS d_mu, round(sum(g * ((x - mu) ** 2 / 0.02::DOUBLE - 1)) / (count(*) * sqrt(2 / 3::DOUBLE)), 6) + 0 AS d_sigma FROM f JOIN c USING (j) JOIN g USING (id, component) GROUP BY 1, 2, 3"""),
+        SELECT image::BIGINT AS image, component, j, round(sum(g * (x - mu) / sqrt(0.5::DOUBLE)) / (count(*) * sqrt(1 / 3::DOUBLE)), 6) + 0 AS d_mu, round(sum(g * ((x - mu) ** 2 / 0.5::DOUBLE - 1)) / (count(*) * sqrt(2 / 3::DOUBLE)), 6) + 0 AS d_sigma FROM f JOIN c USING (j) JOIN g USING (id, component) GROUP BY 1, 2, 3"""),
     "m10_bow_hist": (m10, PRED + "SELECT id % 7 AS image, pred AS word, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY id % 7), 6) AS share FROM predictions GROUP BY 1, 2"),
     "m11_pyramid": (m11, """WITH c AS (SELECT l_suppkey % 5 AS image, l_partkey % 40 AS y, l_orderkey % 64 AS x, l_returnflag AS word FROM lineitem), v AS (SELECT *, (2 ** level)::INT AS side FROM c CROSS JOIN (SELECT unnest(range(3))::INT AS level))
         SELECT image, level, ((y * side) // 40 * side + (x * side) // 64)::INT AS cell, word, count(*) AS n FROM v GROUP BY 1, 2, 3, 4"""),
@@ -661,7 +662,7 @@ QUERIES = {
     "x15_fold_log": (x15, LOG + " SELECT user_id, count(*) AS n, count(*) FILTER (kind = 'click') AS clicks, count(DISTINCT question) AS questions, floor((max(at_ms) - min(at_ms)) / 1000)::BIGINT AS seconds FROM log GROUP BY 1"),
     "session_windows": (gaps, LOG + """, g AS (SELECT user_id, at_ms, CASE WHEN at_ms - lag(at_ms) OVER (PARTITION BY user_id ORDER BY at_ms) < 10800000 THEN 0 ELSE 1 END AS s FROM log), h AS (SELECT user_id, at_ms, sum(s) OVER (PARTITION BY user_id ORDER BY at_ms) AS s FROM g)
         SELECT user_id, min(at_ms) AS first_at, max(at_ms) AS last_at, count(*) AS n FROM h GROUP BY user_id, s"""),
-    "r11_scatter_add": (r1, TRACE + ", a AS (SELECT iter AS index, error AS value FROM t WHERE iter < 200 UNION ALL SELECT iter % 20 * 10 + iter % 10, dual FROM t WHERE iter < 300) SELECT index, round(sum(value), 6) AS value FROM a GROUP BY 1"),
+    "r11_scatter_add": (r1, TRACE + ", a AS (SELECT iter AS index, error AS value FROM t UNION ALL SELECT iter % 20 * 10 + iter % 10, dual FROM t) SELECT index, round(sum(value), 6) AS value FROM a GROUP BY 1"),
     "s18_sampled_frames": (s18, "SELECT event_id AS frame, user_id FROM events WHERE event_id % 30 = 29"),
     "k11_detection_text": (k11, cte("boxes") + " SELECT 'o' || object AS name, count(*) AS n, round(max(score), 6) AS score, round(sum((x + w) - x), 3) AS width FROM boxes GROUP BY 1"),
 }
