@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -61,6 +63,10 @@ def release() -> None:
     """Delete every table that ``materialize`` wrote in this application."""
     while _written:
         spark, path = _written.pop()
+        local = path.removeprefix("file://")
+        if "://" not in local and Path(local).exists():
+            shutil.rmtree(local, ignore_errors=True)
+            continue
         try:
             jvm = spark.sparkContext._jvm
             place = jvm.org.apache.hadoop.fs.Path(path)
