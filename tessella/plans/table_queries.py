@@ -348,7 +348,7 @@ def u2(spark, d):
 
 
 def u3(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").select(C("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    return table(spark, d, "customer").join(table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(C("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
 def u4(spark, d):
@@ -610,7 +610,7 @@ QUERIES = {
     "t17_weighted_pick": (t17, cte("prices") + ", c AS (SELECT grp, item, sum(weight) OVER (PARTITION BY grp ORDER BY item ROWS UNBOUNDED PRECEDING) / sum(weight) OVER (PARTITION BY grp) AS share FROM prices) SELECT grp, min(item) AS item FROM c WHERE share >= 0.5 GROUP BY 1"),
     "u1_timeline": (u1, "SELECT * FROM (SELECT user_id AS who, 'event' AS what, event_id AS n FROM events UNION ALL SELECT conv_id, 'turn', turn FROM conversations UNION ALL SELECT o_custkey, 'order', o_orderkey FROM orders)"),
     "u2_remaining_questions": (u2, LOG + " SELECT u.user_id, q.question FROM (SELECT DISTINCT user_id FROM log) u CROSS JOIN (SELECT DISTINCT question FROM log) q WHERE NOT EXISTS (SELECT 1 FROM log l WHERE l.user_id = u.user_id AND l.question = q.question)"),
-    "u3_exclusion": (u3, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "u3_exclusion": (u3, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"),
     "u4_concatenate": (u4, f"WITH {FLAT} SELECT id, j AS i, round(x, 6) + 0 AS v FROM flat WHERE x <> 0"),
     "u6_flatten": (u6, PARTS + " SELECT object, part, visible FROM parts WHERE part <> 2"),
     "s_string_paths": (s_paths, r"""SELECT page_id, split_part(url, '/', -1) AS file, regexp_replace(url, '/[^/]*$', '') AS folder, CASE WHEN contains(split_part(url, '/', -1), '.') THEN split_part(split_part(url, '/', -1), '.', -1) ELSE '' END AS ext,
