@@ -127,8 +127,8 @@ class Model:
         return out if prior.ndim > 1 else out[0]
 
 
-#: A model of at most so many numbers is sent to each worker.
-MOST_CELLS = 20_000_000
+#: A model of at most so many rows (classes times attributes times certainties) is sent to each worker.
+MOST_CELLS = 2_000_000
 
 
 def play(responses: DataFrame, model: DataFrame, rounds: int = 20, select: str = "gain", stop_early: bool = False, gamma: float = 1.0) -> DataFrame:
@@ -147,12 +147,13 @@ def play(responses: DataFrame, model: DataFrame, rounds: int = 20, select: str =
     """
     spark = responses.sparkSession
     ship(spark)
-    counts = model.agg(F.countDistinct("class").alias("c"), F.countDistinct("attribute").alias("a"), F.countDistinct("certainty").alias("k")).first()
-    if counts.c * counts.a * max(counts.k, 1) * 2 > MOST_CELLS:
+    rows = [r.asDict() for r in model.select("class", "attribute", "certainty", "weight", "p").limit(MOST_CELLS + 1).collect()]
+    if len(rows) > MOST_CELLS:
         raise ValueError("the response model is too large to be sent to each worker")
-    rows = [r.asDict() for r in model.select("class", "attribute", "certainty", "weight", "p").collect()]
     held = spark.sparkContext.broadcast(Model(rows, gamma))
-    times = {r.attribute: r.seconds for r in responses.groupBy("attribute").agg(F.avg("seconds").alias("seconds")).collect()}
+    times = {}
+    if select == "time":
+        times = {r.attribute: r.seconds for r in responses.groupBy("attribute").agg(F.avg("seconds").alias("seconds")).collect()}
     told = F.sort_array(F.collect_list(F.struct("attribute", "answer", "certainty", "seconds")))
     sessions = responses.groupBy(F.col("example").alias("session"), "class").agg(told.alias("told"))
     names = ["session", "class", "round", "question", "answer", "certainty", "elapsed", "true_rank", "true_p", "top_class"]

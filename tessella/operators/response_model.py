@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.session import materialize
+
 BETA_CLASS = 10.0
 BETA_CERTAINTY = (32.0, 16.0, 8.0, 4.0)
 TINY = 1e-7
@@ -31,11 +33,13 @@ def response_model(
     """(class, attribute, certainty, weight, pos, neg, p): smoothed answer probabilities of every combination.
 
     ``responses``: example, class, attribute, answer 0/1, certainty.  Combinations
-    that nobody gave count as zeros.  pos and neg are by certainty; p, which
+    that nobody gave count as zeros.  The rows are read once; the number of answer sets is
+    that of answers to the first attribute.  pos and neg are by certainty; p, which
     sessions use, is over all certainties, weighted.
     """
-    counts = answer_counts(responses)
-    sets = responses.agg(F.countDistinct("example").alias("sets"))
+    counts = materialize(answer_counts(responses), "answers")
+    first = counts.agg(F.min("attribute").alias("attribute"))
+    sets = counts.join(F.broadcast(first), "attribute").agg(F.sum("n").alias("sets"))
     dims = counts.select("class").distinct().crossJoin(F.broadcast(counts.select("attribute").distinct()))
     dims = dims.withColumn("certainty", F.explode(F.sequence(F.lit(0), F.lit(len(betas) - 1))))
     dense = dims.join(counts, ["class", "attribute", "certainty"], "left").fillna(0, ["n", "n1"]).crossJoin(F.broadcast(sets))

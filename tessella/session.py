@@ -6,8 +6,11 @@ made by ``spark-submit``; the operators never change its settings.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -62,3 +65,43 @@ def shared_folder(spark: SparkSession) -> str:
         folder = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it again.
+
+    This cuts the lineage: a lost executor costs its own tasks, never a whole
+    chain of stages, and what is used twice is made once.  The table read back
+    has no known partitioning, so that a join over it has a plain exchange on
+    either side, which adaptive execution can split where a key is hot.  Tables
+    are dropped by ``release`` or when the application ends.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    path = f"{shared_folder(spark)}/tessella-{name}-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(schema).parquet(path)
+
+
+def release() -> None:
+    """Delete every table that ``materialize`` wrote in this application."""
+    while _written:
+        spark, path = _written.pop()
+        local = path.removeprefix("file://")
+        if "://" not in local and Path(local).exists():
+            shutil.rmtree(local, ignore_errors=True)
+            continue
+        try:
+            jvm = spark.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # the session has ended: its folder is the cluster's to clean
+            return
+
+
+atexit.register(release)
