@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.session import ship
+from tessella.session import materialize, release, ship
+
+__all__ = ["SPACE", "WORD", "bounded_texts", "documents", "fold_of", "materialize", "release", "unit_hash"]
 
 #: The white space of the contracts, as a Java or DuckDB character class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -23,61 +19,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share.
-
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests, one machine) a temporary folder is made and set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again.
-
-    This cuts the lineage: a lost executor costs its own tasks, never a whole
-    chain of stages.  The table read back has no known partitioning, so that a
-    join over it has a plain exchange on either side, which adaptive execution
-    can split where a key is hot.  Tables are dropped by ``release`` or when
-    the application ends.
-    """
-    spark = df.sparkSession
-    ship(spark)
-    path = f"{shared_dir(spark)}/tessella-{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(schema).parquet(path)
-
-
-def release() -> None:
-    """Delete every table that ``materialize`` wrote in this application."""
-    while _written:
-        spark, path = _written.pop()
-        local = path.removeprefix("file://")
-        if "://" not in local and Path(local).exists():
-            shutil.rmtree(local, ignore_errors=True)
-            continue
-        try:
-            jvm = spark.sparkContext._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-        except Exception:  # the session has ended: its folder is the cluster's to clean
-            return
-
-
-atexit.register(release)
-
-
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id written as text, modulo ``folds``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)
