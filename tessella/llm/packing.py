@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import documents
-from tessella.llm.textkernel import mapped
+from tessella.llm.textkernel import kept, mapped
 
 CAPACITY = 2048
 END_ID = 1
@@ -23,7 +23,7 @@ MAX_WASTE = 1 / 48
 SMALL = 45
 TOKENIZER = "word_bpe_49k.json"
 #: Parts of words that a worker keeps at most.
-CACHED_PARTS = 500_000
+CACHED_PARTS = 600_000
 
 # In texts of these characters lower case is by character and nothing composes.
 _PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
@@ -145,7 +145,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     path = tokenizer or public_file(TOKENIZER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PartEncoder(path)
+        encoder = kept(path, lambda: PartEncoder(path))
         base = TaskContext.get().partitionId() << 32
         number = 0
         bins: dict[int, list] = {}
@@ -207,7 +207,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             yield flush()
 
     columns = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return mapped(columns, run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return mapped(columns, run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long", keeps=True)
 
 
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

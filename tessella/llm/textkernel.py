@@ -59,11 +59,29 @@ def _frugal() -> Callable[[], None]:
         return lambda: None
 
 
-def released(run: Callable) -> Callable:
+#: What kernels keep in a worker from task to task, until a kernel that keeps nothing runs there.
+_kept: dict = {}
+
+
+def kept(key: str, make: Callable):
+    """What ``make`` made in this worker for an earlier task of the same kind, or now."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget() -> None:
+    # a function of the module, so that kernels sent to a worker reach the worker's own store
+    _kept.clear()
+
+
+def released(run: Callable, keeps: bool = False) -> Callable:
     """``run`` over batches, after which the worker's memory goes back to the system: workers outlast their tasks."""
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim = _frugal()
+        if not keeps:
+            forget()
         try:
             yield from run(batches)
         finally:
@@ -73,14 +91,14 @@ def released(run: Callable) -> Callable:
     return tidy
 
 
-def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
+def mapped(df: DataFrame, run: Callable, schema, keeps: bool = False) -> DataFrame:
     """``df.mapInArrow(run, schema)`` for rows with texts: batches are bounded by bytes, in the engine and in its workers."""
     ship(df.sparkSession)
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     now = conf.get(key)
     if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
-    return df.mapInArrow(released(run), schema)
+    return df.mapInArrow(released(run, keeps), schema)
 
 
 class Words:
