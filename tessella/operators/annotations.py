@@ -36,7 +36,7 @@ def flipped(parts: DataFrame, twins: DataFrame, width: int) -> DataFrame:
 
     ``parts``: object, part, x, y, and rotation and pose where present; ``twins``: part, twin.
     """
-    out = parts.join(F.broadcast(twins), "part", "left").withColumn("part", F.coalesce("twin", "part")).drop("twin").withColumn("x", F.lit(float(width - 1)) - F.col("x"))
+    out = parts.join(twins, "part", "left").withColumn("part", F.coalesce("twin", "part")).drop("twin").withColumn("x", F.lit(float(width - 1)) - F.col("x"))
     return out.withColumn("rotation", -F.col("rotation")) if "rotation" in out.columns else out
 
 
@@ -67,7 +67,7 @@ def part_rows(objects: DataFrame, parts: DataFrame) -> DataFrame:
     """
     told = objects.select("key", F.explode("locations").alias("location")).select("key", F.col("location.part").alias("name"), "location")
     first = told.groupBy("key", "name").agg(F.first("location").alias("location"))
-    every = objects.select("key").join(F.broadcast(parts))
+    every = objects.select("key").join(parts)
     return every.join(first, ["key", "name"], "left").select("key", "id", "name", "location")
 
 

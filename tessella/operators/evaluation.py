@@ -42,7 +42,7 @@ def lookup_cost(predictions: DataFrame, costs: DataFrame | None = None) -> DataF
     zero_one = (F.col("gt") != F.col("pred")).cast("double")
     if costs is None:
         return predictions.withColumn("loss", zero_one)
-    return predictions.join(F.broadcast(costs), ["gt", "pred"], "left").withColumn("loss", F.coalesce("cost", zero_one)).drop("cost")
+    return predictions.join(costs, ["gt", "pred"], "left").withColumn("loss", F.coalesce("cost", zero_one)).drop("cost")
 
 
 def drag_losses(errors: DataFrame, drags: int, threshold: float) -> DataFrame:
@@ -84,7 +84,7 @@ def centred_signs(weights: DataFrame) -> DataFrame:
 def gram(weights: DataFrame, norms: DataFrame) -> DataFrame:
     """Products of classes' attribute vectors, each attribute weighed by its norm.  ``norms``: attribute, sqr."""
     other = weights.select(F.col("class").alias("class_b"), "attribute", F.col("w").alias("v"))
-    joined = weights.withColumnRenamed("class", "class_a").join(other, "attribute").join(F.broadcast(norms), "attribute")
+    joined = weights.withColumnRenamed("class", "class_a").join(other, "attribute").join(norms, "attribute")
     return joined.groupBy("class_a", "class_b").agg(F.sum(F.col("w") * F.col("v") * F.col("sqr")).alias("product"))
 
 

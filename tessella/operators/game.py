@@ -30,7 +30,7 @@ def binary_answers(priors: DataFrame, model: DataFrame, gamma: float = 1.0) -> D
 
 def choice_answers(priors: DataFrame, model: DataFrame, choices: DataFrame, gamma: float = 1.0) -> DataFrame:
     """The same for multiple choice: only 'yes' to one of the attributes of each question.  ``choices``: question, attribute."""
-    joined = priors.join(model.withColumnRenamed("p", "q"), "class").join(F.broadcast(choices), "attribute")
+    joined = priors.join(model.withColumnRenamed("p", "q"), "class").join(choices, "attribute")
     u = F.col("p") * powered(F.col("q"), F.lit(gamma) * F.col("weight"))
     return joined.select("session", "question", "certainty", F.col("attribute").alias("answer"), "class", u.alias("u"))
 
@@ -52,7 +52,7 @@ def select_question(gains: DataFrame, asked: DataFrame | None = None, seconds: D
     """
     free = gains if asked is None else gains.join(asked, ["session", "attribute"], "left_anti")
     if seconds is not None:
-        free = free.join(F.broadcast(seconds), "attribute").withColumn("gain", F.col("gain") / F.col("seconds"))
+        free = free.join(seconds, "attribute").withColumn("gain", F.col("gain") / F.col("seconds"))
     best = F.max(F.struct(F.round("gain", 9).alias("gain"), (-F.col("attribute")).alias("minus")))
     return free.groupBy("session").agg(best.alias("best")).select("session", (-F.col("best.minus")).alias("attribute"), F.col("best.gain").alias("gain"))
 
@@ -63,7 +63,7 @@ def posterior(answers: DataFrame, model: DataFrame, gamma: float = 1.0) -> DataF
     ``answers``: session, attribute, answer, certainty.  Logarithms are summed,
     with a flag for factors of 0.
     """
-    joined = answers.join(F.broadcast(model), ["attribute", "certainty"])
+    joined = answers.join(model, ["attribute", "certainty"])
     told = likelihood(F.col("p"), F.col("answer"), F.col("weight"), gamma)
     terms = joined.groupBy("session", "class").agg(F.sum(F.when(told > 0, F.ln(told)).otherwise(F.lit(0.0))).alias("logit"), F.max((told <= 0).cast("int")).alias("none"))
     top = F.max(F.when(F.col("none") == 0, F.col("logit"))).over(Window.partitionBy("session"))
@@ -246,7 +246,7 @@ def batch_answers(priors: DataFrame, model: DataFrame, questions: DataFrame, sam
     sample and attribute only.
     """
     sure = model.groupBy("attribute", "class").agg(F.max_by("p", "weight").alias("q"), F.max("weight").alias("weight"))
-    known = priors.join(sure, "class").join(F.broadcast(questions), "attribute")
+    known = priors.join(sure, "class").join(questions, "attribute")
     yes = powered(F.col("q"), F.col("weight"))
     no = powered(1 - F.col("q"), F.col("weight"))
     known = known.withColumns({"yes": yes, "no": no})

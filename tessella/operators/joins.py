@@ -116,7 +116,7 @@ def assign(points: DataFrame, centres: list[tuple[int, list[float]]], keep_vecto
 
 def class_scores(scores: DataFrame, weights: DataFrame) -> DataFrame:
     """(example, class, score): attribute scores times class weights, summed.  ``scores``: example, attribute, s; ``weights``: class, attribute, w."""
-    return scores.join(F.broadcast(weights), "attribute").groupBy("example", "class").agg(F.sum(F.col("s") * F.col("w")).alias("score"))
+    return scores.join(weights, "attribute").groupBy("example", "class").agg(F.sum(F.col("s") * F.col("w")).alias("score"))
 
 
 def paired_questions(events: DataFrame, start: str, end: str) -> DataFrame:

@@ -66,7 +66,7 @@ def mirrored(poses: DataFrame, twins: DataFrame) -> DataFrame:
 
     ``poses``: pose, part, dx, dy; ``twins``: part, twin.
     """
-    other = poses.join(F.broadcast(twins), "part", "left")
+    other = poses.join(twins, "part", "left")
     copy = other.select(F.concat("pose", F.lit("_flipped")).alias("pose"), F.coalesce("twin", "part").alias("part"), (-F.col("dx")).alias("dx"), "dy")
     return poses.select("pose", "part", "dx", "dy").unionByName(copy)
 
@@ -83,7 +83,7 @@ def offset_vectors(parts: DataFrame, pivot: DataFrame, unseen: float = 0.0) -> D
     ``pivot``: object, px, py.  Input to pose clustering by k-means.
     """
     numbers = parts.select("part").distinct()
-    every = pivot.select("object", "px", "py").join(F.broadcast(numbers))
+    every = pivot.select("object", "px", "py").join(numbers)
     told = every.join(parts.where("visible = 1").select("object", "part", "x", "y"), ["object", "part"], "left")
     pair = F.struct("part", F.coalesce(F.col("x") - F.col("px"), F.lit(unseen)).alias("dx"), F.coalesce(F.col("y") - F.col("py"), F.lit(unseen)).alias("dy"))
     gathered = told.groupBy(F.col("object").alias("id")).agg(F.sort_array(F.collect_list(pair)).alias("all"))
@@ -95,9 +95,9 @@ def attribute_class_inference(scores: DataFrame, weights: DataFrame, costs: Data
 
     ``scores``: example, gt, attribute, s; ``weights``: class, attribute, w; ``costs``: gt, pred, cost.
     """
-    summed = scores.join(F.broadcast(weights), "attribute").groupBy("example", "gt", "class").agg(F.sum(F.col("s") * F.col("w")).alias("score"))
+    summed = scores.join(weights, "attribute").groupBy("example", "gt", "class").agg(F.sum(F.col("s") * F.col("w")).alias("score"))
     if costs is not None:
-        summed = summed.join(F.broadcast(costs.withColumnRenamed("pred", "class")), ["gt", "class"], "left").withColumn("score", F.col("score") + F.coalesce("cost", F.lit(0.0)))
+        summed = summed.join(costs.withColumnRenamed("pred", "class"), ["gt", "class"], "left").withColumn("score", F.col("score") + F.coalesce("cost", F.lit(0.0)))
     best = F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("class")).alias("minus")))
     return summed.groupBy("example", "gt").agg(best.alias("b")).select("example", "gt", (-F.col("b.minus")).alias("class"), F.col("b.score").alias("score"))
 

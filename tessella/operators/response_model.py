@@ -40,7 +40,7 @@ def response_model(
     counts = materialize(answer_counts(responses), "answers")
     first = counts.agg(F.min("attribute").alias("attribute"))
     sets = counts.join(F.broadcast(first), "attribute").agg(F.sum("n").alias("sets"))
-    dims = counts.select("class").distinct().crossJoin(F.broadcast(counts.select("attribute").distinct()))
+    dims = counts.select("class").distinct().crossJoin(counts.select("attribute").distinct())
     dims = dims.withColumn("certainty", F.explode(F.sequence(F.lit(0), F.lit(len(betas) - 1))))
     dense = dims.join(counts, ["class", "attribute", "certainty"], "left").fillna(0, ["n", "n1"]).crossJoin(F.broadcast(sets))
     weight = _picked(certainty_weights(betas, not_visible), F.col("certainty"))
@@ -109,7 +109,7 @@ def parent_child(parts: DataFrame, parents: DataFrame) -> DataFrame:
 
     ``parts``: object, part, x, y, visible; ``parents``: part, parent.
     """
-    child = parts.where("visible = 1").join(F.broadcast(parents), "part")
+    child = parts.where("visible = 1").join(parents, "part")
     above = parts.where("visible = 1").select(F.col("object"), F.col("part").alias("parent"), F.col("x").alias("parent_x"), F.col("y").alias("parent_y"))
     return child.join(above, ["object", "parent"]).withColumns({"dx": F.col("x") - F.col("parent_x"), "dy": F.col("y") - F.col("parent_y")})
 
@@ -132,7 +132,7 @@ def pseudo_parts(parts: DataFrame, groups: DataFrame) -> DataFrame:
     ``groups``: part, pseudo.
     """
     seen = F.col("visible") == 1
-    return parts.join(F.broadcast(groups), "part").groupBy("object", "pseudo").agg(
+    return parts.join(groups, "part").groupBy("object", "pseudo").agg(
         F.avg(F.when(seen, F.col("x"))).alias("x"), F.avg(F.when(seen, F.col("y"))).alias("y"), F.avg(F.when(seen, F.col("seconds"))).alias("seconds"), F.max("visible").alias("visible")
     )
 

@@ -42,7 +42,7 @@ def a23(spark, d):
 def j12(spark, d):
     s = tq.points(spark, d).select(C("id").alias("example"), F.posexplode("vector").alias("index", "x"))
     w = views.centroids(spark, d).where("w > 0").select(C("j").alias("index"), "class", "w")
-    return s.join(F.broadcast(w), "index").groupBy("example", "class").agg(r6(F.sum(C("x") * C("w"))).alias("dot"))
+    return s.join(w, "index").groupBy("example", "class").agg(r6(F.sum(C("x") * C("w"))).alias("dot"))
 
 
 def j17(spark, d):

@@ -344,7 +344,7 @@ def u2(spark, d):
     e = views.log(spark, d)
     every = e.select("question").distinct()
     users = e.select("user_id").distinct()
-    return users.crossJoin(F.broadcast(every)).join(e.select("user_id", "question"), ["user_id", "question"], "left_anti")
+    return users.crossJoin(every).join(e.select("user_id", "question"), ["user_id", "question"], "left_anti")
 
 
 def u3(spark, d):

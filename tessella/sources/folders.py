@@ -28,7 +28,7 @@ def class_folders(spark: SparkSession, folder: str, match: str = ".jpg|.png", ex
     files = listing(spark, folder, match).withColumn("class", F.element_at(F.split("path", "/"), -2))
     if excluded:
         out = spark.createDataFrame([(e,) for e in excluded], "key string")
-        files = files.join(F.broadcast(out), F.concat_ws("/", "class", "name") == F.col("key"), "left_anti")
+        files = files.join(out, F.concat_ws("/", "class", "name") == F.col("key"), "left_anti")
     return exact_split(files.select("path", "name", "class"), ["class", "name"], train_each, ["class"])
 
 
@@ -81,8 +81,8 @@ def class_attribute_weights(spark: SparkSession, path: str) -> DataFrame:
 def bird_examples(tables: dict[str, DataFrame]) -> DataFrame:
     """One row an image: path, class, box, split, and its parts as an array in order of their ids."""
     t = tables
-    located = t["locations"].join(F.broadcast(t["parts"]), "part_id").groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("part_id", "part", "x", "y", "visible"))).alias("parts"))
-    return t["images"].join(t["boxes"], "image_id").join(t["labels"], "image_id").join(t["split"], "image_id").join(F.broadcast(t["classes"]), "class_id").join(located, "image_id", "left")
+    located = t["locations"].join(t["parts"], "part_id").groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("part_id", "part", "x", "y", "visible"))).alias("parts"))
+    return t["images"].join(t["boxes"], "image_id").join(t["labels"], "image_id").join(t["split"], "image_id").join(t["classes"], "class_id").join(located, "image_id", "left")
 
 
 def bird_responses(tables: dict[str, DataFrame]) -> DataFrame:
