@@ -1,4 +1,4 @@
-"""Paragraphs that repeat across documents, by MinHash banding and exact Jaccard."""
+"""Paragraphs that repeat across documents, by MinHash banding and exact Jaccard, and passages whatever their line breaks."""
 
 from __future__ import annotations
 
@@ -20,6 +20,8 @@ SIMILARITY = 0.8
 MIN_WORDS = 25
 RECALL = 0.995
 MOST_BANDS = 16
+#: Of so many consecutive windows of a document one at least is looked at.
+APART = 13
 
 
 def tuned_bands(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MOST_BANDS) -> tuple[int, int]:
@@ -30,7 +32,7 @@ def tuned_bands(similarity: float = SIMILARITY, recall: float = RECALL, most: in
 
 
 class Lines:
-    """The paragraphs (lines with ``least`` words or more) of a run of texts, and their shingles' hashes."""
+    """The paragraphs (lines with ``least`` words or more) of a run of texts, and their shingles' hashes, unless ``words`` is 0."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, words: int, least: int):
         breaks = np.flatnonzero(raw == 0x0A) + 1
@@ -46,6 +48,9 @@ class Lines:
         first, last = text.first[:-1][self.kept], text.first[1:][self.kept] - 1
         starts = text.starts[first]
         self.whole = xxh64(text.buffer, starts, text.ends[last] - starts)
+        self.text, self.bounds, self.breaks = text, bounds, breaks
+        if not words:
+            return
         starts, lengths, index = text.shingles(words)
         # only the kept lines' shingles
         size = np.diff(index)[self.kept]
@@ -66,6 +71,61 @@ class Lines:
         return out
 
 
+_ODD = 0x9E3779B97F4A7C15
+
+
+def _rolled(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each ``size`` consecutive ones: differences of prefix sums under powers of an odd number, modulo 2^64."""
+    n = len(hashes)
+    with np.errstate(over="ignore"):
+        powers, inverse = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)])) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
+        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers[:n])])
+        return mix((prefix[size:] - prefix[:-size]) * inverse[: n - size + 1], 19)
+
+
+def _run_of(best: np.ufunc, values: np.ndarray, size: int) -> np.ndarray:
+    """``best`` over each ``size`` consecutive values."""
+    out, done = values, 1
+    while done < size:
+        step = min(done, size - done)
+        out, done = best(out[:-step], out[step:]), done + step
+    return out
+
+
+def picked_windows(text: Words, first: np.ndarray, width: int, apart: int = APART) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of some windows of ``width`` words, chosen by their own first words.
+
+    ``first`` bounds each document's words.  Of ``apart`` consecutive windows
+    of a document those are picked that begin with the shingle of the least
+    hash.  A run of ``width + apart - 1`` words that two documents share thus
+    has a window that is picked in both, wherever it begins and its lines break.
+    """
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    number = np.maximum(np.diff(first) - width + 1, 0)
+    total = int(number.sum())
+    if not total:
+        return none
+    words = xxh64(text.buffer, text.starts, text.ends - text.starts)
+    before = np.cumsum(number) - number
+    word = np.repeat(first[:-1] - before, number) + np.arange(total)
+    # documents stand ``apart`` - 1 empty places from one another
+    gaps = apart - 1
+    place = np.repeat(gaps * (1 + np.arange(len(number))), number) + np.arange(total)
+    begun = np.full(total + gaps * (len(number) + 1), np.iinfo(np.uint64).max)
+    begun[place] = _rolled(words, min(WORDS, width))[word]
+    least = _run_of(np.maximum, _run_of(np.minimum, begun, apart), apart)
+    at = np.flatnonzero(least[place - gaps] == begun[place])
+    word = word[at]
+    hashes = _rolled(words, width)[word]
+    # of equal ones in a row, as in a text that repeats one word, one in each ``apart`` words is enough
+    owner = np.searchsorted(first, word, side="right")
+    fresh = np.ones(len(word), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    since = (word - word[fresh][np.cumsum(fresh) - 1]) // apart
+    fresh[1:] |= since[1:] != since[:-1]
+    return word[fresh], hashes[fresh]
+
+
 def _place_key(whole: np.ndarray, doc: np.ndarray, number: np.ndarray) -> np.ndarray:
     return mix(whole ^ mix(doc.astype(np.int64).view(np.uint64), 11) ^ mix(number.astype(np.uint64), 13), 17)
 
@@ -74,8 +134,63 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(-1).to_numpy(zero_copy_only=False)
 
 
+def _repeated_passages(source: DataFrame, lines: DataFrame, least: int) -> DataFrame:
+    """Windows of ``least`` words that another document also has, but for clusters that lie in paragraphs of one cluster of ``lines`` (of_whole, root)."""
+    # most rows are of windows that do not repeat, so they are kept small: null lines and numbers packed in pairs
+    names = ["doc_id", "start", "packed", "hash", "line", "last_line"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, _, raw, offsets in text_slices(batch.column(1)):
+                found = Lines(raw, offsets, 0, least)
+                text = found.text
+                first = text.first[np.searchsorted(found.bounds, offsets)]
+                word, hashes = picked_windows(text, first, least)
+                if not len(word):
+                    continue
+                owner = np.searchsorted(first, word, side="right") - 1
+                a, b = (np.searchsorted(text.first, w, side="right") - 1 for w in (word, word + least - 1))
+                whole, kept = np.zeros(len(found.bounds) - 1, np.uint64), np.zeros(len(found.bounds) - 1, bool)
+                whole[found.kept], kept[found.kept] = found.whole, True
+                # a window with words outside of paragraphs has no line, and only one that goes on into another has a last line
+                inside = kept[a] & kept[b] & ((a == b) | (text.first[a + 1] == text.first[b]))
+                start = text.raw_starts[word]
+                number = np.searchsorted(found.breaks, start, side="right") - np.searchsorted(found.breaks, offsets[owner], side="right")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(low + owner)),
+                        pa.array((start - offsets[owner]).astype(np.int32)),
+                        pa.array(number.astype(np.int64) << 32 | (text.raw_ends[word + least - 1] - start)),
+                        pa.array(hashes.view(np.int64)),
+                        pa.array(whole[a].view(np.int64), mask=~inside),
+                        pa.array(whole[b].view(np.int64), mask=~inside | (a == b)),
+                    ],
+                    names,
+                )
+
+    windows = materialize(mapped(source, read, "doc_id long, start int, packed long, hash long, line long, last_line long"), "windows")
+    shared = windows.groupBy(F.col("hash").alias("of_hash")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("of_hash")
+    shared = materialize(shared, "shared")
+    repeated = materialize(windows.join(shared, windows["hash"] == shared["of_hash"]).drop("of_hash"), "passages")
+    # without a line a window stands for itself, which is the hash of no paragraph: nulls would all go to one task
+    line = F.coalesce("line", "hash")
+    number, size = F.shiftright("packed", 32).cast("int"), F.col("packed").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    repeated = repeated.select("doc_id", number.alias("paragraph"), "start", (F.col("start") + size).alias("end"), "hash", line.alias("line"), F.coalesce("last_line", line).alias("last_line"))
+
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "paragraph", "start"))
+    seen = materialize(repeated.groupBy("hash", "line", "last_line").agg(F.count("*").alias("n"), first.alias("first")), "seen")
+    for column in ("line", "last_line"):
+        named = lines.select(F.col("of_whole").alias("of_" + column), F.col("root").alias("root_" + column))
+        seen = seen.join(named, seen[column] == named["of_" + column], "left")
+    roots = F.struct("root_line", "root_last_line")
+    free = F.max(F.col("root_line").isNull() | F.col("root_last_line").isNull())
+    clusters = seen.groupBy(F.col("hash").alias("cluster")).agg(F.sum("n").alias("copies"), F.min("first").alias("keep"), free.alias("free"), F.min(roots).alias("low"), F.max(roots).alias("high"))
+    clusters = materialize(clusters.where("free or low <> high").select("cluster", "copies", "keep"), "passage_clusters")
+    return repeated.join(clusters, repeated["hash"] == clusters["cluster"]).withColumn("words", F.lit(least))
+
+
 def repeated_paragraphs(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, least: int = MIN_WORDS) -> DataFrame:
-    """Every paragraph that another document also has, or nearly so.
+    """Every paragraph that another document also has, or nearly so, and every passage whatever its line breaks.
 
     Returns doc_id, paragraph (lines before it), start and end (bytes of the
     UTF-8 text), words, cluster, copies (paragraphs in the cluster), keep_id
@@ -88,6 +203,14 @@ def repeated_paragraphs(docs: DataFrame, words: int = WORDS, similarity: float =
     about links, and clusters are the components of links.  Of a cluster the
     first paragraph by doc_id and place stays.
 
+    A passage that is broken into lines otherwise, or lies within longer lines,
+    is found by windows of ``least`` words over each document's words: any run
+    of ``least + APART - 1`` equal words has one in common at least, so such
+    runs are all found, and shorter ones often.  A window is a row of its own,
+    in a cluster with its equals, and windows may overlap; paragraph is then
+    the line in which it begins.  Clusters of windows that lie in paragraphs of
+    one cluster of paragraphs say nothing new and are left out.
+
     Clusters within one document are left out, so that a document which only
     repeats itself has no row.  Null and empty texts have no paragraphs; rows
     that share a doc_id count as one document, a null id comes last and counts
@@ -162,9 +285,10 @@ def repeated_paragraphs(docs: DataFrame, words: int = WORDS, similarity: float =
     named = rooted.select("whole", "root").join(clusters, "root").select(F.col("whole").alias("of_whole"), "root", "copies", "keep")
     named = materialize(named, "clusters")
     kept = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("paragraph") == F.col("keep.paragraph")) & (F.col("start") == F.col("keep.start"))
-    return found.join(named, found["whole"] == named["of_whole"]).select(
-        "doc_id", "paragraph", "start", "end", "words", F.col("root").alias("cluster"), "copies", F.col("keep.doc_id").alias("keep_id"), kept.alias("kept")
-    )
+    whole_lines = found.join(named, found["whole"] == named["of_whole"]).withColumn("cluster", F.col("root"))
+    passages = _repeated_passages(source, named.select("of_whole", "root"), least)
+    columns = ["doc_id", "paragraph", "start", "end", "words", "cluster", "copies", F.col("keep.doc_id").alias("keep_id"), kept.alias("kept")]
+    return whole_lines.select(*columns).unionByName(passages.select(*columns))
 
 
 def op7_repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

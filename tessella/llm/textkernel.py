@@ -86,8 +86,9 @@ def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
 class Words:
     """The words of some texts over one buffer in which single spaces stand between them.
 
-    ``starts``, ``ends``: places of each word in ``buffer``; ``first``: for each
-    text the index of its first word, with the end of the last one behind.
+    ``starts``, ``ends``: places of each word in ``buffer``; ``raw_starts``,
+    ``raw_ends``: in ``raw``; ``first``: for each text the index of its first
+    word, with the end of the last one behind.
     """
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool = True):
@@ -113,6 +114,7 @@ class Words:
         tails = offsets[1:][offsets[1:] > 0] - 1
         last[tails] = solid[tails]
         ends = np.flatnonzero(last)
+        self.raw_starts, self.raw_ends = starts, ends + 1
         self.starts = places[starts].astype(np.int64)
         self.ends = places[ends].astype(np.int64) + 1
         self.buffer = np.concatenate([body, np.zeros(8, np.uint8)])

@@ -80,6 +80,38 @@ def test_repeated_paragraphs(spark):
     assert paragraphs.repeated_paragraphs(spark.createDataFrame([], DOC_SCHEMA)).count() == 0
 
 
+def test_passages_whatever_their_line_breaks(spark):
+    rng = random.Random(3)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    passage, inner = some(90), some(paragraphs.MIN_WORDS + paragraphs.APART - 1)
+    wrapped = lambda words, n: "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+    data = [
+        (1, wrapped(passage, 9), "en", "s", 0),
+        (2, "\n" + wrapped(some(5) + passage, 14).upper(), "en", "s", 0),
+        (3, " ".join(some(200) + passage + some(200)), "en", "s", 0),
+        (4, " ".join(some(300) + inner + some(100)), "en", "s", 0),
+        (5, " ".join(some(40) + inner + some(150)), "en", "s", 0),
+        (6, wrapped(some(300), 10), "en", "s", 0),
+        (7, "\n".join([wrapped(some(60), 10)] * 2), "en", "s", 0),
+        (None, wrapped(some(50) + inner, 12), "en", "s", 0),
+    ]
+    got = paragraphs.repeated_paragraphs(frame(spark, data)).collect()
+    assert {r.doc_id for r in got} == {1, 2, 3, 4, 5, None}
+    text = {d[0]: d[1].encode() for d in data}
+    clusters = defaultdict(list)
+    for r in got:
+        assert r.words == paragraphs.MIN_WORDS and r.paragraph == text[r.doc_id][: r.start].count(b"\n")
+        clusters[r.cluster].append((r, text[r.doc_id][r.start : r.end].decode().lower().split()))
+    for members in clusters.values():
+        assert all(words == members[0][1] and len(words) == paragraphs.MIN_WORDS for _, words in members)
+        assert all(r.copies == len(members) for r, _ in members) and sum(r.kept for r, _ in members) == 1
+        assert {r.keep_id for r, _ in members} == {min(r.doc_id for r, _ in members if r.doc_id is not None)}
+    # the windows of the longer passage leave less than APART words at either end
+    for doc in (1, 2, 3):
+        spans = [text[doc][r.start : r.end].decode().lower().split() for r in got if r.doc_id == doc]
+        assert min(passage.index(s[0]) for s in spans) < paragraphs.APART and max(passage.index(s[-1]) for s in spans) >= 90 - paragraphs.APART
+
+
 @pytest.mark.parametrize("part", [1000, 5])
 def test_links_within(spark, part):
     rng = np.random.default_rng(2)
