@@ -97,32 +97,98 @@ def kmeans(points: DataFrame, k: int, restarts: int = RESTARTS, rounds: int = LO
     return best, error
 
 
-def hierarchical(points: DataFrame, depth: int, seed: int = 0) -> np.ndarray:
-    """Planes (w, b) of a binary tree: each node's points are parted by 2-means; an empty right branch never takes any."""
-    rows = points.orderBy(F.xxhash64("id", F.lit(seed))).limit(20_000).select("vector").collect()
-    x = np.array([r.vector for r in rows], np.float64)
-    planes = np.zeros((2**depth - 1, x.shape[1] + 1 if x.size else 1))
-
-    def grow(node: int, x: np.ndarray, level: int) -> None:
-        if level == depth:
-            return
-        if len(x) < 2 or (x == x[0]).all():
-            planes[node, -1] = -10000.0
-            grow(2 * node + 1, x, level + 1)
-            grow(2 * node + 2, x[:0], level + 1)
-            return
-        a, b = x[0], x[((x - x[0]) ** 2).sum(1).argmax()]
+def _leaf_of(x: np.ndarray, planes: np.ndarray, depth: int) -> np.ndarray:
+    """The node of level ``depth`` in which each row lies, counted within the level."""
+    node = np.zeros(len(x), np.int64)
+    for _ in range(depth):
+        side = (x * planes[node, :-1]).sum(1) + planes[node, -1] > 0
+        node = 2 * node + 1 + side
+    return node - (2**depth - 1)
+
+
+def _farthest(points: DataFrame, kernel, centres: np.ndarray) -> np.ndarray:
+    """For each node the point farthest from its row of ``centres``, ties to the lower id; NaN without points.
+
+    ``kernel`` gives the node of each point.  Each task sends one point a node.
+    """
+    n, d = centres.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple] = {}
+        for batch in batches:
+            for low in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(low, BLOCK)
+                x, ids = np.array(part.column(1).to_pylist(), np.float64).reshape(part.num_rows, -1), part.column(0).to_numpy(zero_copy_only=False)
+                node = kernel(x)
+                gap = ((x - centres[node]) ** 2).sum(1)
+                order = np.lexsort((ids, -gap, node))
+                for i in order[np.unique(node[order], return_index=True)[1]].tolist():
+                    now = (-gap[i], int(ids[i]), x[i])
+                    if int(node[i]) not in best or now[:2] < best[int(node[i])][:2]:
+                        best[int(node[i])] = now
+        if best:
+            rows = sorted(best.items())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in rows], pa.int32()), pa.array([v[0] for _, v in rows], pa.float64()), pa.array([v[1] for _, v in rows], pa.int64()), pa.array([v[2].tolist() for _, v in rows], pa.list_(pa.float64()))],
+                ["node", "minus", "id", "vector"],
+            )
+
+    ship(points.sparkSession)
+    rows = points.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "node int, minus double, id long, vector array<double>")
+    out = np.full((n, d), np.nan)
+    for r in rows.groupBy("node").agg(F.min(F.struct("minus", "id", "vector")).alias("first")).collect():
+        out[r.node] = r.first.vector
+    return out
+
+
+def hierarchical(points: DataFrame, depth: int) -> np.ndarray:
+    """Planes (w, b) of a binary tree: each node's points are parted by 2-means; an empty right branch never takes any.
+
+    ``points``: id, vector.  A level's nodes are fitted together, over all
+    points: a round reads them once and each task sends two sums a node.  The
+    first centre of a node is its point farthest from its mean, the second the
+    point farthest from the first, ties to the lower id.
+    """
+    d = len(points.select("vector").first().vector) if not points.isEmpty() else 0
+    planes = np.zeros((2**depth - 1, d + 1))
+    if not d:
+        return planes
+    for level in range(depth):
+        n, known = 2**level, planes.copy()
+
+        def node_of(x: np.ndarray, known=known, level=level) -> np.ndarray:
+            return _leaf_of(x, known, level)
+
+        def parted(two: np.ndarray, n=n, node_of=node_of) -> np.ndarray:
+            """For each node and side the sum of its points and their number; a point goes right if it is nearer to the second centre."""
+
+            def kernel(x: np.ndarray) -> np.ndarray:
+                node = node_of(x)
+                right = ((x - two[node, 1]) ** 2).sum(1) < ((x - two[node, 0]) ** 2).sum(1)
+                out = np.zeros((n, 2, d + 1))
+                np.add.at(out, (node, right.astype(np.int64)), np.column_stack([x, np.ones(len(x))]))
+                return out
+
+            return _partial_sums(points, kernel, n * 2 * (d + 1)).reshape(n, 2, d + 1)
+
+        total = parted(np.zeros((n, 2, d)))[:, 0]
+        first = _farthest(points, node_of, total[:, :-1] / np.maximum(total[:, -1:], 1))
+        second = _farthest(points, node_of, np.nan_to_num(first))
+        two = np.nan_to_num(np.stack([first, second], axis=1))
+        moving = np.isfinite(first).all(1) & (first != second).any(1)
+        split = moving.copy()
         for _ in range(LONG):
-            right = ((x - b) ** 2).sum(1) < ((x - a) ** 2).sum(1)
-            if not right.any() or right.all():
+            sums = parted(two)
+            # a node rests when a side is empty or its centres stay
+            moving &= (sums[:, :, -1] > 0).all(1)
+            moved = np.where(moving[:, None, None], sums[:, :, :-1] / np.maximum(sums[:, :, -1:], 1), two)
+            moving &= (moved != two).any((1, 2))
+            two = moved
+            if not moving.any():
                 break
-            a, b = x[~right].mean(0), x[right].mean(0)
-        planes[node, :-1], planes[node, -1] = 2 * (b - a), (a**2).sum() - (b**2).sum()
-        right = x @ planes[node, :-1] + planes[node, -1] > 0
-        grow(2 * node + 1, x[~right], level + 1)
-        grow(2 * node + 2, x[right], level + 1)
-
-    grow(0, x, 0)
+        at = np.arange(n) + n - 1
+        planes[at, :-1] = np.where(split[:, None], 2 * (two[:, 1] - two[:, 0]), 0)
+        planes[at, -1] = np.where(split, (two[:, 0] ** 2).sum(1) - (two[:, 1] ** 2).sum(1), -10000.0)
     return planes
 
 

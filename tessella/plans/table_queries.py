@@ -447,6 +447,11 @@ def m6(spark, d):
     return ml.tree_assign(points(spark, d), planes, 3)
 
 
+def m6_fit(spark, d):
+    """(id, leaf) by planes that are learnt from all points."""
+    return ml.tree_assign(points(spark, d), ml.hierarchical(points(spark, d), 3), 3)
+
+
 def m7(spark, d):
     new_mu, new_var, weight, _ = ml.mixture_step(points(spark, d), np.array(MEANS), np.full((3, 64), VARIANCE), np.full(3, 1 / 3))
     rows = [(k, j, float(round(new_mu[k, j], 6)), float(round(new_var[k, j], 6)), float(round(weight[k], 6))) for k in range(3) for j in range(64)]
@@ -635,6 +640,7 @@ QUERIES = {
     "m2_kmeans_step": (m2, PRED + "SELECT pred AS cluster, j, round(avg(x), 6) + 0 AS value FROM predictions JOIN flat USING (id) GROUP BY 1, 2"),
     "m6_tree_assign": (m6, """WITH a AS (SELECT vec_id AS id, embedding, 1 + (embedding[1] > 0)::INT AS n FROM embeddings),
         b AS (SELECT *, 2 * n + 1 + (embedding[n + 1]::DOUBLE + 0.01::DOUBLE * n > 0)::INT AS m FROM a) SELECT id, (2 * m + 1 + (embedding[m + 1]::DOUBLE + 0.01::DOUBLE * m > 0)::INT - 7)::INT AS leaf FROM b"""),
+    "m6_tree_fit": (m6_fit, None),
     "m7_em_step": (m7, f"""WITH f AS (SELECT vec_id AS id, j, embedding[j + 1]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(64))::INT AS j)),
         c AS (SELECT k::INT AS component, j::INT AS j, 0.02::DOUBLE * (k + 1) * (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) AS mu FROM (SELECT unnest(range(3)) AS k), (SELECT unnest(range(64)) AS j)),
         z AS (SELECT id, component, -0.5::DOUBLE * sum((x - mu) ** 2 / 0.5::DOUBLE) AS z FROM f JOIN c USING (j) GROUP BY 1, 2),

@@ -124,6 +124,21 @@ def test_hierarchy(spark):
     assert leaves <= {0, 1, 2, 3} and len(leaves) >= 3
 
 
+def test_hierarchy_takes_all_points(spark):
+    # 30,000 points by formula at 0, 1 and few at 1000, any one of which a sample may lack
+    spot = F.when(F.col("id") == 29_999, 1000.0).otherwise((F.col("id") % 2).cast("double"))
+    df = spark.range(30_000).repartition(5).select("id", F.array(spot, F.lit(0.0)).alias("vector"))
+    planes = ml.hierarchical(df, 2)
+    counts = {r.leaf: r["count"] for r in ml.tree_assign(df, planes, 2).groupBy("leaf").count().collect()}
+    assert sorted(counts.values()) == [1, 14_999, 15_000]
+    assert (planes == ml.hierarchical(df.repartition(3), 2)).all()
+    # centres are the means of all points of either side
+    x = np.arange(30_000) % 2 * 1.0
+    mean = x[:-1].mean()
+    assert np.isclose(abs(planes[0, 0]), 2 * (1000 - mean)) and np.isclose(abs(planes[0, -1]), 1000**2 - mean**2)
+    assert ml.hierarchical(df.limit(0), 2).shape == (3, 1)
+
+
 def test_nearest_with_ties(spark):
     points = spark.createDataFrame([(i, [float(i % 4)], i % 2) for i in range(20)], "id long, vector array<double>, class int")
     got = joins.nearest(points.where("id < 4"), points.repartition(5), 3).collect()
