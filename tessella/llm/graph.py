@@ -1,30 +1,83 @@
-"""Connected components over a table of links, by contraction."""
+"""Connected components over a table of links, by contraction and pointer jumping."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import materialize
+from tessella.session import ship
+
+#: Links that a task contracts by itself at a time.
+HELD = 1 << 20
+
+
+def least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of some links, all of which fit in memory: the smallest node that each one reaches."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = place[: len(a)], place[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        if (low == high).all():
+            return nodes, nodes[root]
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that connect the same nodes as those of the task, each to the smallest one that they reach there."""
+
+    def solve(parts):
+        node, root = least_reached(*(np.concatenate(c) for c in zip(*parts)))
+        far = node != root
+        return pa.RecordBatch.from_arrays([pa.array(root[far]), pa.array(node[far])], ["src", "dst"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)])
+        n += batch.num_rows
+        if n >= HELD:
+            yield solve(held)
+            held, n = [], 0
+    if held:
+        yield solve(held)
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, root) for every node of ``edges`` (src, dst: long); root is the smallest node reachable.
 
-    In each round every node takes its smallest neighbour, if smaller, as
-    parent; links and the map so far then move one step up, and links within a
-    node vanish.  The minima are sums with map-side combining, and each lookup
-    joins two written tables, so that a hub's rows can be split.  Self-links
-    and nulls are left out; an empty table gives an empty one.
+    Each task first puts stars in place of its own links.  Then, in each round,
+    every node takes its smallest neighbour, if smaller, as parent; parents
+    jump to their parents' parents until each points to the top of its tree,
+    which takes the logarithm of the longest chain; links and the map so far
+    move to the tops, and links within a node vanish.  A chain of any length
+    thus costs one round.  The minima are sums with map-side combining, and
+    each lookup joins two written tables, so that a hub's rows can be split.
+    Self-links and nulls are left out; an empty table gives an empty one.
     """
-    links = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
-    links = materialize(links.where("src <> dst").distinct(), name)
+    ship(edges.sparkSession)
+    links = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src <> dst")
+    links = materialize(links.mapInArrow(_stars, "src long, dst long").distinct(), name)
     nodes = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
     found = materialize(nodes.select("node", F.col("node").alias("root")), name)
     while not links.isEmpty():
         both = links.union(links.select("dst", "src"))
         parents = both.groupBy("src").agg(F.min("dst").alias("up")).where("up < src").select(F.col("src").alias("child"), "up")
         parents = materialize(parents, name)
+        while True:
+            higher = parents.select(F.col("child").alias("of"), F.col("up").alias("higher"))
+            jumped = parents.join(higher, parents["up"] == higher["of"], "left").select("child", F.coalesce("higher", "up").alias("up"), F.col("higher").isNotNull().alias("moved"))
+            parents = materialize(jumped, name)
+            if parents.where("moved").isEmpty():
+                break
+            parents = parents.drop("moved")
+        parents = parents.drop("moved")
         step = lambda df, column: (
             df.join(parents, df[column] == parents["child"], "left")
             .withColumn(column, F.coalesce("up", column))
@@ -32,7 +85,5 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         )
         found = materialize(step(found, "root"), name)
         moved = step(step(links, "src"), "dst").where("src <> dst")
-        links = materialize(
-            moved.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), name
-        )
+        links = materialize(moved.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), name)
     return found
