@@ -19,6 +19,8 @@ from tessella.session import ship
 MAX_CELLS = 1 << 26
 PROBES = 3
 SEGMENTS = 16
+#: Cells a row that a range of keys has at least: so 3 % of unique rows at most look repeated.
+CELLS_A_ROW = 8
 
 
 def normalised(text: Column) -> Column:
@@ -96,14 +98,51 @@ def filter_bits(keys: DataFrame, cells: int, repeated: bool = True) -> np.ndarra
     return bits
 
 
+def ranges_of(rows: int, max_cells: int = MAX_CELLS) -> list[tuple[int, int]]:
+    """Ranges of 64-bit keys, each of which has ``CELLS_A_ROW`` cells a row in a filter of its own; one, if that has them all."""
+    number = 1 if rows * CELLS_A_ROW <= max_cells else -(-rows * CELLS_A_ROW // max_cells)
+    edges = [-(1 << 63) + (1 << 64) * k // number for k in range(number + 1)]
+    return [(low, high - 1) for low, high in zip(edges, edges[1:])]
+
+
+def tested(rows: DataFrame, key: str, max_cells: int = MAX_CELLS, only_maybe: bool = False) -> DataFrame:
+    """``rows`` with a column tessella_maybe: false only where no other row has the same number in column ``key``.
+
+    ``rows`` is a written table.  Its filter has 8 cells a row at least: more
+    rows than one filter of ``max_cells`` can tell apart are taken in ranges
+    of keys, one after another, each with a filter of its own.  The table is
+    then sorted by key within its files, so that a range reads little else, and
+    nothing is shuffled.  So some 3 % of unique rows at most are taken for
+    repeated ones, whatever the input.
+    """
+    number = rows.count()
+    ranges = ranges_of(number, max_cells)
+    cells = filter_cells(-(-number // len(ranges)), max_cells)
+    if len(ranges) > 1:
+        rows = materialize(rows.sortWithinPartitions(key), "sorted")
+    parts = []
+    for low, high in ranges:
+        part = rows if len(ranges) == 1 else rows.where(F.col(key).between(low, high))
+        bits = filter_bits(part.select(F.col(key).alias("key")), cells)
+        part = marked_rows(part, key, bits, cells)
+        parts.append(materialize(part.where("tessella_maybe") if only_maybe else part, "tested"))
+    if len(parts) == 1:
+        return parts[0]
+    return rows.sparkSession.read.schema(parts[0].schema).parquet(*[f for p in parts for f in p.inputFiles()])
+
+
+def maybe_repeated(rows: DataFrame, key: str, max_cells: int = MAX_CELLS) -> DataFrame:
+    """Those of ``rows``, a written table, whose number in column ``key`` another row may have: all that have one, and few others."""
+    return tested(rows, key, max_cells, only_maybe=True).drop("tessella_maybe")
+
+
 def exact_dedup(docs: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of ``docs``.
 
     First pass: a Bloom filter with saturating counts marks the cells that two
     rows have hit.  Second pass: only rows all of whose cells are marked are
     grouped by their hash; the others have no equal and pass straight through.
-    The filter has some 24 cells a row, up to ``max_cells``; beyond that its
-    size stays, more unique rows are grouped, and results are the same.
+    Beyond ``max_cells`` the hashes are filtered range by range (see ``tested``).
 
     A null text counts as empty, of any number of empty texts one stays.  Equal
     rows that also share the doc_id are one group of which one row stays.  Null
@@ -111,12 +150,12 @@ def exact_dedup(docs: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
     columns of ``docs`` are not read.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _hash(docs["text"]).alias("hash"), F.monotonically_increasing_id().alias("row_no"))
-    tested, groups, _, _ = _repeats(rows, max_cells)
-    again = tested.where("maybe")
+    marked, groups = _repeats(rows, max_cells)
+    again = marked.where("maybe")
     joined = again.join(groups, again["hash"] == groups["group_hash"])
     text_sha256 = F.lower(F.hex("hash")).alias("text_sha256")
     repeated = joined.select("doc_id", "keep_id", "group_size", (F.col("row_no") == F.col("keep_row")).alias("kept"), text_sha256)
-    alone = tested.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), text_sha256)
+    alone = marked.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), text_sha256)
     return alone.unionByName(repeated)
 
 
@@ -124,60 +163,82 @@ def _hash(text: Column) -> Column:
     return F.unhex(F.sha2(normalised(text).cast("binary"), 256))
 
 
-def marked_rows(rows: DataFrame, key: str, bits: np.ndarray, cells: int) -> DataFrame:
-    """``rows`` with a column tessella_maybe: whether the filter holds all cells of the number in column ``key``."""
+def marked_rows(rows: DataFrame, key: str, bits: np.ndarray, cells: int, name: str = "tessella_maybe") -> DataFrame:
+    """``rows`` with a column ``name``: whether the filter holds all cells of the number in column ``key``."""
     held = rows.sparkSession.sparkContext.broadcast(bits)
-    schema = T.StructType([*rows.schema.fields, T.StructField("tessella_maybe", T.BooleanType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.BooleanType())])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = passes(held.value, cells, _keys(batch.column(batch.schema.get_field_index(key))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], [*batch.schema.names, "tessella_maybe"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], [*batch.schema.names, name])
 
     return mapped(rows, test, schema)
 
 
-def _repeats(rows: DataFrame, max_cells: int) -> tuple[DataFrame, DataFrame, np.ndarray, int]:
-    """Both passes over (doc_id, hash, row_no): the rows with a column maybe, the groups of those, and the filter."""
-    rows = materialize(rows, "sha").withColumn("key", F.xxhash64("hash"))
-    cells = filter_cells(rows.count(), max_cells)
-    bits = filter_bits(rows.select("key"), cells)
-    tested = materialize(marked_rows(rows, "key", bits, cells).drop("key").withColumnRenamed("tessella_maybe", "maybe"), "tested")
+def _repeats(rows: DataFrame, max_cells: int) -> tuple[DataFrame, DataFrame]:
+    """Both passes over (doc_id, hash, row_no and more): the rows with a column maybe, and the groups of those."""
+    rows = materialize(rows.withColumn("key", F.xxhash64("hash")), "sha")
+    marked = tested(rows, "key", max_cells).drop("key").withColumnRenamed("tessella_maybe", "maybe")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("row_no").alias("row_no"))).alias("first")
-    groups = tested.where("maybe").groupBy(F.col("hash").alias("group_hash")).agg(first, F.count("*").alias("group_size"))
+    groups = marked.where("maybe").groupBy(F.col("hash").alias("group_hash")).agg(first, F.count("*").alias("group_size"))
     groups = groups.select("group_hash", F.col("first.doc_id").alias("keep_id"), F.col("first.row_no").alias("keep_row"), "group_size")
-    return tested, materialize(groups, "groups"), bits, cells
+    return marked, materialize(groups, "groups")
+
+
+def row_mark(text: Column) -> Column:
+    """What tells rows that share a doc_id apart: a hash of the text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def drop_copies(docs: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
     """``docs`` without the rows that ``exact_dedup`` drops; all columns stay.
 
-    Whole rows move only where their hash may repeat; all others pass straight
-    through.  Of rows that share both doc_id and text one stays.
+    Only ids and hashes are grouped; which rows go is told by ``without_rows``.
+    Null texts count as empty, null ids come after all others, and of rows that
+    share both doc_id and text one stays.  An empty table gives an empty one.
     """
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _hash(docs["text"]).alias("hash"), F.monotonically_increasing_id().alias("row_no"))
-    _, groups, bits, cells = _repeats(rows, max_cells)
-    hashed = docs.withColumn("tessella_hash", _hash(docs["text"])).withColumn("tessella_key", F.xxhash64("tessella_hash"))
-    marked = marked_rows(hashed, "tessella_key", bits, cells)
-    alone = marked.where("not tessella_maybe").select(*docs.columns)
-    again = marked.where("tessella_maybe")
-    same = (again["tessella_hash"] == groups["group_hash"]) & again["doc_id"].cast("long").eqNullSafe(groups["keep_id"])
-    kept = again.join(groups, same, "left_semi").dropDuplicates(["doc_id", "tessella_hash"]).select(*docs.columns)
-    return alone.unionByName(kept)
-
-
-def without_ids(docs: DataFrame, dropped: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
-    """``docs`` but for the rows whose doc_id is in ``dropped`` (dropped_id: long).
-
-    A Bloom filter of the dropped ids, of bounded size, lets all other rows
-    pass straight through; only what it holds is joined.  Null ids stay.
+    mark = row_mark(docs["text"]).alias("mark")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _hash(docs["text"]).alias("hash"), mark, F.monotonically_increasing_id().alias("row_no"))
+    marked, groups = _repeats(rows, max_cells)
+    again = marked.where("maybe")
+    late = again.join(groups.where("group_size > 1"), again["hash"] == groups["group_hash"])
+    # a row that equals the one that stays in text and id cannot be told from it, so that one of them stays
+    stays = F.max((F.col("row_no") == F.col("keep_row")).cast("int"))
+    classes = late.groupBy("hash", "doc_id", "mark").agg(stays.alias("stays"), F.count("*").alias("n"))
+    going = classes.where("stays = 0 or n > 1").select("doc_id", "mark", (F.col("stays") == 1).alias("one_stays"))
+    return without_rows(docs, materialize(going, "going"), marked.select("doc_id", "mark"))
+
+
+def without_rows(docs: DataFrame, going: DataFrame, known: DataFrame, max_cells: int = 4 * MAX_CELLS) -> DataFrame:
+    """``docs`` but for the rows of ``going`` (doc_id, mark, one_stays; a written table); all columns stay.
+
+    Rows are told by doc_id, null or not, and by ``row_mark`` of their text;
+    where one_stays holds, one of the rows alike stays.  A Bloom filter of what
+    goes lets other rows pass.  Which rows of ``known`` (doc_id and mark of all
+    rows) it holds though they stay, is found out by ids alone, and a second
+    filter holds those: a row in the first one only goes without having been
+    moved.  Just the few in both, and those of which one stays, are joined.
+    The filters have some 24 cells a row, up to ``max_cells`` (32 MB of bits);
+    far beyond that more rows are joined, with the same result.
     """
-    cells = filter_cells(dropped.count(), max_cells)
-    bits = filter_bits(dropped.select(F.xxhash64("dropped_id").alias("key")), cells, repeated=False)
-    marked = marked_rows(docs.withColumn("tessella_key", F.xxhash64(docs["doc_id"].cast("long"))), "tessella_key", bits, cells)
-    free = marked.where("not tessella_maybe").select(*docs.columns)
-    maybe = marked.where("tessella_maybe")
-    return free.unionByName(maybe.join(dropped, maybe["doc_id"] == dropped["dropped_id"], "left_anti").select(*docs.columns))
+    key = F.xxhash64("doc_id", "mark")
+    same = lambda a, b: a["doc_id"].cast("long").eqNullSafe(b["gone_id"]) & (a["tessella_mark"] == b["gone_mark"])
+    gone = going.select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"), "one_stays")
+    cells = filter_cells(going.count(), max_cells)
+    first = filter_bits(going.select(key.alias("key")), cells, repeated=False)
+    hit = marked_rows(known.select("doc_id", F.col("mark").alias("tessella_mark"), key.alias("key")), "key", first, cells).where("tessella_maybe")
+    wrong = materialize(hit.join(gone.where("not one_stays"), same(hit, gone), "left_anti").select("key"), "held_wrongly")
+    more = filter_cells(wrong.count(), max_cells)
+    second = filter_bits(wrong, more, repeated=False)
+    wide = docs.withColumn("tessella_mark", row_mark(docs["text"])).withColumn("tessella_key", F.xxhash64(docs["doc_id"].cast("long"), F.col("tessella_mark")))
+    wide = marked_rows(marked_rows(wide, "tessella_key", first, cells), "tessella_key", second, more, "tessella_moves")
+    free = wide.where("not tessella_maybe").select(*docs.columns)
+    moved = wide.where("tessella_maybe and tessella_moves")
+    moved = moved.join(gone, same(moved, gone), "left").where("one_stays is null or one_stays")
+    passing = moved.where("one_stays is null").select(*docs.columns)
+    single = moved.where("one_stays").dropDuplicates(["gone_id", "gone_mark"]).select(*docs.columns)
+    return free.unionByName(passing).unionByName(single)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

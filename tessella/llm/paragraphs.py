@@ -1,4 +1,4 @@
-"""Paragraphs that repeat across documents, by MinHash banding and exact Jaccard, and passages whatever their line breaks."""
+"""Passages that repeat across documents: paragraphs by MinHash banding and exact Jaccard, and equal runs of words wherever they stand."""
 
 from __future__ import annotations
 
@@ -10,65 +10,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import documents, materialize
-from tessella.llm.exact_dedup import MAX_CELLS, filter_bits, filter_cells, passes
+from tessella.llm.exact_dedup import MAX_CELLS, filter_bits, filter_cells, maybe_repeated, passes
 from tessella.llm.graph import components
-from tessella.llm.jaccard import links_within
+from tessella.llm.jaccard import band_hashes, bucket_links, buckets, groups_of, keyed_runs, links_within, list_array, tuned_bands
 from tessella.llm.textkernel import Words, mapped, mix, text_slices, xxh64
 
 WORDS = 5
 SIMILARITY = 0.8
+#: Words of the shortest paragraph and of the shortest passage that are looked at.
 MIN_WORDS = 25
-RECALL = 0.995
-MOST_BANDS = 16
 #: Of so many consecutive windows of a document one at least is looked at.
 APART = 13
 
 
-def tuned_bands(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MOST_BANDS) -> tuple[int, int]:
-    """(bands, rows) with the fewest permutations that find ``recall`` of pairs at ``similarity`` and at most half of those at half of it."""
-    found = lambda s, bands, rows: 1 - (1 - s**rows) ** bands
-    good = [(b * r, b, r) for r in range(1, 9) for b in range(1, most + 1) if found(similarity, b, r) >= recall and found(similarity / 2, b, r) <= 0.5]
-    return min(good)[1:] if good else (most, 1)
-
-
 class Lines:
-    """The paragraphs (lines with ``least`` words or more) of a run of texts, and their shingles' hashes, unless ``words`` is 0."""
-
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, words: int, least: int):
-        breaks = np.flatnonzero(raw == 0x0A) + 1
-        bounds = np.unique(np.concatenate([offsets, breaks, [len(raw)]]))
-        owner = np.searchsorted(offsets, bounds[:-1], side="right") - 1
-        number = np.arange(len(owner)) - np.searchsorted(bounds[:-1], offsets[owner])
-        text = Words(raw, bounds)
+    """The paragraphs (lines with ``least`` words or more) of a run of texts."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, least: int):
+        self.breaks = np.flatnonzero(raw == 0x0A) + 1
+        self.offsets, self.bounds = offsets, np.unique(np.concatenate([offsets, self.breaks, [len(raw)]]))
+        owner = np.searchsorted(offsets, self.bounds[:-1], side="right") - 1
+        number = np.arange(len(owner)) - np.searchsorted(self.bounds[:-1], offsets[owner])
+        text = self.text = Words(raw, self.bounds)
         counts = np.diff(text.first)
-        self.kept = np.flatnonzero(counts >= least)
-        self.owner, self.number = owner[self.kept], number[self.kept]
-        self.start, self.end = (bounds[:-1] - offsets[owner])[self.kept], (bounds[1:] - offsets[owner])[self.kept]
-        self.words = counts[self.kept]
-        first, last = text.first[:-1][self.kept], text.first[1:][self.kept] - 1
-        starts = text.starts[first]
-        self.whole = xxh64(text.buffer, starts, text.ends[last] - starts)
-        self.text, self.bounds, self.breaks = text, bounds, breaks
-        if not words:
-            return
-        starts, lengths, index = text.shingles(words)
-        # only the kept lines' shingles
-        size = np.diff(index)[self.kept]
-        self.index = np.concatenate([[0], np.cumsum(size)])
-        place = np.repeat(index[:-1][self.kept] - self.index[:-1], size) + np.arange(self.index[-1])
-        self.shingles = xxh64(text.buffer, starts[place], lengths[place])
-
-    def bands(self, bands: int, rows: int) -> np.ndarray:
-        """For each kept line a hash a band, of the minima of ``rows`` permutations."""
-        out = np.zeros((len(self.kept), bands), np.uint64)
-        if not len(self.kept):
-            return out
-        odd = np.random.default_rng(7).integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        with np.errstate(over="ignore"):
-            for k, factor in enumerate(odd):
-                least = np.minimum.reduceat(self.shingles * factor, self.index[:-1])
-                out[:, k // rows] = mix(out[:, k // rows] ^ least, k // rows + 1)
-        return out
+        kept = self.kept = np.flatnonzero(counts >= least)
+        self.owner, self.number, self.words = owner[kept], number[kept], counts[kept]
+        self.start, self.end = (self.bounds[:-1] - offsets[owner])[kept], (self.bounds[1:] - offsets[owner])[kept]
+        begin = text.starts[text.first[:-1][kept]]
+        self.whole = xxh64(text.buffer, begin, text.ends[text.first[1:][kept] - 1] - begin)
+
+    def shingles(self, which: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the shingles of some of the kept lines, end to end, and where each line's begin."""
+        number = np.maximum(self.words[which] - words + 1, 1)
+        index = np.concatenate([[0], np.cumsum(number)])
+        word = np.repeat(self.text.first[:-1][self.kept[which]] - index[:-1], number) + np.arange(index[-1])
+        last = word + np.repeat(np.minimum(self.words[which], words), number) - 1
+        return xxh64(self.text.buffer, self.text.starts[word], self.text.ends[last] - self.text.starts[word]), index
+
+    def of_documents(self) -> np.ndarray:
+        """Bounds of each document's words."""
+        return self.text.first[np.searchsorted(self.bounds, self.offsets)]
 
 
 _ODD = 0x9E3779B97F4A7C15
@@ -92,15 +73,15 @@ def _run_of(best: np.ufunc, values: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def picked_windows(text: Words, first: np.ndarray, width: int, apart: int = APART) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of some windows of ``width`` words, chosen by their own first words.
+def picked_windows(text: Words, first: np.ndarray, width: int, apart: int = APART) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, hash) of some windows of ``width`` words, chosen by their own first words; and the hashes of all words.
 
     ``first`` bounds each document's words.  Of ``apart`` consecutive windows
     of a document those are picked that begin with the shingle of the least
     hash.  A run of ``width + apart - 1`` words that two documents share thus
     has a window that is picked in both, wherever it begins and its lines break.
     """
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     number = np.maximum(np.diff(first) - width + 1, 0)
     total = int(number.sum())
     if not total:
@@ -123,7 +104,46 @@ def picked_windows(text: Words, first: np.ndarray, width: int, apart: int = APAR
     fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
     since = (word - word[fresh][np.cumsum(fresh) - 1]) // apart
     fresh[1:] |= since[1:] != since[:-1]
-    return word[fresh], hashes[fresh]
+    return word[fresh], hashes[fresh], words
+
+
+def contexts(text: Words, words: np.ndarray, first: np.ndarray, word: np.ndarray, width: int, apart: int = APART) -> np.ndarray:
+    """The ``apart`` - 1 words before and behind each window, as bytes: 16 bits of each word's hash, outwards, then its bytes with the space.
+
+    The hash is 0, which ends what is equal, beyond the document and where a
+    word and its space have over 255 bytes.
+    """
+    owner = np.searchsorted(first, word, side="right") - 1
+    reach = np.arange(1, apart)
+    sides = []
+    for place, edge in ((word[:, None] - reach, text.raw_starts), (word[:, None] + (width - 1) + reach, text.raw_ends)):
+        inside = (place >= first[owner][:, None]) & (place < first[owner + 1][:, None])
+        place = np.clip(place, 0, len(words) - 1)
+        inner = place + 1 if edge is text.raw_starts else place - 1
+        size = np.abs(edge[np.clip(inner, 0, len(words) - 1)] - edge[place])
+        inside &= size < 256
+        sides.append((np.where(inside, words[place].astype(np.uint16) | np.uint16(1), np.uint16(0)), np.where(inside, size, 0).astype(np.uint8)))
+    return np.hstack([sides[0][0].view(np.uint8), sides[1][0].view(np.uint8), sides[0][1], sides[1][1]])
+
+
+def extents(mine: np.ndarray, other: np.ndarray, apart: int = APART) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(words, bytes) that rows of ``contexts`` have in common with others before, and behind, the window."""
+    reach, out = apart - 1, []
+    for side in range(2):
+        at = slice(2 * reach * side, 2 * reach * (side + 1))
+        a, b = (np.ascontiguousarray(x[:, at]).view(np.uint16) for x in (mine, other))
+        equal = np.logical_and.accumulate((a == b) & (a != 0), axis=1)
+        sizes = mine[:, 4 * reach + reach * side : 4 * reach + reach * (side + 1)]
+        out.append((equal.sum(axis=1).astype(np.int32), (sizes * equal).sum(axis=1).astype(np.int32)))
+    return out
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    """Binary values of one length as the rows of an array."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[off[0] : off[-1]].reshape(len(column), -1)
 
 
 def _place_key(whole: np.ndarray, doc: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -134,82 +154,132 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(-1).to_numpy(zero_copy_only=False)
 
 
-def _repeated_passages(source: DataFrame, lines: DataFrame, least: int) -> DataFrame:
-    """Windows of ``least`` words that another document also has, but for clusters that lie in paragraphs of one cluster of ``lines`` (of_whole, root)."""
-    # most rows are of windows that do not repeat, so they are kept small: null lines and numbers packed in pairs
-    names = ["doc_id", "start", "packed", "hash", "line", "last_line"]
+_PLACE = "row_no long, doc_id long, paragraph int, start int, end int, word int, hash long, line long, context binary"
+_REACH = ["words_before", "bytes_before", "words_behind", "bytes_behind"]
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, _, raw, offsets in text_slices(batch.column(1)):
-                found = Lines(raw, offsets, 0, least)
-                text = found.text
-                first = text.first[np.searchsorted(found.bounds, offsets)]
-                word, hashes = picked_windows(text, first, least)
-                if not len(word):
-                    continue
-                owner = np.searchsorted(first, word, side="right") - 1
-                a, b = (np.searchsorted(text.first, w, side="right") - 1 for w in (word, word + least - 1))
-                whole, kept = np.zeros(len(found.bounds) - 1, np.uint64), np.zeros(len(found.bounds) - 1, bool)
-                whole[found.kept], kept[found.kept] = found.whole, True
-                # a window with words outside of paragraphs has no line, and only one that goes on into another has a last line
-                inside = kept[a] & kept[b] & ((a == b) | (text.first[a + 1] == text.first[b]))
-                start = text.raw_starts[word]
-                number = np.searchsorted(found.breaks, start, side="right") - np.searchsorted(found.breaks, offsets[owner], side="right")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(low + owner)),
-                        pa.array((start - offsets[owner]).astype(np.int32)),
-                        pa.array(number.astype(np.int64) << 32 | (text.raw_ends[word + least - 1] - start)),
-                        pa.array(hashes.view(np.int64)),
-                        pa.array(whole[a].view(np.int64), mask=~inside),
-                        pa.array(whole[b].view(np.int64), mask=~inside | (a == b)),
-                    ],
-                    names,
-                )
-
-    windows = materialize(mapped(source, read, "doc_id long, start int, packed long, hash long, line long, last_line long"), "windows")
-    shared = windows.groupBy(F.col("hash").alias("of_hash")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("of_hash")
-    shared = materialize(shared, "shared")
-    repeated = materialize(windows.join(shared, windows["hash"] == shared["of_hash"]).drop("of_hash"), "passages")
-    # without a line a window stands for itself, which is the hash of no paragraph: nulls would all go to one task
-    line = F.coalesce("line", "hash")
-    number, size = F.shiftright("packed", 32).cast("int"), F.col("packed").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    repeated = repeated.select("doc_id", number.alias("paragraph"), "start", (F.col("start") + size).alias("end"), "hash", line.alias("line"), F.coalesce("last_line", line).alias("last_line"))
 
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "paragraph", "start"))
-    seen = materialize(repeated.groupBy("hash", "line", "last_line").agg(F.count("*").alias("n"), first.alias("first")), "seen")
-    for column in ("line", "last_line"):
-        named = lines.select(F.col("of_whole").alias("of_" + column), F.col("root").alias("root_" + column))
-        seen = seen.join(named, seen[column] == named["of_" + column], "left")
-    roots = F.struct("root_line", "root_last_line")
-    free = F.max(F.col("root_line").isNull() | F.col("root_last_line").isNull())
-    clusters = seen.groupBy(F.col("hash").alias("cluster")).agg(F.sum("n").alias("copies"), F.min("first").alias("keep"), free.alias("free"), F.min(roots).alias("low"), F.max(roots).alias("high"))
-    clusters = materialize(clusters.where("free or low <> high").select("cluster", "copies", "keep"), "passage_clusters")
-    return repeated.join(clusters, repeated["hash"] == clusters["cluster"]).withColumn("words", F.lit(least))
+def _shared(rows: DataFrame, name: str) -> DataFrame:
+    """(of_hash) of the windows of ``rows`` (doc_id, hash) that two documents have."""
+    found = rows.groupBy(F.col("hash").alias("of_hash")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
+    return materialize(found.select("of_hash"), name)
+
+
+def _reached(places: DataFrame) -> DataFrame:
+    """The windows of ``places`` (see ``_PLACE``) that two documents have, with the first copy, which stays, and how far they go on like it.
+
+    The first copy itself goes as far as any other does with it.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_no", "word", "context")).alias("first")
+    seen = places.groupBy(F.col("hash").alias("of_hash")).agg(first, F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
+    seen = materialize(seen.select("of_hash", *(F.col(f"first.{c}").alias(f"keep_{c}") for c in ("doc_id", "row_no", "word", "context"))), "seen")
+    rows = places.join(seen, places["hash"] == seen["of_hash"])
+    names = ["row_no", "word", "doc_id", "paragraph", "start", "end", "hash", "line", "keep_row_no", "keep_doc_id", "kept"]
+    rows = rows.withColumn("kept", (F.col("row_no") == F.col("keep_row_no")) & (F.col("word") == F.col("keep_word"))).select(*names, "context", "keep_context")
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ends = [pa.array(x) for pair in extents(_bytes(batch.column("context")), _bytes(batch.column("keep_context"))) for x in pair]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *ends], [*names, *_REACH])
+
+    schema = "row_no long, word int, doc_id long, paragraph int, start int, end int, hash long, line long, keep_row_no long, keep_doc_id long, kept boolean"
+    rows = materialize(rows.mapInArrow(reach, schema + "".join(f", {c} int" for c in _REACH)), "reached")
+    # words and bytes are greatest in the same row: what follows a window in its first copy is one text
+    farthest = rows.where("not kept").groupBy(F.col("hash").alias("of_hash")).agg(*(F.max(c).alias(f"most_{c}") for c in ("words_before", "words_behind")))
+    sized = places.select(F.col("hash").alias("sized_hash"), F.col("row_no").alias("sized_row"), F.col("word").alias("sized_word"), "context")
+    kept = rows.where("kept").drop(*_REACH)
+    kept = kept.join(farthest, kept["hash"] == farthest["of_hash"]).drop("of_hash")
+    kept = kept.join(sized, (kept["hash"] == sized["sized_hash"]) & (kept["row_no"] == sized["sized_row"]) & (kept["word"] == sized["sized_word"])).drop("sized_hash", "sized_row", "sized_word")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                context, places = _bytes(batch.column("context")), np.arange(APART - 1)
+                ends = []
+                for side, column in enumerate(("most_words_before", "most_words_behind")):
+                    words = batch.column(column).to_numpy(zero_copy_only=False)
+                    sizes = context[:, (4 + side) * (APART - 1) : (5 + side) * (APART - 1)]
+                    ends += [pa.array(words.astype(np.int32)), pa.array((sizes * (places < words[:, None])).sum(axis=1).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *ends], [*names, *_REACH])
+
+    return rows.where("not kept").unionByName(kept.mapInArrow(measure, rows.schema))
+
+
+def _passages(places: DataFrame, clustered: DataFrame) -> DataFrame:
+    """Rows of the passages that the windows ``places`` (see ``_PLACE``) make up, but for those within lines of ``clustered`` (of_whole)."""
+    rows = _reached(places)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of windows at most ``APART`` words apart whose first copies stand in one document, as one row; and each window's link to its run's least hash."""
+        for _, part in keyed_runs(batches, 1):
+            column = {n: part.column(n) for n in part.schema.names}
+            word, start, end, hashes, line, keep, *reach = (column[n].to_numpy(zero_copy_only=False) for n in ("word", "start", "end", "hash", "line", "keep_row_no", *_REACH))
+            kept = column["kept"].to_numpy(zero_copy_only=False)
+            new = np.ones(len(word), bool)
+            new[1:] = (np.diff(word) > APART) | (keep[1:] != keep[:-1]) | (kept[1:] != kept[:-1])
+            at = np.flatnonzero(new)
+            last = np.append(at[1:], len(word)) - 1
+            run = np.cumsum(new) - 1
+            least = np.minimum.reduceat(hashes, at)
+            # a run lies within one line if all its windows do
+            low, high = np.minimum.reduceat(line, at), np.maximum.reduceat(line, at)
+            take = lambda n, where: column[n].take(pa.array(where))
+            null = lambda kind, n: pa.nulls(n, kind)
+            runs, size = len(at), len(word)
+            columns = [
+                pa.concat_arrays([take("doc_id", at), null(pa.int64(), size)]),
+                pa.concat_arrays([take("paragraph", at), null(pa.int32(), size)]),
+                pa.concat_arrays([pa.array((start[at] - reach[1][at]).astype(np.int32)), null(pa.int32(), size)]),
+                pa.concat_arrays([pa.array((end[last] + reach[3][last]).astype(np.int32)), null(pa.int32(), size)]),
+                pa.concat_arrays([pa.array((word[last] - word[at] + reach[0][at] + reach[2][last]).astype(np.int32)), null(pa.int32(), size)]),
+                pa.array(np.concatenate([least, least[run]])),
+                pa.concat_arrays([null(pa.int64(), runs), pa.array(hashes)]),
+                pa.concat_arrays([pa.array(low, mask=low != high), null(pa.int64(), size)]),
+                pa.concat_arrays([take("keep_doc_id", at), null(pa.int64(), size)]),
+                pa.concat_arrays([take("kept", at), null(pa.bool_(), size)]),
+            ]
+            linked = np.concatenate([np.ones(runs, bool), hashes != least[run]])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "paragraph", "start", "end", "more", "least", "hash", "line", "keep_id", "kept"]).filter(pa.array(linked))
+
+    merged = rows.repartition("row_no").sortWithinPartitions("row_no", "word").mapInArrow(
+        merge, "doc_id long, paragraph int, start int, end int, more int, least long, hash long, line long, keep_id long, kept boolean"
+    )
+    merged = materialize(merged, "merged")
+    # passages of one cluster share windows, be it by way of others
+    roots = components(merged.where("hash is not null").select(F.col("least").alias("src"), F.col("hash").alias("dst")), "passages")
+    runs = merged.where("hash is null").drop("hash")
+    named = runs.join(roots, runs["least"] == roots["node"], "left").withColumn("cluster", F.coalesce("root", "least"))
+    named = materialize(named.drop("node", "root", "least"), "named")
+    copies = materialize(named.groupBy(F.col("cluster").alias("of_cluster")).agg(F.count("*").alias("copies")), "copies")
+    named = named.join(copies, named["cluster"] == copies["of_cluster"])
+    return named.join(clustered, named["line"] == clustered["of_whole"], "left_anti")
 
 
 def repeated_paragraphs(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, least: int = MIN_WORDS) -> DataFrame:
-    """Every paragraph that another document also has, or nearly so, and every passage whatever its line breaks.
+    """Every paragraph that another document also has, or nearly so, and every passage that stands word by word in another document.
 
-    Returns doc_id, paragraph (lines before it), start and end (bytes of the
-    UTF-8 text), words, cluster, copies (paragraphs in the cluster), keep_id
-    (the document whose paragraph stays) and kept.
+    Returns doc_id, paragraph (lines before it, or before a passage's first window), start and end (bytes of the
+    UTF-8 text), words, cluster, copies (rows that the cluster has before any
+    are left out), keep_id (the document that keeps it), kept and kind.
 
-    Paragraphs are lines of ``least`` words or more; A-Z count as a-z.  Equal
+    ``paragraph``: lines of ``least`` words or more; A-Z count as a-z.  Equal
     ones are first made one.  MinHash bands, tuned to find 99.5 % of pairs at
-    the threshold, bring candidates together; within a component of candidates
-    the exact Jaccard similarity of the sets of ``words``-word shingles decides
-    about links, and clusters are the components of links.  Of a cluster the
-    first paragraph by doc_id and place stays.
-
-    A passage that is broken into lines otherwise, or lies within longer lines,
-    is found by windows of ``least`` words over each document's words: any run
-    of ``least + APART - 1`` equal words has one in common at least, so such
-    runs are all found, and shorter ones often.  A window is a row of its own,
-    in a cluster with its equals, and windows may overlap; paragraph is then
-    the line in which it begins.  Clusters of windows that lie in paragraphs of
-    one cluster of paragraphs say nothing new and are left out.
+    the threshold, bring candidates together; the exact Jaccard similarity of
+    their sets of ``words``-word shingles decides about links, and clusters
+    are the components of links.  Of a cluster the first paragraph by doc_id
+    and place stays.
+
+    ``passage``: runs of equal words, however they are broken into lines and
+    whatever stands around them.  Windows of ``least`` words are picked by
+    their own words, so that any run of ``least + APART - 1`` equal words has
+    one in common at least, and shorter ones often.  A window's first copy by
+    doc_id and place stays.  Windows next to one another whose first copies
+    stand in one document make a row, which goes on, word by word, before its
+    first and behind its last window as far as the copy that stays does; a
+    first copy goes as far as any other does with it.  (Words are told apart
+    by 15 bits there: one end in some thousands has a word too many.)  Clusters
+    are components of passages that share windows.  A passage within a line
+    that already has a row is left out.
 
     Clusters within one document are left out, so that a document which only
     repeats itself has no row.  Null and empty texts have no paragraphs; rows
@@ -218,76 +288,102 @@ def repeated_paragraphs(docs: DataFrame, words: int = WORDS, similarity: float =
     """
     spark = docs.sparkSession
     bands, rows = tuned_bands(similarity)
-    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    names = ["doc_id", "paragraph", "start", "end", "words", "whole", "bands"]
+    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.monotonically_increasing_id().alias("row_no"))
+    names = ["doc_id", "whole", "paragraph", "start", "end", "words", "bands"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Paragraphs, and windows, which have a hash and a document only."""
         for batch in batches:
-            for low, high, raw, offsets in text_slices(batch.column(1)):
-                lines = Lines(raw, offsets, words, least)
-                if not len(lines.kept):
-                    continue
-                hashes = lines.bands(bands, rows).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(low + lines.owner)),
-                        *(pa.array(x.astype(np.int32)) for x in (lines.number, lines.start, lines.end, lines.words)),
-                        pa.array(lines.whole.view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(hashes) + 1, dtype=np.int32) * bands), pa.array(hashes.ravel())),
-                    ],
-                    names,
-                )
-
-    found = mapped(source, read, "doc_id long, paragraph int, start int, end int, words int, whole long, bands array<long>")
-    found = materialize(found, "paragraphs")
+            for low, _, raw, offsets in text_slices(batch.column(1)):
+                lines = Lines(raw, offsets, least)
+                if len(lines.kept):
+                    every = np.arange(len(lines.kept))
+                    hashes = band_hashes(*lines.shingles(every, words), bands, rows).view(np.int64)
+                    places = (pa.array(x.astype(np.int32)) for x in (lines.number, lines.start, lines.end, lines.words))
+                    columns = [batch.column(0).take(pa.array(low + lines.owner)), pa.array(lines.whole.view(np.int64)), *places, list_array(hashes, bands)]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+                first = lines.of_documents()
+                word, hashes, _ = picked_windows(lines.text, first, least)
+                if len(word):
+                    owner = np.searchsorted(first, word, side="right") - 1
+                    empty = [pa.nulls(len(word), pa.int32())] * 4
+                    columns = [batch.column(0).take(pa.array(low + owner)), pa.array(hashes.view(np.int64)), *empty, pa.nulls(len(word), pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    units = materialize(mapped(source, read, "doc_id long, whole long, paragraph int, start int, end int, words int, bands array<long>"), "units")
+    found = units.where("words is not null")
+    windows = units.where("words is null").select("doc_id", F.col("whole").alias("hash"))
+    shared = _shared(maybe_repeated(windows, "hash"), "shared")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "paragraph", "start"))
     unique = found.groupBy("whole").agg(F.count("*").alias("n"), first.alias("first"), F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id"), F.first("bands").alias("bands"))
     unique = materialize(unique, "unique")
+    met = buckets(unique.select(F.col("whole").alias("node"), "bands"), "bands")
+    groups = groups_of(bucket_links(met), met, name="candidates")
 
-    banded = unique.select("whole", F.posexplode("bands").alias("band", "hash"))
-    buckets = banded.groupBy("band", "hash").agg(F.min("whole").alias("dst"), F.max("whole").alias("most")).where("dst <> most")
-    buckets = materialize(buckets.select(F.col("band").alias("in_band"), F.col("hash").alias("in_hash"), "dst"), "buckets")
-    met = banded.join(buckets, (F.col("band") == F.col("in_band")) & (F.col("hash") == F.col("in_hash")))
-    groups = components(met.select(F.col("whole").alias("src"), "dst"), "candidates")
-
-    # the shingles of one paragraph of each candidate, from a second reading of the texts
-    wanted = unique.join(groups, unique["whole"] == groups["node"]).select("whole", F.col("root").alias("grp"), "first.doc_id", "first.paragraph")
-    wanted = materialize(wanted, "wanted")
+    # the shingles of one paragraph of each candidate, and the windows, from a second reading of the texts
+    met_once = groups.select(F.col("node").alias("of_node")).distinct()
+    wanted = materialize(unique.join(met_once, unique["whole"] == met_once["of_node"]).select("whole", "first.doc_id", "first.paragraph"), "wanted")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             whole, doc, number = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), _ids(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(_place_key(whole, doc, number).view(np.int64))], ["key"])
 
-    cells = filter_cells(wanted.count(), MAX_CELLS)
-    keys = wanted.select("whole", "doc_id", "paragraph").mapInArrow(keyed, "key long")
-    marked = spark.sparkContext.broadcast(filter_bits(keys, cells, repeated=False))
+    cells, more = filter_cells(wanted.count(), MAX_CELLS), filter_cells(shared.count(), MAX_CELLS)
+    marked = spark.sparkContext.broadcast((filter_bits(wanted.mapInArrow(keyed, "key long"), cells, repeated=False), filter_bits(shared.select(F.col("of_hash").alias("key")), more, repeated=False)))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = marked.value
+        of_lines, of_windows = marked.value
+        out = ["items", "row_no", "doc_id", "paragraph", "start", "end", "word", "hash", "line", "context"]
         for batch in batches:
             ids = _ids(batch.column(0))
             for low, _, raw, offsets in text_slices(batch.column(1)):
-                lines = Lines(raw, offsets, words, least)
-                if not len(lines.kept):
+                lines = Lines(raw, offsets, least)
+                hit = np.flatnonzero(passes(of_lines, cells, _place_key(lines.whole, ids[low + lines.owner], lines.number))) if len(lines.kept) else np.zeros(0, int)
+                if len(hit):
+                    hashes, index = lines.shingles(hit, words)
+                    items = pa.array([np.unique(hashes[a:b]).view(np.int64) for a, b in zip(index, index[1:])], pa.list_(pa.int64()))
+                    empty = [pa.nulls(len(hit), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())]
+                    yield pa.RecordBatch.from_arrays([items, *empty, pa.array(lines.whole[hit].view(np.int64)), pa.nulls(len(hit), pa.int64()), pa.nulls(len(hit), pa.binary())], out)
+                text, first = lines.text, lines.of_documents()
+                word, hashes, single = picked_windows(text, first, least)
+                held = passes(of_windows, more, hashes)
+                word, hashes = word[held], hashes[held]
+                if not len(word):
                     continue
-                hit = np.flatnonzero(passes(bits, cells, _place_key(lines.whole, ids[low + lines.owner], lines.number)))
-                items = [np.unique(lines.shingles[lines.index[k] : lines.index[k + 1]]).view(np.int64) for k in hit]
-                if items:
-                    yield pa.RecordBatch.from_arrays([pa.array(lines.whole[hit].view(np.int64)), pa.array(items, pa.list_(pa.int64()))], ["read_whole", "items"])
-
-    shingled = mapped(source, again, "read_whole long, items array<long>").groupBy("read_whole").agg(F.first("items").alias("items"))
-    members = wanted.join(shingled, wanted["whole"] == shingled["read_whole"]).select("grp", F.col("whole").alias("node"), "items")
-    linked = components(links_within(materialize(members, "members"), similarity), "links")
+                owner = np.searchsorted(first, word, side="right") - 1
+                # the line of a window that lies within one, else 0
+                whole, within = np.zeros(len(lines.bounds) - 1, np.uint64), np.zeros(len(lines.bounds) - 1, bool)
+                whole[lines.kept], within[lines.kept] = lines.whole, True
+                a, b = (np.searchsorted(text.first, w, side="right") - 1 for w in (word, word + least - 1))
+                start = text.raw_starts[word]
+                number = np.searchsorted(lines.breaks, start, side="right") - np.searchsorted(lines.breaks, offsets[owner], side="right")
+                places = (number, start - offsets[owner], text.raw_ends[word + least - 1] - offsets[owner], word - first[owner])
+                columns = [
+                    pa.nulls(len(word), pa.list_(pa.int64())),
+                    *(batch.column(k).take(pa.array(low + owner)) for k in (2, 0)),
+                    *(pa.array(x.astype(np.int32)) for x in places),
+                    pa.array(hashes.view(np.int64)),
+                    pa.array(np.where(within[a] & (a == b), whole[a], np.uint64(0)).view(np.int64)),
+                    pa.array([c.tobytes() for c in contexts(text, single, first, word, least)], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, out)
+
+    reread = materialize(mapped(source, again, f"items array<long>, {_PLACE}"), "reread")
+    shingled = reread.where("items is not null").groupBy(F.col("hash").alias("read_whole")).agg(F.first("items").alias("items"))
+    shingled = materialize(shingled, "shingled")
+    members = groups.join(shingled, groups["node"] == shingled["read_whole"]).select("grp", "node", "items")
+    linked = components(links_within(members, similarity), "links")
 
     rooted = unique.join(linked, unique["whole"] == linked["node"], "left").select("whole", "n", "first", "least_id", "most_id", F.coalesce("root", "whole").alias("root"))
     clusters = rooted.groupBy("root").agg(F.sum("n").alias("copies"), F.min("first").alias("keep"), F.min("least_id").alias("low"), F.max("most_id").alias("high")).where("low <> high")
-    named = rooted.select("whole", "root").join(clusters, "root").select(F.col("whole").alias("of_whole"), "root", "copies", "keep")
+    named = rooted.select("whole", "root").join(clusters, "root").select(F.col("whole").alias("of_whole"), F.col("root").alias("cluster"), "copies", "keep")
     named = materialize(named, "clusters")
     kept = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("paragraph") == F.col("keep.paragraph")) & (F.col("start") == F.col("keep.start"))
-    whole_lines = found.join(named, found["whole"] == named["of_whole"]).withColumn("cluster", F.col("root"))
-    passages = _repeated_passages(source, named.select("of_whole", "root"), least)
-    columns = ["doc_id", "paragraph", "start", "end", "words", "cluster", "copies", F.col("keep.doc_id").alias("keep_id"), kept.alias("kept")]
+    columns = ["doc_id", "paragraph", "start", "end", "words", "cluster", "copies", "keep_id", "kept", "kind"]
+    whole_lines = found.drop("bands").join(named, found["whole"] == named["of_whole"]).withColumns({"keep_id": F.col("keep.doc_id"), "kept": kept, "kind": F.lit("paragraph")})
+    passages = _passages(reread.where("items is null").drop("items"), named.select("of_whole"))
+    passages = passages.withColumns({"words": F.col("more") + F.lit(least), "kind": F.lit("passage")})
     return whole_lines.select(*columns).unionByName(passages.select(*columns))
 
 

@@ -7,10 +7,11 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 
 from tessella.llm import exact_dedup as dedup
-from tessella.llm import packing, simhash
+from tessella.llm import graph, packing, simhash
 from tessella.llm.graph import components
 from tessella.llm.textkernel import Words, text_slices, xxh64
 from tests.llm.helpers import DOC_SCHEMA, frame, rows
@@ -100,9 +101,23 @@ def test_components_long_chain(spark):
     assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
-def test_exact_dedup(spark):
+def test_components_rising_chain_in_few_rounds(spark, monkeypatch):
+    written = []
+    plain = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: written.append(name) or plain(df, name))
+    chain = spark.range(2000).selectExpr("id AS src", "id + 1 AS dst")
+    # many partitions, so that no task sees more of the chain than some links
+    got = components(chain.repartition(16)).groupBy("root").count().collect()
+    assert [(r.root, r["count"]) for r in got] == [(0, 2001)]
+    assert len(written) < 60
+    one_by_one = graph.least_reached(np.arange(1, 500), np.arange(499))
+    assert (one_by_one[1] == 0).all()
+
+
+@pytest.mark.parametrize("cells", [1 << 26, 256])
+def test_exact_dedup(spark, cells):
     data = rows(7)
-    got = dedup.exact_dedup(frame(spark, data), max_cells=1 << 12).collect()
+    got = dedup.exact_dedup(frame(spark, data), max_cells=cells).collect()
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t, *_ in data]
     groups = defaultdict(list)
     for (i, *_), t in zip(data, norm):
@@ -113,11 +128,20 @@ def test_exact_dedup(spark):
         sha = hashlib.sha256(t.encode()).hexdigest()
         want += [(str(i), str(ids[0]), len(ids), k == 0, sha) for k, i in enumerate(ids)]
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in got) == sorted(want)
-    assert dedup.drop_copies(frame(spark, data)).count() == len(groups)
+    assert dedup.drop_copies(frame(spark, data), cells).count() == len(groups)
     empty = spark.createDataFrame([], DOC_SCHEMA)
     assert dedup.exact_dedup(empty).count() == simhash.near_groups(empty).count() == packing.pack(empty).count() == 0
 
 
+def test_filters_by_range_pass_few_unique_rows(spark):
+    rows = spark.range(20_000).selectExpr("xxhash64(if(id < 1000, id % 100, id)) AS key", "id")
+    assert len(dedup.ranges_of(20_000, 1 << 14)) == 10
+    for cells in (1 << 26, 1 << 14):
+        maybe = [r.id for r in dedup.maybe_repeated(dedup.materialize(rows, "rows"), "key", cells).collect()]
+        assert len(maybe) == len(set(maybe)) and set(range(1000)) <= set(maybe)
+        assert len(maybe) < 1000 + 0.04 * 19_000
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
