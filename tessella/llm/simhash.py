@@ -1,8 +1,9 @@
-"""SimHash fingerprints, and near copies by vantage-point shards."""
+"""SimHash fingerprints, and near copies by a vantage-point tree."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +12,18 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import documents, materialize
 from tessella.llm.graph import components
+from tessella.llm.jaccard import keyed_runs
 from tessella.llm.textkernel import Words, majority, mapped, text_slices, xxh64
 from tessella.session import ship
 
 BITS = 64
-#: Vantage points of each shard level, and what one run in a leaf compares by brute force.
-VANTAGE_POINTS = 8
-LEAF = 2048
+#: Vantage points tried for each node; rows of a leaf, in which all are compared; rows of a shard, about.
+TRIES = 8
+LEAF = 192
+SHARD = 4096
+#: Shards at most, beyond which they grow; fingerprints that the upper levels of the tree are made from.
+MOST_SHARDS = 1 << 16
+MOST_SAMPLE = 1 << 20
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
@@ -40,23 +46,56 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     return mapped(columns, run, "doc_id long, fp long")
 
 
-def _blocks(parts: int) -> list[np.uint64]:
-    """Masks that split the 64 bits into ``parts`` runs."""
-    edges = [BITS * k // parts for k in range(parts + 1)]
-    return [np.uint64((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:])]
-
-
-def _vantage(block: int, level: int) -> np.ndarray:
-    """The vantage points of a block: fixed by its number, the same on each worker."""
-    return np.random.default_rng(1_000 * level + block).integers(0, 2**64, VANTAGE_POINTS, dtype=np.uint64)
-
-
-def rings(fp: np.ndarray, mask: np.uint64, points: np.ndarray) -> np.ndarray:
-    """The distances, within ``mask``, to each vantage point: the path to a leaf of the tree, as one number."""
-    path = np.zeros(len(fp), np.uint64)
-    for v in points:
-        path = path * np.uint64(67) + np.bitwise_count((fp ^ v) & mask).astype(np.uint64)
-    return path
+@dataclass
+class Tree:
+    """The upper levels of a vantage-point tree, node k above nodes 2k + 1 (within the radius) and 2k + 2 (beyond it)."""
+
+    depth: int
+    points: np.ndarray
+    radii: np.ndarray
+
+    def shards(self, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, shard): each fingerprint's own shard, and all others that it must be looked for in.
+
+        By the triangle bound, of a pair within ``distance`` of one another the
+        outer one lies within radius + distance of the vantage point if the
+        inner one lies within the radius.  So a fingerprint beyond the radius
+        by ``distance`` at most also goes into the inner branch; all others
+        prune it.  At every node the copies of a pair thus have a branch in
+        common, and at last a shard.
+        """
+        row, node = np.arange(len(fp)), np.zeros(len(fp), np.int64)
+        for _ in range(self.depth):
+            beyond = np.bitwise_count(fp[row] ^ self.points[node]).astype(np.int64) - self.radii[node]
+            edge = (beyond > 0) & (beyond <= distance)
+            row, node = np.concatenate([row, row[edge]]), np.concatenate([2 * node + 1 + (beyond > 0), 2 * node[edge] + 1])
+        return row, node - (1 << self.depth) + 1
+
+
+def split(fp: np.ndarray, distance: int, tries: np.ndarray) -> tuple[np.uint64, int, int]:
+    """(vantage point, radius, rows that the larger branch gets): of ``tries`` and radii about the middle, the one with the smallest larger branch."""
+    best = (fp[0], BITS, 2 * len(fp))
+    for point in tries:
+        counts = np.cumsum(np.bincount(np.bitwise_count(fp ^ point), minlength=BITS + distance + 1))
+        larger = np.maximum(counts[distance : BITS + distance + 1], len(fp) - counts[: BITS + 1])
+        radius = int(larger.argmin())
+        if larger[radius] < best[2]:
+            best = (point, radius, int(larger[radius]))
+    return best
+
+
+def tree_of(sample: np.ndarray, depth: int, distance: int, seed: int = 0) -> Tree:
+    """A tree of 2 ** ``depth`` shards, vantage points and radii out of a sample of the fingerprints."""
+    rng = np.random.default_rng(seed)
+    points, radii = np.zeros((1 << depth) - 1, np.uint64), np.full((1 << depth) - 1, BITS)
+    parts = [sample]
+    for node in range(len(points)):
+        part, parts[node] = parts[node], None
+        if len(part):
+            points[node], radii[node], _ = split(part, distance, rng.choice(part, min(len(part), TRIES), replace=False))
+        inside = np.bitwise_count(part ^ points[node]) <= radii[node]
+        parts += [part[inside], part[~inside]]
+    return Tree(depth, points, radii)
 
 
 def _forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,87 +116,65 @@ def _forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
 
 
-def leaf_links(fp: np.ndarray, distance: int, level: int = 1, masks: tuple = ()) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links among the distinct fingerprints of one leaf.
+def shard_links(fp: np.ndarray, distance: int, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect whatever the distinct fingerprints of a shard hold within ``distance``, as pairs of places.
 
-    A large leaf is divided again: of the bits not yet known to agree, one of
-    ``distance + 1`` blocks agrees for each pair sought, so each sub-leaf is
-    searched for itself.
+    The lower levels of the tree, down to leaves in which all are compared.  A
+    branch that no vantage point makes much smaller, as a dense cluster, is
+    searched from each member in turn among those not yet reached.
     """
-    free = [k for k in range(BITS) if not any(int(m) >> k & 1 for m in masks)]
-    if len(fp) <= LEAF or len(free) <= distance + 1:
-        return _forest(fp, distance)
-    out_a, out_b = [], []
-    for k in range(distance + 1):
-        mask = np.uint64(sum(1 << bit for bit in free[k :: distance + 1]))
-        order = np.argsort(fp & mask, kind="stable")
-        key = (fp & mask)[order]
-        for part in np.split(order, np.flatnonzero(np.diff(key)) + 1):
-            if len(part) > 1:
-                a, b = leaf_links(fp[part], distance, level + 1, (*masks, mask))
-                out_a.append(part[a])
-                out_b.append(part[b])
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, int), np.zeros(0, int))
-
-
-def near_links(distinct: DataFrame, distance: int) -> DataFrame:
-    """Links (src, dst) that connect whatever ``distinct`` (fp: long, each once) holds within ``distance`` bits.
-
-    The 64 bits fall into ``distance + 1`` blocks; a pair sought agrees in one
-    of them.  Over each block the Hamming distance is a pseudo-metric below the
-    full one, and a vantage-point tree over it shards the fingerprints: by the
-    triangle bound, points at block distance 0 have the same distance to each
-    vantage point, so every other ring is pruned, and no query needs a shard
-    beyond its own.  Each fingerprint is stored once a block.  Within a shard
-    the full distance decides; its links form a forest, never all pairs.
+    rng = np.random.default_rng(len(fp))
+    a, b = [], []
+    open_ = [np.arange(len(fp))]
+    while open_:
+        rows = open_.pop()
+        part = fp[rows]
+        if len(rows) > leaf:
+            point, radius, larger = split(part, distance, rng.choice(part, TRIES, replace=False))
+            if larger <= 0.95 * len(rows):
+                apart = np.bitwise_count(part ^ point)
+                open_ += [rows[apart <= radius + distance], rows[apart > radius]]
+                continue
+        near = np.flatnonzero((np.bitwise_count(part[:, None] ^ part[None, :]) <= distance).sum(axis=1) > 1) if len(rows) <= leaf else np.arange(len(rows))
+        x, y = _forest(part[near], distance)
+        a.append(rows[near[x]])
+        b.append(rows[near[y]])
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
+
+
+def near_links(distinct: DataFrame, distance: int, shard: int = SHARD) -> DataFrame:
+    """Links (src, dst) that connect whatever ``distinct`` (fp: long, each once; a written table) holds within ``distance`` bits.
+
+    The upper levels of a vantage-point tree, over a sample of some 64
+    fingerprints a shard (``MOST_SAMPLE`` at most), part the rows into shards
+    of about ``shard`` rows (``MOST_SHARDS`` at most).  Every row is placed in
+    its own shard and in those that its ball of ``distance`` bits overlaps (see
+    ``Tree.shards``), and each shard is searched exactly by the tree's lower
+    levels.  Links form a forest in each leaf, never all pairs.
     """
     ship(distinct.sparkSession)
-    blocks = _blocks(distance + 1)
+    number = distinct.count()
+    depth = max(0, min(MOST_SHARDS, -(-number // shard)) - 1).bit_length()
+    wanted = min(MOST_SAMPLE, 64 << depth)
+    # the rows below a hash, which are the same in each run
+    chosen = distinct.where(F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(max(1, number // wanted))) == 0).limit(2 * MOST_SAMPLE)
+    sample = np.array([r.fp for r in chosen.select("fp").collect()] if depth else [], np.int64).view(np.uint64)
+    tree = distinct.sparkSession.sparkContext.broadcast(tree_of(np.sort(sample), depth, distance))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for k, mask in enumerate(blocks):
-                path = rings(fp, mask, _vantage(k, 0))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), k, np.int32)), pa.array(path.view(np.int64)), batch.column(0)], ["block", "path", "fp"])
+            row, number = tree.value.shards(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), distance)
+            yield pa.RecordBatch.from_arrays([pa.array(number), batch.column(0).take(pa.array(row))], ["shard", "fp"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(block, path, fp):
-            new = np.flatnonzero((np.diff(path) != 0) | (np.diff(block) != 0)) + 1
-            edges = np.concatenate([[0], new, [len(fp)]])
-            sizes = np.diff(edges)
-            a, b = [], []
-            pairs = edges[:-1][sizes == 2]
-            close = np.bitwise_count(fp[pairs] ^ fp[pairs + 1]) <= distance if len(pairs) else np.zeros(0, bool)
-            a.append(fp[pairs[close]])
-            b.append(fp[pairs[close] + 1])
-            for k in np.flatnonzero(sizes > 2).tolist():
-                part = fp[edges[k] : edges[k + 1]]
-                x, y = leaf_links(part, distance, masks=(blocks[block[edges[k]]],)) if len(part) > LEAF else _forest(part, distance)
-                a.append(part[x])
-                b.append(part[y])
-            a, b = np.concatenate(a), np.concatenate(b)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["src", "dst"])
-
-        held = None
-        for batch in batches:
-            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            now[2] = now[2].view(np.uint64)
-            if held is not None:
-                now = [np.concatenate([x, y]) for x, y in zip(held, now)]
-            change = np.flatnonzero((np.diff(now[1]) != 0) | (np.diff(now[0]) != 0))
-            if not len(change):
-                held = now
-                continue
-            cut = int(change[-1]) + 1
-            held = [x[cut:] for x in now]
-            yield solve(*(x[:cut] for x in now))
-        if held is not None and len(held[0]):
-            yield solve(*held)
-
-    placed = distinct.select("fp").mapInArrow(place, "block int, path long, fp long")
-    shards = placed.repartition("block", "path").sortWithinPartitions("block", "path")
-    return shards.mapInArrow(search, "src long, dst long")
+        for _, rows in keyed_runs(batches, 1):
+            fp = rows.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            a, b = shard_links(fp, distance)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], ["src", "dst"])
+
+    placed = distinct.select("fp").mapInArrow(place, "shard long, fp long")
+    return placed.repartition("shard").sortWithinPartitions("shard").mapInArrow(search, "src long, dst long")
 
 
 def near_groups(docs: DataFrame, words: int = 3, distance: int = 2, seed: int = 42) -> DataFrame:

@@ -74,24 +74,50 @@ def test_fingerprints_and_groups(spark):
     assert sorted((str(r.doc_id), r.fp % 2**64, str(r.component_id)) for r in got) == want
 
 
-def test_leaf_links_divides_large_leaves(monkeypatch):
-    monkeypatch.setattr(simhash, "LEAF", 8)
-    rng = np.random.default_rng(0)
-    base = rng.integers(0, 2**64, 40, dtype=np.uint64)
-    fp = np.unique(np.concatenate([base, base ^ np.uint64(5), base ^ np.uint64(1 << 40), rng.integers(0, 2**64, 50, dtype=np.uint64)]))
-    a, b = simhash.leaf_links(fp, 2)
-    assert (np.bitwise_count(fp[a] ^ fp[b]) <= 2).all()
-    root = {int(x): int(x) for x in fp}
+def mutated(seed, n):
+    """Random fingerprints, many with others two bits or three away, and a dense cluster."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**64, n, dtype=np.uint64)
+    flip = lambda x, k: x ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (k, len(x)), dtype=np.uint64))
+    cluster = flip(np.full(n // 2, base[0]), 3)
+    return np.unique(np.concatenate([base, flip(base[::2], 2), flip(base[::3], 3), cluster]))
+
+
+def test_tree_meets_every_pair_and_prunes():
+    fp = mutated(0, 3000)
+    tree = simhash.tree_of(np.sort(fp[::5]), 6, 2)
+    row, shard = tree.shards(fp, 2)
+    assert set(row.tolist()) == set(range(len(fp))) and shard.min() >= 0 and shard.max() < 64
+    assert len(row) < 4 * len(fp) and np.bincount(shard).max() < len(row) / 5
+    at = [set() for _ in fp]
+    for r, k in zip(row.tolist(), shard.tolist()):
+        at[r].add(k)
+    a, b = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 2, 1))
+    assert len(a) > 1000 and all(at[x] & at[y] for x, y in zip(a.tolist(), b.tolist()))
+
+
+@pytest.mark.parametrize("leaf", [8, 192])
+def test_shard_links(leaf):
+    fp = mutated(1, 400)
+    a, b = simhash.shard_links(fp, 2, leaf)
+    assert (np.bitwise_count(fp[a] ^ fp[b]) <= 2).all() and len(a) < 8 * len(fp)
+    _, root = graph.least_reached(np.concatenate([a, np.arange(len(fp))]), np.concatenate([b, np.arange(len(fp))]))
+    want = plain_components({int(x) for x in fp}, 2)
+    assert len(set(root.tolist())) == len(set(want.values()))
+    for x, y in zip(a.tolist(), b.tolist()):
+        assert want[int(fp[x])] == want[int(fp[y])]
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    for x, y in zip(fp[a].tolist(), fp[b].tolist()):
-        root[find(x)] = find(y)
+def test_near_links_over_many_shards(spark):
+    fp = mutated(2, 600)
+    table = dedup.materialize(spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long"), "fp")
+    links = simhash.near_links(table, 2, shard=32).collect()
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "src long, dst long")).collect()}
     want = plain_components({int(x) for x in fp}, 2)
-    assert len({find(x) for x in root}) == len(set(want.values()))
+    groups = defaultdict(set)
+    for x in fp.tolist():
+        groups[want[x]].add(int(np.uint64(x).view(np.int64)))
+    assert got == {x: min(g) for g in groups.values() if len(g) > 1 for x in g}
 
 
 def test_components_long_chain(spark):
