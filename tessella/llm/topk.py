@@ -13,15 +13,17 @@ from tessella.llm.common import materialize
 
 K = 20
 BINS = 256
+#: Queries that are sent to the workers at once, and that meet ``CHUNK`` candidates in one matrix product.
+GROUP = 1 << 15
 QUERY_BLOCK = 1024
-CHUNK = 8192
+CHUNK = 2048
 
 
-def _vectors(column: pa.Array, width: int) -> np.ndarray:
+def _vectors(column: pa.Array, width: int, kind: type) -> np.ndarray:
     column = column.cast(pa.large_binary())
     _, offsets, data = column.buffers()
     off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data, np.uint8)[off[0] : off[-1]].view("<i8").reshape(len(column), width).astype(np.float64)
+    return np.frombuffer(data, np.uint8)[off[0] : off[-1]].view("<i8").reshape(len(column), width).astype(kind)
 
 
 def quantised(vectors: DataFrame, scale: int) -> DataFrame:
@@ -29,171 +31,153 @@ def quantised(vectors: DataFrame, scale: int) -> DataFrame:
     x = F.col("embedding")
     good = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<double>").alias("embedding"))
     good = good.where(x.isNotNull() & F.col("vec_id").isNotNull() & F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))))
-    whole = good.select("vec_id", F.transform(x, lambda v: F.floor(v * F.lit(float(scale))).cast("long")).alias("vector"))
-    return whole.groupBy("vec_id").agg(F.min("vector").alias("vector"))
-
-
-def top_k(vectors: DataFrame, k: int = K, every: int = 20, scale: int = 64) -> DataFrame:
+    return good.select("vec_id", F.transform(x, lambda v: F.floor(v * F.lit(float(scale))).cast("long")).alias("vector"))
+
+
+class Scorer:
+    """Scores of chunks of candidates (row_no, vec_id, vector) against blocks of queries."""
+
+    def __init__(self, rows: np.ndarray, vectors: np.ndarray, low: np.ndarray, want: np.ndarray):
+        self.rows, self.vectors, self.low, self.want = rows, vectors, low, want
+
+    def each(self, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first query, candidates' vec_id, scores, which are of a query's own row)."""
+        for low in range(0, batch.num_rows, CHUNK):
+            part = batch.slice(low, CHUNK)
+            row, ids = (part.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            candidates = _vectors(part.column(2), self.vectors.shape[1], self.vectors.dtype.type).T
+            for a in range(0, len(self.rows), QUERY_BLOCK):
+                yield a, ids, self.vectors[a : a + QUERY_BLOCK] @ candidates, self.rows[a : a + QUERY_BLOCK, None] == row[None, :]
+
+
+def _histogram(scorer: Scorer, step: int, top: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(query, bin, n): counts of scores in bins from each query's low on, but for bins below a task's own ``top`` highest scores."""
+    counts = np.zeros((len(scorer.rows), BINS + 1), np.int32)
+    for batch in batches:
+        for a, _, scores, own in scorer.each(batch):
+            place = np.floor_divide(scores - scorer.low[a : a + len(scores), None], step)
+            # beyond the range of an inner level lie only scores already counted
+            place[own | (place < 0) | (place >= BINS)] = -1
+            flat = (place + 1).astype(np.int64) + np.arange(len(scores))[:, None] * (BINS + 1)
+            counts[a : a + len(scores)] += np.bincount(flat.ravel(), minlength=len(scores) * (BINS + 1)).reshape(-1, BINS + 1).astype(np.int32)
+    for a in range(0, len(counts), QUERY_BLOCK):
+        down = counts[a : a + QUERY_BLOCK, :0:-1].astype(np.int64)
+        row, column = np.nonzero((down > 0) & (np.cumsum(down, axis=1) - down < top))
+        lows = scorer.low[a + row].astype(np.int64) + (BINS - 1 - column) * step
+        yield pa.RecordBatch.from_arrays([pa.array(a + row), pa.array(lows), pa.array(down[row, column])], ["query", "bin", "n"])
+
+
+def _above(scorer: Scorer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(query, vec_id, score): what lies above each query's k-th score, and of a task's ties no more than are wanted, smallest ids first."""
+    above, ties = [], []
+
+    def fewer() -> None:
+        query, ids, scores = (np.concatenate(x) for x in zip(*ties))
+        order = np.lexsort((ids, query))
+        query, ids, scores = query[order], ids[order], scores[order]
+        few = np.arange(len(query)) - np.searchsorted(query, query) < scorer.want[query]
+        ties[:] = [(query[few], ids[few], scores[few])]
+
+    for batch in batches:
+        for a, ids, scores, own in scorer.each(batch):
+            low = scorer.low[a : a + len(scores), None]
+            for kept, hit in ((above, scores > low), (ties, scores == low)):
+                query, column = np.nonzero(hit & ~own)
+                if len(query):
+                    kept.append((a + query, ids[column], scores[query, column].astype(np.int64)))
+        if sum(len(x[0]) for x in ties) > 1_000_000:
+            fewer()
+    if ties:
+        fewer()
+    for part in above + ties:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in part], ["query", "vec_id", "score"])
+
+
+def top_k(vectors: DataFrame, k: int = K, every: int = 20, scale: int = 64, group: int = GROUP) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` highest integer inner products.
 
-    Queries are the rows whose vec_id ``every`` divides, candidates all others;
-    ties go to the smaller vec_id.  All scores are made, block by block: first
-    into a histogram of 256 bins a query, whose sums over all blocks give the
-    bin of the k-th value, then into bins within that bin, and so on until a
-    bin is one score wide.  A last pass passes on what lies above that score,
-    and of each block's ties no more than are wanted, smallest ids first.
+    Queries are the rows whose vec_id ``every`` divides, candidates all rows
+    but the query's own; ties go to the smaller vec_id.  Candidates stay where
+    they lie; ``group`` queries at a time, some 16 MB of them, are sent to all
+    workers.  All scores are made, block by block: first into a histogram of
+    256 bins a query, whose sums over all tasks give the bin of the k-th value,
+    then into bins within that bin, and so on until a bin is one score wide.  A
+    last pass passes on what lies above that score, and of each task's ties no
+    more than are wanted.
 
     Rows without an id, null vectors and those with a null or non-finite
-    component take no part.  Of rows that share an id the smallest vector
-    counts.  Shorter vectors count as if filled with zeros.  With fewer than k
-    candidates all are returned; an empty table gives an empty one.  Scores
-    must stay below 2 ** 53, else it raises an error.
+    component take no part.  Rows that share an id are candidates each, also
+    for one another, and queries each.  Shorter vectors count as if filled
+    with zeros.  With fewer than k candidates all are returned; an empty table
+    gives an empty one.  Scores must stay below 2 ** 52, else it raises an
+    error.
     """
     spark = vectors.sparkSession
     rows = materialize(quantised(vectors, scale), "vectors")
     size = F.aggregate("vector", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
     found = rows.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width"), F.max(size).alias("norm")).first()
-    out_schema = "query_id long, rank int, vec_id long, score long"
     if not found.n or found.n < 2:
-        return spark.createDataFrame([], out_schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width, bound = max(found.width, 1), int(found.norm) + 1
     if bound >= 1 << 52:
         raise ValueError("components are too large for exact scores")
+    # products and differences from a bound are whole numbers that both kinds of number hold exactly
+    kind = np.float32 if bound < 1 << 21 else np.float64
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
+            lists = batch.column(2)
             length = lists.value_lengths().to_numpy(zero_copy_only=False)
             out = np.zeros((len(length), width), "<i8")
             out[np.arange(width)[None, :] < length[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in out], pa.binary())], ["vec_id", "vector"])
-
-    rows = materialize(rows.mapInArrow(packed, "vec_id long, vector binary"), "packed")
-    chosen = rows.where(F.col("vec_id") % every == 0)
-    queries = chosen.count()
-    blocks, chunks = max(1, -(-queries // QUERY_BLOCK)), max(1, -(-found.n // CHUNK))
-    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")
-    chunk = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(chunks)).cast("int")
-    every_chunk = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    candidates = rows.select(every_block, chunk.alias("chunk"), F.lit(1).alias("kind"), "vec_id", "vector", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("want"))
-
-    def scored(state: DataFrame, kernel, schema: str) -> DataFrame:
-        """``kernel`` over each block of queries against each chunk of candidates, which come to it in runs."""
-        asked = chosen.join(state, chosen["vec_id"] == state["query_id"]).select(block.alias("block"), every_chunk, F.lit(0).alias("kind"), "vec_id", "vector", "low", "want")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, heads, runs, results = None, [], [], None
-            for batch in batches:
-                keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
-                cuts = [0, *(np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
-                for a, b in zip(cuts, cuts[1:]):
-                    if a == b:
-                        continue
-                    group, kind = tuple(keys[:2, a].tolist()), int(keys[2, a])
-                    if group != at:
-                        if results is not None:
-                            yield results.close()
-                        at, heads, results = group, [], None
-                    part = batch.slice(a, b - a)
-                    if kind == 0:
-                        heads.append(part)
-                    elif heads:
-                        if results is None:
-                            table = pa.Table.from_batches(heads).combine_chunks().to_batches()
-                            results = kernel(pa.concat_batches(table) if len(table) > 1 else table[0])
-                        for low in range(0, part.num_rows, 2048):
-                            results.add(part.slice(low, 2048))
-            if results is not None:
-                yield results.close()
-
-        laid = candidates.unionByName(asked).repartition("block", "chunk").sortWithinPartitions("block", "chunk", "kind")
-        return laid.mapInArrow(run, schema)
-
-    class Base:
-        def __init__(self, heads: pa.RecordBatch):
-            self.ids, self.low, self.want = (heads.column(i).to_numpy(zero_copy_only=False) for i in (3, 5, 6))
-            self.vectors = _vectors(heads.column(4), width)
-
-        def scores(self, part: pa.RecordBatch):
-            ids = part.column(3).to_numpy(zero_copy_only=False)
-            return ids, (self.vectors @ _vectors(part.column(4), width).T), self.ids[:, None] == ids[None, :]
-
-    def histogram(step: int, top: int):
-        class Histogram(Base):
-            def __init__(self, heads):
-                super().__init__(heads)
-                self.counts = np.zeros((len(self.ids), BINS), np.int64)
-
-            def add(self, part):
-                _, s, own = self.scores(part)
-                place = np.floor_divide(s - self.low[:, None], step)
-                place[own | (place < 0)] = -1
-                # beyond the range of an inner level lie only scores already counted
-                place[place >= BINS] = -1
-                flat = (place + 1 + np.arange(len(self.ids))[:, None] * (BINS + 1)).astype(np.int64)
-                self.counts += np.bincount(flat.ravel(), minlength=len(self.ids) * (BINS + 1)).reshape(-1, BINS + 1)[:, 1:]
-
-            def close(self):
-                down = self.counts[:, ::-1]
-                before = np.cumsum(down, axis=1) - down
-                row, column = np.nonzero((down > 0) & (before < top))
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(self.ids[row]), pa.array(self.low[row] + (BINS - 1 - column) * step), pa.array(down[row, column])], ["query_id", "bin", "n"]
-                )
-
-        return Histogram
-
-    step = 1
-    while step * BINS < 2 * bound + 1:
-        step *= BINS
-    state = materialize(chosen.select(F.col("vec_id").alias("query_id"), F.lit(-bound).cast("long").alias("low"), F.lit(k).cast("long").alias("want")), "state")
-    while True:
-        bins = scored(state, histogram(step, k), "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-        down = Window.partitionBy("query_id").orderBy(F.col("bin").desc())
-        ran = bins.withColumn("upto", F.sum("n").over(down)).withColumnRenamed("query_id", "bin_id")
-        joined = ran.join(state.withColumnRenamed("low", "old_low"), F.col("bin_id") == F.col("query_id"))
-        passed = joined.where("upto >= want").groupBy("query_id").agg(F.max(F.struct("bin", (F.col("want") - F.col("upto") + F.col("n")).alias("want"))).alias("hit"))
-        passed = passed.select(F.col("query_id").alias("hit_id"), "hit")
-        # a query with fewer than k candidates keeps the lowest bound and gets all
-        least = F.lit(-bound).cast("long")
-        state = materialize(
-            state.join(passed, state["query_id"] == passed["hit_id"], "left").select("query_id", F.coalesce("hit.bin", least).alias("low"), F.coalesce("hit.want", F.lit(k)).cast("long").alias("want")),
-            "state",
-        )
-        if step == 1:
-            break
-        step //= BINS
-
-    class Final(Base):
-        def __init__(self, heads):
-            super().__init__(heads)
-            self.above, self.ties = [], []
-
-        def add(self, part):
-            ids, s, own = self.scores(part)
-            for kept, hit in ((self.above, s > self.low[:, None]), (self.ties, s == self.low[:, None])):
-                row, column = np.nonzero(hit & ~own)
-                kept.append((row, ids[column], s[row, column].astype(np.int64)))
-            if sum(len(x[0]) for x in self.ties) > 1_000_000:
-                self.fewer()
-
-        def fewer(self):
-            row, ids, s = (np.concatenate(x) for x in zip(*self.ties))
-            order = np.lexsort((ids, row))
-            row, ids, s = row[order], ids[order], s[order]
-            first = np.searchsorted(row, np.arange(len(self.ids)))
-            few = np.arange(len(row)) - first[row] < self.want[row]
-            self.ties = [(row[few], ids[few], s[few])]
-
-        def close(self):
-            self.fewer()
-            row, ids, s = (np.concatenate(x) for x in zip(*self.above, *self.ties))
-            return pa.RecordBatch.from_arrays([pa.array(self.ids[row]), pa.array(ids), pa.array(s)], ["query_id", "vec_id", "score"])
-
-    last = scored(state, Final, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return last.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            whole = pa.py_buffer(out.tobytes())
+            offsets = pa.py_buffer(np.arange(len(out) + 1, dtype=np.int64) * 8 * width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(out), [None, offsets, whole]).cast(pa.binary())], ["row_no", "vec_id", "vector"])
+
+    numbered = rows.select(F.monotonically_increasing_id().alias("row_no"), "vec_id", "vector")
+    rows = materialize(numbered.mapInArrow(packed, "row_no long, vec_id long, vector binary"), "packed")
+    chosen = materialize(rows.where(F.col("vec_id") % every == 0), "queries")
+    groups = max(1, -(-chosen.count() // group))
+    widest = 1
+    while widest * BINS < 2 * bound + 1:
+        widest *= BINS
+    results = []
+    for number in range(groups):
+        heads = chosen.where(F.pmod(F.xxhash64("row_no"), F.lit(groups)) == number).toArrow().combine_chunks()
+        if not heads.num_rows:
+            continue
+        ids, own = heads.column("vec_id").to_numpy(), heads.column("row_no").to_numpy()
+        asked = np.concatenate([_vectors(c, width, kind) for c in heads.column("vector").chunks])
+        low, want = np.full(len(ids), -bound, kind), np.full(len(ids), k)
+        step = widest
+        while step:
+            sent = spark.sparkContext.broadcast((own, asked, low, want))
+
+            def count(batches, sent=sent, step=step):
+                return _histogram(Scorer(*sent.value), step, k, batches)
+
+            bins = rows.mapInArrow(count, "query long, bin long, n long").groupBy("query", "bin").agg(F.sum("n").alias("n"))
+            down = Window.partitionBy("query").orderBy(F.col("bin").desc())
+            ran = bins.withColumn("upto", F.sum("n").over(down)).withColumn("before", F.col("upto") - F.col("n"))
+            # the bin in which each query's k-th value lies; a query with fewer candidates keeps the lowest bound and gets all
+            wanted = F.broadcast(spark.createDataFrame(pa.table({"asked": pa.array(np.arange(len(want))), "want": pa.array(want)})))
+            passed = ran.join(wanted, F.col("query") == F.col("asked")).where("upto >= want")
+            for r in passed.groupBy("query").agg(F.max(F.struct("bin", "before")).alias("hit")).collect():
+                low[r.query], want[r.query] = r.hit.bin, want[r.query] - r.hit.before
+            sent.unpersist()
+            step = step // BINS if step > 1 else 0
+        sent = spark.sparkContext.broadcast((own, asked, low, want))
+
+        def last(batches, sent=sent):
+            return _above(Scorer(*sent.value), batches)
+
+        names = spark.createDataFrame(pa.table({"named": pa.array(np.arange(len(ids))), "query_id": pa.array(ids)}))
+        order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
+        best = rows.mapInArrow(last, "query long, vec_id long, score long").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        results.append(materialize(best.join(F.broadcast(names), F.col("query") == F.col("named")).select("query_id", "rank", "vec_id", "score"), "top"))
+    if not results:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return spark.read.schema(results[0].schema).parquet(*[f for r in results for f in r.inputFiles()])
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,13 +186,13 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH good AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
-  FROM good q JOIN good c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+  SELECT q.row_no, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM good q JOIN good c ON q.row_no <> c.row_no WHERE q.vec_id % 20 = 0)
 SELECT query_id, rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM pairs)
+  SELECT *, row_number() OVER (PARTITION BY row_no ORDER BY score DESC, vec_id)::INT AS rank FROM pairs)
 WHERE rank <= 20
 """

@@ -4,6 +4,7 @@ import math
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import mixing, sharding, topk
@@ -110,14 +111,15 @@ def test_shards(spark):
 
 def plain_top_k(vectors, k):
     out = []
-    for q, v in vectors.items():
+    for n, (q, v) in enumerate(vectors):
         if q % 20 == 0:
-            found = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in vectors.items() if i != q)
+            found = sorted((-sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(vectors) if m != n)
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found[:k])]
     return sorted(out)
 
 
-def test_top_k(spark, monkeypatch):
+@pytest.mark.parametrize("group", [topk.GROUP, 9])
+def test_top_k(spark, monkeypatch, group):
     monkeypatch.setattr(topk, "CHUNK", 100)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
     rng = np.random.default_rng(3)
@@ -125,16 +127,18 @@ def test_top_k(spark, monkeypatch):
     x[100:260] = x[100]
     data = [(i - 40, x[i].tolist()) for i in range(400)]
     bad = [(1001, None), (1020, [1.0, None] * 3), (1040, [float("nan")] * 6), (1060, [float("inf")] * 6), (None, [1.0] * 6)]
-    vectors = {i: [math.floor(64 * float(np.float32(c))) for c in v] for i, v in data}
-    frame_ = spark.createDataFrame(data + bad + data[:5], "vec_id long, embedding array<float>").withColumn("block", F.lit(1)).withColumn("low", F.lit("x"))
-    got = sorted(tuple(r) for r in topk.top_k(frame_).collect())
+    # rows that share an id, queries among them, count each
+    data += data[:5] + data[40:42] + [(300, data[8][1])]
+    vectors = [(i, [math.floor(64 * float(np.float32(c))) for c in v]) for i, v in data]
+    frame_ = spark.createDataFrame(data + bad, "vec_id long, embedding array<float>").withColumn("block", F.lit(1)).withColumn("low", F.lit("x"))
+    got = sorted(tuple(r) for r in topk.top_k(frame_, group=group).collect())
     assert got == plain_top_k(vectors, 20)
 
 
 def test_top_k_few_and_wide(spark):
     schema = "vec_id long, embedding array<double>"
     data = [(0, [1000.0, 2.0]), (1, [-3000.0]), (2, []), (20, [5.0, 7.0])]
-    vectors = {i: ([math.floor(64 * c) for c in v] + [0, 0])[:2] for i, v in data}
+    vectors = [(i, ([math.floor(64 * c) for c in v] + [0, 0])[:2]) for i, v in data]
     got = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(data, schema)).collect())
     assert got == plain_top_k(vectors, 20)
     assert topk.top_k(spark.createDataFrame([], schema)).count() == 0
