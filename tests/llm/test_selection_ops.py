@@ -1,6 +1,7 @@
 """Mixing, sharding and top-k search against brute force."""
 
 import math
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -64,16 +65,35 @@ def test_mix_empty_and_wordless(spark):
     assert [(r.size, r.target, r.taken) for r in got] == [(0, 0.0, 0), (0, 0.0, 0)]
 
 
-def test_mixed_rows(spark):
-    data = [r for r in rows(4) if r[0] not in (5000, None)]
+def test_mixed_rows_are_those_of_mix(spark):
+    data = rows(4) + [(None, f"no id {i}", "en", "s1", 1) for i in range(9)] + [(7, f"the same id {i}", "en", "s2", 1) for i in range(9)] + [(8000, "alike in all " * 3, "en", "s1", 1)] * 25
+    labels = spark.createDataFrame([(i * 7, i % 3 > 0, None) for i in range(60)] + [(None, True, 1), (7, None, 0)], "doc_id long, quality boolean, size int").selectExpr("doc_id", "cast(quality as int) quality", "size")
+    for share in (1.5, 0.6):
+        docs = frame(spark, data)
+        text = {}
+        plan = mixing.mix(docs, labels=labels, share=share).collect()
+        got = mixing.mixed(docs, labels=labels, share=share)
+        assert got.columns == docs.columns
+        counts, words = defaultdict(int), defaultdict(int)
+        for r in plan:
+            counts[r.source, r.doc_id] += r.repeats
+            words[r.source] += r.taken
+        for r in got.collect():
+            counts[r.source, r.doc_id] -= 1
+            words[r.source] -= len((r.text or "").split())
+        assert not any(counts.values()) and not any(words.values()), text
+
+
+def test_quality_is_learned(spark):
+    data = [(i, ("good words here " if i % 2 else "b@d w%%ds #### ") * 5, "en", "s", 1) for i in range(3000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 3000, 3)], "doc_id long, quality int")
     docs = frame(spark, data)
-    plan = {r.doc_id: r.repeats for r in mixing.mix(docs).collect()}
-    got = mixing.mixed(docs)
-    assert got.columns == docs.columns
-    counts = defaultdict(int)
-    for r in got.collect():
-        counts[r.doc_id] += 1
-    assert counts == {i: n for i, n in plan.items() if n}
+    cells = docs.select("doc_id", mixing.quality_cell(docs["text"]).alias("cell"))
+    table, default = mixing.cell_weights(cells, labels)
+    weight = sorted(r.weight for r in table.collect())
+    assert len(weight) == 2 and weight[0] < 0.01 and weight[1] > 0.99 and abs(default - 0.5) < 0.01
+    got = mixing.mix(docs, labels=labels, share=0.4).collect()
+    assert sum(r.repeats for r in got if r.doc_id % 2) > 10 * sum(r.repeats for r in got if r.doc_id % 2 == 0)
 
 
 def test_hilbert_visits_neighbours():
@@ -86,12 +106,30 @@ def test_hilbert_visits_neighbours():
         assert (np.abs(np.diff(order, axis=0)).sum(axis=1) == 1).all()
 
 
+def test_strings_count_whole(spark):
+    names = [None, "", "https://a", "https://b", "https://ba", "z", "é"]
+    data = [(i, "x", "en", names[i % 7], 1) for i in range(70)]
+    got = sharding.value_ranks(spark.createDataFrame(data, DOC_SCHEMA).select("doc_id", "source"), "source").collect()
+    assert {(names[r.doc_id % 7], r.source) for r in got} == {(n, k - 1 if k else None) for k, n in enumerate(names)} and len(got) == 70
+    # one cell a value, so that runs of the curve part the sources, and null lies lowest
+    docs = frame(spark, data)
+    curves = {}
+    for r in sharding.shard(docs, {"source": docs["source"]}).collect():
+        assert curves.setdefault(names[r.doc_id % 7], r.curve) == r.curve
+    assert [curves[n] for n in names] == sorted(set(curves.values()))
+
+
 def test_shards(spark):
     data = rows(6, 200)
     docs = frame(spark, data)
-    dims = {"source": sharding.text_code(docs["source"]), "length": F.octet_length(docs["text"])}
+    dims = {"source": docs["source"], "length": F.octet_length(docs["text"])}
     got = sharding.shard(docs, dims).collect()
-    assert len(got) == len(data)
+    body = lambda r: (r[1] or "").encode()
+    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in got) == sorted((str(r[0]), len(body(r)) + 1, zlib.crc32(body(r))) for r in data)
+    # within a cell of the curve rows go by text, then id
+    order = sorted(got, key=lambda r: (r.shard, r.slot))
+    keys = [(r.curve, r.text_crc32, r.doc_id is not None, r.doc_id or 0) for r in order]
+    assert keys == sorted(keys)
     slots = defaultdict(list)
     for r in got:
         slots[r.shard].append((r.slot, r.curve))
