@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,13 +40,15 @@ def bounded_texts(docs: DataFrame, chosen: DataFrame, group: str, each: int) ->
     spark = docs.sparkSession
     ship(spark)
     known = chosen.where(F.col("doc_id").isNotNull()).select("doc_id", F.col(group).alias("group"))
-    # of a large group only the rows below a hash are compared: some four times as many as are taken
+    # of a large group only the rows below a hash reach the driver: some four times as many as are taken
     counts = known.groupBy(F.col("group").alias("of")).agg(F.count("*").alias("rows"))
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / F.lit(float(1 << 63))
     near = known.join(counts, F.col("group") == F.col("of")).where(place * F.col("rows") <= 4.0 * each).select("doc_id", "group")
-    order = Window.partitionBy("group").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = near.groupBy("doc_id").agg(F.min("group").alias("group"))
-    ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("doc_id", "group").collect()
+    ids = near.groupBy("doc_id").agg(F.min("group").alias("group")).select("doc_id", "group", F.xxhash64("doc_id").alias("place")).collect()
+    by_group: dict = {}
+    for r in sorted(ids, key=lambda r: (r.place, r.doc_id)):
+        by_group.setdefault(r.group, []).append(r)
+    ids = [r for rows in by_group.values() for r in rows[:each]]
     if not ids:
         return []
     schema = T.StructType([T.StructField("wanted", T.LongType()), T.StructField("group", chosen.schema[group].dataType)])

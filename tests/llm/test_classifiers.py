@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from tessella.llm import language, toxicity
 from tests.llm.helpers import DOC_SCHEMA, frame, rows
@@ -63,6 +64,39 @@ def test_language_without_labels(spark):
     assert language.identify(empty, language.learn(empty)).count() == 0
 
 
+def plain_counts(text, stems):
+    low, found = text.lower(), {}
+    for k, stem in enumerate(stems):
+        n = sum(1 for i in range(len(low)) if low.startswith(stem, i) and not (i and low[i - 1].isalpha()))
+        if n:
+            found[k] = n
+    return found
+
+
+def test_stems_counted_in_batches():
+    stems = sorted({*toxicity.LEXICON, "zugrub", "été_", "idio"})
+    texts = ["", "Idiot", "an IDIOT, idiotic «idiot» bidiot", None, "scheiße Scheiß", "é" * 3 + "idiot", "idio" + "t scum" * 50_000, "sc", "um scu"] * 3
+    finder = toxicity.Finder(stems)
+    rows_, voters, rate = toxicity.features(pa.array(texts), finder)
+    got = {}
+    for r, v in zip(rows_.tolist(), voters.tolist()):
+        if v < 3 * len(stems):
+            got.setdefault(r, {}).setdefault(v // 3, set()).add(v % 3)
+    want = {i: {k: {j for j in range(3) if n > j} for k, n in plain_counts(t or "", stems).items()} for i, t in enumerate(texts)}
+    assert got == {i: w for i, w in want.items() if w}
+    assert rate.max() <= 10 and rate[0] == rate[3] == 0
+
+
+def test_prior_of_the_table_not_of_the_sample():
+    data, labels = toxic_corpus(600, 5)
+    text, toxic = [d[1] for d in data], [t for *_, t in labels]
+    rare = toxicity.fit(text, toxic, (sum(1 - t for t in toxic) * 50, sum(toxic)))
+    even = toxicity.fit(text, toxic)
+    plain = pa.array(["ta ro mi"])
+    score = lambda m: toxicity.scores(plain, m, toxicity.Finder(m.stems))[0]
+    assert score(rare) < score(even) < 0.2
+
+
 def toxic_corpus(n=400, seed=1):
     rng = random.Random(seed)
     data, labels = [], []
@@ -96,7 +130,17 @@ def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r.toxicity for r in toxicity.score_texts(docs, toxicity.learn(docs, none)).collect()}
     assert got[1] >= 0.5 > got[2]
-    assert toxicity.score_texts(spark.createDataFrame([], DOC_SCHEMA), toxicity.fit([], [])).count() == 0
+    empty = spark.createDataFrame([], DOC_SCHEMA)
+    assert toxicity.score_texts(empty, toxicity.fit([], [])).count() == toxicity.drop_toxic(empty, toxicity.learn(empty, none)).count() == 0
+
+
+def test_drop_toxic_on_awkward_rows(spark):
+    data = rows(8) + [(7000, "stupid idiot scum, worthless " * 4000, "en", "s", 0)] * 2 + [(None, "stupid idiot scum worthless", "en", "s", 0)]
+    docs = frame(spark, data)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    left = toxicity.drop_toxic(docs, toxicity.learn(docs, none))
+    assert left.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(r[0]) for r in rows(8))
 
 
 def test_label_model_discounts_copies():
@@ -106,7 +150,8 @@ def test_label_model_discounts_copies():
     a, b, c = vote(0.8, 0.1), vote(0.7, 0.1), vote(0.9, 0.2)
     x = np.stack([a, b, c, c, c], axis=1)
     marks = np.where(np.arange(3000) < 300, y, np.nan)
-    post, rates, weight = toxicity.label_model(x, 0.3, marks)
+    post, rates, weight, rater = toxicity.label_model(x, 0.3, marks, np.where(np.isnan(marks), 0.3, marks))
+    assert rater[0] < 0.1 and rater[1] > 0.9
     assert weight[2] < 0.5 < weight[0]
     assert np.mean((post > 0.5) == y) > 0.85
     assert (rates[1] > rates[0]).all()
