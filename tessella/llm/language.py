@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,19 +16,27 @@ from tessella.llm.textkernel import mapped, text_slices
 
 #: n-grams of 1 to 4 bytes, each hashed into one of so many bins (by powers of two).
 LONGEST = 4
-BIN_BITS = 13
-#: Texts to learn from and landmarks, for each language.
+BIN_BITS = 18
+#: Texts to learn from and landmarks, for each language; texts in all, however many languages there are.
 TRAIN_EACH = 300
 LANDMARKS_EACH = 24
+MOST_TRAIN = 20_000
 RIDGE = 1e-3
-BATCH_ROWS = 256
+#: Texts, and landmarks, that meet in one matrix product.
+BATCH_ROWS = 64
+LANDMARK_BLOCK = 96
 
 # Letters of one case, with any run of other ASCII as a space.
 _LETTERS = np.full(256, 0x20, np.uint8)
 _LETTERS[97:123] = np.arange(97, 123)
 _LETTERS[65:91] = np.arange(97, 123)
 _LETTERS[128:] = np.arange(128, 256)
-_ANY_LETTER = re.compile(r"[^\W\d_]")
+_ANY_LETTER = r"\p{L}"
+
+
+def lettered(texts: pa.Array) -> np.ndarray:
+    """Which texts have any letter; null has none."""
+    return pa.compute.match_substring_regex(texts, _ANY_LETTER).fill_null(False).to_numpy(zero_copy_only=False)
 
 
 def presence(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -59,26 +67,42 @@ def spectrum(texts: list[str]) -> np.ndarray:
     return np.concatenate([presence(raw, off) for _, _, raw, off in text_slices(column)] or [np.zeros((0, 1 << BIN_BITS), bool)])
 
 
-def _normal(hit: np.ndarray) -> np.ndarray:
-    x = hit.astype(np.float32)
-    return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+class Landmarks:
+    """Texts that all others are compared with, in blocks, each with the bins that any of its texts hits."""
+
+    def __init__(self, texts: list[str]):
+        self.number, self.blocks = len(texts), []
+        for low in range(0, len(texts), LANDMARK_BLOCK):
+            hit = spectrum(texts[low : low + LANDMARK_BLOCK])
+            bins = np.flatnonzero(hit.any(axis=0))
+            part = hit[:, bins].astype(np.float32)
+            self.blocks.append((bins, part / np.sqrt(np.maximum(hit.sum(axis=1, keepdims=True), 1)).astype(np.float32)))
+
+    def kernel(self, hit: np.ndarray) -> np.ndarray:
+        """Shared bins of each text (rows of ``hit``) and landmark over the root of the product of their numbers."""
+        size = np.sqrt(np.maximum(np.count_nonzero(hit, axis=1), 1))[:, None]
+        return np.hstack([hit[:, bins].astype(np.float32) @ part.T for bins, part in self.blocks]) / size
+
+    def of_column(self, texts: pa.Array) -> np.ndarray:
+        """Kernel values (texts, landmarks), some texts at a time."""
+        out = np.zeros((len(texts), self.number))
+        for low in range(0, len(texts), BATCH_ROWS):
+            for a, b, raw, offsets in text_slices(texts.slice(low, BATCH_ROWS)):
+                out[low + a : low + b] = self.kernel(presence(raw, offsets))
+        return out
 
 
 @dataclass
 class Classifier:
-    """Kernel values against ``landmarks`` (rows), times ``weights``, give a score for each of ``languages``."""
+    """Kernel values against ``landmarks``, times ``weights``, give a score for each of ``languages``."""
 
     languages: list[str]
-    landmarks: np.ndarray
+    landmarks: Landmarks
     weights: np.ndarray
     sharpness: float
 
-    def scores(self, hit: np.ndarray) -> np.ndarray:
-        kernel = _normal(hit) @ self.landmarks.T
-        return kernel.astype(np.float64) @ self.weights
-
-    def probabilities(self, hit: np.ndarray) -> np.ndarray:
-        return softmax(self.sharpness * self.scores(hit))
+    def probabilities(self, texts: pa.Array) -> np.ndarray:
+        return softmax(self.sharpness * (self.landmarks.of_column(texts) @ self.weights))
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -89,23 +113,25 @@ def softmax(x: np.ndarray) -> np.ndarray:
 def fit(texts: list[str], languages: list[str], landmarks_each: int = LANDMARKS_EACH, ridge: float = RIDGE) -> Classifier | None:
     """One-versus-rest kernel ridge regression in the span of a few landmarks of each language.
 
+    Landmarks are kept in blocks over the bins that they hit, and texts meet
+    them some at a time, so that memory does not grow with the bins.
     Of the texts every fourth is left out of the regression, only to set how
     sharply scores turn into probabilities.  None without any text.
     """
     names = sorted(set(languages))
     if not names:
         return None
-    hit, which = spectrum(texts), np.array([names.index(x) for x in languages])
+    which = np.array([names.index(x) for x in languages])
     picked = np.concatenate([np.flatnonzero(which == k)[:landmarks_each] for k in range(len(names))])
     held = np.arange(len(texts)) % 4 == 3
     if len(set(which[~held].tolist())) < len(names) or not held.any():
         held[:] = False
-    landmarks = _normal(hit[picked])
-    between = (landmarks @ landmarks.T).astype(np.float64)
+    landmarks = Landmarks([texts[i] for i in picked])
+    kernel = landmarks.of_column(pa.array(texts, pa.string()))
+    between = (kernel[picked] + kernel[picked].T) / 2
     value, vector = np.linalg.eigh(between)
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
-    kernel = (_normal(hit) @ landmarks.T).astype(np.float64)
     inside = kernel[~held] @ root
     goal = np.where(which[~held][:, None] == np.arange(len(names))[None, :], 1.0, -1.0)
     # each language counts the same, however many texts it has
@@ -119,12 +145,14 @@ def fit(texts: list[str], languages: list[str], landmarks_each: int = LANDMARKS_
     return Classifier(names, landmarks, weights, min(loss, key=loss.get))
 
 
-def learn(docs: DataFrame, each: int = TRAIN_EACH) -> Classifier | None:
-    """Fit on up to ``each`` texts a language, of rows outside the held-out fold whose lang is not null."""
+def learn(docs: DataFrame, each: int = TRAIN_EACH, most: int = MOST_TRAIN) -> Classifier | None:
+    """Fit on up to ``each`` texts a language, ``most`` in all, of rows outside the held-out fold whose lang is not null."""
     ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("language"))
     ids = ids.where(F.col("language").isNotNull() & (fold_of(F.col("doc_id"), 3) != 1))
-    rows = [r for r in bounded_texts(docs, ids, "language", each) if _ANY_LETTER.search(r.text or "")]
-    return fit([r.text for r in rows], [r.group for r in rows])
+    number = ids.select("language").distinct().count()
+    rows = bounded_texts(docs, ids, "language", max(1, min(each, most // max(1, number))))
+    rows = [r for r, good in zip(rows, lettered(pa.array([r.text for r in rows], pa.string()))) if good]
+    return fit([r.text for r in rows], [r.group for r in rows], min(LANDMARKS_EACH, max(2, 2400 // max(1, number))))
 
 
 def identify(docs: DataFrame, model: Classifier | None) -> DataFrame:
@@ -142,17 +170,13 @@ def identify(docs: DataFrame, model: Classifier | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
-            texts = batch.column(1)
             names, score = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
-            for low in range(0, batch.num_rows if model else 0, BATCH_ROWS):
-                part = texts.slice(low, BATCH_ROWS)
-                lettered = np.array([bool(t and _ANY_LETTER.search(t)) for t in part.to_pylist()])
-                for a, b, raw, offsets in text_slices(part):
-                    p = model.probabilities(presence(raw, offsets))
-                    best = p.argmax(axis=1)
-                    rows = np.flatnonzero(lettered[a:b])
-                    names[low + a + rows] = np.array(model.languages, object)[best[rows]]
-                    score[low + a + rows] = np.round(p[rows, best[rows]], 6)
+            if model is not None:
+                p = model.probabilities(batch.column(1))
+                rows = np.flatnonzero(lettered(batch.column(1)))
+                best = p.argmax(axis=1)[rows]
+                names[rows] = np.array(model.languages, object)[best]
+                score[rows] = np.round(p[rows, best], 6)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     columns = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))

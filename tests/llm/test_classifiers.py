@@ -36,7 +36,12 @@ def plain_presence(text):
 def test_presence_per_text():
     texts = ["", "a", "Ab c!", "déjà vu", "", "x" * 5, "été", "abc def ghi"]
     hit = language.spectrum(texts)
-    assert [set(np.flatnonzero(h).tolist()) for h in hit] == [plain_presence(t) for t in texts]
+    bins = [plain_presence(t) for t in texts]
+    assert [set(np.flatnonzero(h).tolist()) for h in hit] == bins
+    landmarks = language.Landmarks(texts[1:4])
+    want = [[len(x & y) / max(1, len(x) * len(y)) ** 0.5 for y in bins[1:4]] for x in bins]
+    assert np.allclose(landmarks.of_column(pa.array(texts)), want, atol=1e-6)
+    assert language.lettered(pa.array(["½ 3 _", "é", None, "", "x", "12²"])).tolist() == [False, True, False, False, True, False]
 
 
 def test_language_on_held_out_rows(spark):
