@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import json
 import re
+import textwrap
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import bounded_texts, documents, materialize
@@ -20,6 +21,10 @@ LONGEST = 3
 BACKGROUND_DOCS = 300
 BACKGROUND_LINES = 400
 L1 = 2e-4
+#: Lines before and behind a line, next to it and with anchor words too, that a template may run over.
+WRAP = 3
+#: The width at which the bodies of licences are taken to be broken.
+COLUMNS = 79
 #: The share of a template's n-grams that a paragraph must have to confirm a family.
 CONFIRM = 0.6
 
@@ -42,6 +47,45 @@ FAMILIES = {
     "Unlicense": ["The Unlicense", "This is free and unencumbered software released into the public domain"],
     "Proprietary": ["All rights reserved", "Proprietary and confidential", "Unauthorized copying of this file is strictly prohibited"],
 }
+# Paragraphs of licence texts and notices by which a family is known without its name.
+BODIES = {
+    "MIT": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ],
+    "Apache": [
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    ],
+    "GPL": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version.",
+    ],
+    "LGPL": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; "
+        "either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "AGPL": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version.",
+    ],
+    "BSD": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"],
+    "EPL": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which accompanies this distribution"],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "CC0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work and dedicated it to the public domain worldwide"],
+    "Unlicense": [
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+}
 # How statements are worded, licences outside the families, and look-alikes that are none.
 WORDINGS = [
     "{}", "Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "Released under {}.", "This work is licensed under the {}.",
@@ -135,28 +179,40 @@ def fit(background: list[str]) -> Model:
     """Learn from wordings of the families, of other licences and of none, and from paragraphs of the corpus.
 
     A class ``any`` tells licences from all else; with it, but without a
-    family, a paragraph is of the class unknown.  Every fifth wording is left
-    out of the regression and serves to calibrate the probabilities.
+    family, a paragraph is of the class unknown.  Every fifth name of a licence,
+    in all its wordings, and every fifth other paragraph are left out of the
+    regression and serve to calibrate the probabilities, so that these are of
+    names that the model has not seen.
     """
-    texts, labels = [], []
+    texts, labels, groups = [], [], []
     for family, names in FAMILIES.items():
-        for name in names:
+        for n, name in enumerate([*names, *BODIES.get(family, [])]):
             for k, wording in enumerate(WORDINGS):
                 if k and len(tokens(name)) > 9:
                     break
-                texts.append(wording.format(name))
+                texts.append(wording.format(name) if n < len(names) else name)
                 labels.append(family)
-    for name in OTHER:
+                groups.append(n)
+            # a body's lines as they stand in files, and the whole as often as a name has wordings
+            lines = [line for line in textwrap.wrap(name, COLUMNS) if len(tokens(line)) >= 8] + [name] * 4 if n >= len(names) else []
+            texts += lines
+            labels += [family] * len(lines)
+            groups += [n] * len(lines)
+    for n, name in enumerate(OTHER):
         for wording in WORDINGS[1:]:
             texts.append(wording.format(name))
             labels.append(UNKNOWN)
+            groups.append(n)
     clean = [t for t in background if not re.search(r"licen[cs]|copyright|lizenz|\bgpl\b|creative commons|all rights", t, re.I)]
-    clean = clean[:BACKGROUND_LINES]
+    # lines of licence texts without such words are no plain paragraphs either
+    bodies = [grams(" ".join(paragraphs)) for paragraphs in BODIES.values()]
+    clean = [t for t in clean if not any(2 * len(g & body) > len(g) for g in [grams(t)] for body in bodies)][:BACKGROUND_LINES]
     common = common_words(clean)
     known = {g for t in texts for g in grams(t) if not all(is_common(w, common) for w in g.split())}
-    for text in NONE + NONE + clean:
+    for n, text in enumerate(NONE + NONE + clean):
         texts.append(text)
         labels.append("")
+        groups.append(n)
     vocabulary = sorted(known)
     place = {g: i for i, g in enumerate(vocabulary)}
     x = np.zeros((len(texts), len(vocabulary)), np.float32)
@@ -164,7 +220,7 @@ def fit(background: list[str]) -> Model:
         x[i, [place[g] for g in grams(text) if g in place]] = 1
     classes = [*FAMILIES, ANY]
     y = np.array([[float(label == c or (c == ANY and label != "")) for c in classes] for label in labels])
-    held = np.arange(len(texts)) % 5 == 4
+    held = np.array(groups) % 5 == 4
     w, b = sparse_logistic(x[~held], y[~held])
     # calibration: one slope and shift for all classes, by Newton steps on the texts left out
     z, target = (x[held] @ w + b).ravel(), y[held].ravel()
@@ -215,8 +271,10 @@ def scan(docs: DataFrame, model: Model, confirm: float = CONFIRM) -> DataFrame:
     are left early; the rest meet the model's table of weights.  The family is
     the most probable one, of probability 1/2 at least; where only the class
     ``any`` passes, it is unknown.  template_share is the largest share of a
-    template of that family whose n-grams the line has; ``confirm`` of it
-    confirms the family (an unknown licence is never confirmed).
+    template of that family (a name, or a paragraph of a licence's text) whose
+    n-grams the line has, or the line with up to ``WRAP`` lines with anchor
+    words on either side, over which a statement may be broken; ``confirm`` of
+    it confirms the family (an unknown licence is never confirmed).
 
     Null and empty texts have no rows; repeated rows come out as often; an
     empty table gives an empty one; other columns are not read.
@@ -227,43 +285,49 @@ def scan(docs: DataFrame, model: Model, confirm: float = CONFIRM) -> DataFrame:
     lines = hits.select("doc_id", "row_no", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(_any_word(F.col("line"), model.anchors))
     words = F.regexp_extract_all(F.lower("line"), F.lit(_TOKEN), F.lit(0))
     lines = lines.select("doc_id", "row_no", "paragraph", F.col("line").alias("statement"), words.alias("words")).where(F.size("words") > 0)
-    lines = materialize(lines, "lines")
+    # lines next to one another, out of those with anchor words, for the templates
+    order = Window.partitionBy("row_no").orderBy("paragraph")
+    none = F.array().cast("array<string>")
+    beside = [F.when(F.lag("paragraph", k).over(order) == F.col("paragraph") - k, F.lag("words", k).over(order)).otherwise(none) for k in range(WRAP, -WRAP - 1, -1)]
+    lines = materialize(lines.withColumn("near", F.concat(*beside)), "lines")
+
+    def runs(words: str) -> Column:
+        def of(n: int) -> Column:
+            last = F.size(words) - (n - 1)
+            return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(words, i, n)))).otherwise(none)
 
-    def runs(n: int) -> Column:
-        last = F.size("words") - (n - 1)
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("words", i, n)))).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(F.concat(*[of(n) for n in range(1, LONGEST + 1)]))
 
     # only n-grams that the model or a template knows need to be told apart
-    known = sorted({g for g, _ in model.weights})
-    templates = [(f"{f}-{k}", f, sorted(grams(t))) for f, names in FAMILIES.items() for k, t in enumerate(names)]
-    every = F.array_distinct(F.concat(*[runs(n) for n in range(1, LONGEST + 1)]))
-    exploded = lines.select("doc_id", "row_no", "paragraph", "statement", F.explode(every).alias("gram"))
-    weights = [{"known": g, "scores": [{"class": f, "weight": w} for (h, f), w in model.weights.items() if h == g], "templates": []} for g in known]
-    place = {row["known"]: row for row in weights}
+    templates = [(f"{f}-{k}", f, sorted(grams(t))) for f, names in FAMILIES.items() for k, t in enumerate([*names, *BODIES.get(f, [])])]
+    scores: dict[str, list] = {}
+    for (g, family), w in model.weights.items():
+        scores.setdefault(g, []).append({"class": family, "weight": w})
+    shares: dict[str, list] = {}
     for name, family, parts in templates:
         for g in parts:
-            row = place.get(g)
-            if row is None:
-                row = place[g] = {"known": g, "scores": [], "templates": []}
-                weights.append(row)
-            row["templates"].append({"template": name, "family": family, "share": 1.0 / len(parts)})
-    table = _table(spark, weights, "known string, scores array<struct<class: string, weight: double>>, templates array<struct<template: string, family: string, share: double>>")
-    met = exploded.join(F.broadcast(table), F.col("gram") == F.col("known")).select("doc_id", "row_no", "paragraph", "statement", "scores", "templates")
-    keys = ["doc_id", "row_no", "paragraph"]
-    scored = met.select(*keys, "statement", F.explode("scores").alias("s")).groupBy(*keys, F.col("s.class").alias("class")).agg(F.sum("s.weight").alias("z"), F.first("statement").alias("statement"))
+            shares.setdefault(g, []).append({"template": name, "family": family, "share": 1.0 / len(parts)})
+    weighed = _table(spark, [{"known": g, "scores": x} for g, x in sorted(scores.items())], "known string, scores array<struct<class: string, weight: double>>")
+    shared = _table(spark, [{"known": g, "templates": x} for g, x in sorted(shares.items())], "known string, templates array<struct<template: string, family: string, share: double>>")
+    keys = ["row_no", "paragraph"]
+    gram = lambda words, table: lines.select(*keys, F.explode(runs(words)).alias("gram")).join(F.broadcast(table), F.col("gram") == F.col("known"))
+    scored = gram("words", weighed).select(*keys, F.explode("scores").alias("s")).groupBy(*keys, F.col("s.class").alias("class")).agg(F.sum("s.weight").alias("z"))
     bias = F.create_map(*[F.lit(x) for c, v in model.bias.items() for x in (c, v)])
     logit = F.round(F.lit(model.slope) * (F.col("z") + F.element_at(bias, F.col("class"))) + F.lit(model.shift), 9)
     p = F.round(1 / (1 + F.exp(-logit)), 6)
     best = F.max(F.when(F.col("class") != ANY, F.struct(p.alias("p"), F.col("class").alias("family"))))
-    judged = scored.groupBy(*keys).agg(best.alias("best"), F.max(F.when(F.col("class") == ANY, p)).alias("any"), F.first("statement").alias("statement"))
+    judged = scored.groupBy(*keys).agg(best.alias("best"), F.max(F.when(F.col("class") == ANY, p)).alias("any"))
     named = judged.where((F.col("best.p") >= 0.5) | (F.col("any") >= 0.5))
     named = named.withColumn("family", F.when(F.col("best.p") >= 0.5, F.col("best.family")).otherwise(F.lit(UNKNOWN)))
     named = named.withColumn("probability", F.when(F.col("best.p") >= 0.5, F.col("best.p")).otherwise(F.col("any")))
-    shares = met.select(*keys, F.explode("templates").alias("t")).groupBy(*keys, "t.template", "t.family").agg(F.sum("t.share").alias("share"))
-    shares = shares.groupBy(F.col("row_no").alias("of_row"), F.col("paragraph").alias("of_paragraph"), F.col("family").alias("of_family")).agg(F.round(F.max("share"), 6).alias("template_share"))
+    named = named.select(*keys, "family", "probability")
+    covered = gram("near", shared).select(*keys, F.explode("templates").alias("t")).groupBy(*keys, "t.template", "t.family").agg(F.sum("t.share").alias("share"))
+    covered = covered.groupBy(F.col("row_no").alias("of_row"), F.col("paragraph").alias("of_paragraph"), F.col("family").alias("of_family")).agg(F.round(F.max("share"), 6).alias("template_share"))
     same = (F.col("row_no") == F.col("of_row")) & (F.col("paragraph") == F.col("of_paragraph")) & (F.col("family") == F.col("of_family"))
+    stated = lines.select("doc_id", F.col("row_no").alias("line_row"), F.col("paragraph").alias("line_paragraph"), "statement")
+    named = named.join(stated, (named["row_no"] == stated["line_row"]) & (named["paragraph"] == stated["line_paragraph"]))
     share = F.coalesce("template_share", F.lit(0.0))
-    return named.join(shares, same, "left").select("doc_id", "paragraph", "family", "probability", share.alias("template_share"), (share >= confirm).alias("confirmed"), "statement")
+    return named.join(covered, same, "left").select("doc_id", "paragraph", "family", "probability", share.alias("template_share"), (share >= confirm).alias("confirmed"), "statement")
 
 
 def learn(docs: DataFrame, each: int = BACKGROUND_DOCS) -> Model:

@@ -51,3 +51,25 @@ def test_equals_plain_model(spark):
                 want[i, k] = licences.UNKNOWN, any_p
     assert got.keys() == want.keys()
     assert all(got[k][0] == want[k][0] and math.isclose(got[k][1], want[k][1], abs_tol=2e-6) for k in got)
+
+
+def test_wrapped_texts_are_confirmed(spark):
+    """Statements broken at 79 columns, as they stand in source files: each family's own text has lines that are confirmed, and none of a family of other wording."""
+    import textwrap
+
+    wrapped = {f: "\n".join(textwrap.wrap(" ".join(paragraphs), 79)) for f, paragraphs in licences.BODIES.items()}
+    data = [(i, "a plain line here\n\n" + text + "\n\nand der été", "en", "s", 0) for i, text in enumerate(wrapped.values())]
+    docs = frame(spark, data)
+    got = licences.scan(docs, licences.learn(docs)).collect()
+    confirmed = {(list(wrapped)[r.doc_id], r.family) for r in got if r.confirmed}
+    assert {f for f, g in confirmed if f == g} == set(wrapped)
+    # lines without the name, in which these texts are the same
+    alike = [{"ISC", "MIT"}, {"GPL", "LGPL", "AGPL"}]
+    assert all(f == g or any({f, g} <= a for a in alike) for f, g in confirmed)
+
+
+def test_calibrated_on_names_not_seen():
+    model = licences.fit(["the public library is open", "a plain line of words"] * 20)
+    strange = ["Licensed under the Sleepycat License.", "This work is licensed under the Eiffel Forum License 2"]
+    p = [model.probability(t) for t in strange]
+    assert all(x[licences.ANY] >= 0.5 and max(v for k, v in x.items() if k != licences.ANY) < 0.5 for x in p)
