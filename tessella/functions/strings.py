@@ -87,3 +87,39 @@ def answer_of(code: Column) -> Column:
 
 def answer_code(answer: Column, certainty: Column, seconds: Column) -> Column:
     return F.concat_ws(",", answer.cast("string"), certainty.cast("string"), F.format_string("%f", seconds.cast("double")))
+
+
+def full_path(path: Column, base: Column) -> Column:
+    """``path`` itself if it begins at a root or a drive, else within ``base``."""
+    return F.when(path.rlike(r"^(/|.:[/\\])"), path).otherwise(F.concat_ws("/", base, path))
+
+
+def safe_name(s: Column) -> Column:
+    """Every character but ASCII letters, digits, '_', '.' and '-' as '_'."""
+    return F.regexp_replace(s, r"[^A-Za-z0-9_.-]", "_")
+
+
+def user_and_image(s: Column) -> Column:
+    """'user_image..' as (user, image): what stands before the first underscore, and between that and the next."""
+    part = F.split(s, "_")
+    return F.struct(F.get(part, F.lit(0)).alias("user"), F.get(part, F.lit(1)).alias("image"))
+
+
+def valid_species(s: Column) -> Column:
+    """Letters, apostrophes, hyphens and spaces only, and at least one."""
+    return s.rlike(r"^[a-zA-Z'\- ]+$")
+
+
+def valid_count(s: Column) -> Column:
+    """Digits only, and at least one."""
+    return s.rlike(r"^[0-9]+$")
+
+
+def upper_case(s: Column) -> Column:
+    """a-z as A-Z; other characters stay."""
+    return F.translate(s, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def lower_case(s: Column) -> Column:
+    """A-Z as a-z; other characters stay."""
+    return F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.probability import entropy, normalise, powered
+from tessella.operators.ordering import unit_of
 from tessella.session import ship
 
 
@@ -253,8 +254,7 @@ def batch_answers(priors: DataFrame, model: DataFrame, questions: DataFrame, sam
     by = Window.partitionBy("session", "question", "attribute")
     share = F.sum(F.col("p") * F.col("yes")).over(by) / (F.sum(F.col("p") * (F.col("yes") + F.col("no"))).over(by))
     drawn = known.withColumn("share", share).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    u = F.pmod(F.xxhash64("session", "question", "sample", "attribute", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = drawn.withColumn("answer", (u < F.col("share")).cast("int"))
+    drawn = drawn.withColumn("answer", (unit_of("session", "question", "sample", "attribute", seed=seed) < F.col("share")).cast("int"))
     factor = F.when(F.col("answer") == 1, F.col("yes") / F.col("share")).otherwise(F.col("no") / (1 - F.col("share")))
     mass = drawn.groupBy("session", "question", "sample", "class").agg(F.first("p").alias("p"), F.exp(F.sum(F.when(factor > 0, F.ln(factor)))).alias("ratio"), F.max((factor <= 0).cast("int")).alias("none"))
     return mass.select("session", "question", "sample", "class", (F.when(F.col("none") == 1, F.lit(0.0)).otherwise(F.col("p") * F.col("ratio")) / samples).alias("u"))

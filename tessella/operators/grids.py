@@ -91,14 +91,21 @@ def oriented_histograms(image: np.ndarray, cell: int = 8, bins: int = 9, clip: f
     return out
 
 
-def binary_patterns(image: np.ndarray) -> np.ndarray:
-    """Codes of eight neighbours that are above their centre, as one number a cell; the border is left out."""
-    centre = image[1:-1, 1:-1]
-    around = [(-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1)]
-    out = np.zeros(centre.shape, np.uint8)
-    for bit, (dy, dx) in enumerate(around):
-        out |= (image[1 + dy : image.shape[0] - 1 + dy, 1 + dx : image.shape[1] - 1 + dx] > centre).astype(np.uint8) << bit
-    return out
+def binary_patterns(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code, weight) of each cell: which of its eight neighbours alone is above it, 0 to 7 from the right counter-clockwise, with weight 1.
+
+    Cells with none or several above them, and the border, have code and weight 0.
+    """
+    code, weight = np.zeros(image.shape, np.uint8), np.zeros(image.shape, np.uint8)
+    if min(image.shape) < 3:
+        return code, weight
+    h, w = image.shape
+    around = [(0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1)]
+    above = np.stack([image[1 + dy : h - 1 + dy, 1 + dx : w - 1 + dx] > image[1:-1, 1:-1] for dy, dx in around])
+    alone = above.sum(axis=0) == 1
+    weight[1:-1, 1:-1] = alone
+    code[1:-1, 1:-1] = np.where(alone, above.argmax(axis=0), 0)
+    return code, weight
 
 
 def slide(features: np.ndarray, template: np.ndarray) -> np.ndarray:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators import grids
+from tessella.operators.ordering import unit_of
 from tessella.session import ship
 
 MAP = "id long, height int, width int, channels int, values array<double>"
@@ -51,7 +52,8 @@ def histograms(maps: DataFrame, cell: int = 8, bins: int = 9) -> DataFrame:
 
 
 def patterns(maps: DataFrame) -> DataFrame:
-    return transformed(maps, grids.binary_patterns)
+    """Two channels: the code of the one neighbour above each cell, and its weight."""
+    return transformed(maps, lambda a: np.dstack(grids.binary_patterns(a)))
 
 
 def detected(maps: DataFrame, template: np.ndarray) -> DataFrame:
@@ -165,10 +167,17 @@ def infer_trees(maps: DataFrame, children: dict, springs: dict, root: int) -> Da
 
 
 def with_evidence(cells: DataFrame, clicks: DataFrame, gamma: float, wx: float, wy: float) -> DataFrame:
-    """Cells (id, part, y, x, value) plus each click's soft score; a click counts for its own image and part."""
-    at = clicks.groupBy("id", "part").agg(F.first("x").alias("cx"), F.first("y").alias("cy"))
-    soft = -F.lit(gamma) * (F.lit(wx) * F.pow(F.col("x") - F.col("cx"), 2) + F.lit(wy) * F.pow(F.col("y") - F.col("cy"), 2))
-    return cells.join(at, ["id", "part"], "left").withColumn("value", F.col("value") + F.coalesce(soft, F.lit(0.0))).drop("cx", "cy")
+    """Cells (id, part, y, x, value) plus the soft scores of all clicks (id, part, x, y) on their own image and part.
+
+    The sum over clicks is a polynomial of the cell's place, so that one row a
+    part, of the clicks' number and moments, is all that is joined.
+    """
+    sums = {f"{k}_{c}": F.sum(F.pow(F.col(c), k)) for c in ("x", "y") for k in (1, 2)}
+    moments = clicks.groupBy(F.col("id").alias("of_id"), F.col("part").alias("of_part")).agg(F.count("*").alias("n"), *[v.alias(k) for k, v in sums.items()])
+    square = lambda c: F.col("n") * F.pow(F.col(c), 2) - 2 * F.col(c) * F.col(f"1_{c}") + F.col(f"2_{c}")
+    soft = -F.lit(gamma) * (F.lit(wx) * square("x") + F.lit(wy) * square("y"))
+    joined = cells.join(moments, (cells["id"] == moments["of_id"]) & (cells["part"] == moments["of_part"]), "left")
+    return joined.withColumn("value", F.col("value") + F.coalesce(soft, F.lit(0.0))).drop("of_id", "of_part", "n", *sums)
 
 
 def placed_only(cells: DataFrame, given: DataFrame) -> DataFrame:
@@ -185,12 +194,24 @@ def with_priors(cells: DataFrame, bias: float, by_cell: dict[int, float], levels
     return cells.withColumn("value", F.col("value") + F.lit(float(bias)) + prior)
 
 
+def drawn(rows: DataFrame, by: list[str], order: list[str], mass: str, draws: int, seed: int = 0) -> DataFrame:
+    """(by, draw, order): of each group ``draws`` rows, by ``mass``: the inverse of the running sum in ``order``.
+
+    Draws are numbers by md5 of the group and the draw's number.  They are
+    sorted in among the starts of the rows' shares, and each takes the last row
+    that begins before it, so that rows and draws are never paired.
+    """
+    group = Window.partitionBy(*by)
+    ran = rows.select(*by, *order, F.col(mass).cast("double").alias("mass")).where("mass > 0")
+    ran = ran.withColumn("whole", F.sum("mass").over(group)).withColumn("upto", F.sum("mass").over(group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)))
+    starts = ran.select(*by, F.struct(*order).alias("row"), (F.coalesce("upto", F.lit(0.0)) / F.col("whole")).alias("at"), F.lit(None).cast("int").alias("draw"))
+    groups = rows.select(*by).distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    asked = groups.select(*by, F.lit(None).cast(starts.schema["row"].dataType).alias("row"), unit_of(*by, "draw", seed=seed).alias("at"), "draw")
+    last = F.last("row", ignorenulls=True).over(group.orderBy("at", F.col("draw").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    return starts.unionByName(asked).withColumn("row", last).where("draw is not null and row is not null").select(*by, "draw", "row.*")
+
+
 def sampled_cells(cells: DataFrame, draws: int, gamma: float = 1.0, seed: int = 0) -> DataFrame:
-    """(id, draw, y, x): ``draws`` cells of each map, by exp(gamma * value): the inverse of the running sum in row order."""
-    window = Window.partitionBy("id")
-    mass = F.exp(F.lit(gamma) * (F.col("value") - F.max("value").over(window)))
-    ran = cells.withColumn("mass", mass).withColumn("upto", F.sum("mass").over(window.orderBy("y", "x").rowsBetween(Window.unboundedPreceding, 0)))
-    ran = ran.withColumn("whole", F.sum("mass").over(window)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    u = F.pmod(F.xxhash64("id", "draw", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    hit = (F.col("upto") > u * F.col("whole")) & (F.col("upto") - F.col("mass") <= u * F.col("whole"))
-    return ran.where(hit).groupBy("id", "draw").agg(F.min(F.struct("y", "x")).alias("c")).select("id", "draw", "c.y", "c.x")
+    """(id, draw, y, x): ``draws`` cells of each map, by exp(gamma * value)."""
+    mass = F.exp(F.lit(gamma) * (F.col("value") - F.max("value").over(Window.partitionBy("id"))))
+    return drawn(cells.withColumn("mass", mass), ["id"], ["y", "x"], "mass", draws, seed)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.session import materialize
+
 
 def by_pose(df: DataFrame, poses: str, cls: str) -> DataFrame:
     """Objects without poses first, then by the poses from the last part to the first, then by class."""
@@ -36,6 +38,11 @@ def key_of(*columns: str, seed: int = 0) -> Column:
     return F.md5(text.cast("binary"))
 
 
+def unit_of(*columns: str, seed: int = 0) -> Column:
+    """A repeatable random number in (0, 1): the first 52 bits of ``key_of``."""
+    return (F.conv(F.substring(key_of(*columns, seed=seed), 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
 def shuffled(df: DataFrame, *columns: str, seed: int = 0) -> DataFrame:
     return df.orderBy(key_of(*columns, seed=seed))
 
@@ -67,3 +74,59 @@ def scheduled(examples: DataFrame, epoch: int, most: int) -> DataFrame:
 def class_order(df: DataFrame, by: str) -> list[Column]:
     """Orders of a confusion view: id, name, frequency or group."""
     return {"id": [F.col("id")], "name": [F.col("name"), F.col("id")], "frequency": [F.col("n").desc(), F.col("id")], "group": [F.col("group"), F.col("id")]}[by]
+
+
+def by_class(cls: str, *ties: str) -> list[Column]:
+    return [F.col(cls), *map(F.col, ties)]
+
+
+def by_score(score: str, *ties: str) -> list[Column]:
+    """Highest first; without a score last."""
+    return [F.col(score).desc_nulls_last(), *map(F.col, ties)]
+
+
+def by_loss(loss: str, *ties: str) -> list[Column]:
+    """Lowest first; examples without one, which have nothing to show, before all."""
+    return [F.col(loss).asc_nulls_first(), *map(F.col, ties)]
+
+
+def by_size(value: str, *ties: str) -> list[Column]:
+    """Values of features or samples, largest in size first."""
+    return [F.abs(F.col(value)).desc_nulls_last(), *map(F.col, ties)]
+
+
+def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` with its place, from 0, in an order of the whole table.
+
+    Ranges of the order are sorted apart and numbered by the sums of the
+    counts before them; only the counts reach the driver, never a single task.
+    """
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("numbered_at", F.monotonically_increasing_id())
+    ranged = materialize(ranged, "numbered")
+    part = F.shiftright("numbered_at", 33)
+    starts, total = [], 0
+    for p, n in sorted((r.part, r.n) for r in ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):
+        starts.append((p, total))
+        total += n
+    begun = F.broadcast(spark.createDataFrame(starts, "numbered_part long, numbered_from long"))
+    joined = ranged.join(begun, part == F.col("numbered_part"))
+    return joined.withColumn("place", F.col("numbered_from") + F.col("numbered_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("numbered_at", "numbered_part", "numbered_from")
+
+
+def sampled_points(points: DataFrame, image: str, columns: list[str], images: int, each: int, seed: int = 0) -> DataFrame:
+    """For a codebook: ``each`` random points (told apart by ``columns``) of each of ``images`` random images.
+
+    Images are chosen by the hashes of their ids alone; of the points of one
+    image a task keeps no more than are wanted.
+    """
+    chosen = points.select(F.col(image).alias("of_image")).distinct().orderBy(key_of("of_image", seed=seed)).limit(images)
+    joined = points.join(chosen, points[image] == chosen["of_image"]).drop("of_image")
+    key = key_of(image, *columns, seed=seed)
+    place = F.row_number().over(Window.partitionBy(image).orderBy(key, *columns))
+    return joined.withColumn("place", place).where(F.col("place") <= each).drop("place")
+
+
+def working_set(rows: DataFrame, gain: str, most: int, *ties: str) -> DataFrame:
+    """The ``most`` rows that violate most."""
+    return rows.orderBy(F.col(gain).desc(), *ties).limit(most)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.numbers import circular_difference
+from tessella.operators.ordering import unit_of
+from tessella.session import materialize
 
 
 def flattened_weights(weights: DataFrame, kinds: list[str]) -> DataFrame:
@@ -106,3 +108,29 @@ def hard_negatives(scores: DataFrame, most: int, margin: float = -1.0) -> DataFr
     """Negatives (example, sample, score) above the margin, the ``most`` highest of each example."""
     order = Window.partitionBy("example").orderBy(F.col("score").desc(), "sample")
     return scores.where(F.col("score") > margin).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
+
+
+def drawn_places(spark: SparkSession, offsets: DataFrame, root: int, draws: int, width: float, height: float, pad: float, seed: int = 0) -> DataFrame:
+    """(draw, part, x, y): places of a tree of parts, drawn without looking at an image.
+
+    The root lies anywhere within ``pad`` of the border; each child at its
+    parent's place plus its mean offset plus a Gaussian of its spread.
+    ``offsets``: parent, child, dx, dy, spread.  Random numbers come by md5 from
+    the draw and the part (Box-Muller), so that the tree, level by level, is
+    joined only with itself.
+    """
+    lucky = lambda mark: unit_of("draw", "part", mark, seed=seed)
+    # one column for each random number, which holds its name
+    marked = lambda df: df.withColumns({m: F.lit(m) for m in ("x", "y", "u", "v")})
+    first = marked(spark.range(draws).select(F.col("id").cast("int").alias("draw"), F.lit(root).alias("part")))
+    level = materialize(first.select("draw", "part", (pad + (width - 2 * pad) * lucky("x")).alias("x"), (pad + (height - 2 * pad) * lucky("y")).alias("y")), "level")
+    out = level
+    while True:
+        step = level.withColumnRenamed("part", "above").join(offsets, F.col("above") == offsets["parent"])
+        step = marked(step.select("draw", F.col("child").cast("int").alias("part"), F.col("x").alias("px"), F.col("y").alias("py"), "dx", "dy", "spread"))
+        length, turn = F.col("spread") * F.sqrt(-2 * F.ln(lucky("u"))), 2 * F.pi() * lucky("v")
+        level = step.select("draw", "part", (F.col("px") + F.col("dx") + length * F.cos(turn)).alias("x"), (F.col("py") + F.col("dy") + length * F.sin(turn)).alias("y"))
+        level = materialize(level, "level")
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level)

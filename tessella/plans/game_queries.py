@@ -244,7 +244,16 @@ QUERIES = {
         u AS (SELECT session, (attribute // 4)::INT AS question, certainty, attribute, CASE WHEN model.p > 0 THEN priors.p * exp(weight * ln(model.p)) ELSE 0 END AS u FROM priors JOIN model USING (class)),
         a AS (SELECT session, question, certainty, attribute, sum(u) AS mass, sum(CASE WHEN u > 0 THEN u * ln(u) ELSE 0 END) AS ulnu FROM u GROUP BY 1, 2, 3, 4)
         SELECT session, question, round(sum(mass * ln(mass) - ulnu) / sum(mass), 6) AS expected_entropy FROM a GROUP BY 1, 2"""),
-    "b4_batch_question": (e2e_batch, None),
+    "b4_batch_question": (e2e_batch, MODEL + PRIORS + """, sure AS (SELECT attribute, class, arg_max(p, weight) AS q, max(weight) AS weight FROM model GROUP BY 1, 2),
+        known AS (SELECT session, (attribute // 3)::INT AS question, attribute, class, priors.p,
+          CASE WHEN q > 0 THEN exp(weight * ln(q)) ELSE 0 END AS yes, CASE WHEN q < 1 THEN exp(weight * ln(1 - q)) ELSE 0 END AS no FROM priors JOIN sure USING (class)),
+        shared AS (SELECT *, sum(p * yes) OVER k / sum(p * (yes + no)) OVER k AS share FROM known WINDOW k AS (PARTITION BY session, question, attribute)),
+        drawn AS (SELECT *, (('0x' || substr(md5(session || '|' || question || '|' || sample || '|' || attribute || '|0'), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496 < share AS said
+          FROM shared CROSS JOIN (SELECT unnest(range(500))::INT AS sample)),
+        factors AS (SELECT *, CASE WHEN said THEN yes / share ELSE no / (1 - share) END AS f FROM drawn),
+        mass AS (SELECT session, question, sample, class, CASE WHEN min(f) <= 0 THEN 0 ELSE any_value(p) * exp(sum(CASE WHEN f > 0 THEN ln(f) END)) END / 500 AS u FROM factors GROUP BY 1, 2, 3, 4),
+        told AS (SELECT session, question, sample, sum(u) AS m, sum(CASE WHEN u > 0 THEN u * ln(u) ELSE 0 END) AS ulnu FROM mass GROUP BY 1, 2, 3)
+        SELECT session, question, round(sum(CASE WHEN m > 0 THEN m * ln(m) - ulnu ELSE 0 END) / sum(m), 6) + 0 AS expected_entropy FROM told GROUP BY 1, 2"""),
     "b5_click_answers": (b5, cte("parts") + """, p AS (SELECT * FROM parts),
         u AS (SELECT s.object AS session, (s.part % 3)::INT AS class, sum(exp(-0.01::DOUBLE * (0.01::DOUBLE * (s.x - c.x - 10) ** 2 + 0.01::DOUBLE * (s.y - c.y) ** 2))) AS u FROM p s JOIN p c ON s.object = c.object AND c.part = 1 GROUP BY 1, 2)
         SELECT session, class, round(CASE WHEN sum(u) OVER (PARTITION BY session) <> 0 THEN u / sum(u) OVER (PARTITION BY session) ELSE 0 END, 6) AS p FROM u"""),

@@ -144,7 +144,13 @@ QUERIES = {
     "a6_answer_probabilities": (a6, MODEL + PRIORS + """, j AS (SELECT session, attribute, certainty, answer, sum(priors.p * CASE WHEN q > 0 THEN exp(weight * ln(q)) ELSE 0 END) AS mass
         FROM priors JOIN (SELECT *, CASE WHEN answer = 1 THEN p ELSE 1 - p END AS q FROM model CROSS JOIN (SELECT unnest([0, 1])::INT AS answer)) m USING (class) GROUP BY 1, 2, 3, 4)
         SELECT session, attribute, certainty, answer, round(mass / sum(mass) OVER (PARTITION BY session, attribute), 6) AS p FROM j"""),
-    "a17_spanning_tree": (a17, None),
+    "a17_spanning_tree": (a17, cte("parts").replace("WITH", "WITH RECURSIVE", 1) + """, p AS (SELECT * FROM parts WHERE visible = 1),
+        e AS (SELECT p.part AS a, q.part AS b, round(avg(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2)), 6) AS c FROM p JOIN p q ON p.object = q.object AND p.part <> q.part GROUP BY 1, 2),
+        root AS (SELECT part FROM p GROUP BY 1 ORDER BY count(*) DESC, part LIMIT 1),
+        r AS (SELECT [part] AS used, NULL::INT AS parent, part AS child, 0 AS step FROM root
+          UNION ALL SELECT list_append(any_value(used), (min({'c': c, 'a': a, 'b': b})).b), (min({'c': c, 'a': a, 'b': b})).a, (min({'c': c, 'a': a, 'b': b})).b, step + 1
+          FROM r JOIN e ON list_contains(used, a) AND NOT list_contains(used, b) GROUP BY step)
+        SELECT parent, child FROM r WHERE step > 0"""),
     "a23_node_frequency": (a23, "SELECT label AS source, count(*)::BIGINT AS frequency FROM embeddings GROUP BY 1"),
     "j12_sparse_dense_dot": (j12, f"WITH centroids AS ({views.SQL['centroids']}), {FLAT} SELECT id AS example, c.class, round(sum(x * w), 6) + 0 AS dot FROM flat JOIN centroids c USING (j) WHERE w > 0 GROUP BY 1, 2"),
     "j17_cost_lookup": (j17, tq.PRED + "SELECT gt, round(avg(CASE WHEN (gt + pred) % 3 = 0 THEN abs(gt - pred) / 10 ELSE (gt <> pred)::INT END), 6) AS loss FROM predictions GROUP BY 1"),

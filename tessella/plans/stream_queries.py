@@ -32,7 +32,7 @@ def x14(spark, d):
         C("user_id").cast("string").alias("session_id"), C("event_id").alias("seq"), n.alias("method"), (k % 24).alias("question_id"), (C("event_id") % 2).cast("int").alias("answer"),
         (C("event_id") % 4).cast("int").alias("certainty"), C("value").alias("response_time"), (k % 10).alias("class"), F.lit(False).alias("verified"),
     )
-    replies = st.run_to_end(st.question_sessions(e, model_of(spark, d)))
+    replies = st.run_to_end(st.question_sessions(e, model_of(spark, d), idle_minutes=None))
     return replies.groupBy("session_id").agg(F.count("*").alias("requests"), F.sum(C("ok").cast("int")).alias("done"), F.max("asked").alias("most_asked"))
 
 

@@ -655,7 +655,13 @@ QUERIES = {
     "m10_bow_hist": (m10, PRED + "SELECT id % 7 AS image, pred AS word, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY id % 7), 6) AS share FROM predictions GROUP BY 1, 2"),
     "m11_pyramid": (m11, """WITH c AS (SELECT l_suppkey % 5 AS image, l_partkey % 40 AS y, l_orderkey % 64 AS x, l_returnflag AS word FROM lineitem), v AS (SELECT *, (2 ** level)::INT AS side FROM c CROSS JOIN (SELECT unnest(range(3))::INT AS level))
         SELECT image, level, ((y * side) // 40 * side + (x * side) // 64)::INT AS cell, word, count(*) AS n FROM v GROUP BY 1, 2, 3, 4"""),
-    "m14_nms": (m14, None),
+    "m14_nms": (m14, cte("boxes").replace("WITH", "WITH RECURSIVE", 1) + """, b AS (SELECT *, row_number() OVER (PARTITION BY object ORDER BY score DESC, part) AS k FROM boxes),
+        r AS (SELECT object, k, [{'part': part, 'x': x, 'y': y, 'w': w, 'h': h}] AS kept FROM b WHERE k = 1
+          UNION ALL SELECT b.object, b.k, CASE WHEN len(list_filter(r.kept, lambda q:
+            greatest(least(q.x + q.w, b.x + b.w) - greatest(q.x, b.x), 0) * greatest(least(q.y + q.h, b.y + b.h) - greatest(q.y, b.y), 0) * 1.1::DOUBLE > 0.1::DOUBLE * (q.w * q.h + b.w * b.h))) > 0
+            THEN r.kept ELSE list_append(r.kept, {'part': b.part, 'x': b.x, 'y': b.y, 'w': b.w, 'h': b.h}) END FROM r JOIN b ON b.object = r.object AND b.k = r.k + 1),
+        ends AS (SELECT object, arg_max(kept, k) AS kept FROM r GROUP BY 1)
+        SELECT object, unnest(list_transform(kept, lambda q: q.part))::BIGINT AS part FROM ends"""),
     "m24_multiclass_argmax": (m24, f"""WITH centroids AS ({views.SQL["centroids"]}), {FLAT}, s AS (SELECT id, f.class AS gt, c.class, round(sum(x * w) + (f.class <> c.class)::INT, 9) AS s FROM flat f JOIN centroids c USING (j) GROUP BY 1, 2, 3)
         SELECT id AS example, class, round(s, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, class) = 1"""),
     "x3_sgd_step": (x3, f"""WITH centroids AS ({views.SQL["centroids"]}), {FLAT}, g AS (SELECT j, sum(x) / (SELECT count(DISTINCT id) FROM flat WHERE x > 0) / 0.05::DOUBLE AS g FROM flat WHERE x > 0 GROUP BY 1)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.session import materialize
 from tessella.sources.folders import parsed_requests, responses
 
 
@@ -33,13 +34,21 @@ class Methods:
         return {name: text for name, (_, text) in sorted(self._handlers.items())}
 
     def dispatch(self, lines: DataFrame) -> DataFrame:
-        """(value): a reply for each request text in column value."""
+        """(value): a reply for each request text in column value.
+
+        A batch is parsed and written once, and only handlers of methods that
+        it names are called.
+        """
         parsed = parsed_requests(lines)
         known = parsed["request.method"].isin(list(self._handlers)) if self._handlers else F.lit(False)
         parsed = parsed.withColumn("error", F.coalesce("error", F.when(~known, F.concat(F.lit("unknown method "), F.col("request.method")))))
+        parsed = materialize(parsed, "parsed")
+        named = {r.method for r in parsed.where("error is null").select("request.method").distinct().collect()}
         columns = ["request", "error", "result"]
         out = parsed.where(F.col("error").isNotNull()).withColumn("result", F.lit(None).cast("string")).select(*columns)
         for name, (handler, _) in self._handlers.items():
+            if name not in named:
+                continue
             mine = parsed.where(F.col("error").isNull() & (F.col("request.method") == name))
             out = out.unionByName(handler(mine).withColumn("result", F.col("result").cast("string")).select(*columns))
         return responses(out, F.col("result"))

@@ -12,25 +12,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessella.operators.game import Model
+from tessella.operators.game import MOST_CELLS, Model
 from tessella.session import shared_folder, ship
 
 REPLY = "session_id string, seq long, method string, ok boolean, question int, top_class int, top_p double, asked int, elapsed double"
 
 
-def question_sessions(requests: DataFrame, model: DataFrame, gamma: float = 1.0) -> DataFrame:
+def question_sessions(requests: DataFrame, model: DataFrame, gamma: float = 1.0, idle_minutes: int | None = 120) -> DataFrame:
     """Replies to requests, session by session: initialize_20q, next_question, answer_question, verify_class.
 
     ``requests`` (a stream): session_id, seq, method, question_id, answer,
     certainty, response_time, class, verified.  State a session: posterior,
     questions asked, seconds.  A request before initialize_20q, to an unknown
     question, or asked already, is answered with ok = false and changes nothing.
+    The state of a session that has been idle for ``idle_minutes`` is dropped;
+    a stream that ends with its input (available now) takes None, as it would
+    wait for idle sessions for ever.
+    The model is bounded as in ``game.play``.
     """
     ship(requests.sparkSession)
-    rows = [r.asDict() for r in model.select("class", "attribute", "certainty", "weight", "p").collect()]
+    rows = [r.asDict() for r in model.select("class", "attribute", "certainty", "weight", "p").limit(MOST_CELLS + 1).collect()]
+    if len(rows) > MOST_CELLS:
+        raise ValueError("the response model is too large to be sent to each worker")
     held = requests.sparkSession.sparkContext.broadcast(Model(rows, gamma))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         m = held.value
         prior, asked, elapsed = (json.loads(state.get[0]) if state.exists else (None, [], 0.0))
         out = []
@@ -64,10 +73,12 @@ def question_sessions(requests: DataFrame, model: DataFrame, gamma: float = 1.0)
             top = int(np.lexsort((np.arange(len(p)), -np.round(p, 9)))[0]) if p is not None else None
             out.append((key[0], row["seq"], method, ok, question, m.classes[top] if top is not None else None, float(p[top]) if top is not None else None, len(asked), elapsed))
         state.update((json.dumps([prior, asked, elapsed]),))
+        if idle_minutes is not None:
+            state.setTimeoutDuration(idle_minutes * 60_000)
         frame = pd.DataFrame(out, columns=[f.split()[0] for f in REPLY.split(", ")])
         yield frame.astype({"question": "Int32", "top_class": "Int32"})
 
-    return requests.groupBy("session_id").applyInPandasWithState(step, REPLY, "state string", "append", GroupStateTimeout.NoTimeout)
+    return requests.groupBy("session_id").applyInPandasWithState(step, REPLY, "state string", "append", GroupStateTimeout.NoTimeout if idle_minutes is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def class_counts(events: DataFrame) -> DataFrame:

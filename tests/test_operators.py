@@ -53,8 +53,15 @@ def test_tree_inference():
 
 
 def test_image_kernels():
-    image = np.arange(100.0).reshape(10, 10)
-    assert (grids.binary_patterns(image) == grids.binary_patterns(image)[0, 0]).all()
+    image = np.zeros((9, 9))
+    # one cell above all: each of its neighbours sees it, from the other side
+    image[4, 4] = 1
+    code, weight = grids.binary_patterns(image)
+    seen = {(4, 3): 0, (5, 3): 1, (5, 4): 2, (5, 5): 3, (4, 5): 4, (3, 5): 5, (3, 4): 6, (3, 3): 7}
+    assert {(y, x): int(code[y, x]) for y, x in zip(*np.nonzero(weight))} == seen and not code[weight == 0].any()
+    # a ramp has several neighbours above each cell
+    assert not grids.binary_patterns(np.arange(100.0).reshape(10, 10))[1].any()
+    assert not grids.binary_patterns(np.ones((2, 5)))[1].any()
     cells = grids.oriented_histograms(np.random.default_rng(0).random((16, 24)), 8, 9)
     assert cells.shape == (2, 3, 9) and np.allclose(np.linalg.norm(cells, axis=2), 1)
     template = cells[:1, :2]
