@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.session import ship
+from tessella.session import rows_of, ship
 
 #: Numbers that may be sent to each worker as one side of a search.
 MOST_NUMBERS = 20_000_000
@@ -56,6 +56,9 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1, same_class: bool
     """
     spark = points.sparkSession
     ship(spark)
+    asked = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).first()
+    if asked.n * max(asked.width or 0, 1) > MOST_NUMBERS:
+        raise ValueError("this side of the search is too large to be sent to each worker")
     rows = queries.select("id", "vector", *(["class"] if same_class else [])).collect()
     ids, vectors = checked_array(rows, "vector")
     held = spark.sparkContext.broadcast((np.array(ids, np.int64), vectors, np.array([r["class"] for r in rows]) if same_class else None))
@@ -67,7 +70,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1, same_class: bool
             for low in range(0, batch.num_rows if len(ids) else 0, BLOCK):
                 part = batch.slice(low, BLOCK)
                 own = part.column(0).to_numpy(zero_copy_only=False)
-                x = np.array(part.column(1).to_pylist(), np.float64).reshape(len(own), -1)
+                x = rows_of(part.column(1))
                 gap = (vectors**2).sum(1)[:, None] - 2 * vectors @ x.T + (x**2).sum(1)[None, :]
                 gap = np.round(np.maximum(gap, 0.0), 9)
                 gap[ids[:, None] == own[None, :]] = np.inf
@@ -89,6 +92,21 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1, same_class: bool
     return partial.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("id", "place", "found", "distance")
 
 
+def _exact_gaps(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances, to nine digits, of each row to the centres that may be its nearest; infinity to all others.
+
+    One matrix product tells which those are; only their distances are made
+    term by term, so that ties are found as they are.
+    """
+    size = (x**2).sum(1)[:, None]
+    rough = size - 2 * x @ centres.T + (centres**2).sum(1)[None, :]
+    near = rough <= rough.min(1, keepdims=True) + 1e-7 * (1 + size)
+    row, column = np.nonzero(near)
+    out = np.full(rough.shape, np.inf)
+    out[row, column] = np.round(((x[row] - centres[column]) ** 2).sum(1), 9)
+    return out
+
+
 def assign(points: DataFrame, centres: list[tuple[int, list[float]]], keep_vector: bool = False) -> DataFrame:
     """(id, cluster, distance), and vector if asked: the nearest centre of each point, ties to the first; no row moves.
 
@@ -105,8 +123,8 @@ def assign(points: DataFrame, centres: list[tuple[int, list[float]]], keep_vecto
         for batch in batches:
             for low in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(low, BLOCK)
-                x = np.array(part.column(1).to_pylist(), np.float64).reshape(part.num_rows, -1)
-                gap = np.round(((x[:, None, :] - centres[None, :, :]) ** 2).sum(2), 9)
+                x = rows_of(part.column(1))
+                gap = _exact_gaps(x, centres)
                 best = gap.argmin(1)
                 columns = [part.column(0), pa.array(ids[best]), pa.array(gap[np.arange(len(best)), best]), part.column(1)]
                 yield pa.RecordBatch.from_arrays(columns[: len(names)], names)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.session import ship
+from tessella.session import rows_of, ship
 
 #: Classes times features of a model that is sent to each worker.
 MOST_WEIGHTS = 20_000_000
@@ -79,7 +79,7 @@ class Learner:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x = np.array(batch.column(0).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+                x = rows_of(batch.column(0))
                 y = batch.column(1).to_numpy(zero_copy_only=False).astype(int)
                 score = x @ w.T + costs[y]
                 best = score.argmax(1)
@@ -128,7 +128,7 @@ class Learner:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                score = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1) @ held.value.T
+                score = rows_of(batch.column(1)) @ held.value.T
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score.argmax(1).astype(np.int32)), pa.array(score.max(1))], ["id", "label", "score"])
 
         return points.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "id long, label int, score double")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.joins import BLOCK, assign
-from tessella.session import ship
+from tessella.session import rows_of, ship
 
 RESTARTS, SHORT, LONG = 10, 2, 15
 
@@ -25,6 +25,36 @@ def kmeans_step(points: DataFrame, centres: list[tuple[int, list[float]]]) -> tu
     return moved, placed.drop("vector")
 
 
+def mirrored_step(pairs: DataFrame, centres: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """One step of k-means over points that come in pairs, as do the centres (2i and 2i + 1): a point's twin belongs to its centre's twin.
+
+    ``pairs``: id, vector, twin (array<double> both).  Returns (cluster, j,
+    value) of the new centres, over both points of all pairs, and (id, cluster,
+    distance): the centre of the first point with the least sum of squared
+    distances of both; ties go to the first.
+    """
+    ship(pairs.sparkSession)
+    if len(centres) % 2:
+        raise ValueError("centres come in pairs")
+    held = pairs.sparkSession.sparkContext.broadcast(np.asarray(centres, np.float64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = held.value
+        other = c[np.arange(len(c)) ^ 1]
+        gaps = lambda x, y: (x**2).sum(1)[:, None] - 2 * x @ y.T + (y**2).sum(1)[None, :]
+        for batch in batches:
+            if batch.num_rows:
+                gap = np.round(gaps(rows_of(batch.column(1)), c) + gaps(rows_of(batch.column(2)), other), 9)
+                best = gap.argmin(1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best), pa.array(gap[np.arange(len(best)), best])], ["id", "vector", "twin", "cluster", "distance"])
+
+    columns = pairs.select(F.col("id").cast("long").alias("id"), *[F.col(c).cast("array<double>").alias(c) for c in ("vector", "twin")])
+    placed = columns.mapInArrow(run, "id long, vector array<double>, twin array<double>, cluster long, distance double")
+    both = F.explode(F.array(F.struct(F.col("cluster").alias("c"), F.col("vector").alias("v")), F.struct(F.col("cluster").bitwiseXOR(F.lit(1)).alias("c"), F.col("twin").alias("v"))))
+    flat = placed.select(both.alias("b")).select(F.col("b.c").alias("cluster"), F.posexplode("b.v").alias("j", "x"))
+    return flat.groupBy("cluster", "j").agg(F.avg("x").alias("value")), placed.select("id", "cluster", "distance")
+
+
 def _partial_sums(points: DataFrame, kernel, width: int) -> np.ndarray:
     """The sum over all points of an array that ``kernel`` makes of each block: one partial array a task, summed by the engine."""
 
@@ -34,7 +64,7 @@ def _partial_sums(points: DataFrame, kernel, width: int) -> np.ndarray:
             for low in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(low, BLOCK)
                 if part.num_rows:
-                    total += kernel(np.array(part.column(0).to_pylist(), np.float64).reshape(part.num_rows, -1)).ravel()
+                    total += kernel(rows_of(part.column(0))).ravel()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(total)], ["i", "v"])
 
     ship(points.sparkSession)
@@ -118,7 +148,7 @@ def _farthest(points: DataFrame, kernel, centres: np.ndarray) -> np.ndarray:
         for batch in batches:
             for low in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(low, BLOCK)
-                x, ids = np.array(part.column(1).to_pylist(), np.float64).reshape(part.num_rows, -1), part.column(0).to_numpy(zero_copy_only=False)
+                x, ids = rows_of(part.column(1)), part.column(0).to_numpy(zero_copy_only=False)
                 node = kernel(x)
                 gap = ((x - centres[node]) ** 2).sum(1)
                 order = np.lexsort((ids, -gap, node))
@@ -274,7 +304,7 @@ def projected(points: DataFrame, mean: np.ndarray, components: np.ndarray) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mean, components = held.value
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            x = rows_of(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list((x - mean) @ components.T), pa.list_(pa.float64()))], ["id", "vector"])
 
     return points.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "id long, vector array<double>")
@@ -293,7 +323,7 @@ def fisher_vectors(points: DataFrame, mu: np.ndarray, var: np.ndarray, weight: n
         mu, var, weight = held.value
         constant = np.log(weight) - 0.5 * (d * np.log(2 * np.pi) + np.log(var).sum(1))
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            x = rows_of(batch.column(1))
             scaled = (x[:, None, :] - mu) / np.sqrt(var)
             z = constant - 0.5 * (scaled**2).sum(2)
             post = np.exp(z - z.max(1, keepdims=True))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import maps, ordering, training
+from tessella.operators import vectors as ml
 from tessella.plans import table_queries as tq
 from tessella.plans import views
 from tessella.plans.game_queries import r6
@@ -114,9 +116,32 @@ def t19(spark, d):
     return out.select("draw", "part", r6(C("x")).alias("x"), r6(C("y")).alias("y"))
 
 
+def mirrored(spark: SparkSession, d: str):
+    """The step over neighbouring vectors as pairs, with the first two pairs as centres, over eight components."""
+    t = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).cast("array<double>").alias("v"))
+    twin = t.select((C("vec_id") - 1).alias("of"), C("v").alias("twin"))
+    pairs = t.where("vec_id % 2 = 0").join(twin, C("vec_id") == C("of")).select(C("vec_id").alias("id"), C("v").alias("vector"), "twin")
+    centres = np.array([r.v for r in t.where("vec_id < 4").orderBy("vec_id").collect()])
+    return ml.mirrored_step(pairs, centres)
+
+
+def m4(spark, d):
+    return mirrored(spark, d)[0].select(C("cluster").cast("int").alias("cluster"), "j", r6(C("value")).alias("value"))
+
+
+def m4_assign(spark, d):
+    return mirrored(spark, d)[1].select("id", C("cluster").cast("int").alias("cluster"), r6(C("distance")).alias("distance"))
+
+
+_M4 = """WITH f AS (SELECT vec_id, j, embedding[j + 1]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(8))::INT AS j)),
+    g AS (SELECT p.vec_id AS id, c.vec_id AS cluster, round(sum((p.x - c.x) ** 2 + (t.x - m.x) ** 2), 9) AS distance FROM f p JOIN f t ON t.vec_id = p.vec_id + 1 AND t.j = p.j
+      JOIN f c ON c.j = p.j AND c.vec_id < 4 JOIN f m ON m.j = p.j AND m.vec_id = xor(c.vec_id::INT, 1) WHERE p.vec_id % 2 = 0 GROUP BY 1, 2),
+    a AS (SELECT id, cluster, distance FROM g QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, cluster) = 1) """
 _U = "((('0x' || substr(md5({}), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496)"
 
 QUERIES = {
+    "m4_mirrored_kmeans": (m4, _M4 + """SELECT k::INT AS cluster, j, round(avg(x), 6) + 0 AS value FROM (SELECT id AS vec_id, cluster AS k FROM a UNION ALL SELECT id + 1, xor(cluster::INT, 1) FROM a) JOIN f USING (vec_id) GROUP BY 1, 2"""),
+    "m4_mirrored_assignment": (m4_assign, _M4 + "SELECT id, cluster::INT AS cluster, round(distance, 6) AS distance FROM a"),
     "r17_importance_sample": (r17, SCORES + """SELECT example, label, round(loss, 6) AS loss, round(score + loss - gt_score, 6) + 0 AS slack FROM scores JOIN truth USING (example)
         QUALIFY row_number() OVER (PARTITION BY example ORDER BY round(score + loss, 9) DESC, label) = 1"""),
     "r18_create_samples": (r18, SCORES + "SELECT example, label, round(loss, 6) AS loss, round(score + loss - gt_score, 6) + 0 AS slack FROM scores JOIN truth USING (example) WHERE label <> gt"),

@@ -1,7 +1,9 @@
 """Session factory and the shared scratch folder.
 
 ``build_session`` is for local runs and tests.  On a cluster the session is
-made by ``spark-submit``; the operators never change its settings.
+made by ``spark-submit``; the operators change none of its settings, but for
+those that read texts in Python, which lower
+``spark.sql.execution.arrow.maxBytesPerBatch`` to 8 MB where it is larger.
 """
 
 from __future__ import annotations
@@ -59,14 +61,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that executors and driver share, from ``spark.checkpoint.dir``; a temporary one where that is unset."""
+    """The folder that executors and driver share, from ``spark.checkpoint.dir``; a temporary one on a local master where that is unset.
+
+    On a cluster a folder of one machine would lose what other machines write,
+    so that a missing setting is an error there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def rows_of(column):
+    """A column of lists of equal length as the rows of an array of doubles, out of its buffer."""
+    import numpy as np
+
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 
