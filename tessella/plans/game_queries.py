@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import probability as prob
-from tessella.operators import evaluation, game
+from tessella.operators import evaluation, game, mixed_game
 from tessella.operators import response_model as rm
 from tessella.plans import views
 from tessella.plans.views import cte
+from tessella.session import table
 
 
 def r6(x):
@@ -207,6 +208,26 @@ def e2e(spark, d):
     return game.accuracy_by_round(history, 1, views.ATTRIBUTES).select("round", r6(F.col("accuracy")).alias("accuracy"), "sessions")
 
 
+def mixed_questions(spark: SparkSession) -> DataFrame:
+    """Eight yes-no questions, three choices of four attributes, one batch of four, and two clicks."""
+    rows = [(a, "binary", [a], 1.0 + a % 3) for a in range(8)] + [(20 + i, "multiple", list(range(8 + 4 * i, 12 + 4 * i)), 2.5) for i in range(3)]
+    rows += [(30, "batch", list(range(20, 24)), 4.0), (40, "click", [], 1.5), (41, "click", [], 1.5)]
+    return spark.createDataFrame(rows, "question int, kind string, attributes array<int>, seconds double")
+
+
+def e2e_mixed(spark, d):
+    responses = views.responses(spark, d)
+    # places of a part, out of the vectors' last components, each of which speaks for the classes near it
+    e = F.col("embedding")
+    samples = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct(
+        (F.get(e, 24 + i) * 40).cast("double").alias("x"), (F.get(e, 32 + i) * 40).cast("double").alias("y"),
+        F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: F.when((c + i) % 5 == F.col("label") % 5, 0.3).otherwise(0.1)).alias("p")))
+    t = table(spark, d, "embeddings").select(F.col("vec_id").alias("example"), F.explode(F.array(F.lit(40), F.lit(41))).alias("question"), e, "label")
+    clicks = t.select("example", "question", (F.get(e, 24 + F.col("question") - 40) * 40).cast("double").alias("x"), (F.get(e, 32 + F.col("question") - 40) * 40).cast("double").alias("y"), F.lit(1.0).alias("seconds"), samples.alias("samples"))
+    history = mixed_game.play_mixed(responses, rm.response_model(responses), mixed_questions(spark), 14, "time", False, 1.0, clicks)
+    return game.accuracy_by_round(history, 1, 14).select("round", r6(F.col("accuracy")).alias("accuracy"), "sessions")
+
+
 def e2e_batch(spark, d):
     m = model_of(spark, d)
     questions = m.select("attribute").distinct().withColumn("question", F.floor(F.col("attribute") / 3).cast("int"))
@@ -277,4 +298,5 @@ QUERIES = {
         SELECT example, attribute, round(2 * s - abs(2 * s) - ln(exp(2 * s - abs(2 * s)) + exp(-2 * s - abs(2 * s))), 6) + 0 AS loglik FROM x"""),
     "b18_initial_priors": (b18, "SELECT label AS class, round(1.0::DOUBLE / (SELECT count(DISTINCT label) FROM embeddings), 6) AS p FROM embeddings GROUP BY 1"),
     "e2e_question_game": (e2e, None),
+    "e2e_mixed_game": (e2e_mixed, None),
 }

@@ -14,6 +14,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -104,9 +106,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def release() -> None:
-    """Delete every table that ``materialize`` wrote in this application."""
-    while _written:
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are written within are deleted at the end: for long-lived sessions, around a query and the use of its result."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        release(before)
+
+
+def release(keep: int = 0) -> None:
+    """Delete every table that ``materialize`` wrote in this application, but for the first ``keep``."""
+    while len(_written) > keep:
         spark, path = _written.pop()
         local = path.removeprefix("file://")
         if "://" not in local and Path(local).exists():

@@ -164,3 +164,16 @@ def test_training_on_a_stream(spark, tmp_path):
     streams.train_on_stream(stream.selectExpr("id", "concat(vector, array(1D)) vector", "label"), learner, 40).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert [r for _, r, _ in learner.history] == [60, 60, 60]
     assert learner.history[-1][2] <= 6
+
+
+def test_scratch_tables_are_deleted(spark):
+    from pathlib import Path
+
+    from tessella.session import materialize, scratch
+
+    kept = materialize(spark.range(3), "kept")
+    with scratch():
+        gone = materialize(kept, "gone")
+        files = gone.inputFiles()
+        assert gone.count() == 3
+    assert kept.count() == 3 and not any(Path(f.removeprefix("file://")).exists() for f in files)
