@@ -109,3 +109,9 @@ def affine(y: Column, x: Column, matrix: tuple[float, float, float, float, float
     """(y, x) of a point under the 2 by 3 matrix (a, b, c, d, e, f): x' = a x + b y + c, y' = d x + e y + f."""
     a, b, c, d, e, f = (F.lit(float(v)) for v in matrix)
     return d * x + e * y + f, a * x + b * y + c
+
+
+def resized(cells: DataFrame, width: int, new_width: int) -> DataFrame:
+    """(y, x, value) of a map of ``width`` columns scaled to ``new_width``, rows in proportion: the mean of the cells that fall together, as when images are read small."""
+    ratio = F.lit(float(new_width) / width)
+    return cells.groupBy(F.floor(F.col("y") * ratio).cast("int").alias("y"), F.floor(F.col("x") * ratio).cast("int").alias("x")).agg(F.avg("value").alias("value"))

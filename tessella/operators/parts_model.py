@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.numbers import circular_difference
+from tessella.functions.numbers import circular_difference, iou
 from tessella.operators.ordering import unit_of
 from tessella.session import materialize
 
@@ -134,3 +134,36 @@ def drawn_places(spark: SparkSession, offsets: DataFrame, root: int, draws: int,
         if level.isEmpty():
             return out
         out = out.unionByName(level)
+
+
+def part_losses(predicted: DataFrame, truth: DataFrame, kind: str, radius: float = 5.0, most: float = 5.0) -> DataFrame:
+    """(object, loss) of predicted parts (object, part, x, y, w, h, visible) against true ones, by the name of a detection loss.
+
+    ``intersection_parts``: one less the mean overlap of the parts' boxes;
+    ``intersection_object``: one less the overlap of the boxes around all
+    visible parts; ``num_click_std_dev``: the mean distance in units of
+    ``radius``, ``most`` at most; ``num_parts_incorrect``: the share of parts
+    farther than ``radius``; ``detection``: 1 if the object's boxes overlap by
+    less than a half, else 0.  A part that only one side sees counts as wholly
+    wrong, one that neither sees as right.
+    """
+    t = truth.select("object", "part", *[F.col(c).alias(f"t{c}") for c in ("x", "y", "w", "h", "visible")])
+    met = predicted.join(t, ["object", "part"])
+    both, neither = (F.col("visible") == 1) & (F.col("tvisible") == 1), (F.col("visible") != 1) & (F.col("tvisible") != 1)
+    box = lambda p: tuple(F.col(f"{p}{c}") for c in ("x", "y", "w", "h"))
+    far = F.sqrt(F.pow(F.col("x") - F.col("tx"), 2) + F.pow(F.col("y") - F.col("ty"), 2))
+    each = {
+        "intersection_parts": 1 - iou(box(""), box("t")),
+        "num_click_std_dev": F.least(far / radius, F.lit(float(most))),
+        "num_parts_incorrect": (far > radius).cast("double"),
+    }
+    if kind in each:
+        worst = float(most) if kind == "num_click_std_dev" else 1.0
+        return met.groupBy("object").agg(F.avg(F.when(both, each[kind]).when(neither, 0.0).otherwise(worst)).alias("loss"))
+    if kind not in ("intersection_object", "detection"):
+        raise ValueError(f"no detection loss {kind}")
+    edge = lambda f, p, c, size=None: f(F.when(F.col(f"{p}visible") == 1, F.col(f"{p}{c}") + (F.col(f"{p}{size}") if size else 0)))
+    around = met.groupBy("object").agg(*[edge(F.min, p, c).alias(f"{p}{c}0") for p in ("", "t") for c in "xy"], *[edge(F.max, p, c, s).alias(f"{p}{c}1") for p in ("", "t") for c, s in (("x", "w"), ("y", "h"))])
+    whole = lambda p: (F.col(f"{p}x0"), F.col(f"{p}y0"), F.col(f"{p}x1") - F.col(f"{p}x0"), F.col(f"{p}y1") - F.col(f"{p}y0"))
+    overlap = F.when(F.col("x0").isNull() & F.col("tx0").isNull(), 1.0).otherwise(F.coalesce(iou(whole(""), whole("t")), F.lit(0.0)))
+    return around.select("object", (1 - overlap if kind == "intersection_object" else (overlap < 0.5).cast("double")).alias("loss"))

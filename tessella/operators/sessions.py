@@ -53,3 +53,21 @@ def gap_sessions(events: DataFrame, gap_seconds: int) -> DataFrame:
     """(user_id, first_at, last_at, n): runs of events without a pause of ``gap_seconds`` or more."""
     stamped = events.withColumn("ts", F.timestamp_millis("at"))
     return stamped.groupBy("user_id", F.session_window("ts", f"{gap_seconds} seconds")).agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("*").alias("n")).drop("session_window")
+
+
+def session_documents(events: DataFrame) -> DataFrame:
+    """(user_id, document): each session's events (user_id, at, event_id, kind, question, value) as one JSON text, with an array for each kind, in order of time.
+
+    A session's events are bounded by what one person does; they meet in one row.
+    """
+    row = F.struct("at", "event_id", "question", "value")
+    by_kind = events.groupBy("user_id", "kind").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    pairs = F.sort_array(F.collect_list(F.struct("kind", F.transform("rows", lambda r: F.struct(r["question"].alias("id"), r["at"].cast("string").alias("time"))).alias("rows"))))
+    return by_kind.groupBy("user_id").agg(F.to_json(F.map_from_entries(pairs)).alias("document"))
+
+
+def found_or_created(sessions: DataFrame, asked: DataFrame, now: int) -> DataFrame:
+    """The table of sessions (session_id, started) with those that are asked for by name and not there yet, begun now."""
+    known = sessions.select(F.col("session_id").alias("known_id"))
+    new = asked.select("session_id").where("session_id is not null").distinct()
+    return sessions.unionByName(new.join(known, F.col("session_id") == F.col("known_id"), "left_anti").withColumn("started", F.lit(now).cast("long")).select(*sessions.columns))

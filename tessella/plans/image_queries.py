@@ -66,6 +66,10 @@ def m23(spark, d):
     return images.blitted(images.bordered(cells(spark, d), 40, 40, 2, 1.0), flipped, 2, 2)
 
 
+def s10(spark, d):
+    return images.resized(cells(spark, d), 40, 25).select("y", "x", r6(F.col("value")).alias("value"))
+
+
 _SENT = "s(code, dy, dx) AS (VALUES (0, 0, 1), (1, -1, 1), (2, -1, 0), (3, -1, -1), (4, 0, -1), (5, 1, -1), (6, 1, 0), (7, 1, 1))"
 _CODES = """CASE WHEN count(n.v) = 8 AND sum((n.v > c.v)::INT) = 1 THEN min(CASE WHEN n.v > c.v THEN code END) ELSE 0 END AS code,
     (count(n.v) = 8 AND coalesce(sum((n.v > c.v)::INT), 0) = 1)::INT AS weight"""
@@ -87,6 +91,7 @@ QUERIES = {
         FROM {SPOTS} p CROSS JOIN (SELECT unnest(range(3)) AS r) CROSS JOIN (SELECT unnest(range(3)) AS k) LEFT JOIN grid g ON visible AND g.y = p.y + r - 1 AND g.x = p.x + k - 1"""),
     "r4_word_histograms": (r4_words, cte("grid") + """, w AS (SELECT n_nationkey AS window, n_nationkey * 2 - 3 AS y0, n_nationkey % 7 * 5 AS x0, 4 + n_nationkey % 3 AS h, 6 + n_nationkey % 4 AS w FROM nation)
         SELECT w.window, (floor(score) % 8)::INT AS word, round(sum(1.0::DOUBLE / (w.h * w.w)), 6) AS value FROM w JOIN grid g ON g.y BETWEEN y0 AND y0 + h - 1 AND g.x BETWEEN x0 AND x0 + w.w - 1 GROUP BY 1, 2"""),
+    "s10_resized": (s10, cte("grid") + " SELECT floor(y * 0.625::DOUBLE)::INT AS y, floor(x * 0.625::DOUBLE)::INT AS x, round(avg(score), 6) + 0 AS value FROM grid GROUP BY 1, 2"),
     "r5_pyramid": (r5, cte("grid") + """ SELECT level::INT AS level, (y >> level)::INT AS y, (x >> level)::INT AS x, round(avg(score), 6) + 0 AS value FROM grid CROSS JOIN (SELECT unnest(range(4))::INT AS level) GROUP BY 1, 2, 3"""),
     "m23_image_utilities": (m23, cte("grid") + """, b AS (SELECT p AS y, q AS x, coalesce(score, 1) AS v FROM (SELECT unnest(range(44)) AS p) CROSS JOIN (SELECT unnest(range(44)) AS q) LEFT JOIN grid ON y + 2 = p AND x + 2 = q)
         SELECT b.y::INT AS y, b.x::INT AS x, greatest(b.v, coalesce(g.score, b.v)) AS value FROM b LEFT JOIN grid g ON g.y + 2 = b.y AND 39 - g.x + 2 = b.x"""),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import names
 from tessella.functions import strings as st
-from tessella.operators import lookups
+from tessella.operators import codebooks, lookups, parts_model, sessions
 from tessella.plans import views
 from tessella.plans.game_queries import r6
 from tessella.plans.views import cte
@@ -126,6 +126,45 @@ def s_meta(spark, d):
     return t.select("s_suppkey", names.meta(whole, "Latin").alias("latin"), names.meta(whole, "Order").alias("order_"), names.meta(whole, "Family").alias("family"), names.meta(whole, "Genus").alias("genus"), F.size(whole).alias("n"))
 
 
+def part_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return views.boxes(spark, d).select("object", "part", "x", "y", "w", "h", ((C("object") + C("part")) % 7 > 0).cast("int").alias("visible"))
+
+
+def m26(spark, d):
+    t = part_boxes(spark, d)
+    p = t.withColumns({"x": C("x") + C("part") * 3, "y": C("y") - C("object") % 4, "visible": ((C("object") + C("part")) % 5 > 0).cast("int")})
+    out = None
+    for kind in names.DETECTION_LOSS:
+        part = parts_model.part_losses(p, t, kind, 8.0, 3.0).select("object", F.lit(kind).alias("kind"), r6(C("loss")).alias("loss"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def m12_assign(spark, d):
+    p = views.parts(spark, d)
+    pivot = p.where("part = 1").select(C("object").alias("o"), C("x").alias("px"), C("y").alias("py"))
+    offsets = p.join(pivot, C("object") == C("o")).select("object", "part", (C("x") - C("px")).alias("dx"), (C("y") - C("py")).alias("dy"), "visible")
+    centres = offsets.where("object <= 6").select(C("object").alias("cluster"), "part", "dx", "dy", "visible")
+    return codebooks.pose_clusters(offsets, centres, 5000.0).select("object", "cluster", r6(C("cost")).alias("cost"))
+
+
+def k15(spark, d):
+    return sessions.session_documents(views.log(spark, d))
+
+
+def x13_open(spark, d):
+    e = table(spark, d, "events").select(C("user_id").cast("string").alias("session_id"), "event_id")
+    open_ = e.where("event_id < 200").groupBy("session_id").agg(F.min("event_id").alias("started"))
+    return sessions.found_or_created(open_, e.where("event_id >= 200 and event_id < 400"), 400)
+
+
+_BOXES = """, t AS (SELECT object, part, x, y, w, h, ((object + part) % 7 > 0)::INT AS v FROM boxes),
+    m AS (SELECT object, part, x + part * 3 AS px, y - object % 4 AS py, x, y, w, h, ((object + part) % 5 > 0)::INT AS pv, v,
+      greatest(least(px + w, x + w) - greatest(px, x), 0) * greatest(least(py + h, y + h) - greatest(py, y), 0) AS shared, sqrt((px - x) ** 2 + (py - y) ** 2) AS far FROM t),
+    o AS (SELECT object, min(CASE WHEN pv = 1 THEN px END) AS a, min(CASE WHEN pv = 1 THEN py END) AS b, max(CASE WHEN pv = 1 THEN px + w END) AS c, max(CASE WHEN pv = 1 THEN py + h END) AS d,
+      min(CASE WHEN v = 1 THEN x END) AS ta, min(CASE WHEN v = 1 THEN y END) AS tb, max(CASE WHEN v = 1 THEN x + w END) AS tc, max(CASE WHEN v = 1 THEN y + h END) AS td FROM m GROUP BY 1),
+    i AS (SELECT *, greatest(least(c, tc) - greatest(a, ta), 0) * greatest(least(d, td) - greatest(b, tb), 0) AS s FROM o),
+    u AS (SELECT object, CASE WHEN a IS NULL AND ta IS NULL THEN 1 WHEN a IS NULL OR ta IS NULL THEN 0 ELSE coalesce(s / nullif((c - a) * (d - b) + (tc - ta) * (td - tb) - s, 0), 0) END AS overlap FROM i) """
 _LOSS = ", ".join(f"'{n}'" for n in names.DETECTION_LOSS)
 _OPT = ", ".join(f"'{n}'" for n in names.OPTIMISATION)
 _J3 = """WITH l AS (SELECT c_custkey AS source, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN 'NO ' || c_mktsegment ELSE c_mktsegment END AS name FROM customer),
@@ -159,6 +198,18 @@ QUERIES = {
         w AS (SELECT image AS session, image * 3 % 10 AS class, part, x, y FROM p WHERE image <= 40)
         SELECT session, class, image, round(distance, 6) AS distance FROM (SELECT session, p.class, p.image, round(avg((p.x - w.x) ** 2 + (p.y - w.y) ** 2), 9) AS distance FROM w JOIN p ON p.class = w.class AND p.part = w.part AND p.image > 40 GROUP BY 1, 2, 3)
         QUALIFY row_number() OVER (PARTITION BY session, class ORDER BY distance, image) = 1"""),
+    "m26_part_losses": (m26, cte("boxes") + _BOXES + """
+        SELECT object, 'intersection_parts' AS kind, round(avg(CASE WHEN pv = 1 AND v = 1 THEN 1 - coalesce(shared / nullif(2 * w * h - shared, 0), 0) WHEN pv <> 1 AND v <> 1 THEN 0 ELSE 1 END), 6) + 0 AS loss FROM m GROUP BY 1
+        UNION ALL SELECT object, 'num_click_std_dev', round(avg(CASE WHEN pv = 1 AND v = 1 THEN least(far / 8, 3) WHEN pv <> 1 AND v <> 1 THEN 0 ELSE 3 END), 6) + 0 FROM m GROUP BY 1
+        UNION ALL SELECT object, 'num_parts_incorrect', round(avg(CASE WHEN pv = 1 AND v = 1 THEN (far > 8)::INT WHEN pv <> 1 AND v <> 1 THEN 0 ELSE 1 END), 6) + 0 FROM m GROUP BY 1
+        UNION ALL SELECT object, 'intersection_object', round(1 - overlap, 6) + 0 FROM u UNION ALL SELECT object, 'detection', (overlap < 0.5)::INT FROM u"""),
+    "m12_pose_assignment": (m12_assign, cte("parts") + """, o AS (SELECT p.object, p.part, p.x - q.x AS dx, p.y - q.y AS dy, p.visible AS v FROM parts p JOIN parts q ON q.object = p.object AND q.part = 1),
+        c AS (SELECT o.object, k.object AS cluster, round(sum(CASE WHEN o.v = 1 AND k.v = 1 THEN (o.dx - k.dx) ** 2 + (o.dy - k.dy) ** 2 WHEN o.v <> k.v THEN 5000 ELSE 0 END), 6) AS cost FROM o JOIN o k ON k.part = o.part AND k.object <= 6 GROUP BY 1, 2)
+        SELECT object, cluster, cost FROM c QUALIFY row_number() OVER (PARTITION BY object ORDER BY cost, cluster) = 1"""),
+    "k15_session_documents": (k15, cte("log") + """, k AS (SELECT user_id, kind, string_agg('{' || CASE WHEN question IS NULL THEN '' ELSE '"id":"' || question || '",' END || '"time":"' || at_ms || '"}', ',' ORDER BY at_ms, event_id) AS rows FROM log GROUP BY 1, 2)
+        SELECT user_id, '{' || string_agg('"' || kind || '":[' || rows || ']', ',' ORDER BY kind) || '}' AS document FROM k GROUP BY 1"""),
+    "r22_find_or_create": (x13_open, """WITH o AS (SELECT user_id::VARCHAR AS session_id, min(event_id) AS started FROM events WHERE event_id < 200 GROUP BY 1)
+        SELECT session_id, started FROM o UNION ALL SELECT DISTINCT user_id::VARCHAR, 400 FROM events WHERE event_id >= 200 AND event_id < 400 AND user_id::VARCHAR NOT IN (SELECT session_id FROM o)"""),
     "s_case": (s_case, "SELECT c_custkey, upper(c_name) || ' é' AS up, lower(c_mktsegment) AS low FROM customer"),
     "s_full_path": (s_full, "SELECT page_id, CASE page_id % 3 WHEN 0 THEN '/root/' || url WHEN 1 THEN 'c:/' || url ELSE '/home/x/' || url END AS path FROM pages"),
     "s_safe_name": (s_safe, r"SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_.-]', '_', 'g') AS name, split_part(regexp_replace(url, '[/:.]', '_', 'g'), '_', 1) AS user, split_part(regexp_replace(url, '[/:.]', '_', 'g'), '_', 2) AS image FROM pages"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -73,3 +74,18 @@ class Snapshots:
         while self.due <= elapsed:
             self.due *= self.factor
         return True
+
+
+class Progress:
+    """For foreachBatch: says how far a stream is, at most once in ``seconds``, by ``say(batch, rows, elapsed)``."""
+
+    def __init__(self, say: Callable[[int, int, float], None], seconds: float = 60.0, clock: Callable[[], float] = time.monotonic):
+        self.say, self.seconds, self.clock, self.rows = say, seconds, clock, 0
+        self.began = self.said = clock()
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        self.rows += batch.count()
+        now = self.clock()
+        if now - self.said >= self.seconds:
+            self.said = now
+            self.say(number, self.rows, now - self.began)

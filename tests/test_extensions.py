@@ -116,3 +116,30 @@ def test_registries(spark):
     asked = spark.createDataFrame([(0, 0, 0), (0, 1, 1)], "question int, attribute int, position int")
     assert ext.QUESTIONS.find("multiple").told(responses, asked).first().answer == 1
     assert ext.QUESTIONS.find("binary").told(responses, asked).count() == 2
+
+
+def test_codebooks_are_built_and_used(spark, tmp_path):
+    from tessella.operators import codebooks
+
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(4, 6)) * 5
+    rows = [(i % 12, i // 12, i % 7, (centres[i % 4] + rng.normal(size=6) * 0.1).tolist()) for i in range(480)]
+    points = spark.createDataFrame(rows, "image int, y int, x int, vector array<double>")
+    ids = points.select(F.xxhash64("image", "y", "x").alias("id"), "vector", (F.col("y") * 12 + F.col("image")).alias("n"))
+    for book in (codebooks.word_codebook(points, 4, 10, 20), codebooks.word_codebook(points, 4, 10, 20, depth=2)):
+        datasets.write_codebook(spark, book, str(tmp_path / "b"))
+        told = codebooks.words_of(ids, datasets.read_codebook(spark, str(tmp_path / "b"))).join(ids, "id")
+        kinds = told.groupBy("word").agg(F.countDistinct(F.col("n") % 4).alias("k")).collect()
+        assert len(kinds) == 4 and all(r.k == 1 for r in kinds)
+    fisher = codebooks.fisher_codebook(points, 3, 2, 10, 20)
+    assert fisher["components"].shape[-1] in (2, 6) and fisher["mu"].shape == (3, 2) and np.isclose(fisher["weight"].sum(), 1)
+
+
+def test_progress_is_said_now_and_then(spark):
+    from tessella.streaming.rpc import Progress
+
+    times, said = iter([0.0, 10.0, 61.0, 62.0, 130.0]), []
+    progress = Progress(lambda *x: said.append(x), 60.0, lambda: next(times))
+    for k in range(4):
+        progress(spark.range(5), k)
+    assert said == [(1, 10, 61.0), (3, 20, 130.0)]
