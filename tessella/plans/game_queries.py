@@ -45,6 +45,13 @@ model AS (
 )
 
 PRIORS = """,
+early AS (SELECT example AS session, m.class, CASE WHEN answer = 1 THEN p ELSE 1 - p END AS q, weight FROM responses r JOIN model m USING (attribute, certainty) WHERE attribute % 4 = 0),
+early_terms AS (SELECT session, class, sum(CASE WHEN q > 0 THEN weight * ln(q) ELSE 0 END) AS logit, max((q <= 0)::INT) AS none FROM early GROUP BY 1, 2),
+early_mass AS (SELECT *, CASE WHEN none = 0 THEN exp(logit - max(CASE WHEN none = 0 THEN logit END) OVER (PARTITION BY session)) ELSE 0 END AS m FROM early_terms),
+priors AS (SELECT session, class, m / sum(m) OVER (PARTITION BY session) AS p FROM early_mass)
+"""
+
+FEW_PRIORS = """,
 raw AS (SELECT s::INT AS session, class, (1 + (class * 7 + s * 3) % 5)::DOUBLE AS w FROM (SELECT DISTINCT class FROM model) CROSS JOIN (SELECT unnest(range(5)) AS s)),
 priors AS (SELECT session, class, w / sum(w) OVER (PARTITION BY session) AS p FROM raw)
 """
@@ -70,7 +77,14 @@ def model_of(spark: SparkSession, d: str) -> DataFrame:
     return rm.response_model(views.responses(spark, d))
 
 
-def priors_of(model: DataFrame) -> DataFrame:
+def priors_of(spark: SparkSession, d: str, model: DataFrame) -> DataFrame:
+    """(session, class, p): every session after the answers to every fourth attribute."""
+    answers = views.responses(spark, d).where("attribute % 4 = 0").select(F.col("example").alias("session"), "attribute", "answer", "certainty")
+    return game.posterior(answers, model)
+
+
+def few_priors(model: DataFrame) -> DataFrame:
+    """(session, class, p) of five made-up sessions, for questions whose answers are drawn by the hundred."""
     raw = model.select("class").distinct().withColumn("session", F.explode(F.sequence(F.lit(0), F.lit(4))))
     raw = raw.withColumn("w", (1 + (F.col("class") * 7 + F.col("session") * 3) % 5).cast("double"))
     return raw.select("session", "class", prob.normalise(F.col("w"), "session").alias("p"))
@@ -101,39 +115,39 @@ def b1(spark, d):
 
 def b2(spark, d):
     m = model_of(spark, d)
-    joint = game.binary_answers(priors_of(m), m)
+    joint = game.binary_answers(priors_of(spark, d, m), m)
     return joint.groupBy("session", "attribute", "certainty", "answer").agg(r6(F.sum("u")).alias("mass"))
 
 
 def a8(spark, d):
     m = model_of(spark, d)
-    e = game.expected_entropy(game.binary_answers(priors_of(m), m), "session", "attribute")
+    e = game.expected_entropy(game.binary_answers(priors_of(spark, d, m), m), "session", "attribute")
     return e.select("session", "attribute", r6(F.col("expected_entropy")).alias("expected_entropy"))
 
 
 def b3(spark, d):
     m = model_of(spark, d)
     choices = m.select("attribute").distinct().withColumn("question", F.floor(F.col("attribute") / 4).cast("int"))
-    joint = game.choice_answers(priors_of(m), m, choices)
+    joint = game.choice_answers(priors_of(spark, d, m), m, choices)
     e = game.expected_entropy(joint, "session", "question")
     return e.select("session", "question", r6(F.col("expected_entropy")).alias("expected_entropy"))
 
 
-def gains_of(m):
-    priors = priors_of(m)
+def gains_of(spark, d, m):
+    priors = priors_of(spark, d, m)
     e = game.expected_entropy(game.binary_answers(priors, m), "session", "attribute")
     return e.join(game.session_entropy(priors), "session").select("session", "attribute", (F.col("entropy") - F.col("expected_entropy")).alias("gain"))
 
 
 def b7(spark, d):
     m = model_of(spark, d)
-    gains = gains_of(m)
-    asked = gains.where(F.col("attribute") % 5 == F.col("session")).select("session", "attribute")
+    gains = gains_of(spark, d, m)
+    asked = gains.where(F.col("attribute") % 4 == 0).select("session", "attribute")
     return game.select_question(gains, asked).select("session", "attribute", r6(F.col("gain")).alias("gain"))
 
 
 def b7_time(spark, d):
-    gains = gains_of(model_of(spark, d))
+    gains = gains_of(spark, d, model_of(spark, d))
     seconds = gains.select("attribute").distinct().withColumn("seconds", (1 + F.col("attribute") % 7).cast("double"))
     return game.select_question(gains, seconds=seconds).select("session", "attribute", r6(F.col("gain")).alias("gain"))
 
@@ -231,7 +245,7 @@ def e2e_mixed(spark, d):
 def e2e_batch(spark, d):
     m = model_of(spark, d)
     questions = m.select("attribute").distinct().withColumn("question", F.floor(F.col("attribute") / 3).cast("int"))
-    joint = game.batch_answers(priors_of(m), m, questions, samples=500)
+    joint = game.batch_answers(few_priors(m), m, questions, samples=500)
     e = game.expected_entropy(joint, "session", "question", answer=("sample",))
     return e.select("session", "question", r6(F.col("expected_entropy")).alias("expected_entropy"))
 
@@ -265,7 +279,7 @@ QUERIES = {
         u AS (SELECT session, (attribute // 4)::INT AS question, certainty, attribute, CASE WHEN model.p > 0 THEN priors.p * exp(weight * ln(model.p)) ELSE 0 END AS u FROM priors JOIN model USING (class)),
         a AS (SELECT session, question, certainty, attribute, sum(u) AS mass, sum(CASE WHEN u > 0 THEN u * ln(u) ELSE 0 END) AS ulnu FROM u GROUP BY 1, 2, 3, 4)
         SELECT session, question, round(sum(mass * ln(mass) - ulnu) / sum(mass), 6) AS expected_entropy FROM a GROUP BY 1, 2"""),
-    "b4_batch_question": (e2e_batch, MODEL + PRIORS + """, sure AS (SELECT attribute, class, arg_max(p, weight) AS q, max(weight) AS weight FROM model GROUP BY 1, 2),
+    "b4_batch_question": (e2e_batch, MODEL + FEW_PRIORS + """, sure AS (SELECT attribute, class, arg_max(p, weight) AS q, max(weight) AS weight FROM model GROUP BY 1, 2),
         known AS (SELECT session, (attribute // 3)::INT AS question, attribute, class, priors.p,
           CASE WHEN q > 0 THEN exp(weight * ln(q)) ELSE 0 END AS yes, CASE WHEN q < 1 THEN exp(weight * ln(1 - q)) ELSE 0 END AS no FROM priors JOIN sure USING (class)),
         shared AS (SELECT *, sum(p * yes) OVER k / sum(p * (yes + no)) OVER k AS share FROM known WINDOW k AS (PARTITION BY session, question, attribute)),
@@ -279,7 +293,7 @@ QUERIES = {
         u AS (SELECT s.object AS session, (s.part % 3)::INT AS class, sum(exp(-0.01::DOUBLE * (0.01::DOUBLE * (s.x - c.x - 10) ** 2 + 0.01::DOUBLE * (s.y - c.y) ** 2))) AS u FROM p s JOIN p c ON s.object = c.object AND c.part = 1 GROUP BY 1, 2)
         SELECT session, class, round(CASE WHEN sum(u) OVER (PARTITION BY session) <> 0 THEN u / sum(u) OVER (PARTITION BY session) ELSE 0 END, 6) AS p FROM u"""),
     "b7_select_question": (b7, MODEL + PRIORS + JOINT + """, h AS (SELECT session, -sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) AS h FROM priors GROUP BY 1),
-        g AS (SELECT session, attribute, round(h - expected_entropy, 9) AS gain FROM expected JOIN h USING (session) WHERE attribute % 5 <> session)
+        g AS (SELECT session, attribute, round(h - expected_entropy, 9) AS gain FROM expected JOIN h USING (session) WHERE attribute % 4 <> 0)
         SELECT session, attribute, round(gain, 6) AS gain FROM g QUALIFY row_number() OVER (PARTITION BY session ORDER BY gain DESC, attribute) = 1"""),
     "b7_select_by_time": (b7_time, MODEL + PRIORS + JOINT + """, h AS (SELECT session, -sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) AS h FROM priors GROUP BY 1),
         g AS (SELECT session, attribute, round((h - expected_entropy) / (1 + attribute % 7), 9) AS gain FROM expected JOIN h USING (session))

@@ -23,7 +23,7 @@ C = F.col
 
 def a6(spark, d):
     m = model_of(spark, d)
-    joint = game.binary_answers(priors_of(m), m)
+    joint = game.binary_answers(priors_of(spark, d, m), m)
     by_answer = joint.groupBy("session", "attribute", "certainty", "answer").agg(F.sum("u").alias("mass"))
     return by_answer.select("session", "attribute", "certainty", "answer", r6(prob.normalise(C("mass"), "session", "attribute")).alias("p"))
 
