@@ -658,7 +658,8 @@ QUERIES = {
     "m14_nms": (m14, cte("boxes").replace("WITH", "WITH RECURSIVE", 1) + """, b AS (SELECT *, row_number() OVER (PARTITION BY object ORDER BY score DESC, part) AS k FROM boxes),
         r AS (SELECT object, k, [{'part': part, 'x': x, 'y': y, 'w': w, 'h': h}] AS kept FROM b WHERE k = 1
           UNION ALL SELECT b.object, b.k, CASE WHEN len(list_filter(r.kept, lambda q:
-            greatest(least(q.x + q.w, b.x + b.w) - greatest(q.x, b.x), 0) * greatest(least(q.y + q.h, b.y + b.h) - greatest(q.y, b.y), 0) * 1.1::DOUBLE > 0.1::DOUBLE * (q.w * q.h + b.w * b.h))) > 0
+            greatest(least(q.x + q.w, b.x + b.w) - greatest(q.x, b.x), 0) * greatest(least(q.y + q.h, b.y + b.h) - greatest(q.y, b.y), 0)
+            > 0.1::DOUBLE * (q.w * q.h + b.w * b.h - greatest(least(q.x + q.w, b.x + b.w) - greatest(q.x, b.x), 0) * greatest(least(q.y + q.h, b.y + b.h) - greatest(q.y, b.y), 0)))) > 0
             THEN r.kept ELSE list_append(r.kept, {'part': b.part, 'x': b.x, 'y': b.y, 'w': b.w, 'h': b.h}) END FROM r JOIN b ON b.object = r.object AND b.k = r.k + 1),
         ends AS (SELECT object, arg_max(kept, k) AS kept FROM r GROUP BY 1)
         SELECT object, unnest(list_transform(kept, lambda q: q.part))::BIGINT AS part FROM ends"""),
