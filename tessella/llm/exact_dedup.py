@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,15 +12,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm.common import SPACE, documents, materialize
-from tessella.llm.textkernel import mapped
+from tessella.llm.textkernel import mapped, released
 from tessella.session import ship
 
 #: Cells of the filter at most; two bits each, so 16 MB are broadcast whatever the input.
 MAX_CELLS = 1 << 26
 PROBES = 3
 SEGMENTS = 16
-#: Cells a row that a range of keys has at least: so 3 % of unique rows at most look repeated.
-CELLS_A_ROW = 8
+#: Ranges of keys at most that are filtered one after another; beyond, all rows are grouped.
+MOST_RANGES = 64
+#: Cells a row that a range of keys has at least: so some 1 % of unique rows look repeated.
+CELLS_A_ROW = 12
 
 
 def normalised(text: Column) -> Column:
@@ -50,8 +52,19 @@ def passes(bits: np.ndarray, cells: int, key: np.ndarray) -> np.ndarray:
     return hit
 
 
-def filter_bits(keys: DataFrame, cells: int, repeated: bool = True) -> np.ndarray:
-    """Bits of the cells that two or more rows of ``keys`` (key: long) have hit, or one, unless ``repeated``.
+def _portions(key: np.ndarray, most: int = 1 << 17) -> list[np.ndarray]:
+    return [key[low : low + most] for low in range(0, len(key), most)]
+
+
+def _first_column(batch: pa.RecordBatch) -> np.ndarray:
+    return _keys(batch.column(0))
+
+
+def filter_bits(keys: DataFrame, cells: int, repeated: bool = True, read: Callable[[pa.RecordBatch], np.ndarray] = _first_column) -> np.ndarray:
+    """Bits of the cells that two or more of ``keys`` have hit, or one, unless ``repeated``.
+
+    ``keys`` has one in each row (key: long), or whatever ``read`` takes out of
+    a batch of them (uint64).
 
     Each task holds a cell's count as none, one or more; tasks' filters merge
     segment by segment on the executors.  Only the bits of "more", whose size
@@ -61,21 +74,20 @@ def filter_bits(keys: DataFrame, cells: int, repeated: bool = True) -> np.ndarra
     part = cells // SEGMENTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, more = np.zeros(cells, bool), np.zeros(cells, bool)
-        for batch in batches:
-            key = _keys(batch.column(0))
+        # hits of each cell, up to two
+        hits_of = np.zeros(cells, np.uint8)
+        for key in (part for batch in batches for part in _portions(read(batch))):
             probes = np.stack(_cells(key, cells))
             # a key's own probes may meet in one cell, which it then hits once only
             probes.sort(axis=0)
             fresh = np.ones(probes.shape, bool)
             fresh[1:] = probes[1:] != probes[:-1]
             cell, hits = np.unique(probes[fresh], return_counts=True)
-            more[cell] |= once[cell] | (hits > 1) | (not repeated)
-            once[cell] = True
+            hits_of[cell] = np.minimum(hits_of[cell] + np.minimum(hits, 2), 2) if repeated else 2
         for s in range(SEGMENTS):
-            a, b = once[s * part : (s + 1) * part], more[s * part : (s + 1) * part]
-            if a.any():
-                packed = [zlib.compress(np.packbits(x).tobytes(), 1) for x in (a, b)]
+            held = hits_of[s * part : (s + 1) * part]
+            if held.any():
+                packed = [zlib.compress(np.packbits(held >= least).tobytes(), 1) for least in (1, 2)]
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array(packed[:1], pa.binary()), pa.array(packed[1:], pa.binary())], ["segment", "once", "more"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,8 +102,8 @@ def filter_bits(keys: DataFrame, cells: int, repeated: bool = True) -> np.ndarra
         for s, (_, b) in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zlib.compress(b.tobytes(), 1)], pa.binary())], ["segment", "more"])
 
-    counted = keys.mapInArrow(count, "segment int, once binary, more binary")
-    merged = counted.repartition(SEGMENTS, "segment").mapInArrow(merge, "segment int, more binary")
+    counted = keys.mapInArrow(released(count), "segment int, once binary, more binary")
+    merged = counted.repartition(SEGMENTS, "segment").mapInArrow(released(merge), "segment int, more binary")
     bits = np.zeros(cells // 8, np.uint8)
     for row in merged.collect():
         bits[row.segment * part // 8 : (row.segment + 1) * part // 8] = np.frombuffer(zlib.decompress(row.more), np.uint8)
@@ -108,15 +120,18 @@ def ranges_of(rows: int, max_cells: int = MAX_CELLS) -> list[tuple[int, int]]:
 def tested(rows: DataFrame, key: str, max_cells: int = MAX_CELLS, only_maybe: bool = False) -> DataFrame:
     """``rows`` with a column tessella_maybe: false only where no other row has the same number in column ``key``.
 
-    ``rows`` is a written table.  Its filter has 8 cells a row at least: more
+    ``rows`` is a written table, or little more than one.  Its filter has 12 cells a row at least: more
     rows than one filter of ``max_cells`` can tell apart are taken in ranges
     of keys, one after another, each with a filter of its own.  The table is
     then sorted by key within its files, so that a range reads little else, and
-    nothing is shuffled.  So some 3 % of unique rows at most are taken for
-    repeated ones, whatever the input.
+    nothing is shuffled.  So some 1 % of unique rows are taken for repeated
+    ones, up to ``MOST_RANGES`` ranges (0.35 billion rows at the default ``max_cells``, which clusters with larger workers may raise);
+    beyond that all rows are.
     """
     number = rows.count()
     ranges = ranges_of(number, max_cells)
+    if len(ranges) > MOST_RANGES:
+        return rows if only_maybe and "tessella_maybe" in rows.columns else rows.withColumn("tessella_maybe", F.lit(True))
     cells = filter_cells(-(-number // len(ranges)), max_cells)
     if len(ranges) > 1:
         rows = materialize(rows.sortWithinPartitions(key), "sorted")
@@ -132,10 +147,57 @@ def tested(rows: DataFrame, key: str, max_cells: int = MAX_CELLS, only_maybe: bo
 
 
 def maybe_repeated(rows: DataFrame, key: str, max_cells: int = MAX_CELLS) -> DataFrame:
-    """Those of ``rows``, a written table, whose number in column ``key`` another row may have: all that have one, and few others."""
+    """Those of ``rows``, a written table or little more than one, whose number in column ``key`` another row may have: all that have one, and few others."""
     return tested(rows, key, max_cells, only_maybe=True).drop("tessella_maybe")
 
 
+Unpack = Callable[[pa.RecordBatch], tuple[np.ndarray, list[pa.Array]]]
+
+
+def maybe_shared(packed: DataFrame, number: int, unpack: Unpack, schema: str, max_cells: int = MAX_CELLS) -> DataFrame:
+    """Rows (key: long, and more) that ``unpack`` takes out of batches of ``packed``, but for most whose key (uint64) no other one has.
+
+    ``number`` tells how many there are.  Rows without an equal are left out by
+    a Bloom filter, or several, as in ``tested``; all pass where there are too
+    many for that.
+    """
+    ranges = ranges_of(number, max_cells)
+    if len(ranges) > MOST_RANGES:
+        ranges = [(-(1 << 63), (1 << 63) - 1)]
+        cells = 0
+    else:
+        # as many cells a row at every size, so that as many rows pass by mistake
+        cells = min(max_cells, max(1 << 12, -(-number * CELLS_A_ROW // (len(ranges) * 8 * SEGMENTS)) * 8 * SEGMENTS))
+    names = [part.split()[0] for part in schema.split(",")]
+    parts = []
+    for low, high in ranges:
+
+        def inside(key: np.ndarray, low: int = low, high: int = high) -> np.ndarray:
+            signed = key.view(np.int64)
+            return (signed >= low) & (signed <= high)
+
+        def read(batch: pa.RecordBatch, inside=inside) -> np.ndarray:
+            key = unpack(batch)[0]
+            return key[inside(key)] if len(ranges) > 1 else key
+
+        bits = packed.sparkSession.sparkContext.broadcast(filter_bits(packed, cells, read=read) if cells else None)
+
+        def test(batches: Iterator[pa.RecordBatch], bits=bits, inside=inside) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                key, columns = unpack(batch)
+                hit = inside(key)
+                if cells:
+                    hit &= passes(bits.value, cells, key)
+                if hit.any():
+                    yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in (pa.array(key.view(np.int64)), *columns)], names)
+
+        parts.append(packed.mapInArrow(released(test), schema))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def exact_dedup(docs: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of ``docs``.
 

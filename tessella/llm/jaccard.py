@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import materialize
-from tessella.llm.exact_dedup import maybe_repeated
+from tessella.llm.exact_dedup import MAX_CELLS, filter_bits, filter_cells, marked_rows, maybe_shared
 from tessella.llm.graph import components
-from tessella.llm.textkernel import mix
+from tessella.llm.textkernel import mix, released
 from tessella.session import ship
 
 #: Members of a group that meet in one run; larger groups are dealt into such parts.
@@ -29,35 +29,51 @@ def tuned_bands(similarity: float, recall: float = RECALL, most: int = MOST_BAND
 
 
 def band_hashes(flat: np.ndarray, index: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """For each set (a run of ``flat`` between bounds in ``index``; none empty) a hash a band, of the minima of ``rows`` permutations."""
+    """For each set (a run of ``flat`` between bounds in ``index``; none empty) a hash a band, of the minima of ``rows`` permutations of 32 bits."""
     out = np.zeros((len(index) - 1, bands), np.uint64)
     if not len(out):
         return out
-    odd = np.random.default_rng(7).integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    odd = np.random.default_rng(7).integers(0, 2**31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    high = (flat >> np.uint64(32)).astype(np.uint32)
     with np.errstate(over="ignore"):
         for k, factor in enumerate(odd):
-            out[:, k // rows] = mix(out[:, k // rows] ^ np.minimum.reduceat(flat * factor, index[:-1]), k // rows + 1)
+            out[:, k // rows] = mix(out[:, k // rows] ^ np.minimum.reduceat(high * factor, index[:-1]), k // rows + 1)
     return out
 
 
-def list_array(values: np.ndarray, width: int) -> pa.Array:
-    """Rows of ``width`` numbers each as lists."""
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * width), pa.array(values.ravel()))
+def unpacked(column: pa.Array, kind: type = np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a column of binary values, end to end, and the row of each."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None and len(column) else np.zeros(0, np.uint8)
+    return raw.view(kind), np.repeat(np.arange(len(column)), np.diff(off) // np.dtype(kind).itemsize)
 
 
 def buckets(banded: DataFrame, name: str = "buckets") -> DataFrame:
-    """(grp, node) of the buckets in which two or more nodes of ``banded`` (node: long, bands: array<long>) meet.
+    """(grp, node) of the buckets in which two or more nodes of ``banded`` (node: long, bands: binary, 64 bits each; a written table) meet.
 
     Only rows whose bucket a Bloom filter takes to be shared are shuffled, and
     of buckets with the same members, as the bands of near copies have, one is
-    left.
+    left.  A node may have several rows.
     """
-    grp = F.xxhash64("band", "hash")
-    rows = maybe_repeated(materialize(banded.select("node", F.posexplode("bands").alias("band", "hash")).select(grp.alias("grp"), "node"), name), "grp")
-    rows = materialize(rows, name)
-    met = rows.groupBy("grp").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("members")).where("low <> high")
-    chosen = materialize(met.groupBy("n", "low", "high", "members").agg(F.min("grp").alias("chosen")).select("chosen"), name)
-    return materialize(rows.join(chosen, rows["grp"] == chosen["chosen"]).select("grp", "node"), name)
+    ship(banded.sparkSession)
+    banded = banded.select("node", "bands")
+
+    def unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, list[pa.Array]]:
+        values, row = unpacked(batch.column(1))
+        return values, [batch.column(0).take(pa.array(row))]
+
+    number = banded.agg(F.coalesce(F.sum(F.octet_length("bands")), F.lit(0))).first()[0] // 8
+    rows = materialize(maybe_shared(banded, number, unpack, "grp long, node long"), name)
+    # rows of one node are in as many buckets each, so that their number tells nothing apart
+    hashed = F.xxhash64("node")
+    marks = [F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(hashed).alias("odd"), F.sum(F.shiftrightunsigned(hashed, 33)).alias("sum")]
+    met = rows.groupBy("grp").agg(*marks).where("low <> high")
+    chosen = materialize(met.groupBy("n", "low", "high", "odd", "sum").agg(F.min("grp").alias("chosen")).select("chosen"), name)
+    cells = filter_cells(chosen.count(), MAX_CELLS)
+    few = marked_rows(rows, "grp", filter_bits(chosen.select(F.col("chosen").alias("key")), cells, repeated=False), cells).where("tessella_maybe")
+    return materialize(few.join(chosen, few["grp"] == chosen["chosen"]).select("grp", "node").distinct(), name)
 
 
 def bucket_links(members: DataFrame) -> DataFrame:
@@ -164,6 +180,27 @@ def keyed_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[t
         yield at, whole(held)
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches that end where the first column, a number, changes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy(zero_copy_only=False)
+        change = np.flatnonzero(np.diff(key))
+        if held and held[-1].column(0)[-1].as_py() != key[0]:
+            yield pa.concat_batches(held)
+            held = []
+        if len(change):
+            cut = int(change[-1]) + 1
+            yield pa.concat_batches([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
 Pairs = Callable[[pa.RecordBatch, pa.RecordBatch | None], tuple[np.ndarray, np.ndarray]]
 
 
@@ -182,7 +219,7 @@ def _linked(dealt: DataFrame, keys: list[str], side: int | None, search: Pairs)
             if len(a):
                 yield pa.RecordBatch.from_arrays([left.column("node").take(pa.array(a)), right.column("node").take(pa.array(b))], ["src", "dst"])
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "src long, dst long")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(released(run), "src long, dst long")
 
 
 def search_links(members: DataFrame, search: Pairs, part: int = PART, name: str = "search") -> DataFrame:

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import documents, materialize
-from tessella.llm.exact_dedup import MAX_CELLS, filter_bits, filter_cells, maybe_repeated, passes
+from tessella.llm.exact_dedup import MAX_CELLS, filter_bits, filter_cells, marked_rows, maybe_shared, passes
 from tessella.llm.graph import components
-from tessella.llm.jaccard import band_hashes, bucket_links, buckets, groups_of, keyed_runs, links_within, list_array, tuned_bands
-from tessella.llm.textkernel import Words, mapped, mix, text_slices, xxh64
+from tessella.llm.jaccard import band_hashes, bucket_links, buckets, groups_of, links_within, tuned_bands, unpacked, whole_runs
+from tessella.llm.textkernel import Words, mapped, mix, released, text_slices, xxh64
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -107,8 +107,8 @@ def picked_windows(text: Words, first: np.ndarray, width: int, apart: int = APAR
     return word[fresh], hashes[fresh], words
 
 
-def contexts(text: Words, words: np.ndarray, first: np.ndarray, word: np.ndarray, width: int, apart: int = APART) -> np.ndarray:
-    """The ``apart`` - 1 words before and behind each window, as bytes: 16 bits of each word's hash, outwards, then its bytes with the space.
+def contexts(text: Words, words: np.ndarray, first: np.ndarray, word: np.ndarray, width: int, apart: int = APART) -> list[np.ndarray]:
+    """The ``apart`` - 1 words before, and behind, each window, as bytes: 16 bits of each word's hash, outwards, then its bytes with the space.
 
     The hash is 0, which ends what is equal, beyond the document and where a
     word and its space have over 255 bytes.
@@ -122,20 +122,17 @@ def contexts(text: Words, words: np.ndarray, first: np.ndarray, word: np.ndarray
         inner = place + 1 if edge is text.raw_starts else place - 1
         size = np.abs(edge[np.clip(inner, 0, len(words) - 1)] - edge[place])
         inside &= size < 256
-        sides.append((np.where(inside, words[place].astype(np.uint16) | np.uint16(1), np.uint16(0)), np.where(inside, size, 0).astype(np.uint8)))
-    return np.hstack([sides[0][0].view(np.uint8), sides[1][0].view(np.uint8), sides[0][1], sides[1][1]])
-
-
-def extents(mine: np.ndarray, other: np.ndarray, apart: int = APART) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(words, bytes) that rows of ``contexts`` have in common with others before, and behind, the window."""
-    reach, out = apart - 1, []
-    for side in range(2):
-        at = slice(2 * reach * side, 2 * reach * (side + 1))
-        a, b = (np.ascontiguousarray(x[:, at]).view(np.uint16) for x in (mine, other))
-        equal = np.logical_and.accumulate((a == b) & (a != 0), axis=1)
-        sizes = mine[:, 4 * reach + reach * side : 4 * reach + reach * (side + 1)]
-        out.append((equal.sum(axis=1).astype(np.int32), (sizes * equal).sum(axis=1).astype(np.int32)))
-    return out
+        hashes = np.where(inside, words[place].astype(np.uint16) | np.uint16(1), np.uint16(0))
+        sides.append(np.hstack([hashes.view(np.uint8), np.where(inside, size, 0).astype(np.uint8)]))
+    return sides
+
+
+def extents(mine: np.ndarray, other: np.ndarray, apart: int = APART) -> tuple[np.ndarray, np.ndarray]:
+    """(words, bytes) that rows of one side of ``contexts`` have in common with others, next to the window."""
+    reach = apart - 1
+    a, b = (np.ascontiguousarray(x[:, : 2 * reach]).view(np.uint16) for x in (mine, other))
+    equal = np.logical_and.accumulate((a == b) & (a != 0), axis=1)
+    return equal.sum(axis=1).astype(np.int32), (mine[:, 2 * reach :] * equal).sum(axis=1).astype(np.int32)
 
 
 def _bytes(column: pa.Array) -> np.ndarray:
@@ -150,106 +147,160 @@ def _place_key(whole: np.ndarray, doc: np.ndarray, number: np.ndarray) -> np.nda
     return mix(whole ^ mix(doc.astype(np.int64).view(np.uint64), 11) ^ mix(number.astype(np.uint64), 13), 17)
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(-1).to_numpy(zero_copy_only=False)
+def _row_key(row: np.ndarray, word: np.ndarray | int) -> np.ndarray:
+    return mix(row.astype(np.int64).view(np.uint64) ^ mix(np.atleast_1d(np.asarray(word, np.int64)).view(np.uint64), 3), 7)
 
 
-_PLACE = "row_no long, doc_id long, paragraph int, start int, end int, word int, hash long, line long, context binary"
-_REACH = ["words_before", "bytes_before", "words_behind", "bytes_behind"]
+def _doc_key(ids: np.ndarray) -> np.ndarray:
+    return mix(ids.astype(np.int64).view(np.uint64), 29)
 
 
-def _shared(rows: DataFrame, name: str) -> DataFrame:
-    """(of_hash) of the windows of ``rows`` (doc_id, hash) that two documents have."""
-    found = rows.groupBy(F.col("hash").alias("of_hash")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
-    return materialize(found.select("of_hash"), name)
+def _ids(column: pa.Array) -> np.ndarray:
+    return column.fill_null(-1).to_numpy(zero_copy_only=False)
 
 
-def _reached(places: DataFrame) -> DataFrame:
-    """The windows of ``places`` (see ``_PLACE``) that two documents have, with the first copy, which stays, and how far they go on like it.
+def _shared(windows: DataFrame) -> DataFrame:
+    """(of_hash, keep_row, keep_word) of the windows (hash, doc_id, row_no, word) that two documents have: the first copy, which stays."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_no", "word")).alias("first")
+    seen = windows.groupBy(F.col("hash").alias("of_hash")).agg(first, F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
+    return materialize(seen.select("of_hash", F.col("first.row_no").alias("keep_row"), F.col("first.word").alias("keep_word")), "shared")
 
-    The first copy itself goes as far as any other does with it.
-    """
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_no", "word", "context")).alias("first")
-    seen = places.groupBy(F.col("hash").alias("of_hash")).agg(first, F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
-    seen = materialize(seen.select("of_hash", *(F.col(f"first.{c}").alias(f"keep_{c}") for c in ("doc_id", "row_no", "word", "context"))), "seen")
-    rows = places.join(seen, places["hash"] == seen["of_hash"])
-    names = ["row_no", "word", "doc_id", "paragraph", "start", "end", "hash", "line", "keep_row_no", "keep_doc_id", "kept"]
-    rows = rows.withColumn("kept", (F.col("row_no") == F.col("keep_row_no")) & (F.col("word") == F.col("keep_word"))).select(*names, "context", "keep_context")
-
-    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                ends = [pa.array(x) for pair in extents(_bytes(batch.column("context")), _bytes(batch.column("keep_context"))) for x in pair]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *ends], [*names, *_REACH])
-
-    schema = "row_no long, word int, doc_id long, paragraph int, start int, end int, hash long, line long, keep_row_no long, keep_doc_id long, kept boolean"
-    rows = materialize(rows.mapInArrow(reach, schema + "".join(f", {c} int" for c in _REACH)), "reached")
-    # words and bytes are greatest in the same row: what follows a window in its first copy is one text
-    farthest = rows.where("not kept").groupBy(F.col("hash").alias("of_hash")).agg(*(F.max(c).alias(f"most_{c}") for c in ("words_before", "words_behind")))
-    sized = places.select(F.col("hash").alias("sized_hash"), F.col("row_no").alias("sized_row"), F.col("word").alias("sized_word"), "context")
-    kept = rows.where("kept").drop(*_REACH)
-    kept = kept.join(farthest, kept["hash"] == farthest["of_hash"]).drop("of_hash")
-    kept = kept.join(sized, (kept["hash"] == sized["sized_hash"]) & (kept["row_no"] == sized["sized_row"]) & (kept["word"] == sized["sized_word"])).drop("sized_hash", "sized_row", "sized_word")
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                context, places = _bytes(batch.column("context")), np.arange(APART - 1)
-                ends = []
-                for side, column in enumerate(("most_words_before", "most_words_behind")):
-                    words = batch.column(column).to_numpy(zero_copy_only=False)
-                    sizes = context[:, (4 + side) * (APART - 1) : (5 + side) * (APART - 1)]
-                    ends += [pa.array(words.astype(np.int32)), pa.array((sizes * (places < words[:, None])).sum(axis=1).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *ends], [*names, *_REACH])
+_RUN = {
+    "row_no": "long", "word": "int", "last_word": "int", "hash": "long", "last_hash": "long", "least": "long", "keep_row": "long", "keep_word": "int", "keep_last_word": "int", "kept": "boolean",
+}
 
-    return rows.where("not kept").unionByName(kept.mapInArrow(measure, rows.schema))
 
+def _runs(windows: DataFrame, shared: DataFrame) -> DataFrame:
+    """Runs of the shared windows of a text whose first copies lie in one document, with their first, last and least windows; see ``_RUN``.
 
-def _passages(places: DataFrame, clustered: DataFrame) -> DataFrame:
-    """Rows of the passages that the windows ``places`` (see ``_PLACE``) make up, but for those within lines of ``clustered`` (of_whole)."""
-    rows = _reached(places)
+    Windows of a run begin at most ``APART`` words apart.
+    """
+    rows = windows.join(shared, windows["hash"] == shared["of_hash"]).select("row_no", "word", "hash", "keep_row", "keep_word")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of windows at most ``APART`` words apart whose first copies stand in one document, as one row; and each window's link to its run's least hash."""
-        for _, part in keyed_runs(batches, 1):
-            column = {n: part.column(n) for n in part.schema.names}
-            word, start, end, hashes, line, keep, *reach = (column[n].to_numpy(zero_copy_only=False) for n in ("word", "start", "end", "hash", "line", "keep_row_no", *_REACH))
-            kept = column["kept"].to_numpy(zero_copy_only=False)
+        for part in whole_runs(batches):
+            row, word, hashes, keep, keep_word = (c.to_numpy(zero_copy_only=False) for c in part.columns)
+            kept = (keep == row) & (keep_word == word)
             new = np.ones(len(word), bool)
-            new[1:] = (np.diff(word) > APART) | (keep[1:] != keep[:-1]) | (kept[1:] != kept[:-1])
+            new[1:] = (np.diff(row) != 0) | (np.diff(word) > APART) | (keep[1:] != keep[:-1]) | (kept[1:] != kept[:-1])
             at = np.flatnonzero(new)
             last = np.append(at[1:], len(word)) - 1
-            run = np.cumsum(new) - 1
-            least = np.minimum.reduceat(hashes, at)
-            # a run lies within one line if all its windows do
-            low, high = np.minimum.reduceat(line, at), np.maximum.reduceat(line, at)
-            take = lambda n, where: column[n].take(pa.array(where))
-            null = lambda kind, n: pa.nulls(n, kind)
-            runs, size = len(at), len(word)
-            columns = [
-                pa.concat_arrays([take("doc_id", at), null(pa.int64(), size)]),
-                pa.concat_arrays([take("paragraph", at), null(pa.int32(), size)]),
-                pa.concat_arrays([pa.array((start[at] - reach[1][at]).astype(np.int32)), null(pa.int32(), size)]),
-                pa.concat_arrays([pa.array((end[last] + reach[3][last]).astype(np.int32)), null(pa.int32(), size)]),
-                pa.concat_arrays([pa.array((word[last] - word[at] + reach[0][at] + reach[2][last]).astype(np.int32)), null(pa.int32(), size)]),
-                pa.array(np.concatenate([least, least[run]])),
-                pa.concat_arrays([null(pa.int64(), runs), pa.array(hashes)]),
-                pa.concat_arrays([pa.array(low, mask=low != high), null(pa.int64(), size)]),
-                pa.concat_arrays([take("keep_doc_id", at), null(pa.int64(), size)]),
-                pa.concat_arrays([take("kept", at), null(pa.bool_(), size)]),
-            ]
-            linked = np.concatenate([np.ones(runs, bool), hashes != least[run]])
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "paragraph", "start", "end", "more", "least", "hash", "line", "keep_id", "kept"]).filter(pa.array(linked))
-
-    merged = rows.repartition("row_no").sortWithinPartitions("row_no", "word").mapInArrow(
-        merge, "doc_id long, paragraph int, start int, end int, more int, least long, hash long, line long, keep_id long, kept boolean"
-    )
-    merged = materialize(merged, "merged")
-    # passages of one cluster share windows, be it by way of others
-    roots = components(merged.where("hash is not null").select(F.col("least").alias("src"), F.col("hash").alias("dst")), "passages")
-    runs = merged.where("hash is null").drop("hash")
-    named = runs.join(roots, runs["least"] == roots["node"], "left").withColumn("cluster", F.coalesce("root", "least"))
-    named = materialize(named.drop("node", "root", "least"), "named")
+            runs = (row[at], word[at], word[last], hashes[at], hashes[last], np.minimum.reduceat(hashes, at), keep[at], keep_word[at], keep_word[last], kept[at])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in runs], list(_RUN))
+
+    schema = ", ".join(f"{n} {t}" for n, t in _RUN.items())
+    return materialize(rows.repartition("row_no").sortWithinPartitions("row_no", "word").mapInArrow(released(merge), schema), "runs")
+
+
+def _ends(runs: DataFrame, source: DataFrame, least: int) -> DataFrame:
+    """(row_no, word, paragraph, start, end, line, before, behind) of the windows at which runs, and their first copies, begin and end.
+
+    Only texts that have any are read for this.  ``line`` is the hash of the
+    line that a window lies within, or 0.
+    """
+    sides = [("row_no", "word"), ("row_no", "last_word"), ("keep_row", "keep_word"), ("keep_row", "keep_last_word")]
+    asked = None
+    for row, word in sides:
+        part = runs.select(F.col(row).alias("row_no"), F.col(word).alias("word"))
+        asked = part if asked is None else asked.unionByName(part)
+    asked = materialize(asked.distinct(), "asked")
+
+    def row_keys(batch: pa.RecordBatch) -> np.ndarray:
+        """Of each place asked for, and of each text that has any."""
+        row, word = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        return np.concatenate([_row_key(row, word), _row_key(row, -1)])
+
+    cells = filter_cells(2 * asked.count(), MAX_CELLS)
+    marked = source.sparkSession.sparkContext.broadcast(filter_bits(asked, cells, repeated=False, read=row_keys))
+    names = ["row_no", "word", "paragraph", "start", "end", "line", "before", "behind"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = marked.value
+        for batch in batches:
+            batch = batch.filter(pa.array(passes(bits, cells, _row_key(batch.column(2).to_numpy(zero_copy_only=False), -1))))
+            for low, _, raw, offsets in text_slices(batch.column(1)):
+                lines = Lines(raw, offsets, least)
+                text, first = lines.text, lines.of_documents()
+                word, _, single = picked_windows(text, first, least)
+                owner = np.searchsorted(first, word, side="right") - 1
+                row, place = batch.column(2).to_numpy(zero_copy_only=False)[low + owner], (word - first[owner]).astype(np.int32)
+                hit = passes(bits, cells, _row_key(row, place)) if len(word) else np.zeros(0, bool)
+                if not hit.any():
+                    continue
+                word, owner = word[hit], owner[hit]
+                whole, within = np.zeros(len(lines.bounds) - 1, np.uint64), np.zeros(len(lines.bounds) - 1, bool)
+                whole[lines.kept], within[lines.kept] = lines.whole, True
+                a, b = (np.searchsorted(text.first, w, side="right") - 1 for w in (word, word + least - 1))
+                start = text.raw_starts[word]
+                number = np.searchsorted(lines.breaks, start, side="right") - np.searchsorted(lines.breaks, offsets[owner], side="right")
+                places = (number, start - offsets[owner], text.raw_ends[word + least - 1] - offsets[owner])
+                columns = [
+                    pa.array(row[hit]),
+                    pa.array(place[hit]),
+                    *(pa.array(x.astype(np.int32)) for x in places),
+                    pa.array(np.where(within[a] & (a == b), whole[a], np.uint64(0)).view(np.int64)),
+                    *(pa.array([c.tobytes() for c in side], pa.binary()) for side in contexts(text, single, first, word, least)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    found = mapped(source, read, "row_no long, word int, paragraph int, start int, end int, line long, before binary, behind binary")
+    # texts that are alike in id and words have the same row_no
+    return materialize(found.dropDuplicates(["row_no", "word"]), "ends")
+
+
+def _reached(runs: DataFrame, ends: DataFrame) -> DataFrame:
+    """``runs`` with paragraph, start, end and line, and words and bytes by which each goes on, before and behind, like the copy that stays.
+
+    A copy that stays goes on as far as any other does with it.
+    """
+    out = runs
+    for side, (word, wanted) in enumerate((("word", ("paragraph", "start", "line", "before")), ("last_word", ("paragraph", "end", "line", "behind")))):
+        here = ends.select(F.col("row_no").alias("at_row"), F.col("word").alias("at_word"), *[F.col(c).alias(f"{c}_{side}") for c in wanted])
+        out = out.join(here, (out["row_no"] == here["at_row"]) & (out[word] == here["at_word"])).drop("at_row", "at_word")
+    one_line = (F.col("line_0") == F.col("line_1")) & (F.col("paragraph_0") == F.col("paragraph_1")) & (F.col("line_0") != 0)
+    out = out.withColumns({"line": F.when(one_line, F.col("line_0")), "paragraph": F.col("paragraph_0"), "start": F.col("start_0"), "end": F.col("end_1")})
+    out = materialize(out.drop("line_0", "line_1", "paragraph_0", "paragraph_1", "start_0", "end_1"), "placed")
+    kept, others = out.where("kept"), out.where("not kept")
+    for side, (keep, of) in enumerate((("keep_word", "before"), ("keep_last_word", "behind"))):
+        there = ends.select(F.col("row_no").alias("at_row"), F.col("word").alias("at_word"), F.col(of).alias(f"theirs_{side}"))
+        others = others.join(there, (others["keep_row"] == there["at_row"]) & (others[keep] == there["at_word"])).drop("at_row", "at_word")
+    reach = [f"{c}_{side}" for side in range(2) for c in ("words", "bytes", "keep_bytes")]
+    told = [f for f in out.schema.fields if f.name not in ("before_0", "behind_1")]
+    columns = [*(f.name for f in told), *reach]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = []
+            for side, of in enumerate(("before", "behind")):
+                mine, theirs = (_bytes(batch.column(f"{n}_{side}")) for n in (of, "theirs"))
+                found += [*extents(mine, theirs), extents(theirs, mine)[1]]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns[:-6]), *map(pa.array, found)], columns)
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in told)
+    others = materialize(others.mapInArrow(released(measure), kinds + "".join(f", {c} int" for c in reach)), "reached")
+    for side, hashes in enumerate(("hash", "last_hash")):
+        most = others.groupBy(F.col(hashes).alias("most_hash")).agg(F.max(F.struct(f"words_{side}", f"keep_bytes_{side}")).alias("most"))
+        kept = kept.join(most, kept[hashes] == most["most_hash"], "left")
+        kept = kept.withColumns({f"words_{side}": F.coalesce(f"most.words_{side}", F.lit(0)), f"bytes_{side}": F.coalesce(f"most.keep_bytes_{side}", F.lit(0))}).drop("most_hash", "most")
+    return others.drop("keep_bytes_0", "keep_bytes_1").unionByName(kept.drop("before_0", "behind_1"))
+
+
+def _passages(windows: DataFrame, shared: DataFrame, source: DataFrame, clustered: DataFrame, least: int) -> DataFrame:
+    """Rows of the passages that the shared windows make up, but for those within lines of ``clustered`` (of_whole)."""
+    runs = _runs(windows, shared)
+    # runs of one cluster have their first, last or least window in common with one another, be it by way of others
+    links = [runs.select(F.col("least").alias("src"), F.col(c).alias("dst")) for c in ("hash", "last_hash")]
+    roots = components(links[0].unionByName(links[1]).distinct(), "passages")
+    named = _reached(runs, _ends(runs, source, least)).join(roots, F.col("least") == roots["node"], "left").withColumn("cluster", F.coalesce("root", "least"))
+    size = F.col("last_word") - F.col("word") + F.col("words_0") + F.col("words_1") + F.lit(least)
+    named = named.withColumns({"words": size, "start": F.col("start") - F.col("bytes_0"), "end": F.col("end") + F.col("bytes_1")})
+    ids = materialize(windows.select(F.col("row_no").alias("of_row"), F.col("doc_id").alias("id")).distinct(), "ids")
+    named = named.join(ids, named["row_no"] == ids["of_row"]).drop("of_row").withColumnRenamed("id", "doc_id")
+    named = named.join(ids, named["keep_row"] == ids["of_row"]).withColumnRenamed("id", "keep_id")
+    named = materialize(named.select("doc_id", "paragraph", "start", "end", "words", "cluster", "line", "keep_id", "kept"), "named")
     copies = materialize(named.groupBy(F.col("cluster").alias("of_cluster")).agg(F.count("*").alias("copies")), "copies")
     named = named.join(copies, named["cluster"] == copies["of_cluster"])
     return named.join(clustered, named["line"] == clustered["of_whole"], "left_anti")
@@ -278,64 +329,77 @@ def repeated_paragraphs(docs: DataFrame, words: int = WORDS, similarity: float =
     first and behind its last window as far as the copy that stays does; a
     first copy goes as far as any other does with it.  (Words are told apart
     by 15 bits there: one end in some thousands has a word too many.)  Clusters
-    are components of passages that share windows.  A passage within a line
-    that already has a row is left out.
+    are components of passages whose first, last or least windows are the same.
+    A passage within a line that already has a row is left out.
 
     Clusters within one document are left out, so that a document which only
     repeats itself has no row.  Null and empty texts have no paragraphs; rows
-    that share a doc_id count as one document, a null id comes last and counts
-    for none.  An empty table gives an empty one.
+    that share a doc_id count as one document, and have rows for passages once
+    if their texts are the same too; a null id comes last and counts for none.  An empty table gives an empty one.
     """
     spark = docs.sparkSession
     bands, rows = tuned_bands(similarity)
-    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.monotonically_increasing_id().alias("row_no"))
-    names = ["doc_id", "whole", "paragraph", "start", "end", "words", "bands"]
+    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.xxhash64(docs["doc_id"].cast("long"), docs["text"]).alias("row_no"))
+    names = ["doc_id", "whole", "paragraph", "start", "end", "words", "packed", "row_no", "places"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Paragraphs, and windows, which have a hash and a document only."""
+        """Paragraphs with their bands, and documents with the hashes of their windows."""
         for batch in batches:
             for low, _, raw, offsets in text_slices(batch.column(1)):
                 lines = Lines(raw, offsets, least)
                 if len(lines.kept):
-                    every = np.arange(len(lines.kept))
-                    hashes = band_hashes(*lines.shingles(every, words), bands, rows).view(np.int64)
+                    hashes = band_hashes(*lines.shingles(np.arange(len(lines.kept)), words), bands, rows)
                     places = (pa.array(x.astype(np.int32)) for x in (lines.number, lines.start, lines.end, lines.words))
-                    columns = [batch.column(0).take(pa.array(low + lines.owner)), pa.array(lines.whole.view(np.int64)), *places, list_array(hashes, bands)]
-                    yield pa.RecordBatch.from_arrays(columns, names)
+                    packed = pa.array([h.tobytes() for h in hashes], pa.binary())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(low + lines.owner)), pa.array(lines.whole.view(np.int64)), *places, packed, pa.nulls(len(packed), pa.int64()), pa.nulls(len(packed), pa.binary())], names)
                 first = lines.of_documents()
                 word, hashes, _ = picked_windows(lines.text, first, least)
                 if len(word):
-                    owner = np.searchsorted(first, word, side="right") - 1
-                    empty = [pa.nulls(len(word), pa.int32())] * 4
-                    columns = [batch.column(0).take(pa.array(low + owner)), pa.array(hashes.view(np.int64)), *empty, pa.nulls(len(word), pa.list_(pa.int64()))]
-                    yield pa.RecordBatch.from_arrays(columns, names)
-
-    units = materialize(mapped(source, read, "doc_id long, whole long, paragraph int, start int, end int, words int, bands array<long>"), "units")
+                    owner, at = np.unique(np.searchsorted(first, word, side="right") - 1, return_index=True)
+                    packed = pa.array([h.tobytes() for h in np.split(hashes, at[1:])], pa.binary())
+                    begins = np.repeat(first[owner], np.diff([*at, len(word)]))
+                    places = pa.array([p.tobytes() for p in np.split((word - begins).astype(np.int32), at[1:])], pa.binary())
+                    empty = [pa.nulls(len(owner), pa.int64()), *[pa.nulls(len(owner), pa.int32())] * 4]
+                    of = pa.array(low + owner)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(of), *empty, packed, batch.column(2).take(of), places], names)
+
+    def unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, list[pa.Array]]:
+        values, row = unpacked(batch.column(1))
+        at = pa.array(row)
+        return values, [batch.column(0).take(at), batch.column(2).take(at), pa.array(unpacked(batch.column(3), np.int32)[0])]
+
+    units = materialize(mapped(source, read, "doc_id long, whole long, paragraph int, start int, end int, words int, packed binary, row_no long, places binary"), "units")
     found = units.where("words is not null")
-    windows = units.where("words is null").select("doc_id", F.col("whole").alias("hash"))
-    shared = _shared(maybe_repeated(windows, "hash"), "shared")
+    packed = units.where("words is null").select("doc_id", "packed", "row_no", "places")
+    number = packed.agg(F.coalesce(F.sum(F.octet_length("packed")), F.lit(0))).first()[0] // 8
+    windows = materialize(maybe_shared(packed, number, unpack, "hash long, doc_id long, row_no long, word int"), "windows")
+    shared = _shared(windows)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "paragraph", "start"))
-    unique = found.groupBy("whole").agg(F.count("*").alias("n"), first.alias("first"), F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id"), F.first("bands").alias("bands"))
+    unique = found.groupBy("whole").agg(F.count("*").alias("n"), first.alias("first"), F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id"))
     unique = materialize(unique, "unique")
-    met = buckets(unique.select(F.col("whole").alias("node"), "bands"), "bands")
+    met = buckets(found.select(F.col("whole").alias("node"), F.col("packed").alias("bands")), "bands")
     groups = groups_of(bucket_links(met), met, name="candidates")
+    # of the rest only paragraphs that stand in two documents matter
+    met_once = materialize(groups.select(F.col("node").alias("of_node")).distinct(), "met_once")
+    among = filter_cells(met_once.count(), MAX_CELLS)
+    tested = marked_rows(unique, "whole", filter_bits(met_once.select(F.col("of_node").alias("key")), among, repeated=False), among).where("tessella_maybe or least_id <> most_id").drop("tessella_maybe")
+    unique = materialize(tested.join(met_once, tested["whole"] == met_once["of_node"], "left").where("of_node is not null or least_id <> most_id"), "candidates")
 
-    # the shingles of one paragraph of each candidate, and the windows, from a second reading of the texts
-    met_once = groups.select(F.col("node").alias("of_node")).distinct()
-    wanted = materialize(unique.join(met_once, unique["whole"] == met_once["of_node"]).select("whole", "first.doc_id", "first.paragraph"), "wanted")
+    # the shingles of one paragraph of each candidate, from a second reading of the documents that have any
+    wanted = materialize(unique.where("of_node is not null").select("whole", "first.doc_id", "first.paragraph"), "wanted")
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            whole, doc, number = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), _ids(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(_place_key(whole, doc, number).view(np.int64))], ["key"])
+    def line_keys(batch: pa.RecordBatch) -> np.ndarray:
+        whole, number = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+        return _place_key(whole.view(np.uint64), _ids(batch.column(1)), number)
 
-    cells, more = filter_cells(wanted.count(), MAX_CELLS), filter_cells(shared.count(), MAX_CELLS)
-    marked = spark.sparkContext.broadcast((filter_bits(wanted.mapInArrow(keyed, "key long"), cells, repeated=False), filter_bits(shared.select(F.col("of_hash").alias("key")), more, repeated=False)))
+    cells = filter_cells(wanted.count(), MAX_CELLS)
+    of_docs = filter_bits(wanted, cells, repeated=False, read=lambda batch: _doc_key(_ids(batch.column(1))))
+    marked = spark.sparkContext.broadcast((filter_bits(wanted, cells, repeated=False, read=line_keys), of_docs))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_lines, of_windows = marked.value
-        out = ["items", "row_no", "doc_id", "paragraph", "start", "end", "word", "hash", "line", "context"]
+        of_lines, of_docs = marked.value
         for batch in batches:
+            batch = batch.filter(pa.array(passes(of_docs, cells, _doc_key(_ids(batch.column(0))))))
             ids = _ids(batch.column(0))
             for low, _, raw, offsets in text_slices(batch.column(1)):
                 lines = Lines(raw, offsets, least)
@@ -343,35 +407,10 @@ def repeated_paragraphs(docs: DataFrame, words: int = WORDS, similarity: float =
                 if len(hit):
                     hashes, index = lines.shingles(hit, words)
                     items = pa.array([np.unique(hashes[a:b]).view(np.int64) for a, b in zip(index, index[1:])], pa.list_(pa.int64()))
-                    empty = [pa.nulls(len(hit), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())]
-                    yield pa.RecordBatch.from_arrays([items, *empty, pa.array(lines.whole[hit].view(np.int64)), pa.nulls(len(hit), pa.int64()), pa.nulls(len(hit), pa.binary())], out)
-                text, first = lines.text, lines.of_documents()
-                word, hashes, single = picked_windows(text, first, least)
-                held = passes(of_windows, more, hashes)
-                word, hashes = word[held], hashes[held]
-                if not len(word):
-                    continue
-                owner = np.searchsorted(first, word, side="right") - 1
-                # the line of a window that lies within one, else 0
-                whole, within = np.zeros(len(lines.bounds) - 1, np.uint64), np.zeros(len(lines.bounds) - 1, bool)
-                whole[lines.kept], within[lines.kept] = lines.whole, True
-                a, b = (np.searchsorted(text.first, w, side="right") - 1 for w in (word, word + least - 1))
-                start = text.raw_starts[word]
-                number = np.searchsorted(lines.breaks, start, side="right") - np.searchsorted(lines.breaks, offsets[owner], side="right")
-                places = (number, start - offsets[owner], text.raw_ends[word + least - 1] - offsets[owner], word - first[owner])
-                columns = [
-                    pa.nulls(len(word), pa.list_(pa.int64())),
-                    *(batch.column(k).take(pa.array(low + owner)) for k in (2, 0)),
-                    *(pa.array(x.astype(np.int32)) for x in places),
-                    pa.array(hashes.view(np.int64)),
-                    pa.array(np.where(within[a] & (a == b), whole[a], np.uint64(0)).view(np.int64)),
-                    pa.array([c.tobytes() for c in contexts(text, single, first, word, least)], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, out)
+                    yield pa.RecordBatch.from_arrays([pa.array(lines.whole[hit].view(np.int64)), items], ["read_whole", "items"])
 
-    reread = materialize(mapped(source, again, f"items array<long>, {_PLACE}"), "reread")
-    shingled = reread.where("items is not null").groupBy(F.col("hash").alias("read_whole")).agg(F.first("items").alias("items"))
-    shingled = materialize(shingled, "shingled")
+    reread = mapped(source.select("doc_id", "text"), again, "read_whole long, items array<long>")
+    shingled = materialize(reread.groupBy("read_whole").agg(F.first("items").alias("items")), "shingled")
     members = groups.join(shingled, groups["node"] == shingled["read_whole"]).select("grp", "node", "items")
     linked = components(links_within(members, similarity), "links")
 
@@ -381,9 +420,10 @@ def repeated_paragraphs(docs: DataFrame, words: int = WORDS, similarity: float =
     named = materialize(named, "clusters")
     kept = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("paragraph") == F.col("keep.paragraph")) & (F.col("start") == F.col("keep.start"))
     columns = ["doc_id", "paragraph", "start", "end", "words", "cluster", "copies", "keep_id", "kept", "kind"]
-    whole_lines = found.drop("bands").join(named, found["whole"] == named["of_whole"]).withColumns({"keep_id": F.col("keep.doc_id"), "kept": kept, "kind": F.lit("paragraph")})
-    passages = _passages(reread.where("items is null").drop("items"), named.select("of_whole"))
-    passages = passages.withColumns({"words": F.col("more") + F.lit(least), "kind": F.lit("passage")})
+    least_cells = filter_cells(named.count(), MAX_CELLS)
+    in_clusters = marked_rows(found.drop("packed", "row_no", "places"), "whole", filter_bits(named.select(F.col("of_whole").alias("key")), least_cells, repeated=False), least_cells).where("tessella_maybe").drop("tessella_maybe")
+    whole_lines = in_clusters.join(named, in_clusters["whole"] == named["of_whole"]).withColumns({"keep_id": F.col("keep.doc_id"), "kept": kept, "kind": F.lit("paragraph")})
+    passages = _passages(windows, shared, source, named.select("of_whole"), least).withColumn("kind", F.lit("passage"))
     return whole_lines.select(*columns).unionByName(passages.select(*columns))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import documents, materialize
 from tessella.llm.graph import components
 from tessella.llm.jaccard import keyed_runs
-from tessella.llm.textkernel import Words, majority, mapped, text_slices, xxh64
+from tessella.llm.textkernel import Words, majority, mapped, released, text_slices, xxh64
 from tessella.session import ship
 
 BITS = 64
@@ -173,8 +173,8 @@ def near_links(distinct: DataFrame, distance: int, shard: int = SHARD) -> DataFr
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], ["src", "dst"])
 
-    placed = distinct.select("fp").mapInArrow(place, "shard long, fp long")
-    return placed.repartition("shard").sortWithinPartitions("shard").mapInArrow(search, "src long, dst long")
+    placed = distinct.select("fp").mapInArrow(released(place), "shard long, fp long")
+    return placed.repartition("shard").sortWithinPartitions("shard").mapInArrow(released(search), "src long, dst long")
 
 
 def near_groups(docs: DataFrame, words: int = 3, distance: int = 2, seed: int = 42) -> DataFrame:

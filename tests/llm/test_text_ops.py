@@ -161,7 +161,7 @@ def test_exact_dedup(spark, cells):
 
 def test_filters_by_range_pass_few_unique_rows(spark):
     rows = spark.range(20_000).selectExpr("xxhash64(if(id < 1000, id % 100, id)) AS key", "id")
-    assert len(dedup.ranges_of(20_000, 1 << 14)) == 10
+    assert len(dedup.ranges_of(20_000, 1 << 14)) == 15
     for cells in (1 << 26, 1 << 14):
         maybe = [r.id for r in dedup.maybe_repeated(dedup.materialize(rows, "rows"), "key", cells).collect()]
         assert len(maybe) == len(set(maybe)) and set(range(1000)) <= set(maybe)
@@ -205,3 +205,16 @@ def test_cuts_cover_and_fit():
 def test_ids_crc(spark):
     row = packing.pack(frame(spark, [(1, "the run", "en", "s", 7)])).selectExpr("crc32(ids) c", "ids").first()
     assert row.c == zlib.crc32(row.ids)
+
+
+def test_other_tokenizers_encode_whole_texts(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    assert packing.parts_agree(packing.public_file(packing.TOKENIZER))
+    other = Tokenizer(models.WordLevel({"<unk>": 0, "the": 5, "run": 7, ",": 9}, unk_token="<unk>"))
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    other.save(str(tmp_path / "other.json"))
+    path = str(tmp_path / "other.json")
+    assert not packing.parts_agree(path)
+    row = packing.pack(frame(spark, [(1, "the run, THE", "en", "s", 7)]), tokenizer=path).first()
+    assert np.frombuffer(row.ids, "<u4").tolist() == [5, 7, 9, 0, 1]
