@@ -18,14 +18,18 @@ C = F.col
 PROPERTIES = {"STANDARD": ("batch", "head"), "SMALL": ("multiple", "tail"), "MEDIUM": ("multiple", "wing"), "LARGE": ("batch", "head"), "ECONOMY": ("multiple", "back")}
 
 
-def j3(spark, d):
+def resolved_links(spark: SparkSession, d: str) -> DataFrame:
     links = table(spark, d, "customer").select(C("c_custkey").alias("source"), F.when(C("c_custkey") % 7 == 0, None).when(C("c_custkey") % 5 == 0, F.concat(F.lit("NO "), C("c_mktsegment"))).otherwise(C("c_mktsegment")).alias("name"))
     entities = table(spark, d, "customer").groupBy(C("c_mktsegment").alias("name")).agg(F.min("c_custkey").alias("id"))
     return lookups.resolved(links, entities)
 
 
+def j3(spark, d):
+    return resolved_links(spark, d).withColumn("id", C("id").cast("string"))
+
+
 def j3_lost(spark, d):
-    return lookups.unresolved(j3(spark, d)).groupBy("name").agg(F.count("*").alias("n"))
+    return lookups.unresolved(resolved_links(spark, d)).groupBy("name").agg(F.count("*").alias("n"))
 
 
 def j4(spark, d):
@@ -116,7 +120,7 @@ def s_enum(spark, d):
     t = table(spark, d, "part").select("p_partkey", (C("p_size") % 14).cast("int").alias("number"))
     name = names.name_of(C("number"), names.OPTIMISATION)
     written = F.when(C("p_partkey") % 11 == 0, "online_dual_update").otherwise(name)
-    return t.select("p_partkey", name.alias("name"), names.number_of(written, names.OPTIMISATION, names.ALIASES).alias("back"), names.name_of(C("number"), names.DETECTION_LOSS).alias("loss"))
+    return t.select("p_partkey", name.alias("name"), names.number_of(written, names.OPTIMISATION, names.ALIASES).cast("string").alias("back"), names.name_of(C("number"), names.DETECTION_LOSS).alias("loss"))
 
 
 def s_meta(spark, d):
@@ -173,7 +177,7 @@ _J3 = """WITH l AS (SELECT c_custkey AS source, CASE WHEN c_custkey % 7 = 0 THEN
 _CLICKS = "clicks AS (SELECT l_orderkey AS object, l_linenumber AS part, l_suppkey AS user, min(l_extendedprice % 640) AS x, min((l_partkey % 480)::DOUBLE) AS y FROM lineitem GROUP BY 1, 2, 3)"
 
 QUERIES = {
-    "j3_resolve_links": (j3, _J3 + "SELECT source, name, id FROM r"),
+    "j3_resolve_links": (j3, _J3 + "SELECT source, name, id::VARCHAR AS id FROM r"),
     "j3_lost_links": (j3_lost, _J3 + "SELECT name, count(*) AS n FROM r WHERE id = -1 GROUP BY 1"),
     "j4_property_questions": (j4, "WITH a AS (SELECT split_part(p_type, ' ', 1) AS question, array_to_string(split(p_type, ' ')[-2:], ' ') AS rest, min(p_partkey) AS attribute FROM part GROUP BY 1, 2), k(question, kind, part) AS (VALUES "
         + ", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in PROPERTIES.items()) + ") SELECT question, kind, part, attribute, (row_number() OVER (PARTITION BY question ORDER BY attribute) - 1)::INT AS position FROM a JOIN k USING (question)"),
@@ -215,6 +219,6 @@ QUERIES = {
     "s_safe_name": (s_safe, r"SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_.-]', '_', 'g') AS name, split_part(regexp_replace(url, '[/:.]', '_', 'g'), '_', 1) AS user, split_part(regexp_replace(url, '[/:.]', '_', 'g'), '_', 2) AS image FROM pages"),
     "s_validation": (s_valid, r"SELECT c_custkey, regexp_matches(c_name, '^[a-zA-Z''\- ]+$') AS name_ok, regexp_matches(c_mktsegment, '^[a-zA-Z''\- ]+$') AS segment_ok, true AS key_ok, regexp_matches(c_acctbal::VARCHAR, '^[0-9]+$') AS balance_ok FROM customer"),
     "s_enum_names": (s_enum, f"""WITH t AS (SELECT p_partkey, coalesce(([{_OPT}])[p_size % 14 + 1], 'unknown') AS name, coalesce(([{_LOSS}])[p_size % 14 + 1], 'unknown') AS loss FROM part)
-        SELECT p_partkey, name, CASE WHEN p_partkey % 11 = 0 THEN 4 ELSE nullif(list_position([{_OPT}], name), 0) - 1 END::INT AS back, loss FROM t"""),
+        SELECT p_partkey, name, CASE WHEN p_partkey % 11 = 0 THEN 4 ELSE nullif(list_position([{_OPT}], name), 0) - 1 END::INT::VARCHAR AS back, loss FROM t"""),
     "s_metadata": (s_meta, "SELECT s_suppkey, s_name AS latin, s_nationkey::VARCHAR AS order_, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey::VARCHAR END AS family, NULL::VARCHAR AS genus, 3 AS n FROM supplier"),
 }
