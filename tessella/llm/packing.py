@@ -8,6 +8,7 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +24,12 @@ MAX_WASTE = 1 / 48
 SMALL = 45
 TOKENIZER = "word_bpe_49k.json"
 #: Parts of words that a worker keeps at most.
-CACHED_PARTS = 300_000
+CACHED_PARTS = 500_000
 
-# In texts of these characters lower case is by character and nothing composes.
-_PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+# In texts without any but these characters lower case is by character and nothing composes.
+_OTHER = "[^\\t-\\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
 # How the tokenizer cuts a text into parts, for such characters.
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+_PARTS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 
 def public_file(name: str) -> str:
@@ -68,7 +69,7 @@ class PartEncoder:
 
         self.path = path
         self.lean = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.lean.get_added_tokens_decoder().values()]
+        self.odd = "|".join([_OTHER, *(re.escape(t.content) for t in self.lean.get_added_tokens_decoder().values())])
         self.lean.normalizer = normalizers.Sequence([])
         self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.lean.get_vocab()
@@ -94,14 +95,11 @@ class PartEncoder:
             flat = ids.tobytes()
             known.update(zip(some, [flat[a:b] for a, b in zip(at, at[1:])]))
 
-    def _cut(self, text: str) -> list[str] | None:
-        if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return None
-        return _PARTS.findall(text.lower())
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [self._cut(t) for t in texts]
+        # one look at all texts for what must go through the tokenizer as it is
+        odd = pa.compute.match_substring_regex(pa.array(texts, pa.large_string()), self.odd).to_pylist()
+        cut = [None if o else _PARTS.findall(t.lower()) for t, o in zip(texts, odd)]
         self._learn(self.parts.missing(set().union(*(c for c in cut if c))))
         get = self.parts.new.__getitem__
         whole = [t for t, c in zip(texts, cut) if c is None]
