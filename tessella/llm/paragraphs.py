@@ -176,7 +176,8 @@ def _runs(windows: DataFrame, shared: DataFrame) -> DataFrame:
 
     Windows of a run begin at most ``APART`` words apart.
     """
-    rows = windows.join(shared, windows["hash"] == shared["of_hash"]).select("row_no", "word", "hash", "keep_row", "keep_word")
+    # merge joins at every size, whose hot keys can be split, and not one plan for small tables and another for large ones
+    rows = windows.join(shared.hint("merge"), windows["hash"] == shared["of_hash"]).select("row_no", "word", "hash", "keep_row", "keep_word")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_runs(batches):
@@ -257,14 +258,14 @@ def _reached(runs: DataFrame, ends: DataFrame) -> DataFrame:
     out = runs
     for side, (word, wanted) in enumerate((("word", ("paragraph", "start", "line", "before")), ("last_word", ("paragraph", "end", "line", "behind")))):
         here = ends.select(F.col("row_no").alias("at_row"), F.col("word").alias("at_word"), *[F.col(c).alias(f"{c}_{side}") for c in wanted])
-        out = out.join(here, (out["row_no"] == here["at_row"]) & (out[word] == here["at_word"])).drop("at_row", "at_word")
+        out = out.join(here.hint("merge"), (out["row_no"] == here["at_row"]) & (out[word] == here["at_word"])).drop("at_row", "at_word")
     one_line = (F.col("line_0") == F.col("line_1")) & (F.col("paragraph_0") == F.col("paragraph_1")) & (F.col("line_0") != 0)
     out = out.withColumns({"line": F.when(one_line, F.col("line_0")), "paragraph": F.col("paragraph_0"), "start": F.col("start_0"), "end": F.col("end_1")})
     out = materialize(out.drop("line_0", "line_1", "paragraph_0", "paragraph_1", "start_0", "end_1"), "placed")
     kept, others = out.where("kept"), out.where("not kept")
     for side, (keep, of) in enumerate((("keep_word", "before"), ("keep_last_word", "behind"))):
         there = ends.select(F.col("row_no").alias("at_row"), F.col("word").alias("at_word"), F.col(of).alias(f"theirs_{side}"))
-        others = others.join(there, (others["keep_row"] == there["at_row"]) & (others[keep] == there["at_word"])).drop("at_row", "at_word")
+        others = others.join(there.hint("merge"), (others["keep_row"] == there["at_row"]) & (others[keep] == there["at_word"])).drop("at_row", "at_word")
     reach = [f"{c}_{side}" for side in range(2) for c in ("words", "bytes", "keep_bytes")]
     told = [f for f in out.schema.fields if f.name not in ("before_0", "behind_1")]
     columns = [*(f.name for f in told), *reach]
