@@ -50,9 +50,16 @@ def latest_version(logs: DataFrame) -> DataFrame:
 
 
 def gap_sessions(events: DataFrame, gap_seconds: int) -> DataFrame:
-    """(user_id, first_at, last_at, n): runs of events without a pause of ``gap_seconds`` or more."""
-    stamped = events.withColumn("ts", F.timestamp_millis("at"))
-    return stamped.groupBy("user_id", F.session_window("ts", f"{gap_seconds} seconds")).agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("*").alias("n")).drop("session_window")
+    """(user_id, first_at, last_at, n): runs of events without a pause of ``gap_seconds`` or more.
+
+    A pause of just ``gap_seconds`` parts two runs, which ``session_window``
+    would join.  Events without a time are one run of
+    their user, and those without a user have runs like any other.
+    """
+    by_time = Window.partitionBy("user_id").orderBy(F.col("at").asc_nulls_last())
+    begins = F.when(F.col("at") - F.lag("at").over(by_time) < gap_seconds * 1000, 0).otherwise(1)
+    runs = events.select("user_id", "at", begins.alias("begins")).withColumn("run", F.sum("begins").over(by_time))
+    return runs.groupBy("user_id", "run").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("*").alias("n")).drop("run")
 
 
 def session_documents(events: DataFrame) -> DataFrame:

@@ -48,3 +48,19 @@ def close(p, q):
 @pytest.mark.parametrize("name", [n for n, (_, sql) in QUERIES.items() if not sql])
 def test_query_without_sql(spark, name):
     assert QUERIES[name][0](spark, SF).count() > 0
+
+
+def test_session_windows_at_their_edges(spark, tmp_path):
+    """Pauses of just the gap, a millisecond less and more, none, and events without a time or a user."""
+    gap = 10_800_000
+    log = [(1, 0), (1, gap), (1, 2 * gap - 1), (1, 3 * gap), (1, 3 * gap), (2, 5), (2, None), (3, None), (3, None), (None, 7), (None, 7 + gap), (None, None)]
+    at = lambda ms: None if ms is None else (pd.Timestamp("2024-01-01") + pd.Timedelta(milliseconds=ms)).to_pydatetime()
+    rows = [(i, u, at(ms), "view", '{"k": 1}', 1.0) for i, (u, ms) in enumerate(log)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string, props string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    query, sql = QUERIES["session_windows"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    order = lambda found: sorted(found, key=str)
+    ours = [tuple(r[c] for c in ("user_id", "first_at", "last_at", "n")) for r in query(spark, str(tmp_path)).collect()]
+    assert order(ours) == order(con.execute(sql).fetchall())
+    assert len(ours) == 9
