@@ -10,6 +10,11 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
 
 
+def _once(value: Column, f) -> Column:
+    """``f`` of ``value``, which is worked out once a row: what a lambda's body says is worked out again for each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(a, b, lambda x, y: x * y))
 
@@ -37,8 +42,11 @@ def magnitude_squared(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """``a`` over its length; zeros stay zeros."""
-    length = F.sqrt(magnitude_squared(a))
-    return F.transform(a, lambda x: F.when(length > 0, x / length).otherwise(F.lit(0.0)))
+
+    def over(a: Column, length: Column) -> Column:
+        return F.transform(a, lambda x: F.when(length > 0, x / length).otherwise(F.lit(0.0)))
+
+    return _once(a, lambda v: _once(F.sqrt(magnitude_squared(v)), lambda length: over(v, length)))
 
 
 def power_unit(a: Column, alpha: float = 0.5) -> Column:
@@ -52,8 +60,11 @@ def clipped_unit(a: Column, most: float = 0.2) -> Column:
 
 
 def min_max(a: Column) -> Column:
-    low, high = F.array_min(a), F.array_max(a)
-    return F.transform(a, lambda x: F.when(high > low, (x - low) / (high - low)).otherwise(F.lit(0.0)))
+    def spread(v: Column, ends: Column) -> Column:
+        low, high = ends["low"], ends["high"]
+        return F.transform(v, lambda x: F.when(high > low, (x - low) / (high - low)).otherwise(F.lit(0.0)))
+
+    return _once(a, lambda v: _once(F.struct(F.array_min(v).alias("low"), F.array_max(v).alias("high")), lambda ends: spread(v, ends)))
 
 
 def parse_sparse(s: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from hypothesis import strategies as some
 from pyspark.sql import functions as F
 
 from tessella.functions import numbers, strings
+from tessella.functions import vectors as vec
 from tessella.operators import boxes, evaluation, game, grids, joins, learning, response_model, windows
 from tessella.operators import vectors as ml
 
@@ -268,3 +270,17 @@ def test_corrections_and_turns(spark):
     x, y = numbers.rotate(F.lit(1.0), F.lit(0.0), F.lit(math.pi / 2), F.lit(2.0), F.lit(1.0), F.lit(0.0))
     row = spark.range(1).select(x.alias("x"), y.alias("y")).first()
     assert math.isclose(row.x, 1.0, abs_tol=1e-12) and math.isclose(row.y, 2.0)
+
+
+def test_unit_vectors_take_one_pass(spark):
+    """The length is worked out once a vector: by the component, as it was, these would take minutes."""
+    x = np.random.default_rng(2).normal(size=512)
+    df = spark.createDataFrame([(0, x.tolist()), (1, [0.0, 0.0]), (2, [3.0, 3.0]), (3, []), (4, None)], "id long, v array<double>")
+    began = time.perf_counter()
+    got = df.orderBy("id").select(*[f(F.col("v")).alias(n) for n, f in (("unit", vec.unit), ("power", vec.power_unit), ("clipped", vec.clipped_unit), ("minmax", vec.min_max))]).collect()
+    assert time.perf_counter() - began < 30
+    unit = lambda v: v / np.sqrt((v * v).sum())
+    want = [unit(x), unit(np.sign(x) * np.sqrt(np.abs(x))), unit(np.minimum(unit(x), 0.2)), (x - x.min()) / (x.max() - x.min())]
+    assert all(np.allclose(a, b, rtol=1e-12) for a, b in zip(got[0], want))
+    assert list(got[1]) == [[0.0, 0.0]] * 4 and got[2].minmax == [0.0, 0.0]
+    assert list(got[3]) == [[]] * 4 and list(got[4]) == [None] * 4
