@@ -14,6 +14,7 @@ from tessella.llm.exact_dedup import MAX_CELLS, filter_bits, filter_cells, marke
 from tessella.llm.graph import components
 from tessella.llm.jaccard import band_hashes, bucket_links, buckets, groups_of, links_within, tuned_bands, unpacked, whole_runs
 from tessella.llm.textkernel import Words, mapped, mix, released, text_slices, xxh64
+from tessella.session import scratch
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -369,16 +370,19 @@ def repeated_paragraphs(docs: DataFrame, words: int = WORDS, similarity: float =
         at = pa.array(row)
         return values, [batch.column(0).take(at), batch.column(2).take(at), pa.array(unpacked(batch.column(3), np.int32)[0])]
 
-    units = materialize(mapped(source, read, "doc_id long, whole long, paragraph int, start int, end int, words int, packed binary, row_no long, places binary"), "units")
-    found = units.where("words is not null")
-    packed = units.where("words is null").select("doc_id", "packed", "row_no", "places")
-    number = packed.agg(F.coalesce(F.sum(F.octet_length("packed")), F.lit(0))).first()[0] // 8
-    windows = materialize(maybe_shared(packed, number, unpack, "hash long, doc_id long, row_no long, word int"), "windows")
-    shared = _shared(windows)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "paragraph", "start"))
-    unique = found.groupBy("whole").agg(F.count("*").alias("n"), first.alias("first"), F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id"))
-    unique = materialize(unique, "unique")
-    met = buckets(found.select(F.col("whole").alias("node"), F.col("packed").alias("bands")), "bands")
+    # bands and windows are the largest tables by far, and are deleted when the buckets and the shared windows are written
+    with scratch() as keep:
+        units = materialize(mapped(source, read, "doc_id long, whole long, paragraph int, start int, end int, words int, packed binary, row_no long, places binary"), "units")
+        found = units.where("words is not null")
+        packed = units.where("words is null").select("doc_id", "packed", "row_no", "places")
+        number = packed.agg(F.coalesce(F.sum(F.octet_length("packed")), F.lit(0))).first()[0] // 8
+        windows = keep(materialize(maybe_shared(packed, number, unpack, "hash long, doc_id long, row_no long, word int"), "windows"))
+        shared = keep(_shared(windows))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "paragraph", "start"))
+        unique = found.groupBy("whole").agg(F.count("*").alias("n"), first.alias("first"), F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id"))
+        unique = keep(materialize(unique, "unique"))
+        met = keep(buckets(found.select(F.col("whole").alias("node"), F.col("packed").alias("bands")), "bands"))
+        found = keep(materialize(found.drop("packed", "row_no", "places"), "found"))
     groups = groups_of(bucket_links(met), met, name="candidates")
     # of the rest only paragraphs that stand in two documents matter
     met_once = materialize(groups.select(F.col("node").alias("of_node")).distinct(), "met_once")
@@ -410,10 +414,11 @@ def repeated_paragraphs(docs: DataFrame, words: int = WORDS, similarity: float =
                     items = pa.array([np.unique(hashes[a:b]).view(np.int64) for a, b in zip(index, index[1:])], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([pa.array(lines.whole[hit].view(np.int64)), items], ["read_whole", "items"])
 
-    reread = mapped(source.select("doc_id", "text"), again, "read_whole long, items array<long>")
-    shingled = materialize(reread.groupBy("read_whole").agg(F.first("items").alias("items")), "shingled")
-    members = groups.join(shingled, groups["node"] == shingled["read_whole"]).select("grp", "node", "items")
-    linked = components(links_within(members, similarity), "links")
+    with scratch() as keep:
+        reread = mapped(source.select("doc_id", "text"), again, "read_whole long, items array<long>")
+        shingled = materialize(reread.groupBy("read_whole").agg(F.first("items").alias("items")), "shingled")
+        members = groups.join(shingled, groups["node"] == shingled["read_whole"]).select("grp", "node", "items")
+        linked = keep(materialize(components(links_within(members, similarity), "links"), "linked"))
 
     rooted = unique.join(linked, unique["whole"] == linked["node"], "left").select("whole", "n", "first", "least_id", "most_id", F.coalesce("root", "whole").alias("root"))
     clusters = rooted.groupBy("root").agg(F.sum("n").alias("copies"), F.min("first").alias("keep"), F.min("least_id").alias("low"), F.max("most_id").alias("high")).where("low <> high")
@@ -422,7 +427,7 @@ def repeated_paragraphs(docs: DataFrame, words: int = WORDS, similarity: float =
     kept = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("paragraph") == F.col("keep.paragraph")) & (F.col("start") == F.col("keep.start"))
     columns = ["doc_id", "paragraph", "start", "end", "words", "cluster", "copies", "keep_id", "kept", "kind"]
     least_cells = filter_cells(named.count(), MAX_CELLS)
-    in_clusters = marked_rows(found.drop("packed", "row_no", "places"), "whole", filter_bits(named.select(F.col("of_whole").alias("key")), least_cells, repeated=False), least_cells).where("tessella_maybe").drop("tessella_maybe")
+    in_clusters = marked_rows(found, "whole", filter_bits(named.select(F.col("of_whole").alias("key")), least_cells, repeated=False), least_cells).where("tessella_maybe").drop("tessella_maybe")
     whole_lines = in_clusters.join(named, in_clusters["whole"] == named["of_whole"]).withColumns({"keep_id": F.col("keep.doc_id"), "kept": kept, "kind": F.lit("paragraph")})
     passages = _passages(windows, shared, source, named.select("of_whole"), least).withColumn("kind", F.lit("passage"))
     return whole_lines.select(*columns).unionByName(passages.select(*columns))

@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from tessella import session
 from tessella.llm import jaccard, paragraphs
 from tests.llm.helpers import DOC_SCHEMA, frame, rows
 from tests.llm.test_text_ops import shingle_bytes
@@ -187,3 +188,14 @@ def test_links_within(spark, part):
         return {n: least[find(n)] for n in sets}
 
     assert closed(got) == closed([(a, b) for a in sets for b in sets if a < b and similar(a, b)])
+
+
+def test_large_tables_are_deleted_on_the_way(spark):
+    """Bands, windows' texts and shingles are gone when the operator returns, and its rows can be read none the less."""
+    line = " ".join(f"w{i}" for i in range(40))
+    docs = frame(spark, [(1, line, "en", "s", 0), (2, line + " more", "en", "s", 0), (3, "short", "en", "s", 0)])
+    before = len(session._written)
+    found = paragraphs.repeated_paragraphs(docs)
+    names = {path.rsplit("tessella-", 1)[1].rsplit("-", 1)[0] for _, path in session._written[before:]}
+    assert names >= {"windows", "shared", "found", "linked"} and not names & {"units", "shingled", "members"}
+    assert sorted({r.doc_id for r in found.collect()}) == [1, 2]
